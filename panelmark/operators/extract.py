@@ -836,7 +836,7 @@ def extract_ingredients(tokens: DataFrame) -> DataFrame:
 def _name_hits() -> dict[str, Column]:
     said = F.trim(text(_hit(GENERIC_NAME)))
     value = F.trim(text("text"))
-    fine = ~bad_generic_name(value)
+    fine = F.col("_fine")
     return {
         "_n_said": said,
         "_n_good": (F.length(said) > 2) & ~bad_generic_name(said),
@@ -874,7 +874,7 @@ def _names_of(line: DataFrame, tokens: DataFrame, ingredients: DataFrame) -> Dat
 
 def extract_generic_name(tokens: DataFrame) -> DataFrame:
     """Anchored name, single ingredient, title lettering, first plain line."""
-    hits = tokens.withColumns({**_ingredient_hits(), **_name_hits()})
+    hits = tokens.withColumns(_ingredient_hits() | {"_fine": ~bad_generic_name(text("text"))}).withColumns(_name_hits())
     line = cut(hits.groupBy("inspection_id").agg(*_ingredient_picks(), *_name_picks()))
     names = _names_of(line, tokens, _ingredients_of(line, tokens))
     return names.where("m IS NOT NULL").select("inspection_id", "m.*", "anchored")
@@ -892,7 +892,9 @@ def _care_parts() -> Column:
             lambda v, i: F.struct(F.lit(kind).alias("kind"), F.col("line_no").alias("line_no"), i.alias("place"), v.alias("value")),
         )
 
-    return F.filter(F.concat(hits(0), hits(1), hits(2)), lambda c: c["value"] != "")
+    every = F.filter(F.concat(hits(0), hits(1), hits(2)), lambda c: c["value"] != "")
+    # cheap test first: a contact has 1800, six digits in a row, an @ or www
+    return F.when(text("text").rlike(r"1800|[0-9]{6}|@|(?i:www\.)"), every)
 
 
 def _decl(df: DataFrame, field: str, value: Column, **more: Column) -> DataFrame:
@@ -944,11 +946,11 @@ def label_facts(tokens: DataFrame) -> DataFrame:
             "_d_key": value.rlike(f"(?i){MADE_KEY}"),
             "_e_key": value.rlike(f"(?i){EXPIRY_KEY}"),
             "_dates": line_typed_dates(),
+            "_fine": ~bad_generic_name(value),
             **_licence_hits(),
             **_ingredient_hits(),
-            **_name_hits(),
         }
-    )
+    ).withColumns(_name_hits())
     rest = [F.col("confidence"), *[F.col(c) for c in _BOX]]
 
     def found(name: str) -> Column:
