@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
-from panelmark.queries import extraction, ledger, rules, scalars  # noqa: F401
+from panelmark.queries import extraction, history, ledger, rules, scalars, streams  # noqa: F401
 from panelmark.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -35,7 +35,7 @@ SELECT concat('PKG-', cast(p_partkey AS varchar)) AS inspection_id, p_partkey AS
 
 
 def packages(spark, sf):
-    return fx.table(spark, sf, "part").selectExpr(
+    return fx.spread(fx.table(spark, sf, "part")).selectExpr(
         "concat('PKG-', cast(p_partkey AS string)) AS inspection_id",
         "p_partkey AS seq",
         f"{_CATEGORY} AS category",
