@@ -28,11 +28,8 @@ def lookup(mapping: dict[str, str], key: Column, default: Column) -> Column:
 
 
 def has_any(column: Column, phrases: list[str]) -> Column:
-    """True when any of the (constant) phrases occurs; plain byte searches."""
-    found = column.contains(phrases[0])
-    for phrase in phrases[1:]:
-        found = found | column.contains(phrase)
-    return found
+    """True when any of the (constant) phrases occurs: one compiled pattern."""
+    return column.rlike("|".join(re.escape(p).replace(r"\ ", " ") for p in phrases))
 
 
 def norm_whitespace(column: str | Column) -> Column:
