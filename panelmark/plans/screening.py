@@ -73,61 +73,49 @@ def derived_declarations(decl: DataFrame) -> DataFrame:
     wide = source.groupBy("inspection_id").agg(pick.alias("p"), pick_quantity.alias("q"))
 
     unit_pattern = r"(?i)(?:^|\s|[0-9])(g|kg|ml|l|ltr|gm|gms|pcs|units|pieces|n|u)\b"
-    unit = F.coalesce(F.nullif("q.unit", F.lit("")), vx.found(text("q.value"), unit_pattern))
-    taxed = (
-        F.coalesce("p.tax_in_block", F.lit(False))
-        | F.coalesce(F.col("p.verdict") == "CONFORMING", F.lit(False))
-        | has_any(F.lower(text("p.raw_line")), C.TAX_WORDS)
-        | has_any(F.lower(text("p.value")), C.TAX_WORDS)
-    )
-    price = F.coalesce("p.numeric_value", vx.number(vx.found(text("p.value"), r"([0-9]+(?:\.[0-9]+)?)")))
-    amount_pattern = r"([0-9]+(?:\.[0-9]+)?)\s*([a-zA-Z]+)"
-    amount = F.coalesce("q.numeric_value", vx.number(vx.found(text("q.value"), amount_pattern)))
-    per = F.when(F.col("q.numeric_value").isNotNull(), F.coalesce(F.nullif("q.unit", F.lit("")), F.lit("g"))).otherwise(
-        F.coalesce(vx.found(text("q.value"), amount_pattern, 2), F.nullif("q.unit", F.lit("")), F.lit("g"))
-    )
-    unit_price = F.round(F.try_divide(price, F.when(amount > 0, amount)), 2)
-    own = F.coalesce(F.nullif("p.confidence", F.lit(0.0)), F.lit(C.DEFAULT_CONFIDENCE))
-    other = F.coalesce(F.nullif("q.confidence", F.lit(0.0)), F.lit(C.DEFAULT_CONFIDENCE))
-
-    def carried(name: str, **replaced: Column) -> Column:
-        return F.struct(
-            *[replaced.get(n, F.col(f"{name}.{n}")).cast(t).alias(n) for n, t in ENTRY_COLUMNS.items()]
+    number_pattern, amount_pattern = r"([0-9]+(?:\.[0-9]+)?)", r"([0-9]+(?:\.[0-9]+)?)\s*([a-zA-Z]+)"
+    stated_unit = F.nullif("q.unit", F.lit(""))
+    default = F.lit(C.DEFAULT_CONFIDENCE)
+    wide = wide.withColumns(
+        {
+            "unit": F.coalesce(stated_unit, vx.found(text("q.value"), unit_pattern)),
+            "taxed": F.coalesce("p.tax_in_block", F.lit(False))
+            | F.coalesce(F.col("p.verdict") == "CONFORMING", F.lit(False))
+            | has_any(F.lower(F.concat_ws("\n", "p.raw_line", "p.value")), C.TAX_WORDS),
+            "price": F.coalesce("p.numeric_value", vx.number(vx.found(text("p.value"), number_pattern))),
+            "amount": F.coalesce("q.numeric_value", vx.number(vx.found(text("q.value"), amount_pattern))),
+            "per": F.coalesce(
+                F.when(F.col("q.numeric_value").isNull(), vx.found(text("q.value"), amount_pattern, 2)), stated_unit, F.lit("g")
+            ),
+            "own": F.coalesce(F.nullif("p.confidence", F.lit(0.0)), default),
+            "other": F.coalesce(F.nullif("q.confidence", F.lit(0.0)), default),
+        }
+    ).withColumn("unit_price", F.round(F.try_divide("price", F.when(F.col("amount") > 0, F.col("amount"))), 2))
+
+    def item(fields: list[str], source: str, condition: Column, **replaced: Column) -> Column:
+        entry = F.struct(
+            *[replaced.get(n, F.col(f"{source}.{n}")).cast(t).alias(n) for n, t in ENTRY_COLUMNS.items()]
+        )
+        return F.when(
+            F.col(source).isNotNull() & condition,
+            F.struct(F.array(*[F.lit(f) for f in fields]).alias("fields"), entry.alias("entry")),
         )
 
     null = F.lit(None)
-    rows = [
-        *[
-            F.when(
-                F.col("q").isNotNull() & valid_value(unit),
-                F.struct(F.lit(f).alias("field"), carried(
-                    "q", value=unit, confidence=other, numeric_value=null, verdict=null).alias("entry")),
-            )
-            for f in C.UNIT_FIELDS
-        ],
-        *[
-            F.when(
-                F.col("p").isNotNull() & taxed,
-                F.struct(F.lit(f).alias("field"), carried(
-                    "p", value=F.lit("Inclusive of all taxes"), confidence=own).alias("entry")),
-            )
-            for f in C.TAX_FIELDS
-        ],
-        *[
-            F.when(
-                (price > 0) & unit_price.isNotNull(),
-                F.struct(F.lit(f).alias("field"), carried(
-                    "p",
-                    value=F.concat(F.lit("Rs. "), vx.plain_number(unit_price), F.lit(" / "), per),
-                    confidence=F.least(own, other), numeric_value=unit_price, unit=per,
-                    verdict=null, tax_in_block=null, raw_line=null).alias("entry")),
-            )
-            for f in C.UNIT_PRICE_FIELDS
-        ],
-    ]
-    return wide.select(
-        "inspection_id", F.explode(F.array_compact(F.array(*rows))).alias("d")
-    ).select("inspection_id", "d.field", F.lit(1000).alias("priority"), "d.entry")
+    price_text = F.concat(F.lit("Rs. "), vx.plain_number(F.col("unit_price")), F.lit(" / "), F.col("per"))
+    items = F.array(
+        item(C.UNIT_FIELDS, "q", valid_value("unit"), value=F.col("unit"), confidence=F.col("other"), numeric_value=null, verdict=null),
+        item(C.TAX_FIELDS, "p", F.col("taxed"), value=F.lit("Inclusive of all taxes"), confidence=F.col("own")),
+        item(
+            C.UNIT_PRICE_FIELDS, "p", F.coalesce((F.col("price") > 0) & F.col("unit_price").isNotNull(), F.lit(False)),
+            value=price_text, confidence=F.least("own", "other"), numeric_value=F.col("unit_price"), unit=F.col("per"),
+            verdict=null, tax_in_block=null, raw_line=null,
+        ),
+    )
+    return (
+        wide.select("inspection_id", F.explode(F.array_compact(items)).alias("d"))
+        .select("inspection_id", F.explode("d.fields").alias("field"), F.lit(1000).alias("priority"), "d.entry")
+    )
 
 
 def resolve_aliases(decl: DataFrame, fields: DataFrame | None = None) -> DataFrame:
@@ -157,6 +145,22 @@ def resolve_aliases(decl: DataFrame, fields: DataFrame | None = None) -> DataFra
     )
 
 
+def normalise_entries(resolved: DataFrame) -> DataFrame:
+    """Adds the normalised value and the date to every entry.
+
+    Done once per package and field, before rules multiply the rows.
+    """
+    parts = vx.normalised_parts(F.col("field"), F.col("entry.value"))
+    known = resolved.withColumns(
+        {"_normal": parts["normalized_value"], "_date": parts["date_value"]}
+    )
+    entry = F.struct(
+        *[F.col(f"entry.{n}").alias(n) for n in ENTRY_COLUMNS],
+        F.col("_normal").alias("normalized_value"), F.col("_date").alias("date_value"),
+    )
+    return known.select("inspection_id", "field", entry.alias("entry"))
+
+
 def field_maps(resolved: DataFrame) -> DataFrame:
     """One map per package; its size is bounded by the rules' field list."""
     pairs = F.collect_list(F.struct("field", "entry"))
@@ -302,8 +306,7 @@ def eval_date(missing: Column, detected: Column, mandatory: Column, raw: Column,
               overall: Column, confidence: Column, error: Column) -> Column:
     operator = F.coalesce("cond.operator", F.lit("is_valid_date"))
     compared = F.coalesce("cond.compare_with", F.lit("manufacturing_date"))
-    other = F.try_element_at("fields", F.lower(F.trim(compared)))["value"]
-    other_date = vx.label_date(other)
+    other_date = F.try_element_at("fields", F.lower(F.trim(compared)))["date_value"]
     today = F.col("evaluation_date")
     relative = F.lower(text(raw)).rlike(r"\b(month|months|year|years|days)\b")
     fail = _outcome(_soft_fail(confidence), F.coalesce(error, F.lit("Date is not in order.")))
@@ -389,13 +392,12 @@ def evaluate(pairs: DataFrame) -> DataFrame:
         }
     )
     raw = F.col("entry.value")
-    parts = vx.normalised_parts(F.col("field_name"), raw)
     prepared = prepared.withColumns(
         {
             "detected": raw.isNotNull(),
             "field_confidence": F.coalesce("entry.confidence", F.lit(0.0)),
-            "normalized_value": parts["normalized_value"],
-            "date_value": parts["date_value"],
+            "normalized_value": F.col("entry.normalized_value"),
+            "date_value": F.col("entry.date_value"),
         }
     )
     name, mandatory, detected = F.col("field_name"), F.col("mandatory"), F.col("detected")
@@ -469,7 +471,7 @@ def screen(
 ) -> DataFrame:
     """Packages and declarations in, one verdict row per applicable rule out."""
     ready = ap.parse_conditions(rules)
-    maps = field_maps(resolve_aliases(decl, wanted_fields(ready)))
+    maps = field_maps(normalise_entries(resolve_aliases(decl, wanted_fields(ready))))
     with_fields = packages.join(maps, "inspection_id", "left")
     empty = F.create_map().cast(maps.schema["fields"].dataType)
     with_fields = with_fields.withColumn("fields", F.coalesce("fields", empty))

@@ -17,6 +17,8 @@ def build_session(cores: str | int = "*", app: str = "panelmark") -> SparkSessio
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # wide projections of patterns outgrow what the JIT compiles as one method
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PANELMARK_DRIVER_MEMORY", "8g"))
         .getOrCreate()
