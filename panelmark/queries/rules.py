@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -611,7 +612,59 @@ def labels_declared(spark, sf):
     return ex.declaration_table(fx.label_lines(spark, sf))
 
 
-@query("screen_packages")
+# the same views over extracted declarations and inferred categories
+_SAME = {"vx_decl": "vx_label_decl", "vx_packages": "vx_label_packages", "vx_resolved": "vx_label_resolved",
+         "vx_applicable": "vx_label_applicable", "vx_pairs": "vx_label_pairs", "vx_verdicts": "vx_label_verdicts"}
+
+
+def _on_labels(sql: str) -> str:
+    for old, new in _SAME.items():
+        sql = re.sub(rf"\b{old}\b", new, sql)
+    return sql
+
+
+EXTRA_VIEWS["vx_label_packages"] = f"""
+SELECT p.* REPLACE (CASE WHEN coalesce(category, '') NOT IN ('', 'ALL') THEN category WHEN lic IS NOT NULL OR {sql_any(_NAME_UP, C.FOOD_TERMS)} THEN 'Food & Beverages'
+  WHEN {sql_any(_NAME_UP, C.COSMETIC_TERMS)} THEN 'Cosmetics' WHEN {sql_any(_NAME_UP, C.PHARMA_TERMS)} THEN 'Pharmaceuticals' ELSE 'ALL' END AS category)
+FROM vx_packages p LEFT JOIN (SELECT inspection_id, max(value) FILTER (field_name = 'product_name') AS name, max(value) FILTER (field_name = 'fssai_license') AS lic
+  FROM vx_label_decl GROUP BY 1) d USING (inspection_id)
+"""
+for _view in ("vx_resolved", "vx_applicable"):
+    EXTRA_VIEWS[_SAME[_view]] = _on_labels(EXTRA_VIEWS[_view])
+EXTRA_VIEWS["vx_label_pairs"] = f"""
+SELECT t.*, d.verdict FROM ({_on_labels(EXTRA_VIEWS['vx_pairs'])}) t
+LEFT JOIN vx_label_decl d ON d.inspection_id = t.inspection_id AND d.field_name = 'mrp'
+"""
+_PLAIN_PRICE = f"WHEN NOT ({_DET}) THEN 'FAIL' ELSE 'PASS' END"
+_JUDGED_PRICE = f"WHEN verdict = 'CANNOT_VERIFY' THEN 'NEEDS_REVIEW' WHEN NOT ({_DET}) OR verdict = 'VIOLATION' THEN 'FAIL' ELSE 'PASS' END"
+_MISSING_CORE = "CASE WHEN overall_confidence >= 85 THEN 'FAIL' ELSE 'NEEDS_REVIEW' END"
+EXTRA_VIEWS["vx_label_verdicts"] = f"""
+SELECT inspection_id, rule_id, severity, status FROM ({_on_labels(EXTRA_VIEWS['vx_verdicts']).replace(_PLAIN_PRICE, _JUDGED_PRICE)}) base
+UNION ALL SELECT a.inspection_id, a.rule_id, 'HIGH', CASE WHEN (CASE WHEN s.value IS NULL THEN overall_confidence ELSE s.confidence END) < 85 THEN 'NEEDS_REVIEW'
+    WHEN s.value IS NULL THEN 'FAIL' ELSE 'PASS' END
+  FROM vx_label_applicable a JOIN vx_label_packages USING (inspection_id) LEFT JOIN vx_label_resolved s ON s.inspection_id = a.inspection_id AND s.field = 'mrp_inclusive_tax'
+  WHERE a.rule_id = 'PK-06-1-E-TAX'
+UNION ALL SELECT a.inspection_id, a.rule_id, 'HIGH', CASE WHEN s.value IS NULL THEN {_MISSING_CORE}
+    WHEN {sql_map(C.UNIT_SPELLINGS, 'lower(s.value)', 'lower(s.value)')} IN ('g', 'kg', 'mg', 'ml', 'l') THEN 'PASS' WHEN s.confidence >= 75 THEN 'FAIL' ELSE 'REVIEW' END
+  FROM vx_label_applicable a JOIN vx_label_packages USING (inspection_id) LEFT JOIN vx_label_resolved s ON s.inspection_id = a.inspection_id AND s.field = 'unit_of_measurement'
+  WHERE a.rule_id = 'PK-06-1-C-UNIT'
+UNION ALL SELECT a.inspection_id, a.rule_id, 'MEDIUM', CASE WHEN s.value IS NOT NULL OR (m.value IS NOT NULL AND q.value IS NOT NULL) THEN 'PASS' ELSE {_MISSING_CORE} END
+  FROM vx_label_applicable a JOIN vx_label_packages USING (inspection_id) LEFT JOIN vx_label_resolved s ON s.inspection_id = a.inspection_id AND s.field = 'unit_sale_price'
+  LEFT JOIN (SELECT * FROM vx_label_decl WHERE field_name = 'mrp') m ON m.inspection_id = a.inspection_id
+  LEFT JOIN (SELECT * FROM vx_label_decl WHERE field_name = 'net_quantity') q ON q.inspection_id = a.inspection_id WHERE a.rule_id = 'PK-10-USP'
+"""
+
+
+@query("screen_packages", f"""
+SELECT inspection_id, total, passed, failed, review, bypassed, {_OVERALL} AS overall_status, percent,
+  CASE WHEN critical > 0 OR failed >= 3 OR percent < 60 THEN 'HIGH' WHEN failed > 0 OR unverified >= 3 OR percent < 85 THEN 'MEDIUM' ELSE 'LOW' END AS risk,
+  CASE WHEN failed > 0 OR review > 0 THEN '7B VIOLATION' ELSE '7A COMPLIANT' END AS legacy_verdict FROM (
+SELECT *, round(passed / greatest(1, total - bypassed) * 100.0, 1) AS percent FROM (
+SELECT inspection_id, count(*) AS total, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed,
+  count(*) FILTER (status IN ('NEEDS_REVIEW', 'REVIEW')) AS review, count(*) FILTER (status = 'NEEDS_REVIEW') AS unverified,
+  count(*) FILTER (status = 'NOT_APPLICABLE') AS bypassed, count(*) FILTER (status = 'FAIL' AND severity = 'CRITICAL') AS critical
+FROM vx_label_verdicts GROUP BY 1) a) b
+""")
 def screen_packages(spark, sf):
     """Flagship: extract, infer category, judge, roll up; one row per package."""
     from panelmark.session import cut

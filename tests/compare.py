@@ -53,8 +53,8 @@ def difference(spark, con, sf, function, sql) -> str | None:
     if sorted(df.columns) != sorted(names):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
     if len(ours) != len(theirs):
-        left = [r for r in ours[:20000] if r not in set(theirs)][:2]
-        right = [r for r in theirs[:20000] if r not in set(ours)][:2]
+        mine, other = set(ours), set(theirs)
+        left, right = sorted(mine - other, key=repr)[:2], sorted(other - mine, key=repr)[:2]
         return f"rows {len(ours)} != {len(theirs)}; ours {left}; oracle {right}"
     bad = [(a, b) for a, b in zip(ours, theirs) if a != b]
     if bad:
