@@ -488,6 +488,12 @@ def stable_frames(frames: DataFrame) -> DataFrame:
     return streaks.withColumn("percent", percent).withColumn("capture", F.col("streak") >= 2)
 
 
+def beside(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """A page of rows with a one-row summary next to each of them."""
+    one = totals.withColumn("_one", F.lit(1))
+    return rows.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
+
+
 # ------------------------------------------------------------ sorts & pages
 
 

@@ -133,10 +133,10 @@ def image_quality(df: DataFrame) -> DataFrame:
 
 def explain_checks(checks: DataFrame, decl: DataFrame, aliases: DataFrame, fallbacks: DataFrame, tokens: DataFrame) -> DataFrame:
     """Checks as the report shows them: clean status, value, reason and box."""
-    entries = decl.select(
+    entries = decl.where(text("value") != "").select(
         "inspection_id", F.col("field_name").alias("_field"), F.col("value").alias("_value"),
         F.when(F.col("x1").isNotNull(), F.struct("x1", "y1", "x2", "y2")).alias("_box"), F.col("image_index").alias("_image"),
-    ).where(text("value") != "" if "value" in decl.columns else F.lit(True))
+    )
     direct = entries.select("inspection_id", F.col("_field").alias("_key"), F.lit(0).alias("_rank"), F.struct("_value", "_box", "_image").alias("_e"))
     by_alias = entries.join(F.broadcast(aliases), F.col("_field") == F.col("candidate")).select(
         "inspection_id", F.col("field").alias("_key"), F.lit(1).alias("_rank"), F.struct("_value", "_box", "_image").alias("_e"))

@@ -12,7 +12,6 @@ from panelmark.operators import changes as ch
 from panelmark.operators import lineage as ln
 from panelmark.queries.registry import EXTRA_VIEWS, query
 from panelmark.queries.rules import declarations
-from panelmark.queries.scalars import sql_list
 from panelmark.sources import readers, sinks
 
 NOW = datetime(2026, 1, 15, 9, 30, 0)
@@ -66,7 +65,6 @@ ASOF LEFT JOIN (SELECT max(amendment_id) AS amendment_id, day AS commencement_da
 
 # -------------------------------------------------------------------- changes
 
-_BASE = """rule_id, field AS field_name, severity, version, 'old text' AS regulation, '{sev}' AS statutory_reference"""
 EXTRA_VIEWS["vx_base_rules"] = """
 SELECT rule_id, arg_min(field, source_rank) AS field_name, arg_min(severity, source_rank) AS severity, arg_min(version, source_rank) AS version,
   arg_min(field, source_rank) AS target_parameter FROM fx_rules_raw WHERE source_rank % 3 <> 0 GROUP BY rule_id

@@ -72,8 +72,7 @@ CROSS JOIN (SELECT count(*) AS unread_count FROM fx_notifications WHERE NOT is_r
 def _unread(spark, sf):
     notifications = fx.notifications(spark, sf)
     newest = ledger.unread(notifications, True).select("notification_id", "created_at", "severity")
-    # one row against fifty: both sides have a fixed size
-    return newest.crossJoin(F.broadcast(ledger.unread_count(notifications)))
+    return ledger.beside(newest, ledger.unread_count(notifications))
 
 
 query("audit_search", """
@@ -216,10 +215,7 @@ SELECT count(*) AS total,
 def _dashboard(spark, sf):
     insp = fx.inspections(spark, sf)
     last = ledger.newest(insp, "created_at", "inspection_id", 10)
-    # one row against ten: both sides have a fixed size
-    return last.select("inspection_id", "overall_status", "created_at").crossJoin(
-        F.broadcast(ledger.dashboard_counts(insp))
-    )
+    return ledger.beside(last.select("inspection_id", "overall_status", "created_at"), ledger.dashboard_counts(insp))
 
 
 query("pending_categories", f"""
@@ -311,8 +307,7 @@ CROSS JOIN (SELECT greatest(cast(ceil(count(*) / 10.0) AS bigint), 1) AS total_p
 def _page(spark, sf):
     queue = ledger.pending_queue(fx.inspections(spark, sf)).select("inspection_id", "created_at")
     page = ledger.page_slice(queue, [F.col("created_at"), F.col("inspection_id")], 3, 10)
-    # one row against ten: both sides have a fixed size
-    return page.crossJoin(F.broadcast(ledger.page_count(queue, 10)))
+    return ledger.beside(page, ledger.page_count(queue, 10))
 
 
 query("severity_paint_order", """

@@ -19,7 +19,7 @@ from panelmark.operators import tokens as tk
 from panelmark.plans import applicability as ap
 from panelmark.plans import catalog, screening
 from panelmark.queries.registry import EXTRA_VIEWS, query
-from panelmark.queries.scalars import sql_any, sql_label_date, sql_list, sql_map
+from panelmark.queries.scalars import SQL_SUSPICIOUS, sql_any, sql_label_date, sql_list, sql_map
 
 TODAY = date(2026, 1, 15)
 TODAY_SQL = "date '2026-01-15'"
@@ -426,26 +426,17 @@ SELECT inspection_id, CASE WHEN round(avg(confidence), 2) < 75 THEN 'Text was no
 """)(lambda spark, sf: ru.ocr_confidence_mean(fx.label_lines(spark, sf)).select(
     "inspection_id", ru.low_confidence_warning(F.col("mean_confidence"), F.lit(1)).alias("warning")))
 
-_IMAGE = """inspection_id, cast(line_no % 3 AS int) AS image_index, confidence, confidence - 10 AS quality_score,
-  CASE WHEN line_no % 3 = 1 AND seq % 2 = 0 THEN concat('89', cast(seq AS {s})) END AS barcode, text AS raw_text,
-  line_no * 1.5 AS ocr_ms, seq % 7 * 1.0 AS pre_ms, line_no * 2.5 AS decl_ms"""
-EXTRA_VIEWS["vx_images"] = f"SELECT {_IMAGE.replace('{s}', 'varchar')} FROM fx_label_lines WHERE line_no <= 3"
+_IMAGE = [
+    "inspection_id", "cast(line_no % 3 AS int) AS image_index", "confidence", "confidence - 10 AS quality_score",
+    "CASE WHEN line_no % 3 = 1 AND seq % 2 = 0 THEN concat('89', cast(seq AS {s})) END AS barcode", "text AS raw_text",
+    "line_no * 1.5 AS ocr_ms", "seq % 7 * 1.0 AS pre_ms", "line_no * 2.5 AS decl_ms",
+]
+EXTRA_VIEWS["vx_images"] = f"SELECT {', '.join(_IMAGE).replace('{s}', 'varchar')} FROM fx_label_lines WHERE line_no <= 3"
 
 
 def images(spark, sf):
-    text = _IMAGE.replace("{s}", "string").replace("cast(line_no % 3 AS int)", "cast(line_no % 3 AS int)")
-    parts = []
-    depth, piece = 0, ""
-    for ch in text:
-        depth += ch == "("
-        depth -= ch == ")"
-        if ch == "," and depth == 0:
-            parts.append(piece.strip())
-            piece = ""
-        else:
-            piece += ch
-    parts.append(piece.strip())
-    return fx.label_lines(spark, sf).where("line_no <= 3").selectExpr(*parts)
+    columns = [c.replace("{s}", "string") for c in _IMAGE]
+    return fx.label_lines(spark, sf).where("line_no <= 3").selectExpr(*columns)
 
 
 query("multi_image_rollup", """
@@ -494,7 +485,6 @@ SELECT i.inspection_id, CASE WHEN i.overall_status = '7A COMPLIANT' AND coalesce
 FROM fx_inspections i LEFT JOIN (SELECT inspection_id, count(*) FILTER (status = 'FAIL') AS f FROM fx_checks GROUP BY 1) c USING (inspection_id)
 """)(lambda spark, sf: ru.adjudication_branch(fx.inspections(spark, sf), fx.checks(spark, sf)))
 
-_KEEP = "inspection_id IN (SELECT inspection_id FROM fx_inspections WHERE overall_status <> 'PENDING')"
 query("error_isolation", """
 SELECT i.inspection_id, coalesce(j.overall_status, 'NEEDS REVIEW') AS overall_status FROM fx_inspections i LEFT JOIN vx_judged j USING (inspection_id)
 """)(lambda spark, sf: fx.inspections(spark, sf).select("inspection_id").join(
@@ -521,10 +511,6 @@ FROM fx_label_lines) t GROUP BY variant
 
 # --------------------------------------------------------------------- measures
 
-_MEASURE = """p_partkey, p_size * 20.0 AS area, 0.5 + p_partkey % 70 / 10.0 AS height,
-  CASE p_partkey % 3 WHEN 0 THEN 'embossed' ELSE 'normal' END AS printing, 80.0 + p_partkey % 20 AS confidence, p_partkey % 5 <> 0 AS scale_ok"""
-
-
 def measured(spark, sf):
     return fx.table(spark, sf, "part").selectExpr(
         "p_partkey", "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE cast(p_size * 20.0 AS double) END AS area",
@@ -696,4 +682,18 @@ def _unrelated(spark, sf):
     return ms.unrelated_label(kept, F.expr("line_no = 1 AND seq % 3 = 0"), F.expr("line_no = 3"), F.expr("line_no = 2"))
 
 
-query("five_section_eval")(lambda spark, sf: ms.five_sections(ms.tagged_boxes(fx.label_lines(spark, sf))))
+def _said(no: int) -> str:
+    return f"max(text) FILTER (line_no = {no})"
+
+
+_TAX_WORDING = ["INCLUSIVE OF ALL TAXES", "INCL. OF ALL TAXES", "INCL OF TAXES", "INCLUSIE", "TAES"]
+query("five_section_eval", rf"""
+SELECT inspection_id, CASE WHEN n IS NULL THEN 'REVIEW' ELSE 'PASS' END AS name_result,
+  CASE WHEN p IS NULL OR pc < 60 THEN 'REVIEW' WHEN contains(upper(p), 'TAX') OR lt THEN 'PASS' ELSE 'FAIL' END AS price_result,
+  CASE WHEN q IS NULL THEN 'REVIEW' WHEN lower(regexp_extract(q, '{_QTY_RX}', 2)) IN ('g', 'kg', 'ml', 'l', 'count') THEN 'PASS' ELSE 'FAIL' END AS quantity_result,
+  CASE WHEN c IS NULL THEN 'REVIEW' WHEN contains(c, '@') AND contains(c, '1800') THEN 'PASS' ELSE 'FAIL' END AS care_result, d IS NOT NULL OR m IS NOT NULL AS dated, sus AS is_suspicious
+FROM (SELECT inspection_id, {_said(1)} AS n, {_said(2)} AS q, {_said(3)} AS p, max(confidence) FILTER (line_no = 3) AS pc, {_said(4)} AS d,
+  {_said(8)} AS c, {_said(10)} AS m, bool_or({sql_any('upper(text)', _TAX_WORDING)}) AS lt, bool_or({SQL_SUSPICIOUS} IS NOT NULL) AS sus
+  FROM fx_label_lines GROUP BY inspection_id) t
+""")(lambda spark, sf: ms.five_sections(ms.tagged_boxes(fx.label_lines(spark, sf))).select(
+    "inspection_id", "name_result", "price_result", "quantity_result", "care_result", (F.col("date_result") == "PASS").alias("dated"), "is_suspicious"))
