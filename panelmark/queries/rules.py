@@ -147,7 +147,7 @@ def priced(spark, sf):
 
 
 query("unit_sale_price", rf"""
-SELECT inspection_id, cast(round(cast({_PRICE_NUM} / {_QTY_NUM} AS decimal(30, 15)), 2) AS double) AS unit_price, regexp_extract(q, '{_QTY_RX}', 2) AS unit,
+SELECT inspection_id, cast(round(cast(cast({_PRICE_NUM} / {_QTY_NUM} AS varchar) AS decimal(30, 18)), 2) AS double) AS unit_price, regexp_extract(q, '{_QTY_RX}', 2) AS unit,
   least(pc, qc) AS confidence FROM vx_pq WHERE {_PRICE_NUM} > 0 AND {_QTY_NUM} > 0 AND round({_PRICE_NUM} / {_QTY_NUM}, 2) > 0
 """)(lambda spark, sf: ru.unit_sale_price(priced(spark, sf)))
 
