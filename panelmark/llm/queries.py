@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm import chat, compression, decontaminate, hilbert, langid, pseudonyms, toxicity
+from panelmark.llm import chat, compression, decontaminate, hilbert, langid, mixing, pseudonyms, substrings, toxicity
 from panelmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +44,8 @@ def op6_compression_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
-    return decontaminate.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    found = decontaminate.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.drop("span_starts", "span_ends")
 
 
 @query
@@ -91,3 +93,95 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        WHEN max_by(role, k) <> 'assistant' THEN count(*) END::INTEGER AS error_turn
 FROM m GROUP BY conv_id
 """
+
+
+#: the tree of the test tables: one large crawl, and two kinds of smaller sources
+DOMAIN = "CASE WHEN source = 'src0' THEN 'crawl' WHEN source RLIKE '[02468]$' THEN 'books' ELSE 'forum' END"
+WEIGHTS = {
+    ("crawl",): 2, ("books",): 5, ("forum",): 3,
+    ("books", "en"): 4, ("books", "de"): 3, ("books", "fr"): 2, ("forum", "en"): 3, ("forum", "es"): 2,
+    ("books", "en", "src2"): 3, ("forum", "en", "src1"): 2,
+}
+
+
+@query
+def op4_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = mixing.mix(table(spark, sf, "documents"), F.expr(DOMAIN), WEIGHTS, Fraction(4, 5), seed=11, max_epochs=2)
+    return chosen.select("doc_id", "lang", "source", "mix_domain", "mix_tokens", "mix_epoch")
+
+
+def _mix_oracle() -> str:
+    """Water-filling level by level, then prefix sums of the seeded order."""
+    weight = {d: " ".join(f"WHEN '{chr(31).join(p)}' THEN {w}" for p, w in WEIGHTS.items() if len(p) == d) for d in (1, 2, 3)}
+    levels = ["mix_domain", "lang", "source"]
+    ctes, before = [], "root"
+    for d in (1, 2, 3):
+        path, up = ", ".join(levels[:d]), ", ".join(levels[:d - 1])
+        part = f"PARTITION BY {up}" if up else ""
+        parent = f"JOIN {before} USING ({up})" if up else f"CROSS JOIN {before}"
+        name = " || chr(31) || ".join(levels[:d])
+        ctes.append(f"""
+n{d} AS (SELECT {path}, sum(tokens)::HUGEINT * 2 AS capacity FROM leaves GROUP BY ALL),
+w{d} AS (SELECT n.*, budget, CASE {name} {weight[d]} ELSE 1 END::HUGEINT AS weight FROM n{d} n {parent}),
+r{d} AS (SELECT *, coalesce(sum(capacity) OVER b, 0)::HUGEINT AS used,
+    (sum(weight) OVER ({part}) - coalesce(sum(weight) OVER b, 0))::HUGEINT AS rest
+  FROM w{d} WINDOW b AS ({part} ORDER BY capacity::DOUBLE / weight, {levels[d - 1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f{d} AS (SELECT *, capacity * rest <= (budget - used) * weight AS is_full FROM r{d}),
+b{d} AS (SELECT {path}, CASE WHEN is_full THEN capacity ELSE least(capacity,
+    ((budget - coalesce(sum(capacity) FILTER (WHERE is_full) OVER ({part}), 0)::HUGEINT) * weight)
+    // (sum(weight) FILTER (WHERE NOT is_full) OVER ({part}))::HUGEINT) END AS budget FROM f{d}),""")
+        before = f"b{d}"
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_matches(source, '[02468]$') THEN 'books' ELSE 'forum' END AS mix_domain,
+    coalesce(len(regexp_extract_all(text, '[^ \t\n\v\f\r]+')), 0) AS tokens, lang AS lang0, source AS source0
+  FROM documents),
+leaves AS (SELECT mix_domain, lang, source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+root AS (SELECT (sum(tokens)::HUGEINT * 4) // 5 AS budget FROM leaves),
+{"".join(ctes)}
+p AS (SELECT *, budget // tokens AS epochs, budget % tokens AS rest FROM b3 JOIN leaves USING (mix_domain, lang, source) WHERE tokens > 0),
+k AS (SELECT d.*, epochs, rest, md5('11|' || epochs::VARCHAR || '|' || coalesce(doc_id::VARCHAR, '')) AS key
+  FROM d JOIN p USING (mix_domain, lang, source)),
+s AS (SELECT *, sum(tokens) OVER (PARTITION BY mix_domain, lang, source ORDER BY key) <= rest AND rest > 0 AS fits FROM k)
+SELECT doc_id, lang0 AS lang, source0 AS source, mix_domain, tokens AS mix_tokens,
+  unnest(range((epochs + CASE WHEN fits THEN 1 ELSE 0 END)::BIGINT)) AS mix_epoch FROM s
+"""
+
+
+ORACLES["op4_source_mix"] = _mix_oracle()
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf, "documents"), with_text=False)
+
+
+ORACLES["op10_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+h AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM g),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first_id FROM h) WHERE first_id < doc_id),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM m),
+c AS (SELECT doc_id, count(*) AS n_removed, list(k) AS ks FROM x GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(array_to_string([w[j] FOR j IN range(1, len(w) + 1) IF ks IS NULL OR NOT list_contains(ks, j)], ' ')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+ORACLES["op7_decontamination"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (
+  SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+z AS (SELECT DISTINCT n FROM v),
+h AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (
+  SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN z WHERE len(w) >= n)),
+m AS (SELECT doc_id, i, h.n, item_id FROM h JOIN v ON h.n = v.n AND h.s = v.s),
+k AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+q AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN q USING (doc_id)
+"""
