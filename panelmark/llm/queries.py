@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm import chat, compression, decontaminate, hilbert, langid, mixing, pseudonyms, substrings, toxicity
+from panelmark.llm import chat, compression, decontaminate, forest, hilbert, langid, mixing, pseudonyms, substrings, toxicity
 from panelmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN q USING (doc_id)
 """
+
+
+@query
+def op3_jaccard_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.jaccard_links(table(spark, sf, "documents"))
+
+
+ORACLES["op3_jaccard_forest"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM (
+  SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY doc_id),
+c AS (SELECT h, min(doc_id) AS class_id, count(*) AS members, any_value(n) AS n FROM z GROUP BY h),
+r AS (SELECT class_id, members, n, g FROM c JOIN s ON s.doc_id = class_id),
+p AS (SELECT a.class_id AS a, b.class_id AS b, any_value(b.members) AS members
+  FROM r a JOIN r b ON a.g = b.g AND a.class_id <> b.class_id
+  GROUP BY a.class_id, b.class_id HAVING 5 * count(*) >= 4 * (any_value(a.n) + any_value(b.n) - count(*))),
+t(a, root) AS (SELECT class_id, class_id FROM c UNION SELECT p.b, t.root FROM t JOIN p ON p.a = t.a WHERE t.root < p.b),
+m AS (SELECT a, min(root) AS group_id FROM t GROUP BY a),
+l AS (SELECT a, sum(members) AS linked, count(*) AS classes FROM p GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(m.group_id, d.doc_id) AS group_id,
+  coalesce(c.members - 1 + coalesce(linked, 0), 0)::BIGINT AS n_links, coalesce(classes, 0)::BIGINT AS n_linked_classes
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN c ON c.h = z.h LEFT JOIN l ON l.a = c.class_id LEFT JOIN m ON m.a = c.class_id
+"""
