@@ -114,6 +114,14 @@ def _at_depth(classes: DataFrame, depth: int) -> DataFrame:
     return classes.select("fp", "labels").mapInPandas(hang, f"{_CLASS}, tree int, node long")
 
 
+def _company(classes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """All places at a depth, and the nodes with two or more classes: their number and two checksums of them."""
+    hanging = cut(_at_depth(classes, depth))
+    nodes_ = hanging.groupBy("tree", "node").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("h2"))
+    return hanging, cut(nodes_.where("n > 1"))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, marks) of the wanted classes (fp, doc_id), read again from their texts."""
     texts = docs.join(wanted.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -256,10 +264,14 @@ def jaccard_links(docs: DataFrame, similarity: float = SIMILARITY, target: float
     classes = cut(described.where("fp IS NOT NULL").groupBy("fp").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("labels").alias("labels")))
     seen, verified, found, wanted = None, [], 0, [0.0] * len(DEPTHS)
+    levels: dict[int, tuple[DataFrame, DataFrame]] = {}
+    sets = None
     for at, depth in enumerate(DEPTHS):
-        hanging = cut(_at_depth(classes, depth))
-        full = hanging.groupBy("tree", "node").agg(
-            F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("h2")).where("n > 1")
+        # the second depth is looked at together with the first, so that texts are read again once for both
+        for d in DEPTHS[:2] if at < 2 else [depth]:
+            if d not in levels:
+                levels[d] = _company(classes, d)
+        hanging, full = levels[depth]
         # nodes with the same classes in them, in this round or one before, are worked on once: in their first tree
         full = full.groupBy("n", "h1", "h2").agg(F.min(F.struct("tree", "node")).alias("_first"))
         if seen is not None:
@@ -272,8 +284,10 @@ def jaccard_links(docs: DataFrame, similarity: float = SIMILARITY, target: float
             .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_to"))
             .withColumns({"low": F.least("block", "_to"), "high": F.greatest("block", "_to")})
             .select("fp", "tree", "node", "block", "low", "high"))
-        wanted_classes = classes.join(members.select("fp").distinct(), "fp", "left_semi")
-        sets = _sets(docs, wanted_classes.select("fp", "doc_id"))
+        if at != 1:
+            places, crowded = levels[DEPTHS[max(at, 1)]]
+            together = places.join(crowded.select("tree", "node"), ["tree", "node"], "left_semi").select("fp").distinct()
+            sets = cut(_sets(docs, classes.join(together, "fp", "left_semi").select("fp", "doc_id")))
         filled = members.join(classes.select("fp", "size", "labels").join(sets, "fp"), "fp")
         verify = _verifier(depth, DEPTHS[at - 1] if at else None, similarity)
         verified.append(cut(filled.groupBy("tree", "node", "low", "high").applyInPandas(verify, _VERIFIED)))
