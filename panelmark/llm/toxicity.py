@@ -129,7 +129,7 @@ def fit(
         # labels that only say yes or no: a "yes" with more evidence than half of them have is the graver grade
         amount = np.array([len(v) for v in x])
         yes = np.repeat(amount[y == 1], n[y == 1].astype(int))
-        middle = np.median(yes) if yes.max() > np.median(yes) else yes[yes < yes.max()].max(initial=yes.max())
+        middle = min(np.median(yes), max(yes[yes < yes.max()], default=yes.max()))
         y = np.where((y == 1) & (amount > middle), 2, y)
     weights, thresholds = _solve(x, y, n, len(names), max(len(grades), int(y.max()) + 1), penalty, steps)
     return {"weights": {f: float(w) for f, w in zip(names, weights) if w}, "thresholds": thresholds.tolist(),
