@@ -18,15 +18,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Uses all cores when a scan comes in fewer pieces than there are.
-
-    Large tables have splits enough and pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def inspections(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     customer = table(spark, sf, "customer")
@@ -114,7 +105,10 @@ CASE line_no
 
 def label_lines(spark: SparkSession, sf: str) -> DataFrame:
     """One row per text line of a package label, some lines missing on purpose."""
-    part = spread(table(spark, sf, "part"))
+    return lines_of(table(spark, sf, "part"))
+
+
+def lines_of(part: DataFrame) -> DataFrame:
     lines = part.withColumn("line_no", F.explode(F.sequence(F.lit(1), F.lit(LINES_PER_PACKAGE))))
     lines = lines.where("(p_partkey + line_no) % 11 <> 0")
     return lines.selectExpr(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -21,10 +22,27 @@ LEGACY_COLUMNS = {
 }
 
 
-def latest_change(changes: DataFrame, key: str, order: str) -> DataFrame:
-    """One change per key: the last one (an aggregate, no window)."""
+def latest_change(changes: DataFrame, key: str | Sequence[str], order: str | None = None) -> DataFrame:
+    """One change per key: the last one by ``order`` (an aggregate, no window).
+
+    Without an order, or between changes that tie, the greatest row counts, so
+    that the result does not depend on the order of reading.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
     row = F.struct(*[F.col(c) for c in changes.columns])
-    return changes.groupBy(key).agg(F.max_by(row, order).alias("_row")).select("_row.*")
+    plain = [c for c, kind in changes.dtypes if not kind.startswith("map")]
+    rank = F.struct(*[F.col(c) for c in ([order] if order else []) + plain])
+    return changes.groupBy(*keys).agg(F.max_by(row, rank).alias("_row")).select("_row.*")
+
+
+def _old(df: DataFrame, name: str, kind: str) -> Column:
+    """A column of the ledger, null if the ledger has none of the name."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def usable_overrides(overrides: DataFrame, order: str | None = None) -> DataFrame:
+    """The last override of each inspection among those with a reason."""
+    return latest_change(overrides.where(F.trim(text("note")) != ""), "inspection_id", order)
 
 
 def rule_upsert(base: DataFrame, incoming: DataFrame, now: datetime, key: str = "rule_id") -> DataFrame:
@@ -66,9 +84,9 @@ def version_bump(rules: DataFrame, version: str, chosen: DataFrame | None = None
     return joined.withColumn("version", F.when(F.col("bumped"), version).otherwise(F.col("version"))).drop("_hit")
 
 
-def officer_sign_off(insp: DataFrame, decisions: DataFrame, now: datetime) -> DataFrame:
-    """Sets decision, comments, officer, time and status where one was made."""
-    d = decisions.select(
+def officer_sign_off(insp: DataFrame, decisions: DataFrame, now: datetime, order: str | None = None) -> DataFrame:
+    """Sets decision, comments, officer, time and status where one was made; the last decision by ``order`` counts."""
+    d = latest_change(decisions, "inspection_id", order).select(
         F.col("inspection_id").alias("_id"), F.col("decision").alias("_decision"), F.col("comments").alias("_comments"),
         F.col("officer_id").alias("_officer"),
     )
@@ -80,8 +98,9 @@ def officer_sign_off(insp: DataFrame, decisions: DataFrame, now: datetime) -> Da
             "officer_decision": F.when(signed, decision).otherwise(F.col("officer_decision")),
             "overall_status": F.when(signed, decision).otherwise(F.col("overall_status")),
             "officer_id": F.when(signed, F.col("_officer")).otherwise(F.col("officer_id")),
-            "officer_comments": F.when(signed, F.coalesce("_comments", F.lit("Officer confirmed"))),
-            "verified_at": F.when(signed, F.lit(now).cast("timestamp_ntz")),
+            "officer_comments": F.when(signed, F.coalesce("_comments", F.lit("Officer confirmed"))).otherwise(
+                _old(insp, "officer_comments", "string")),
+            "verified_at": F.when(signed, F.lit(now).cast("timestamp_ntz")).otherwise(_old(insp, "verified_at", "timestamp_ntz")),
         }
     ).drop("_id", "_decision", "_comments", "_officer")
 
@@ -97,17 +116,17 @@ def normal_verdict(raw: Column) -> Column:
     )
 
 
-def override_apply(insp: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
+def override_apply(insp: DataFrame, overrides: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Applies officer overrides to the ledger; unjustified or unknown ones are rejected.
 
+    Of several overrides of an inspection the last by ``order`` counts.
+
     ``overrides``: inspection_id, verdict, note, officer_id, and the maps
     declarations (field -> value) and rule_statuses (rule -> status).
     """
-    usable = overrides.where(F.trim(text("note")) != "")
-    right = usable.select(
+    right = usable_overrides(overrides, order).select(
         F.col("inspection_id").alias("_id"), normal_verdict(F.col("verdict")).alias("_verdict"), F.trim("note").alias("_note"),
-        F.col("officer_id").alias("_officer"), F.col("declarations").alias("_declarations"),
-        F.col("rule_statuses").alias("_rules"),
+        F.col("officer_id").alias("_officer"),
     )
     joined = insp.join(right, F.col("inspection_id") == F.col("_id"), "left")
     hit = F.col("_id").isNotNull()
@@ -119,7 +138,7 @@ def override_apply(insp: DataFrame, overrides: DataFrame) -> tuple[DataFrame, Da
             "officer_decision": F.when(hit, F.col("_verdict")).otherwise(F.col("officer_decision")),
             "officer_id": F.when(hit, F.col("_officer")).otherwise(F.col("officer_id")),
             "route_7b_triggered": F.when(hit, F.coalesce(routed, F.col("route_7b_triggered"))).otherwise(F.col("route_7b_triggered")),
-            "officer_comments": F.when(hit, F.col("_note")),
+            "officer_comments": F.when(hit, F.col("_note")).otherwise(_old(insp, "officer_comments", "string")),
             "overridden": hit,
         }
     )
@@ -129,9 +148,9 @@ def override_apply(insp: DataFrame, overrides: DataFrame) -> tuple[DataFrame, Da
     return applied.drop("_id", "_verdict", "_note", "_officer"), rejects
 
 
-def override_declarations(decl: DataFrame, overrides: DataFrame) -> DataFrame:
+def override_declarations(decl: DataFrame, overrides: DataFrame, order: str | None = None) -> DataFrame:
     """Declarations with the officer's values put in, full confidence."""
-    entered = overrides.where(F.trim(text("note")) != "").select(
+    entered = usable_overrides(overrides, order).select(
         "inspection_id", F.explode("declarations").alias("field_name", "_value")
     )
     joined = decl.join(entered, ["inspection_id", "field_name"], "full_outer")
@@ -146,9 +165,9 @@ def override_declarations(decl: DataFrame, overrides: DataFrame) -> DataFrame:
     ).drop("_value")
 
 
-def override_checks(checks: DataFrame, overrides: DataFrame) -> DataFrame:
+def override_checks(checks: DataFrame, overrides: DataFrame, order: str | None = None) -> DataFrame:
     """Rule statuses set by the officer; an unknown rule becomes a new check."""
-    entered = overrides.where(F.trim(text("note")) != "").select(
+    entered = usable_overrides(overrides, order).select(
         F.col("inspection_id").alias("_id"), F.explode("rule_statuses").alias("_rule", "_status")
     )
     good = F.upper(F.trim("_status")).isin(C.COMPLIANT_WORDS)
@@ -167,6 +186,67 @@ def override_checks(checks: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
+def override_violations(violations: DataFrame, checks: DataFrame, overrides: DataFrame, order: str | None = None) -> DataFrame:
+    """(inspection_id, rule_id) of the violations that stay after the overrides.
+
+    A verdict of compliance clears them; if single rules were set too, the
+    checks that still fail are the violations. Other verdicts leave them.
+    """
+    cleared = usable_overrides(overrides, order).where(normal_verdict(F.col("verdict")) == "7A COMPLIANT")
+    some = cleared.where(F.coalesce(F.size("rule_statuses"), F.lit(0)) > 0).select("inspection_id")
+    failing = override_checks(checks, overrides, order).where(~F.coalesce(F.col("status").isin("PASS", "COMPLIANT"), F.lit(False)))
+    kept = violations.join(cleared.select("inspection_id"), "inspection_id", "left_anti").select("inspection_id", "rule_id")
+    return kept.unionByName(failing.join(some, "inspection_id", "left_semi").select("inspection_id", "rule_id"))
+
+
+def _as_map(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(key), F.col(value).cast("string"))))
+    return rows.groupBy("inspection_id").agg(F.map_from_entries(pairs).alias(name))
+
+
+def override_amendments(
+    insp: DataFrame, decl: DataFrame, checks: DataFrame, violations: DataFrame, overrides: DataFrame, now: datetime,
+    order: str | None = None,
+) -> DataFrame:
+    """One amendment row per applied override, with the states before and after and what differs, as JSON.
+
+    ``decl`` (inspection_id, field_name, value) and ``checks`` (inspection_id,
+    rule_id, status) have each key once.
+    """
+    applied = override_apply(insp, overrides, order)[0].where("overridden")
+    last = usable_overrides(overrides, order).select("inspection_id", F.trim("note").alias("note"))
+    before_route = insp.select("inspection_id", F.col("route_7b_triggered").alias("_route"))
+    new_decl = override_declarations(decl, overrides, order)
+    new_checks = override_checks(checks, overrides, order)
+    rules = lambda df: df.groupBy("inspection_id").agg(F.array_sort(F.collect_list("rule_id")).alias("_list"))
+    rows = applied.join(last, "inspection_id").join(before_route, "inspection_id")
+    for part, name in (
+        (_as_map(decl, "field_name", "value", "_d0"), "_d0"), (_as_map(new_decl, "field_name", "value", "_d1"), "_d1"),
+        (_as_map(checks, "rule_id", "status", "_c0"), "_c0"), (_as_map(new_checks, "rule_id", "status", "_c1"), "_c1"),
+        (rules(violations).withColumnRenamed("_list", "_v0"), "_v0"),
+        (rules(override_violations(violations, checks, overrides, order)).withColumnRenamed("_list", "_v1"), "_v1"),
+    ):
+        rows = rows.join(part, "inspection_id", "left")
+    changed = new_checks.where("overridden").select(
+        "inspection_id", "rule_id", F.struct(F.col("previous_status").alias("from"), F.col("status").alias("to")).alias("d"))
+    rows = rows.join(
+        changed.groupBy("inspection_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule_id", "d")))).alias("_rules")),
+        "inspection_id", "left")
+    none = F.create_map().cast("map<string,string>")
+    state = lambda verdict, n, route: F.to_json(F.struct(
+        F.col(verdict).alias("verdict"), F.coalesce(f"_d{n}", none).alias("declarations"), F.coalesce(f"_c{n}", none).alias("checks"),
+        F.coalesce(f"_v{n}", F.array().cast("array<string>")).alias("violations"), F.col(route).alias("route_7b_triggered")))
+    diff = F.to_json(F.struct(
+        F.struct(F.col("previous_verdict").alias("from"), F.col("overall_status").alias("to")).alias("verdict"),
+        map_diff(F.coalesce("_d0", none), F.coalesce("_d1", none)).alias("modified_declarations"),
+        F.col("_rules").alias("modified_rules"), F.col("note").alias("justification")))
+    return rows.select(
+        "inspection_id", F.col("officer_id").alias("amended_by"), "previous_verdict", F.col("overall_status").alias("new_verdict"),
+        F.col("note").alias("justification_note"), state("previous_verdict", 0, "_route").alias("previous_state"),
+        state("overall_status", 1, "route_7b_triggered").alias("updated_state"), diff.alias("diff_summary"),
+        F.lit(now).cast("timestamp_ntz").alias("amended_at"))
+
+
 def map_diff(before: Column, after: Column) -> Column:
     """Entries of two maps that differ, as {key: (from, to)}."""
     both = F.map_zip_with(
@@ -222,26 +302,28 @@ def user_load(users: DataFrame, incoming: DataFrame, prefix: str = "USR-NEW-") -
     )
 
 
-def assign_work(insp: DataFrame, users: DataFrame, work: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Puts assignees on inspections; unknown users and inspections are reported."""
+def assign_work(insp: DataFrame, users: DataFrame, work: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Puts assignees on inspections; unknown users and inspections are reported.
+
+    An inspection can have both roles assigned; of several assignments of a
+    role the last by ``order`` counts.
+    """
     named = work.join(users.select("user_id", F.col("name").alias("_name")), "user_id", "left")
     exists = insp.select("inspection_id").withColumn("_known", F.lit(True))
     judged = named.join(exists, "inspection_id", "left").withColumn(
         "reason", F.when(F.col("_name").isNull(), "unknown user").when(F.col("_known").isNull(), "unknown inspection")
     )
-    good = judged.where("reason IS NULL").select(
-        F.col("inspection_id").alias("_id"), F.col("user_id").alias("_user"), "_name", F.col("assignment_type").alias("_type")
-    )
-    joined = insp.join(good, F.col("inspection_id") == F.col("_id"), "left")
-    officer, inspector = F.col("_type") == "officer_review", F.col("_type") == "inspector_dispatch"
+    good = latest_change(judged.where("reason IS NULL"), ["inspection_id", "assignment_type"], order)
+    who = lambda role: F.max(F.when(F.col("assignment_type") == role, F.struct("user_id", "_name")))
+    roles = good.groupBy(F.col("inspection_id").alias("_id")).agg(
+        who("officer_review").alias("_officer"), who("inspector_dispatch").alias("_inspector"))
+    joined = insp.join(roles, F.col("inspection_id") == F.col("_id"), "left")
     result = joined.withColumns(
         {
-            "officer_id": F.when(officer, F.col("_user")).otherwise(F.col("officer_id")),
-            "officer_name": F.when(officer, F.col("_name")).otherwise(F.col("officer_name")),
-            "inspector_id": F.when(inspector, F.col("_user")).otherwise(F.col("inspector_id")),
-            "inspector_name": F.when(inspector, F.col("_name")).otherwise(F.col("inspector_name")),
+            f"{role}_{column}": F.when(F.col(f"_{role}").isNotNull(), F.col(f"_{role}.{source}")).otherwise(F.col(f"{role}_{column}"))
+            for role in ("officer", "inspector") for column, source in (("id", "user_id"), ("name", "_name"))
         }
-    ).drop("_id", "_user", "_name", "_type")
+    ).drop("_id", "_officer", "_inspector")
     return result, judged.where("reason IS NOT NULL").select("inspection_id", "user_id", "reason")
 
 
@@ -251,12 +333,12 @@ def assign_work(insp: DataFrame, users: DataFrame, work: DataFrame) -> tuple[Dat
 def merge_declarations(decl: DataFrame, key: str = "field_name") -> DataFrame:
     """Across images the valued, then more confident declaration wins; ties keep the earlier image."""
     valued = (text("value") != "").cast("int")
-    rank = F.struct((-valued).alias("v"), F.when(valued == 1, -F.col("confidence")).otherwise(0.0).alias("c"), F.col("image_index"))
+    rank = F.struct((-valued).alias("v"), F.when(valued == 1, -F.coalesce("confidence", F.lit(0.0))).otherwise(0.0).alias("c"), F.col("image_index"))
     row = F.struct(*[F.col(c) for c in decl.columns])
     return decl.groupBy("inspection_id", key).agg(F.min_by(row, rank).alias("_row")).select("_row.*")
 
 
 def merge_dates(dates: DataFrame) -> DataFrame:
-    rank = F.struct((-F.col("confidence")).alias("c"), F.col("image_index"))
+    rank = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.col("image_index"))
     row = F.struct(*[F.col(c) for c in dates.columns])
     return dates.groupBy("inspection_id", "type").agg(F.min_by(row, rank).alias("_row")).select("_row.*")

@@ -745,14 +745,11 @@ def price_with_verdict(tokens: DataFrame) -> DataFrame:
 
 def near_rows_tax(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     """Packages whose tax clause is split over tokens of a row near the price."""
-    open_ = prices.where("NOT _same AND NOT _anywhere").select(
-        "inspection_id", F.substring("raw_line", 1, 20).alias("_head")
-    )
+    open_ = prices.where("NOT _same AND NOT _anywhere").select("inspection_id", "line_no")
     lines = tokens.join(open_.select("inspection_id"), "inspection_id", "left_semi")
-    rows = tk.row_texts(tk.reading_rows(lines)).join(open_, "inspection_id")
-    anchors = rows.groupBy("inspection_id").agg(
-        F.coalesce(F.min(F.when(F.expr("contains(row_text, _head)"), F.col("row_no"))), F.lit(1)).alias("_anchor")
-    )
+    placed = tk.reading_rows(lines)
+    rows = tk.row_texts(placed)
+    anchors = placed.join(open_, ["inspection_id", "line_no"]).groupBy("inspection_id").agg(F.min("row_no").alias("_anchor"))
     near = rows.join(anchors, "inspection_id").where(
         (F.abs(F.col("row_no") - F.col("_anchor")) <= 5) & F.col("row_text").rlike(TAX_NEAR)
     )
@@ -958,7 +955,7 @@ def label_facts(tokens: DataFrame) -> DataFrame:
 
     return hits.groupBy("inspection_id").agg(
         _first(found("_p"), F.col("_p").alias("price"), F.col("_p_clause").alias("_same"), F.col("_p_unit").alias("unit_price"),
-               F.col("_p_per").alias("per"), F.col("text").alias("raw_line"), *rest).alias("price"),
+               F.col("_p_per").alias("per"), F.col("text").alias("raw_line"), F.col("line_no"), *rest).alias("price"),
         _first(found("_p_loose"), F.col("_p_loose").alias("price"), F.col("text").alias("raw_line"), *rest).alias("loose"),
         F.max("_p_key").alias("p_key"),
         F.max("_tax").alias("taxed"),
@@ -1025,7 +1022,7 @@ def _of(tokens: DataFrame, facts: DataFrame, condition: str) -> DataFrame:
 def _price_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
     found = facts.where("price IS NOT NULL").select("inspection_id", "price.*", F.col("taxed").alias("_anywhere"), "inline")
     near = near_rows_tax(tokens, found)
-    anchored = with_price_verdict(found, near)
+    anchored = with_price_verdict(found, near).drop("line_no")
     spatial = tk.spatial_pair(
         _of(tokens, facts, "price IS NULL AND p_key"), _PRICE_KEY, r"(?:Rs\.?|₹|INR)?\s*[0-9]+(?:[.,][0-9]{1,2})?"
     ).select(

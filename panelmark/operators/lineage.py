@@ -9,7 +9,7 @@ from panelmark.operators import slices
 from panelmark.session import cut
 
 
-def climb(nodes: DataFrame, node: str, parent: str, limit: int = 40) -> DataFrame:
+def climb(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """Root, depth and path of every node of a forest.
 
     Pointer doubling: after k rounds a node knows its ancestor 2^k steps up, so
@@ -19,7 +19,10 @@ def climb(nodes: DataFrame, node: str, parent: str, limit: int = 40) -> DataFram
     ancestor, unique on one side, so a popular ancestor only makes a large
     probe side, which adaptive execution splits.
 
-    Columns: node, root, depth, path (root first, joined by '/').
+    Columns: node, root, depth, path (root first, joined by '/'), reason. Nodes
+    that lead into a cycle have no root; their reason is "cycle". A chain has
+    fewer links than there are nodes, so what is still open when the jumps are
+    longer than that can only go round.
     """
     known = nodes.select(F.col(node).alias("_id")).distinct()
     # a parent that does not exist ends the chain
@@ -33,11 +36,11 @@ def climb(nodes: DataFrame, node: str, parent: str, limit: int = 40) -> DataFram
         )
     )
     roots = state.where("up IS NULL")
-    done = roots.select("node", F.col("node").alias("root"), "depth", F.col("node").alias("path"))
+    done = roots.select("node", F.col("node").alias("root"), "depth", F.col("node").alias("path"), F.lit(None).cast("string").alias("reason"))
+    nodes_left, jump = state.count(), 1
     open_ = state.where("up IS NOT NULL")
-    for _ in range(limit):
-        if open_.isEmpty():
-            return done
+    while jump <= 2 * nodes_left and not open_.isEmpty():
+        jump *= 2
         above = state.select(
             F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("trail").alias("_trail")
         )
@@ -49,13 +52,16 @@ def climb(nodes: DataFrame, node: str, parent: str, limit: int = 40) -> DataFram
         )
         ended = moved.where("next IS NULL")
         done = done.unionByName(
-            ended.select("node", F.col("up").alias("root"), "depth", F.concat_ws("/", "trail", "node").alias("path"))
+            ended.select("node", F.col("up").alias("root"), "depth", F.concat_ws("/", "trail", "node").alias("path"),
+                         F.lit(None).cast("string").alias("reason"))
         )
         open_ = moved.where("next IS NOT NULL").select("node", F.col("next").alias("up"), "depth", "trail")
         # a node that has reached its root keeps that jump for the nodes below it
         finished = ended.select("node", "up", "depth", "trail")
         state = roots.unionByName(open_).unionByName(finished).unionByName(_settled(state, moved))
-    raise ValueError("the parent links do not end: the forest has a cycle")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return done.unionByName(open_.select(
+        "node", nothing("string").alias("root"), nothing("long").alias("depth"), nothing("string").alias("path"), F.lit("cycle").alias("reason")))
 
 
 def _settled(state: DataFrame, moved: DataFrame) -> DataFrame:

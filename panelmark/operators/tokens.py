@@ -154,7 +154,7 @@ def nms_dedup(tokens: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     keys = keys or ["inspection_id"]
     tokens = tokens.where(F.trim(text("text")) != "")
-    rank = F.struct((-F.col("confidence")).alias("c"), F.col("line_no"), F.col("pass_no"))
+    rank = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.col("line_no"), F.col("pass_no"))
     row = F.struct(*[F.col(c) for c in tokens.columns])
     flat = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
     # degenerate boxes never overlap, so they are kept apart by their own id
@@ -169,7 +169,7 @@ def nms_dedup(tokens: DataFrame, keys: list[str] | None = None) -> DataFrame:
     reached = slices.running_max_before(best, keys, order, "y2", "_reach")
     opens = F.when(F.col("_reach").isNull() | (F.col("y1") >= F.col("_reach")), 1).otherwise(0)
     banded = slices.running_sum(reached.withColumn("_opens", opens), keys, order, "_opens", "_band")
-    item = F.struct((-F.col("confidence")).alias("c"), F.col("line_no"), F.col("pass_no"), *[F.col(b) for b in BOX],
+    item = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.col("line_no"), F.col("pass_no"), *[F.col(b) for b in BOX],
                     F.trim("text").alias("text"), F.struct(*[F.col(c) for c in tokens.columns]).alias("row"))
     folded = banded.groupBy(*keys, "_band").agg(F.array_sort(F.collect_list(item)).alias("_items"))
     empty = F.slice("_items", 1, 0)

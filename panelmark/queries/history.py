@@ -22,7 +22,7 @@ NOW_SQL = "timestamp '2026-01-15 09:30:00'"
 query("provision_tree", """
 WITH RECURSIVE t AS (SELECT provision_id AS node, provision_id AS root, cast(0 AS bigint) AS depth, provision_id AS path FROM fx_provisions WHERE parent_id IS NULL
 UNION ALL SELECT p.provision_id, t.root, t.depth + 1, t.path || '/' || p.provision_id FROM fx_provisions p JOIN t ON p.parent_id = t.node)
-SELECT * FROM t
+SELECT *, cast(NULL AS varchar) AS reason FROM t
 """)(lambda spark, sf: ln.climb(fx.provisions(spark, sf), "provision_id", "parent_id"))
 
 
@@ -110,11 +110,27 @@ SELECT rule_id, CASE WHEN rule_id IN (SELECT rule_id FROM vx_new_rules) THEN 'v9
 
 query("officer_sign_off", f"""
 SELECT inspection_id, CASE WHEN seq % 6 = 0 THEN coalesce(nullif(CASE WHEN seq % 12 = 0 THEN '7B VIOLATION' ELSE '' END, ''), '7A COMPLIANT') ELSE officer_decision END AS officer_decision,
-  CASE WHEN seq % 6 = 0 THEN 'OFF-9' ELSE officer_id END AS officer_id, CASE WHEN seq % 6 = 0 THEN {NOW_SQL} END AS verified_at FROM fx_inspections
-""")(lambda spark, sf: ch.officer_sign_off(
-    fx.inspections(spark, sf), fx.inspections(spark, sf).where("seq % 6 = 0").selectExpr(
-        "inspection_id", "CASE WHEN seq % 12 = 0 THEN '7B VIOLATION' END AS decision", "'fine' AS comments", "'OFF-9' AS officer_id"), NOW).select(
-    "inspection_id", "officer_decision", "officer_id", "verified_at"))
+  CASE WHEN seq % 6 = 0 THEN 'OFF-9' ELSE officer_id END AS officer_id,
+  CASE WHEN seq % 6 = 0 THEN 'fine' WHEN seq % 4 = 1 THEN 'kept' END AS officer_comments,
+  CASE WHEN seq % 6 = 0 THEN {NOW_SQL} WHEN seq % 4 = 1 THEN TIMESTAMP '2020-01-02 03:04:05' END AS verified_at FROM fx_inspections
+""")(lambda spark, sf: ch.officer_sign_off(_commented(spark, sf), _decisions(spark, sf), NOW, "change_no").select(
+    "inspection_id", "officer_decision", "officer_id", "officer_comments", "verified_at"))
+
+
+def _commented(spark, sf):
+    """Ledger rows, some with a comment and a time from earlier."""
+    return fx.inspections(spark, sf).withColumns({
+        "officer_comments": F.expr("CASE WHEN seq % 4 = 1 THEN 'kept' END"),
+        "verified_at": F.expr("CASE WHEN seq % 4 = 1 THEN timestamp_ntz'2020-01-02 03:04:05' END")})
+
+
+def _decisions(spark, sf):
+    """Two decisions for each inspection signed; the second counts."""
+    signed = fx.inspections(spark, sf).where("seq % 6 = 0")
+    return signed.selectExpr(
+        "inspection_id", "2 AS change_no", "CASE WHEN seq % 12 = 0 THEN '7B VIOLATION' END AS decision", "'fine' AS comments", "'OFF-9' AS officer_id"
+    ).unionByName(signed.selectExpr(
+        "inspection_id", "1 AS change_no", "'HOLD' AS decision", "'look again' AS comments", "'OFF-0' AS officer_id"))
 
 
 def overrides(spark, sf):
@@ -127,18 +143,29 @@ def overrides(spark, sf):
         "map('R-1', 'pass', 'R-99', 'violation') AS rule_statuses")
 
 
+def overrides_twice(spark, sf):
+    """The overrides, some after an earlier one of the same inspection."""
+    last = overrides(spark, sf).withColumn("change_no", F.lit(2))
+    seq = F.regexp_extract("inspection_id", "([0-9]+)", 1).cast("long")
+    first = last.where((seq % 10 == 0) & (seq % 25 != 0)).withColumns({
+        "change_no": F.lit(1), "verdict": F.lit("hold"), "note": F.lit("at first"), "officer_id": F.lit("OFF-2"),
+        "declarations": F.create_map(F.lit("mrp"), F.lit("none"), F.lit("gone"), F.lit("x")),
+        "rule_statuses": F.create_map(F.lit("R-1"), F.lit("violation"), F.lit("R-98"), F.lit("pass"))})
+    return last.unionByName(first)
+
+
 EXTRA_VIEWS["vx_overrides"] = """
 SELECT seq, CASE WHEN seq % 35 = 0 THEN concat('X', inspection_id) ELSE inspection_id END AS inspection_id,
   CASE seq % 3 WHEN 0 THEN '7B VIOLATION' WHEN 1 THEN '7A COMPLIANT' ELSE 'HOLD' END AS verdict, CASE WHEN seq % 25 = 0 THEN '' ELSE 'seen on site' END AS note
 FROM fx_inspections WHERE seq % 5 = 0
 """
 query("override_apply", """
-SELECT i.inspection_id, o.verdict IS NOT NULL AS overridden, coalesce(o.verdict, i.overall_status) AS overall_status,
+SELECT i.inspection_id, CASE WHEN o.verdict IS NOT NULL THEN 'seen on site' WHEN seq % 4 = 1 THEN 'kept' END AS officer_comments, o.verdict IS NOT NULL AS overridden, coalesce(o.verdict, i.overall_status) AS overall_status,
   CASE o.verdict WHEN '7A COMPLIANT' THEN false WHEN '7B VIOLATION' THEN true ELSE i.route_7b_triggered END AS route_7b_triggered,
   CASE WHEN o.verdict IS NOT NULL THEN coalesce(i.officer_decision, i.overall_status, 'PENDING') END AS previous_verdict
-FROM fx_inspections i LEFT JOIN (SELECT * FROM vx_overrides WHERE note <> '') o USING (inspection_id)
-""")(lambda spark, sf: ch.override_apply(fx.inspections(spark, sf), overrides(spark, sf))[0].select(
-    "inspection_id", "overridden", "overall_status", "route_7b_triggered", "previous_verdict"))
+FROM fx_inspections i LEFT JOIN (SELECT inspection_id, verdict FROM vx_overrides WHERE note <> '') o USING (inspection_id)
+""")(lambda spark, sf: ch.override_apply(_commented(spark, sf), overrides_twice(spark, sf), "change_no")[0].select(
+    "inspection_id", "officer_comments", "overridden", "overall_status", "route_7b_triggered", "previous_verdict"))
 query("override_rejects", """
 SELECT inspection_id, CASE WHEN note = '' THEN 'justification is missing' ELSE 'unknown inspection' END AS reason FROM vx_overrides
 WHERE note = '' OR inspection_id LIKE 'X%'
@@ -146,12 +173,12 @@ WHERE note = '' OR inspection_id LIKE 'X%'
 
 EXTRA_VIEWS["vx_ledger_decl"] = """
 SELECT concat('INS-', cast(l_orderkey AS varchar)) AS inspection_id, CASE l_linenumber WHEN 1 THEN 'mrp' WHEN 2 THEN 'net_quantity' ELSE 'batch_number' END AS field_name,
-  min(cast(l_quantity AS bigint)) AS q FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2
+  min(cast(l_quantity AS bigint)) AS q FROM lineitem GROUP BY 1, 2
 """
 
 
 def ledger_decl(spark, sf):
-    lineitem = fx.table(spark, sf, "lineitem").where("l_linenumber <= 3")
+    lineitem = fx.table(spark, sf, "lineitem")
     name = F.expr("CASE l_linenumber WHEN 1 THEN 'mrp' WHEN 2 THEN 'net_quantity' ELSE 'batch_number' END")
     return lineitem.groupBy(F.expr("concat('INS-', cast(l_orderkey AS string))").alias("inspection_id"), name.alias("field_name")).agg(
         F.min(F.col("l_quantity").cast("long")).cast("string").alias("value"), F.lit(80.0).alias("confidence"))
@@ -163,7 +190,7 @@ query("override_declarations", f"""
 SELECT coalesce(d.inspection_id, e.inspection_id) AS inspection_id, coalesce(d.field_name, e.field_name) AS field_name, coalesce(e.v, cast(d.q AS varchar)) AS value,
   CASE WHEN e.v IS NOT NULL THEN cast(d.q AS varchar) END AS previous_value, CASE WHEN e.v IS NOT NULL THEN 100.0 ELSE 80.0 END AS confidence
 FROM vx_ledger_decl d FULL JOIN ({_ENTERED}) e ON d.inspection_id = e.inspection_id AND d.field_name = e.field_name
-""")(lambda spark, sf: ch.override_declarations(ledger_decl(spark, sf), overrides(spark, sf)).select(
+""")(lambda spark, sf: ch.override_declarations(ledger_decl(spark, sf), overrides_twice(spark, sf), "change_no").select(
     "inspection_id", "field_name", "value", "previous_value", "confidence"))
 
 EXTRA_VIEWS["vx_one_check"] = "SELECT inspection_id, rule_id, min(status) AS status FROM fx_checks GROUP BY 1, 2"
@@ -174,7 +201,48 @@ SELECT coalesce(c.inspection_id, e.inspection_id) AS inspection_id, coalesce(c.r
   CASE WHEN e.s IS NOT NULL THEN CASE WHEN c.rule_id IS NULL THEN 'UNKNOWN' WHEN c.status = 'PASS' THEN 'COMPLIANT' ELSE 'VIOLATION' END END AS previous_status
 FROM vx_one_check c FULL JOIN ({_RULED}) e ON c.inspection_id = e.inspection_id AND c.rule_id = e.rule_id
 """)(lambda spark, sf: ch.override_checks(
-    fx.checks(spark, sf).groupBy("inspection_id", "rule_id").agg(F.min("status").alias("status")), overrides(spark, sf)).drop("overridden"))
+    fx.checks(spark, sf).groupBy("inspection_id", "rule_id").agg(F.min("status").alias("status")), overrides_twice(spark, sf), "change_no").drop("overridden"))
+
+
+def _one_check(spark, sf):
+    return fx.checks(spark, sf).groupBy("inspection_id", "rule_id").agg(F.min("status").alias("status"))
+
+
+def _violations(spark, sf):
+    return _one_check(spark, sf).where("status <> 'PASS'").select("inspection_id", "rule_id")
+
+
+_STAYING = """SELECT c.inspection_id, c.rule_id FROM vx_one_check c LEFT JOIN (SELECT inspection_id, verdict FROM vx_overrides WHERE note <> '') o USING (inspection_id)
+WHERE c.status <> 'PASS' AND (coalesce(o.verdict, '') <> '7A COMPLIANT' OR c.rule_id NOT IN ('R-1', 'R-99'))
+UNION ALL SELECT inspection_id, 'R-99' FROM vx_overrides WHERE note <> '' AND verdict = '7A COMPLIANT'"""
+query("override_violations", _STAYING)(lambda spark, sf: ch.override_violations(
+    _violations(spark, sf), _one_check(spark, sf), overrides_twice(spark, sf), "change_no"))
+query("override_amendments", f"""
+SELECT i.inspection_id, coalesce(i.officer_decision, i.overall_status, 'PENDING') AS previous_verdict, o.verdict AS new_verdict, 'OFF-1' AS amended_by,
+  i.route_7b_triggered AS route_before, CASE o.verdict WHEN '7A COMPLIANT' THEN false WHEN '7B VIOLATION' THEN true ELSE i.route_7b_triggered END AS route_after,
+  d.q AS price_before, concat('Rs ', cast(o.seq AS varchar)) AS price_after, coalesce(v0.n, 0) AS violations_before, coalesce(v1.n, 0) AS violations_after,
+  CASE WHEN c.status IS NULL THEN 'UNKNOWN' WHEN c.status = 'PASS' THEN 'COMPLIANT' ELSE 'VIOLATION' END AS rule_from, 'COMPLIANT' AS rule_to
+FROM fx_inspections i JOIN vx_overrides o ON o.inspection_id = i.inspection_id AND o.note <> ''
+LEFT JOIN (SELECT inspection_id, cast(q AS varchar) AS q FROM vx_ledger_decl WHERE field_name = 'mrp') d ON d.inspection_id = i.inspection_id
+LEFT JOIN (SELECT inspection_id, count(*) AS n FROM vx_one_check WHERE status <> 'PASS' GROUP BY 1) v0 ON v0.inspection_id = i.inspection_id
+LEFT JOIN (SELECT inspection_id, count(*) AS n FROM ({_STAYING}) GROUP BY 1) v1 ON v1.inspection_id = i.inspection_id
+LEFT JOIN vx_one_check c ON c.inspection_id = i.inspection_id AND c.rule_id = 'R-1'
+""")(lambda spark, sf: _amended(spark, sf))
+
+
+def _amended(spark, sf):
+    rows = ch.override_amendments(
+        fx.inspections(spark, sf), ledger_decl(spark, sf), _one_check(spark, sf), _violations(spark, sf), overrides_twice(spark, sf), NOW, "change_no")
+    inside = lambda column, path: F.get_json_object(column, path)
+    listed = lambda column: F.size(F.from_json(inside(column, "$.violations"), "array<string>")).cast("long")
+    return rows.select(
+        "inspection_id", "previous_verdict", "new_verdict", "amended_by",
+        inside("previous_state", "$.route_7b_triggered").cast("boolean").alias("route_before"),
+        inside("updated_state", "$.route_7b_triggered").cast("boolean").alias("route_after"),
+        inside("previous_state", "$.declarations.mrp").alias("price_before"), inside("updated_state", "$.declarations.mrp").alias("price_after"),
+        listed("previous_state").alias("violations_before"), listed("updated_state").alias("violations_after"),
+        inside("diff_summary", "$['modified_rules']['R-1']['from']").alias("rule_from"),
+        inside("diff_summary", "$['modified_rules']['R-1']['to']").alias("rule_to"))
 
 
 @query("override_diff", """
@@ -272,19 +340,20 @@ LEFT JOIN fx_users u USING (user_id) WHERE u.name IS NULL OR w.inspection_id = '
 """)(lambda spark, sf: ch.assign_work(fx.inspections(spark, sf), fx.users(spark, sf), work(spark, sf))[1])
 
 EXTRA_VIEWS["vx_reads"] = """
-SELECT inspection_id, CASE WHEN line_no <= 6 THEN 'front' ELSE 'back' END AS field_name, CASE WHEN line_no % 5 = 0 THEN '' ELSE text END AS value, confidence, line_no AS image_index FROM fx_label_lines
+SELECT inspection_id, CASE WHEN line_no <= 6 THEN 'front' ELSE 'back' END AS field_name, CASE WHEN line_no % 5 = 0 THEN '' ELSE text END AS value, CASE WHEN line_no % 4 <> 1 THEN confidence END AS confidence, line_no AS image_index FROM fx_label_lines
 """
 query("merge_declarations", """
 SELECT inspection_id, field_name, image_index, value FROM (SELECT *, row_number() OVER (PARTITION BY inspection_id, field_name
-  ORDER BY value <> '' DESC, CASE WHEN value <> '' THEN confidence ELSE 0 END DESC, image_index) AS r FROM vx_reads) t WHERE r = 1
+  ORDER BY value <> '' DESC, CASE WHEN value <> '' THEN coalesce(confidence, 0) ELSE 0 END DESC, image_index) AS r FROM vx_reads) t WHERE r = 1
 """)(lambda spark, sf: ch.merge_declarations(fx.label_lines(spark, sf).selectExpr(
     "inspection_id", "CASE WHEN line_no <= 6 THEN 'front' ELSE 'back' END AS field_name", "CASE WHEN line_no % 5 = 0 THEN '' ELSE text END AS value",
-    "confidence", "line_no AS image_index")).select("inspection_id", "field_name", "image_index", "value"))
+    "CASE WHEN line_no % 4 <> 1 THEN confidence END AS confidence", "line_no AS image_index")).select("inspection_id", "field_name", "image_index", "value"))
 query("merge_dates_by_type", """
 SELECT inspection_id, type, image_index FROM (SELECT inspection_id, field_name AS type, image_index, row_number() OVER (PARTITION BY inspection_id, field_name
-  ORDER BY confidence DESC, image_index) AS r FROM vx_reads) t WHERE r = 1
+  ORDER BY coalesce(confidence, 0) DESC, image_index) AS r FROM vx_reads) t WHERE r = 1
 """)(lambda spark, sf: ch.merge_dates(fx.label_lines(spark, sf).selectExpr(
-    "inspection_id", "CASE WHEN line_no <= 6 THEN 'front' ELSE 'back' END AS type", "text AS date_text", "confidence", "line_no AS image_index")).select(
+    "inspection_id", "CASE WHEN line_no <= 6 THEN 'front' ELSE 'back' END AS type", "text AS date_text",
+    "CASE WHEN line_no % 4 <> 1 THEN confidence END AS confidence", "line_no AS image_index")).select(
     "inspection_id", "type", "image_index"))
 
 # ------------------------------------------------------------ sources and sinks

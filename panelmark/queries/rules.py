@@ -36,7 +36,11 @@ SELECT concat('PKG-', cast(p_partkey AS varchar)) AS inspection_id, p_partkey AS
 
 
 def packages(spark, sf):
-    return fx.spread(fx.table(spark, sf, "part")).selectExpr(
+    return packages_of(fx.table(spark, sf, "part"))
+
+
+def packages_of(part):
+    return part.selectExpr(
         "concat('PKG-', cast(p_partkey AS string)) AS inspection_id",
         "p_partkey AS seq",
         f"{_CATEGORY} AS category",
@@ -59,7 +63,11 @@ SELECT inspection_id, seq, line_no, {_FIELD} AS field_name, {_VALUE} AS value,
 
 
 def declarations(spark, sf):
-    return fx.label_lines(spark, sf).selectExpr(
+    return declarations_of(fx.table(spark, sf, "part"))
+
+
+def declarations_of(part):
+    return fx.lines_of(part).selectExpr(
         "inspection_id", "seq", "line_no", f"{_FIELD} AS field_name", f"{_VALUE} AS value",
         "CASE WHEN seq % 4 = 0 THEN confidence / 100.0 ELSE confidence END AS confidence", "x1", "y1", "x2", "y2",
         "cast(0 AS int) AS image_index",

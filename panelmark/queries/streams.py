@@ -9,7 +9,7 @@ from panelmark import fixtures as fx
 from panelmark.plans import catalog
 from panelmark.queries.history import _scratch
 from panelmark.queries.registry import query
-from panelmark.queries.rules import TODAY, declarations, packages
+from panelmark.queries.rules import TODAY, declarations_of, packages_of
 from panelmark.sources.readers import is_folder
 from panelmark.streaming import jobs
 
@@ -111,7 +111,15 @@ def _stream_override(spark, sf):
 def _stream_dedup(spark, sf):
     scans = _stream(spark, sf, "events").selectExpr(
         "concat('SCAN-', cast(event_id DIV 3 AS string)) AS scan_id", "cast(ts AS timestamp) AS event_time")
-    return _drain(jobs.dedup_scans(scans), _scratch(spark, "stream-dedup")).select("scan_id")
+    folder = _scratch(spark, "stream-dedup")
+    return stored_scans(scans, folder).select("scan_id")
+
+
+def stored_scans(scans: DataFrame, folder: str) -> DataFrame:
+    """Runs the de-duplication to the end of its input and reads what it stored."""
+    running = jobs.dedup_scans(scans, f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return scans.sparkSession.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
 
 
 _MOTION = """
@@ -137,23 +145,10 @@ def _stream_frames(spark, sf):
 
 @query("stream_screening", "SELECT inspection_id, rule_id, status FROM vx_verdicts")
 def _stream_screening(spark, sf):
-    arriving = _stream(spark, sf, "part").selectExpr("p_partkey")
-    known = packages(spark, sf)
-    decl = declarations(spark, sf)
+    """The batch carries its packages and their declarations; no table is read beside the stream."""
     folder = _scratch(spark, "stream-screening")
-
-    def with_columns(batch: DataFrame) -> DataFrame:
-        ids = batch.select(F.concat(F.lit("PKG-"), F.col("p_partkey").cast("string")).alias("inspection_id"))
-        return known.join(ids, "inspection_id", "left_semi")
-
-    def step(batch: DataFrame, number: int) -> None:
-        from panelmark.plans import screening
-
-        fresh = with_columns(batch)
-        mine = decl.join(fresh.select("inspection_id"), "inspection_id", "left_semi")
-        checks = screening.screen(fresh, mine, catalog.rules(spark), TODAY)
-        checks.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-
-    arriving.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
-    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out").where(
-        "rule_id NOT IN ('PK-06-1-C-UNIT', 'PK-06-1-E-TAX', 'PK-10-USP')").select("inspection_id", "rule_id", "status")
+    running = jobs.screen_batches(
+        _stream(spark, sf, "part"), packages_of, declarations_of, catalog.rules(spark), TODAY, f"{folder}/out")
+    running.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    return done.where("rule_id NOT IN ('PK-06-1-C-UNIT', 'PK-06-1-E-TAX', 'PK-10-USP')").select("inspection_id", "rule_id", "status")

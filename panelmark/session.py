@@ -15,6 +15,8 @@ def build_session(cores: str | int = "*", app: str = "panelmark") -> SparkSessio
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
+        # small tables come in fewer files than there are cores
+        .config("spark.sql.files.minPartitionNum", os.environ.get("PANELMARK_SCAN_PARTITIONS", "8"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # wide projections of patterns outgrow what the JIT compiles as one method

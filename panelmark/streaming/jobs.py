@@ -19,18 +19,19 @@ def file_stream(spark: SparkSession, folder: str, schema: str, files_per_trigger
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def screen_batches(packages: DataFrame, decl_of, rules: DataFrame, evaluation_date: date, path: str):
+def screen_batches(arriving: DataFrame, packages_of, decl_of, rules: DataFrame, evaluation_date: date, path: str):
     """Screens each micro-batch with the batch plan and appends the verdicts.
 
-    ``decl_of`` maps a batch of packages to its declarations. The batch number
+    ``packages_of`` and ``decl_of`` map a batch to its packages and their
+    declarations, so a batch costs what it brings. The batch number
     is part of the path, so a retried batch replaces its own output.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        checks = screening.screen(batch, decl_of(batch), rules, evaluation_date)
+        checks = screening.screen(packages_of(batch), decl_of(batch), rules, evaluation_date)
         checks.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return packages.writeStream.foreachBatch(step)
+    return arriving.writeStream.foreachBatch(step)
 
 
 def new_inspections(insp: DataFrame) -> DataFrame:
@@ -47,17 +48,34 @@ def override_feed(amend: DataFrame) -> DataFrame:
         "amended_at")
 
 
-def dedup_scans(scans: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each scan id once; state older than the delay is dropped."""
-    return scans.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["scan_id"])
+def dedup_scans(scans: DataFrame, path: str):
+    """Stores each scan id once, however late a repeat comes.
 
+    What is stored is the state: a batch drops its own repeats and the ids that
+    earlier batches have written. The batch number is part of the path, so a
+    retried batch replaces its own output and never sees it.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(["scan_id"])
+        if number > 0:
+            stored = spark.read.option("basePath", path).schema("scan_id string, batch long").parquet(path).where(F.col("batch") < number)
+            fresh = fresh.join(stored.select("scan_id"), "scan_id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return scans.writeStream.foreachBatch(step)
 
-def kpi_stream(insp: DataFrame, span: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Ledger counts per window and category, kept current."""
+
+def kpi_stream(insp: DataFrame, span: str = "1 day") -> DataFrame:
+    """Ledger counts per window and category, kept current (update mode).
+
+    No watermark: a row of any age counts. The state is one row per window and
+    category, as the ledger itself has.
+    """
     status = F.col("overall_status")
     return (
-        insp.withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", span), "category")
+        insp.groupBy(F.window("created_at", span), "category")
         .agg(
             F.count("*").alias("total"),
             F.count_if(status.like("%7A%")).alias("compliant"),
@@ -68,11 +86,10 @@ def kpi_stream(insp: DataFrame, span: str = "1 day", delay: str = "1 day") -> Da
     )
 
 
-def audit_stream(audit: DataFrame, span: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Running counts of audit actions per window."""
+def audit_stream(audit: DataFrame, span: str = "1 day") -> DataFrame:
+    """Running counts of audit actions per window (update mode, rows of any age count)."""
     return (
-        audit.withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", span), "action")
+        audit.groupBy(F.window("event_time", span), "action")
         .agg(F.count("*").alias("n"))
         .select(F.col("window.start").alias("window_start"), "action", "n")
     )

@@ -150,3 +150,22 @@ def test_review_status_falls_in_no_bucket(spark):
 def test_physical_height(spark):
     df = spark.createDataFrame([(100.0, 15.0, 1500.0), (30.0, None, None)], "height_px double, panel_cm double, image_px double")
     assert [(r.mm, r.calibrated) for r in ms.physical_height(df).collect()] == [(10.0, True), (10.0, False)]
+
+
+def test_a_cycle_leaves_the_other_trees_alone(spark):
+    from panelmark.operators.lineage import climb
+
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "x"), ("s", "s")]
+    found = {r["node"]: (r["root"], r["path"], r["reason"]) for r in climb(spark.createDataFrame(rows, "id string, up string"), "id", "up").collect()}
+    assert found["c"] == ("a", "a/b/c", None) and {found[n] for n in "xyzs"} == {(None, None, "cycle")} and len(found) == 7
+
+
+def test_two_changes_for_one_row_do_not_multiply_it(spark):
+    from panelmark.operators import changes as ch
+
+    insp = spark.sql("SELECT 'I' AS inspection_id, 'a' AS officer_id, 'b' AS officer_name, 'c' AS inspector_id, 'd' AS inspector_name")
+    users = spark.sql("SELECT concat('U', id) AS user_id, concat('N', id) AS name FROM range(4)")
+    work = spark.createDataFrame([("I", "U0", "officer_review", 1), ("I", "U1", "officer_review", 2), ("I", "U2", "inspector_dispatch", 1)],
+                                 "inspection_id string, user_id string, assignment_type string, change_no int")
+    done = ch.assign_work(insp, users, work, "change_no")[0].collect()
+    assert [(r["officer_id"], r["officer_name"], r["inspector_id"], r["inspector_name"]) for r in done] == [("U1", "N1", "U2", "N2")]
