@@ -102,7 +102,9 @@ def _thresholds(rows: DataFrame, levels: Sequence[str], plan: DataFrame, seed: i
         running = F.sum("tokens").over(Window.partitionBy(*levels).orderBy("bin"))
         sums = sums.withColumn("sofar", F.col("before") + running)
         crossed = (F.col("sofar") > F.col("rest")) & (F.col("sofar") - F.col("tokens") <= F.col("rest"))
-        crossing = cut(sums.where(crossed).select(*levels, F.col("bin").alias("last"), (F.col("sofar") - F.col("tokens")).alias("before")))
+        # one row per leaf: hinted, it does not send the documents of a leaf to one task
+        crossing = _small(cut(sums.where(crossed).select(
+            *levels, F.col("bin").alias("last"), (F.col("sofar") - F.col("tokens")).alias("before"))))
     near = keyed.join(crossing, [*levels]).where(F.col("key").startswith(F.col("last")))
     together = Window.partitionBy(*levels).orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
     fits = F.col("before") + F.sum("tokens").over(together) <= F.col("rest")
