@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmark.llm.common import free_name, text_udf
+from panelmark.session import cut
 
 _NORMAL = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 STEMS = (4, 5, 6)
@@ -81,7 +82,7 @@ def fit(
     the sample come to the driver.
     """
     rows = labelled.select(F.col("text").cast("string"), F.col("grade").cast("int")).where("text IS NOT NULL AND grade IS NOT NULL")
-    rows = _sample(rows, sample)
+    rows = cut(_sample(rows, sample))  # a bounded table, read four times
     sizes = {r[0]: r[1] for r in rows.groupBy("grade").count().collect()}
     grades = sorted(sizes)
     empty = {"weights": {}, "thresholds": [], "key": uuid.uuid4().hex}
