@@ -223,7 +223,7 @@ def extract_mrp(tokens: DataFrame) -> DataFrame:
 def with_units(df: DataFrame, value: str, unit: str, units: DataFrame) -> DataFrame:
     """Canonical unit and base value; unknown units stand for themselves."""
     key = F.lower(F.trim(text(unit)))
-    joined = df.join(F.broadcast(units), key == F.col("spelling"), "left")
+    joined = df.join(units, key == F.col("spelling"), "left")
     return joined.withColumns(
         {
             "shown_unit": F.coalesce("shown_unit", key),

@@ -138,7 +138,7 @@ def explain_checks(checks: DataFrame, decl: DataFrame, aliases: DataFrame, fallb
         F.when(F.col("x1").isNotNull(), F.struct("x1", "y1", "x2", "y2")).alias("_box"), F.col("image_index").alias("_image"),
     )
     direct = entries.select("inspection_id", F.col("_field").alias("_key"), F.lit(0).alias("_rank"), F.struct("_value", "_box", "_image").alias("_e"))
-    by_alias = entries.join(F.broadcast(aliases), F.col("_field") == F.col("candidate")).select(
+    by_alias = entries.join(aliases, F.col("_field") == F.col("candidate")).select(
         "inspection_id", F.col("field").alias("_key"), F.lit(1).alias("_rank"), F.struct("_value", "_box", "_image").alias("_e"))
     best = direct.unionByName(by_alias).groupBy("inspection_id", "_key").agg(
         F.min_by("_e", F.struct("_rank", "_e._value")).alias("_e"))

@@ -251,6 +251,19 @@ def _long_words(column: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.upper(column), F.lit("[A-Z0-9]{3,}"), F.lit(0)))
 
 
+def token_intersection(decl: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Values and lines of a package that share words: how many, and which part of the value's words.
+
+    An equi join on (package, word), so only pairs with something in common are made.
+    """
+    said = decl.select("inspection_id", "field_name", _long_words(text("value")).alias("_words"))
+    said = said.select("inspection_id", "field_name", F.size("_words").alias("_n"), F.explode("_words").alias("_word"))
+    read = tokens.select("inspection_id", "line_no", F.explode(_long_words(text("text"))).alias("_word"))
+    shared = said.join(read, ["inspection_id", "_word"]).groupBy("inspection_id", "field_name", "line_no").agg(
+        F.count("*").alias("common"), F.first("_n").alias("_n"))
+    return shared.select("inspection_id", "field_name", "line_no", "common", (F.col("common") / F.col("_n")).alias("ratio"))
+
+
 def evidence_match(decl: DataFrame, tokens: DataFrame) -> DataFrame:
     """Best token for each declared value, with the merged box of all matches."""
     values = decl.where(_packed(text("value")) != "").select(
@@ -328,7 +341,7 @@ def box_fallback(checks: DataFrame, decl: DataFrame, fallbacks: DataFrame) -> Da
     boxes = decl.where("x1 IS NOT NULL").select(
         "inspection_id", F.col("field_name").alias("candidate"), F.struct(*BOX).alias("_box"), "image_index"
     )
-    offered = boxes.join(F.broadcast(fallbacks), "candidate")
+    offered = boxes.join(fallbacks, "candidate")
     best = offered.groupBy("inspection_id", "field").agg(
         F.min_by(F.struct("_box", "image_index"), "priority").alias("_best")
     )

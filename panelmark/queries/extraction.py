@@ -427,13 +427,16 @@ GROUP BY p.inspection_id, p.line_no
     F.lower("text").contains("taxes") | F.col("text").contains("Nepal")).select("inspection_id", "line_no", "near", "tax_found"))
 
 EXTRA_VIEWS["vx_declared_boxes"] = """
-SELECT inspection_id, line_no, x1 + 2 AS x1, y1 + 1 AS y1, x2 - 20 AS x2, y2 - 1 AS y2 FROM fx_label_lines WHERE line_no IN (2, 3, 6)
+SELECT inspection_id, line_no, x1 + shift AS x1, y1 + 1 AS y1, x2 - 20 + shift AS x2, y2 - 1 AS y2
+FROM (SELECT *, CASE WHEN line_no IN (2, 3, 6) THEN 2 ELSE (x2 - x1) / 2 + 6 END AS shift FROM fx_label_lines) t
 """
 
 
 def declared_boxes(spark, sf):
-    return lines(spark, sf).where("line_no IN (2, 3, 6)").selectExpr(
-        "inspection_id", "line_no", "x1 + 2 AS x1", "y1 + 1 AS y1", "x2 - 20 AS x2", "y2 - 1 AS y2")
+    """A box for every line; on lines 2, 3 and 6 it covers the text, elsewhere less than half of it."""
+    shift = F.expr("CASE WHEN line_no IN (2, 3, 6) THEN 2 ELSE (x2 - x1) / 2 + 6 END")
+    return lines(spark, sf).withColumn("shift", shift).selectExpr(
+        "inspection_id", "line_no", "x1 + shift AS x1", "y1 + 1 AS y1", "x2 - 20 + shift AS x2", "y2 - 1 AS y2")
 
 
 query("unmapped_tokens", """
@@ -454,16 +457,15 @@ EXTRA_VIEWS["vx_values"] = """
 SELECT inspection_id, 'mrp' AS field_name, regexp_extract(text, '[0-9]+\\.[0-9]+') AS value FROM fx_label_lines WHERE line_no = 3
 UNION ALL SELECT inspection_id, 'manufacturer', substr(text, 18) FROM fx_label_lines WHERE line_no = 10
 UNION ALL SELECT inspection_id, 'batch_number', text FROM fx_label_lines WHERE line_no = 6
-UNION ALL SELECT inspection_id, 'care', concat('Care of ', text) FROM fx_label_lines WHERE line_no = 9
+UNION ALL SELECT inspection_id, concat('line ', cast(line_no AS varchar)), concat('Care of ', text) FROM fx_label_lines WHERE line_no NOT IN (3, 6, 10)
 """
 
 
 def values(spark, sf):
     value = F.expr(r"CASE line_no WHEN 3 THEN regexp_extract(text, '[0-9]+[.][0-9]+', 0) WHEN 10 THEN substr(text, 18)"
                    " WHEN 6 THEN text ELSE concat('Care of ', text) END")
-    name = F.expr("CASE line_no WHEN 3 THEN 'mrp' WHEN 10 THEN 'manufacturer' WHEN 6 THEN 'batch_number' ELSE 'care' END")
-    return lines(spark, sf).where("line_no IN (3, 6, 9, 10)").select(
-        "inspection_id", name.alias("field_name"), value.alias("value"))
+    name = F.expr("CASE line_no WHEN 3 THEN 'mrp' WHEN 10 THEN 'manufacturer' WHEN 6 THEN 'batch_number' ELSE concat('line ', line_no) END")
+    return lines(spark, sf).select("inspection_id", name.alias("field_name"), value.alias("value"))
 
 
 _WORDS = "list_distinct(regexp_extract_all(upper({}), '[A-Z0-9]{{3,}}'))"
@@ -485,11 +487,8 @@ SELECT inspection_id, field_name, max(score) AS score, arg_min(confidence, (-sco
 query("token_intersection", f"""
 SELECT inspection_id, field_name, line_no, {_COMMON} AS common,
   round({_COMMON} / len({_WORDS.format('value')}), 6) AS ratio FROM vx_values JOIN fx_label_lines USING (inspection_id)
-WHERE len({_WORDS.format('value')}) > 0
-""")(lambda spark, sf: values(spark, sf).join(lines(spark, sf), "inspection_id").select(
-    "inspection_id", "field_name", "line_no", tk._long_words(F.col("value")).alias("a"), tk._long_words(F.col("text")).alias("b"))
-     .where("size(a) > 0").select("inspection_id", "field_name", "line_no", F.size(F.array_intersect("a", "b")).cast("long").alias("common"),
-                                  F.round(F.size(F.array_intersect("a", "b")) / F.size("a"), 6).alias("ratio")))
+WHERE {_COMMON} > 0
+""")(lambda spark, sf: tk.token_intersection(values(spark, sf), lines(spark, sf)).withColumn("ratio", F.round("ratio", 6)))
 
 _SQ = r"upper(regexp_replace({}, '[^\p{{L}}\p{{N}}_]', '', 'g'))"
 _FW = "list_distinct(regexp_extract_all({}, '[A-Z0-9]{{3,}}'))"

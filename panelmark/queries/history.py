@@ -10,6 +10,7 @@ from panelmark import constants as C
 from panelmark import fixtures as fx
 from panelmark.operators import changes as ch
 from panelmark.operators import lineage as ln
+from panelmark.queries.ledger import EXPORT_SQL
 from panelmark.queries.registry import EXTRA_VIEWS, query
 from panelmark.queries.rules import declarations
 from panelmark.sources import readers, sinks
@@ -361,7 +362,7 @@ SELECT inspection_id, type, image_index FROM (SELECT inspection_id, field_name A
 
 def scans(spark, sf):
     """Scans with nested detections and a declarations map, as a capture service sends them."""
-    lines = fx.label_lines(spark, sf).where("line_no <= 4")
+    lines = fx.label_lines(spark, sf)
     item = F.struct("line_no", "text", "confidence", F.array("x1", "y1", "x2", "y2").alias("bbox"))
     entry = F.struct(F.concat(F.lit("field_"), F.col("line_no").cast("string")).alias("k"),
                      F.struct(F.when(F.col("line_no") != 4, F.col("text")).alias("value"),
@@ -374,12 +375,12 @@ def scans(spark, sf):
 
 query("ingest_detections", """
 SELECT inspection_id, concat(inspection_id, '.png') AS image_id, concat('lines: ', cast(count(*) OVER (PARTITION BY inspection_id) AS varchar)) AS full_text,
-  text AS detected_text, confidence FROM fx_label_lines WHERE line_no <= 4
+  text AS detected_text, confidence FROM fx_label_lines
 """)(lambda spark, sf: readers.ingest_detections(scans(spark, sf)).select("inspection_id", "image_id", "full_text", "detected_text", "confidence"))
 query("ingest_declarations", """
 SELECT inspection_id, concat('field_', cast(line_no AS varchar)) AS field_name, text AS field_value,
   CASE WHEN line_no <> 2 THEN confidence ELSE m END AS confidence FROM (
-SELECT *, max(confidence) OVER (PARTITION BY inspection_id) AS m FROM fx_label_lines WHERE line_no <= 4) t WHERE line_no <> 4
+SELECT *, max(confidence) OVER (PARTITION BY inspection_id) AS m FROM fx_label_lines) t WHERE line_no <> 4
 """)(lambda spark, sf: readers.ingest_declarations(scans(spark, sf)).select("inspection_id", "field_name", "field_value", "confidence"))
 
 query("reject_bad_input", """
@@ -398,8 +399,18 @@ LEFT JOIN vx_decl d ON d.inspection_id = p.inspection_id AND d.field_name = k.fi
 """)(lambda spark, sf: sinks.session_rows(fx.label_lines(spark, sf).select("inspection_id").distinct(), declarations(spark, sf)).select(
     "inspection_id", "field_name", "value", "confidence", "status"))
 
+_ENTRY_JSON = "map<string, struct<value string, confidence double, bbox array<double>, status string>>"
+query("sink_session_documents", f"""
+SELECT p.inspection_id, k.field_name, d.value, coalesce(d.confidence, 0.0) AS confidence, coalesce(d.x1, 0.0) AS x1, coalesce(d.y2, 0.0) AS y2,
+  CASE WHEN coalesce(d.value, '') <> '' THEN 'detected' ELSE 'not_detected' END AS status
+FROM (SELECT DISTINCT inspection_id FROM fx_label_lines) p CROSS JOIN (VALUES {_KEYS}) k(field_name)
+LEFT JOIN vx_decl d ON d.inspection_id = p.inspection_id AND d.field_name = k.field_name
+""")(lambda spark, sf: sinks.session_documents(fx.label_lines(spark, sf).select("inspection_id").distinct(), declarations(spark, sf)).select(
+    "inspection_id", F.explode(F.from_json("normalized_declarations_json", _ENTRY_JSON)).alias("field_name", "d")).select(
+    "inspection_id", "field_name", "d.value", "d.confidence", F.col("d.bbox")[0].alias("x1"), F.col("d.bbox")[3].alias("y2"), "d.status"))
+
 query("session_by_id", """
-SELECT 'INS-8' AS session_id, 2 AS originals, 0 AS processed FROM fx_inspections WHERE inspection_id = 'INS-8'
+SELECT 'INS-8' AS session_id, '/a/INS-8.png|/b/INS-8.png' AS originals, '' AS processed FROM fx_inspections WHERE inspection_id = 'INS-8'
 """)(lambda spark, sf: _session(spark, sf))
 
 
@@ -409,20 +420,49 @@ def _session(spark, sf):
     sessions = fx.inspections(spark, sf).selectExpr(
         "inspection_id AS session_id", "concat('/a/', inspection_id, '.png,/b/', inspection_id, '.png') AS original_image_url", "'' AS processed_image_url")
     found = session_by_id(sessions, "INS-8")
-    return found.select("session_id", F.size("original_urls").alias("originals"), F.size("processed_urls").alias("processed"))
+    return found.select("session_id", F.array_join("original_urls", "|").alias("originals"), F.array_join("processed_urls", "|").alias("processed"))
 
 
 query("sink_inspection", f"""
-SELECT i.inspection_id, CASE WHEN c.failed = 0 AND c.review = 0 THEN '7A COMPLIANT' ELSE '7B VIOLATION' END AS overall_status, c.total AS checks, c.failed AS violations, d.fields
-FROM fx_inspections i JOIN vx_summary c USING (inspection_id) LEFT JOIN (SELECT inspection_id, count(*) AS fields FROM vx_ledger_decl GROUP BY 1) d USING (inspection_id)
+SELECT i.inspection_id, CASE WHEN c.failed = 0 AND c.review = 0 THEN '7A COMPLIANT' ELSE '7B VIOLATION' END AS overall_status, l.checks, l.violations, d.fields
+FROM fx_inspections i JOIN vx_summary c USING (inspection_id) JOIN (
+  SELECT inspection_id, string_agg(t, ',' ORDER BY t) AS checks, coalesce(string_agg(t, ',' ORDER BY t) FILTER (status = 'FAIL'), '') AS violations
+  FROM (SELECT *, concat_ws(':', rule_id, field_name, status, severity, reason) AS t FROM fx_checks) k GROUP BY 1) l USING (inspection_id)
+LEFT JOIN (SELECT inspection_id, string_agg(t, ',' ORDER BY t) AS fields FROM (
+  SELECT *, concat(field_name, '=', cast(q AS varchar)) AS t FROM vx_ledger_decl) m GROUP BY 1) d USING (inspection_id)
 """)(lambda spark, sf: sinks.ledger_rows(
     fx.inspections(spark, sf).select("inspection_id", "product_name").join(fx.checks(spark, sf).select("inspection_id").distinct(), "inspection_id", "left_semi"),
     fx.checks(spark, sf).withColumn("observed", F.col("reason")), ledger_decl(spark, sf)).select(
     "inspection_id", "overall_status",
-    F.size(F.from_json("checks_json", "array<struct<rule_id: string>>")).cast("long").alias("checks"),
-    F.size(F.from_json("violations_json", "array<struct<rule_id: string>>")).cast("long").alias("violations"),
-    F.size(F.from_json("technical_matrix_json", "map<string, string>")).cast("long").alias("fields"))
-     .withColumn("fields", F.when(F.col("fields") >= 0, F.col("fields"))))
+    _said("checks_json", _CHECK_JSON, lambda c: F.concat_ws(":", c["rule_id"], c["field_name"], c["status"], c["severity"], c["observed"])).alias("checks"),
+    _said("violations_json", _CHECK_JSON, lambda c: F.concat_ws(":", c["rule_id"], c["field_name"], c["status"], c["severity"], c["observed"])).alias("violations"),
+    F.array_join(F.array_sort(F.transform(F.map_entries(F.from_json("technical_matrix_json", "map<string, string>")), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+     .alias("fields")))
+
+_CHECK_JSON = "array<struct<rule_id: string, field_name: string, status: string, severity: string, observed: string>>"
+
+
+def _said(column: str, schema: str, show):
+    """What a JSON list says, item by item, in order."""
+    return F.array_join(F.array_sort(F.transform(F.from_json(column, schema), show)), ",")
+
+
+
+@query("export_csv_files", f"""
+SELECT 'all' AS scope, t.* FROM ({EXPORT_SQL}) t
+UNION ALL SELECT 'violations', t.* FROM ({EXPORT_SQL} WHERE upper(overall_status) LIKE '%7B%') t
+UNION ALL SELECT 'pending', t.* FROM ({EXPORT_SQL} WHERE coalesce(officer_decision, '') = '') t
+""")
+def _export_files(spark, sf):
+    """The files of all three scopes, read back."""
+    folder = _scratch(spark, "export")
+    files = []
+    for scope in ("all", "violations", "pending"):
+        sinks.write_csv(fx.inspections(spark, sf), f"{folder}/{scope}", scope)
+        read = spark.read.options(header=True, emptyValue="").csv(f"{folder}/{scope}")
+        files.append(read.select(F.lit(scope).alias("scope"), *[F.coalesce(c, F.lit("")).alias(c) for c in read.columns]))
+    return files[0].unionByName(files[1]).unionByName(files[2])
+
 
 query("sink_audit", f"""
 SELECT concat('OFF-', cast(amendment_id % 5 AS varchar)) AS user_id, 'ADJUDICATION_OVERRIDE' AS action, inspection_id AS resource_id, concat('verdict ', new_verdict) AS details,
@@ -431,13 +471,17 @@ SELECT concat('OFF-', cast(amendment_id % 5 AS varchar)) AS user_id, 'ADJUDICATI
                                         F.concat(F.lit("verdict "), F.col("new_verdict")), NOW))
 
 query("archive_snapshot", """
-SELECT i.inspection_id AS original_inspection_id, i.inspector_id, i.overall_status, i.officer_decision, coalesce(d.n, 0) AS fields FROM fx_inspections i
-LEFT JOIN (SELECT inspection_id, count(*) AS n FROM vx_ledger_decl GROUP BY 1) d USING (inspection_id)
+SELECT i.inspection_id AS original_inspection_id, i.inspector_id, i.overall_status, i.officer_decision, i.product_name, i.seq, d.fields FROM fx_inspections i
+LEFT JOIN (SELECT inspection_id, string_agg(t, ',' ORDER BY t) AS fields FROM (
+  SELECT *, concat(field_name, '=', cast(q AS varchar)) AS t FROM vx_ledger_decl) m GROUP BY 1) d USING (inspection_id)
 """)(lambda spark, sf: sinks.archive_rows(
     fx.inspections(spark, sf), fx.label_lines(spark, sf), ledger_decl(spark, sf), NOW).select(
     "original_inspection_id", "inspector_id", "overall_status", "officer_decision",
-    F.coalesce(F.size(F.from_json("payload_json", "declarations array<struct<field_name: string>>")["declarations"]), F.lit(0)).cast("long").alias("fields"))
-     .withColumn("fields", F.greatest("fields", F.lit(0))))
+    F.from_json("payload_json", _PAYLOAD_JSON).alias("p")).select(
+    "original_inspection_id", "inspector_id", "overall_status", "officer_decision", "p.product_name", "p.seq",
+    F.array_join(F.array_sort(F.transform("p.declarations", lambda d: F.concat_ws("=", d["field_name"], d["value"]))), ",").alias("fields")))
+
+_PAYLOAD_JSON = "product_name string, seq long, declarations array<struct<field_name: string, value: string>>"
 
 query("evolve_schema", """
 SELECT rule_id, source_rank, 'ALL' AS product_category, true AS is_active, cast(NULL AS varchar) AS explanation FROM fx_rules_raw
@@ -452,6 +496,18 @@ def _scan_json(spark, sf):
     return readers.read_rules_lines(spark, folder).select("rule_id", "field_name", "severity")
 
 
+@query("scan_rule_documents", "SELECT rule_id, field AS field_name, severity FROM fx_rules_raw WHERE rule_id <> '' UNION ALL SELECT rule_id, field, severity FROM fx_rules_raw WHERE rule_id <> ''")
+def _scan_documents(spark, sf):
+    """The feed as documents of 500 rules each, once as bare lists and once wrapped; the folder is the first that exists."""
+    folder = _scratch(spark, "rules-documents")
+    rule = F.struct("rule_id", F.col("field").alias("field_name"), "severity")
+    documents = fx.rules_raw(spark, sf).groupBy(F.expr("source_rank div 500").alias("document")).agg(F.collect_list(rule).alias("rules"))
+    documents.select("document", F.to_json("rules").alias("value")).write.partitionBy("document").text(f"{folder}/listed")
+    documents.write.partitionBy("document").json(f"{folder}/wrapped")
+    read = [readers.read_rules_json(spark, [f"{folder}/missing", f"{folder}/{form}"]) for form in ("listed", "wrapped")]
+    return read[0].unionByName(read[1]).select("rule_id", "field_name", "severity")
+
+
 @query("scan_rule_csv", "SELECT rule_id, field, parameters, description FROM fx_rules_raw")
 def _scan_csv(spark, sf):
     folder = _scratch(spark, "rules-csv")

@@ -148,14 +148,10 @@ SELECT rule_id, arg_min(field_name, (inspection_id, line_no)) AS name, count(*)
 FROM fx_checks WHERE status = 'FAIL' GROUP BY rule_id ORDER BY n DESC, rule_id LIMIT 5
 """)
 def _top_violations(spark, sf):
-    failed = fx.checks(spark, sf).where("status = 'FAIL'").select(
-        "inspection_id",
-        "line_no",
-        "rule_id",
-        F.col("field_name").alias("target_parameter"),
-        F.lit(None).cast("string").alias("detected_issue"),
-    )
-    return ledger.top_violations(failed, ["inspection_id", "line_no"])
+    found = F.struct("line_no", "rule_id", F.col("field_name").alias("target_parameter"))
+    stored = fx.checks(spark, sf).where("status = 'FAIL'").groupBy("inspection_id").agg(
+        F.to_json(F.array_sort(F.collect_list(found))).alias("violations_json"))
+    return ledger.top_violations(ledger.explode_violations(stored), ["inspection_id", "position"])
 
 
 query("admin_summary", f"""
@@ -339,12 +335,13 @@ def _trail(spark, sf):
     )
 
 
-query("export_csv", """
+EXPORT_SQL = """
 SELECT inspection_id AS "Inspection ID", product_name AS "Product Name", coalesce(category, '') AS "Category",
   coalesce(location, '') AS "Location", inspector_name AS "Inspector Name", overall_status AS "Status",
   cast(overall_confidence AS varchar) AS "Compliance %",
   CASE WHEN route_7b_triggered THEN 'YES' ELSE 'NO' END AS "Route 7B",
   coalesce(officer_decision, '') AS "Officer Decision", coalesce(officer_name, '') AS "Officer Name",
   strftime(created_at, '%d/%m/%Y') AS "Scan Date"
-FROM fx_inspections WHERE upper(overall_status) LIKE '%7B%'
-""")(lambda spark, sf: ledger.export_rows(fx.inspections(spark, sf), "violations"))
+FROM fx_inspections
+"""
+query("export_csv", f"{EXPORT_SQL} WHERE upper(overall_status) LIKE '%7B%'")(lambda spark, sf: ledger.export_rows(fx.inspections(spark, sf), "violations"))

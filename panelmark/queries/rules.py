@@ -435,16 +435,16 @@ SELECT inspection_id, CASE WHEN round(avg(confidence), 2) < 75 THEN 'Text was no
     "inspection_id", ru.low_confidence_warning(F.col("mean_confidence"), F.lit(1)).alias("warning")))
 
 _IMAGE = [
-    "inspection_id", "cast(line_no % 3 AS int) AS image_index", "confidence", "confidence - 10 AS quality_score",
+    "inspection_id", "cast(line_no AS int) AS image_index", "confidence", "confidence - 10 AS quality_score",
     "CASE WHEN line_no % 3 = 1 AND seq % 2 = 0 THEN concat('89', cast(seq AS {s})) END AS barcode", "text AS raw_text",
     "line_no * 1.5 AS ocr_ms", "seq % 7 * 1.0 AS pre_ms", "line_no * 2.5 AS decl_ms",
 ]
-EXTRA_VIEWS["vx_images"] = f"SELECT {', '.join(_IMAGE).replace('{s}', 'varchar')} FROM fx_label_lines WHERE line_no <= 3"
+EXTRA_VIEWS["vx_images"] = f"SELECT {', '.join(_IMAGE).replace('{s}', 'varchar')} FROM fx_label_lines"
 
 
 def images(spark, sf):
     columns = [c.replace("{s}", "string") for c in _IMAGE]
-    return fx.label_lines(spark, sf).where("line_no <= 3").selectExpr(*columns)
+    return fx.label_lines(spark, sf).selectExpr(*columns)
 
 
 query("multi_image_rollup", """
@@ -682,12 +682,14 @@ query("explain_checks")(lambda spark, sf: ms.explain_checks(verdicts(spark, sf),
 @query("unrelated_label", """
 SELECT inspection_id, contains(upper(t), 'REGRET THE INCONVENIENCE') OR contains(upper(t), 'PAGE COULD NOT BE FOUND')
   OR (NOT has_name AND NOT has_price AND NOT has_quantity AND length(trim(t)) > 0 AND NOT contains(upper(t), 'MRP') AND NOT contains(upper(t), 'QTY')) AS unrelated FROM (
-SELECT inspection_id, string_agg(text, chr(10) ORDER BY line_no) AS t, bool_or(line_no = 1 AND seq % 3 = 0) AS has_name, bool_or(line_no = 3) AS has_price,
-  bool_or(line_no = 2) AS has_quantity FROM fx_label_lines WHERE NOT (line_no IN (2, 3) AND seq % 4 = 0) GROUP BY inspection_id) u
+SELECT inspection_id, string_agg(text, chr(10) ORDER BY line_no) AS t, bool_or(line_no = 1 AND seq % 3 = 0) AS has_name, bool_or(line_no = 3 AND text <> '') AS has_price,
+  bool_or(line_no = 2 AND text <> '') AS has_quantity FROM (SELECT * REPLACE (CASE WHEN line_no IN (2, 3) AND seq % 4 = 0 THEN '' ELSE text END AS text) FROM fx_label_lines) r GROUP BY inspection_id) u
 """)
 def _unrelated(spark, sf):
-    kept = fx.label_lines(spark, sf).where("NOT (line_no IN (2, 3) AND seq % 4 = 0)")
-    return ms.unrelated_label(kept, F.expr("line_no = 1 AND seq % 3 = 0"), F.expr("line_no = 3"), F.expr("line_no = 2"))
+    """Some packages have nothing on the lines of their quantity and price."""
+    read = fx.label_lines(spark, sf).withColumn("text", F.expr("CASE WHEN line_no IN (2, 3) AND seq % 4 = 0 THEN '' ELSE text END"))
+    return ms.unrelated_label(
+        read, F.expr("line_no = 1 AND seq % 3 = 0"), F.expr("line_no = 3 AND text <> ''"), F.expr("line_no = 2 AND text <> ''"))
 
 
 def _said(no: int) -> str:

@@ -8,6 +8,7 @@ from panelmark import constants as C
 from panelmark import fixtures as fx
 from panelmark.functions import text as tx
 from panelmark.functions import values as vx
+from panelmark.operators import extract as ex
 from panelmark.operators import slices
 from panelmark.queries.registry import EXTRA_VIEWS, query
 
@@ -62,9 +63,10 @@ SELECT inspection_id, seq, NOT (trim(coalesce(category, '')) = ''
     "inspection_id", "seq", tx.valid_value("category").alias("is_valid")))
 
 query("min_confidence", """
-SELECT inspection_id, line_no, confidence FROM fx_label_lines WHERE coalesce(confidence / 100.0, 1.0) >= 0.8
-""")(lambda spark, sf: fx.label_lines(spark, sf)
-     .where(F.coalesce(F.col("confidence") / 100.0, F.lit(1.0)) >= 0.8)
+SELECT inspection_id, line_no, c AS confidence FROM (SELECT *, CASE seq % 3 WHEN 0 THEN confidence - 20 WHEN 1 THEN confidence / 100.0 - 0.3 END AS c FROM fx_label_lines) t
+WHERE c IS NULL OR c >= 40 OR c BETWEEN 0.4 AND 1
+""")(lambda spark, sf: ex.confident_lines(fx.label_lines(spark, sf).withColumn(
+    "confidence", F.expr("CASE seq % 3 WHEN 0 THEN confidence - 20 WHEN 1 THEN confidence / 100.0D - 0.3D END")))
      .select("inspection_id", "line_no", "confidence"))
 
 _DIGITS = r"regexp_replace(text, '[^0-9]', '', 'g')"

@@ -56,7 +56,7 @@ def read_rules_json(spark: SparkSession, paths: list[str], schema: str = RULE_SC
     both = f"{schema}, rules array<struct<{schema}>>"
     read = spark.read.schema(both).option("multiLine", True).json(path)
     wrapped = read.where("rules IS NOT NULL").select(F.explode("rules").alias("r")).select("r.*")
-    listed = read.where("rules IS NULL").drop("rules")
+    listed = read.where("rules IS NULL").select(wrapped.columns)
     return listed.unionByName(wrapped).where("rule_id IS NOT NULL AND rule_id <> ''")
 
 
