@@ -117,10 +117,17 @@ SELECT inspection_id, field_name AS field, 0 AS priority, value, {_SCALED} AS co
 UNION ALL SELECT inspection_id, field, priority, value, {_SCALED} FROM vx_decl JOIN vx_aliases ON candidate = field_name
   WHERE trim(coalesce(value, '')) <> '' AND NOT {_BAD}) t GROUP BY inspection_id, field
 """
+# what is given, and the tax clause that the price text implies (with the price's confidence as it stands, not scaled)
+EXTRA_VIEWS["vx_given"] = f"""
+SELECT inspection_id, field, value, confidence FROM vx_resolved
+UNION ALL SELECT inspection_id, 'mrp_inclusive_tax', 'Inclusive of all taxes', coalesce(nullif(confidence, 0), 90) FROM vx_decl
+  WHERE field_name = 'mrp' AND {sql_any('lower(value)', C.TAX_WORDS)}
+    AND inspection_id NOT IN (SELECT inspection_id FROM vx_resolved WHERE field = 'mrp_inclusive_tax')
+"""
 query("resolve_alias", """
-SELECT * REPLACE (round(confidence, 4) AS confidence) FROM vx_resolved WHERE field NOT IN ('mrp_inclusive_tax', 'tax_inclusive', 'inclusive_tax', 'tax_clause')
+SELECT * REPLACE (round(confidence, 4) AS confidence) FROM vx_resolved
 """)(lambda spark, sf: screening.resolve_aliases(declarations(spark, sf)).where(
-    "priority < 1000 AND field NOT IN ('mrp_inclusive_tax', 'tax_inclusive', 'inclusive_tax', 'tax_clause')").select(
+    "priority < 1000").select(
     "inspection_id", "field", "entry.value", F.round("entry.confidence", 4).alias("confidence")))
 
 
@@ -277,8 +284,8 @@ LEFT JOIN vx_resolved b ON b.inspection_id = a.inspection_id AND b.field = 'batc
 WHERE r.field_name NOT IN ('unit_of_measurement', 'mrp_inclusive_tax', 'unit_sale_price')
 """
 _DATE_V, _DATE_M = sql_label_date("v"), sql_label_date("made")
-EXTRA_VIEWS["vx_verdicts"] = f"""
-SELECT inspection_id, rule_id, severity, mand, CASE
+EXTRA_VIEWS["vx_base_verdicts"] = f"""
+SELECT inspection_id, rule_id, severity, CASE
   WHEN field_name = 'mrp' THEN CASE WHEN (CASE WHEN {_DET} THEN conf ELSE overall END) < 85 THEN 'NEEDS_REVIEW'
     WHEN NOT ({_DET}) THEN 'FAIL' ELSE 'PASS' END
   WHEN rule_type IN ('MANDATORY_FIELD', 'PRESENCE') THEN CASE WHEN {_DET} THEN CASE WHEN conf >= 75 THEN 'PASS' ELSE 'NEEDS_REVIEW' END ELSE {_MISS_Q} END
@@ -298,15 +305,25 @@ SELECT inspection_id, rule_id, severity, mand, CASE
   ELSE 'PASS' END AS status FROM (SELECT *, {_DATE_V} AS dv, {_DATE_M} AS dm FROM vx_pairs) t
 """
 
-_DERIVED_RULES = "('PK-06-1-C-UNIT', 'PK-06-1-E-TAX', 'PK-10-USP')"
-
-
-def verdicts(spark, sf):
-    return screened(spark, sf).where(f"rule_id NOT IN {_DERIVED_RULES}")
-
+_MISSING_CORE = "CASE WHEN overall_confidence >= 85 THEN 'FAIL' ELSE 'NEEDS_REVIEW' END"
+EXTRA_VIEWS["vx_verdicts"] = f"""
+SELECT inspection_id, rule_id, severity, status FROM vx_base_verdicts
+UNION ALL SELECT a.inspection_id, a.rule_id, 'HIGH', CASE WHEN (CASE WHEN s.value IS NULL THEN overall_confidence ELSE s.confidence END) < 85 THEN 'NEEDS_REVIEW'
+    WHEN s.value IS NULL THEN 'FAIL' ELSE 'PASS' END
+  FROM vx_applicable a JOIN vx_packages USING (inspection_id) LEFT JOIN vx_given s ON s.inspection_id = a.inspection_id AND s.field = 'mrp_inclusive_tax'
+  WHERE a.rule_id = 'PK-06-1-E-TAX'
+UNION ALL SELECT a.inspection_id, a.rule_id, 'HIGH', CASE WHEN s.value IS NULL THEN {_MISSING_CORE}
+    WHEN {sql_map(C.UNIT_SPELLINGS, 'lower(s.value)', 'lower(s.value)')} IN ('g', 'kg', 'mg', 'ml', 'l') THEN 'PASS' WHEN s.confidence >= 75 THEN 'FAIL' ELSE 'REVIEW' END
+  FROM vx_applicable a JOIN vx_packages USING (inspection_id) LEFT JOIN vx_resolved s ON s.inspection_id = a.inspection_id AND s.field = 'unit_of_measurement'
+  WHERE a.rule_id = 'PK-06-1-C-UNIT'
+UNION ALL SELECT a.inspection_id, a.rule_id, 'MEDIUM', CASE WHEN s.value IS NOT NULL OR (m.value IS NOT NULL AND q.value IS NOT NULL) THEN 'PASS' ELSE {_MISSING_CORE} END
+  FROM vx_applicable a JOIN vx_packages USING (inspection_id) LEFT JOIN vx_resolved s ON s.inspection_id = a.inspection_id AND s.field = 'unit_sale_price'
+  LEFT JOIN (SELECT * FROM vx_decl WHERE field_name = 'mrp') m ON m.inspection_id = a.inspection_id
+  LEFT JOIN (SELECT * FROM vx_decl WHERE field_name = 'net_quantity') q ON q.inspection_id = a.inspection_id WHERE a.rule_id = 'PK-10-USP'
+"""
 
 query("evaluate_all", "SELECT inspection_id, rule_id, status FROM vx_verdicts")(
-    lambda spark, sf: verdicts(spark, sf).select("inspection_id", "rule_id", "status"))
+    lambda spark, sf: screened(spark, sf).select("inspection_id", "rule_id", "status"))
 
 _KINDS = {
     "eval_mandatory": "rule_type IN ('MANDATORY_FIELD', 'PRESENCE') AND field_name <> 'mrp'",
@@ -322,7 +339,7 @@ for _name, _where in _KINDS.items():
 SELECT v.inspection_id, v.rule_id, v.status FROM vx_verdicts v JOIN vx_rules r USING (rule_id) WHERE {_where}
 """)(lambda spark, sf, w=_where: screening.screen(
         packages(spark, sf), declarations(spark, sf),
-        catalog.rules(spark).where(w + f" AND rule_id NOT IN {_DERIVED_RULES}"), TODAY).select("inspection_id", "rule_id", "status"))
+        catalog.rules(spark).where(w), TODAY).select("inspection_id", "rule_id", "status"))
 
 query("eval_value", rf"""
 SELECT a.inspection_id, a.rule_id, CASE WHEN u IS NULL THEN CASE WHEN overall_confidence >= 85 THEN 'FAIL' ELSE 'NEEDS_REVIEW' END
@@ -334,10 +351,13 @@ WHERE a.rule_id = 'PK-06-1-C-UNIT'
     packages(spark, sf), priced(spark, sf), catalog.rules(spark).where("rule_id = 'PK-06-1-C-UNIT'"), TODAY).select(
     "inspection_id", "rule_id", "status"))
 
-query("adjudicate_missing", f"""
-SELECT inspection_id, rule_id, status FROM vx_verdicts JOIN (SELECT inspection_id, rule_id, v FROM vx_pairs) p USING (inspection_id, rule_id)
-WHERE v IS NULL AND rule_id <> 'PK-06-1-AA'
-""")(lambda spark, sf: verdicts(spark, sf).where("extracted_value IS NULL AND rule_id <> 'PK-06-1-AA'").select(
+EXTRA_VIEWS["vx_said"] = """
+SELECT a.inspection_id, a.rule_id, s.value AS v FROM vx_applicable a JOIN vx_rules r USING (rule_id)
+LEFT JOIN vx_given s ON s.inspection_id = a.inspection_id AND s.field = r.field_name
+"""
+query("adjudicate_missing", """
+SELECT inspection_id, rule_id, status FROM vx_verdicts JOIN vx_said USING (inspection_id, rule_id) WHERE v IS NULL
+""")(lambda spark, sf: screened(spark, sf).where("extracted_value IS NULL").select(
     "inspection_id", "rule_id", "status"))
 
 query("confidence_scale", f"SELECT inspection_id, line_no, round({_SCALED}, 4) AS confidence FROM vx_decl")(
@@ -345,8 +365,8 @@ query("confidence_scale", f"SELECT inspection_id, line_no, round({_SCALED}, 4) A
         "inspection_id", "line_no", F.round(vx.scaled_confidence("confidence"), 4).alias("confidence")))
 
 query("evidence_column", """
-SELECT inspection_id, rule_id, CASE WHEN v IS NOT NULL THEN 'FOUND' ELSE 'NO_RELIABLE_OCR_EVIDENCE_FOUND' END AS evidence_status FROM vx_pairs
-""")(lambda spark, sf: verdicts(spark, sf).select("inspection_id", "rule_id", "evidence_status"))
+SELECT inspection_id, rule_id, CASE WHEN v IS NOT NULL THEN 'FOUND' ELSE 'NO_RELIABLE_OCR_EVIDENCE_FOUND' END AS evidence_status FROM vx_said
+""")(lambda spark, sf: screened(spark, sf).select("inspection_id", "rule_id", "evidence_status"))
 
 _NORM_FIELD = "CASE line_no WHEN 2 THEN 'net_quantity' WHEN 3 THEN 'mrp' WHEN 4 THEN 'mfg_date' WHEN 5 THEN 'expiry_date' WHEN 7 THEN 'fssai_license' WHEN 12 THEN 'unit' ELSE 'note' END"
 _NT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -607,8 +627,9 @@ def labels_declared(spark, sf):
 
 
 # the same views over extracted declarations and inferred categories
-_SAME = {"vx_decl": "vx_label_decl", "vx_packages": "vx_label_packages", "vx_resolved": "vx_label_resolved",
-         "vx_applicable": "vx_label_applicable", "vx_pairs": "vx_label_pairs", "vx_verdicts": "vx_label_verdicts"}
+_SAME = {"vx_decl": "vx_label_decl", "vx_packages": "vx_label_packages", "vx_resolved": "vx_label_resolved", "vx_given": "vx_label_given",
+         "vx_applicable": "vx_label_applicable", "vx_pairs": "vx_label_pairs",
+         "vx_base_verdicts": "vx_label_base_verdicts", "vx_verdicts": "vx_label_verdicts"}
 
 
 def _on_labels(sql: str) -> str:
@@ -623,7 +644,7 @@ SELECT p.* REPLACE (CASE WHEN coalesce(category, '') NOT IN ('', 'ALL') THEN cat
 FROM vx_packages p LEFT JOIN (SELECT inspection_id, max(value) FILTER (field_name = 'product_name') AS name, max(value) FILTER (field_name = 'fssai_license') AS lic
   FROM vx_label_decl GROUP BY 1) d USING (inspection_id)
 """
-for _view in ("vx_resolved", "vx_applicable"):
+for _view in ("vx_resolved", "vx_given", "vx_applicable"):
     EXTRA_VIEWS[_SAME[_view]] = _on_labels(EXTRA_VIEWS[_view])
 EXTRA_VIEWS["vx_label_pairs"] = f"""
 SELECT t.*, d.verdict FROM ({_on_labels(EXTRA_VIEWS['vx_pairs'])}) t
@@ -631,22 +652,8 @@ LEFT JOIN vx_label_decl d ON d.inspection_id = t.inspection_id AND d.field_name
 """
 _PLAIN_PRICE = f"WHEN NOT ({_DET}) THEN 'FAIL' ELSE 'PASS' END"
 _JUDGED_PRICE = f"WHEN verdict = 'CANNOT_VERIFY' THEN 'NEEDS_REVIEW' WHEN NOT ({_DET}) OR verdict = 'VIOLATION' THEN 'FAIL' ELSE 'PASS' END"
-_MISSING_CORE = "CASE WHEN overall_confidence >= 85 THEN 'FAIL' ELSE 'NEEDS_REVIEW' END"
-EXTRA_VIEWS["vx_label_verdicts"] = f"""
-SELECT inspection_id, rule_id, severity, status FROM ({_on_labels(EXTRA_VIEWS['vx_verdicts']).replace(_PLAIN_PRICE, _JUDGED_PRICE)}) base
-UNION ALL SELECT a.inspection_id, a.rule_id, 'HIGH', CASE WHEN (CASE WHEN s.value IS NULL THEN overall_confidence ELSE s.confidence END) < 85 THEN 'NEEDS_REVIEW'
-    WHEN s.value IS NULL THEN 'FAIL' ELSE 'PASS' END
-  FROM vx_label_applicable a JOIN vx_label_packages USING (inspection_id) LEFT JOIN vx_label_resolved s ON s.inspection_id = a.inspection_id AND s.field = 'mrp_inclusive_tax'
-  WHERE a.rule_id = 'PK-06-1-E-TAX'
-UNION ALL SELECT a.inspection_id, a.rule_id, 'HIGH', CASE WHEN s.value IS NULL THEN {_MISSING_CORE}
-    WHEN {sql_map(C.UNIT_SPELLINGS, 'lower(s.value)', 'lower(s.value)')} IN ('g', 'kg', 'mg', 'ml', 'l') THEN 'PASS' WHEN s.confidence >= 75 THEN 'FAIL' ELSE 'REVIEW' END
-  FROM vx_label_applicable a JOIN vx_label_packages USING (inspection_id) LEFT JOIN vx_label_resolved s ON s.inspection_id = a.inspection_id AND s.field = 'unit_of_measurement'
-  WHERE a.rule_id = 'PK-06-1-C-UNIT'
-UNION ALL SELECT a.inspection_id, a.rule_id, 'MEDIUM', CASE WHEN s.value IS NOT NULL OR (m.value IS NOT NULL AND q.value IS NOT NULL) THEN 'PASS' ELSE {_MISSING_CORE} END
-  FROM vx_label_applicable a JOIN vx_label_packages USING (inspection_id) LEFT JOIN vx_label_resolved s ON s.inspection_id = a.inspection_id AND s.field = 'unit_sale_price'
-  LEFT JOIN (SELECT * FROM vx_label_decl WHERE field_name = 'mrp') m ON m.inspection_id = a.inspection_id
-  LEFT JOIN (SELECT * FROM vx_label_decl WHERE field_name = 'net_quantity') q ON q.inspection_id = a.inspection_id WHERE a.rule_id = 'PK-10-USP'
-"""
+EXTRA_VIEWS["vx_label_base_verdicts"] = _on_labels(EXTRA_VIEWS["vx_base_verdicts"]).replace(_PLAIN_PRICE, _JUDGED_PRICE)
+EXTRA_VIEWS["vx_label_verdicts"] = _on_labels(EXTRA_VIEWS["vx_verdicts"])
 
 
 @query("screen_packages", f"""
@@ -673,9 +680,9 @@ def screen_packages(spark, sf):
 query("screen_declarations", f"""
 SELECT inspection_id, total, failed, {_OVERALL} AS overall_status FROM (SELECT inspection_id, count(*) AS total, count(*) FILTER (status = 'FAIL') AS failed,
   count(*) FILTER (status IN ('NEEDS_REVIEW', 'REVIEW')) AS review FROM vx_verdicts GROUP BY 1) t
-""")(lambda spark, sf: ru.judge(verdicts(spark, sf)).select("inspection_id", "total", "failed", "overall_status"))
+""")(lambda spark, sf: ru.judge(screened(spark, sf)).select("inspection_id", "total", "failed", "overall_status"))
 
-query("explain_checks")(lambda spark, sf: ms.explain_checks(verdicts(spark, sf), declarations(spark, sf), catalog.explain_alias_table(spark),
+query("explain_checks")(lambda spark, sf: ms.explain_checks(screened(spark, sf), declarations(spark, sf), catalog.explain_alias_table(spark),
                                                             catalog.box_fallback_table(spark), fx.label_lines(spark, sf)))
 
 
