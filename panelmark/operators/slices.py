@@ -21,15 +21,23 @@ from pyspark.sql.window import Window
 from panelmark.session import cut
 
 SLICE = "_slice"
+ROW = "_in_slice"
 
 
-def slice_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def slice_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], row: str | None = None) -> DataFrame:
     """Rows in (key, order) ranges, with the range number in ``_slice``.
 
     The range exchange samples its bounds, so the result is written once: a
     later read, or a retry after a lost executor, must not see other bounds.
+    ``row`` names a column for the number (from 1) of a row in its sorted
+    slice.
     """
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    keyed = [F.col(k) for k in keys]
+    ranged = df.repartitionByRange(*keyed, *order)
+    if row:
+        # the lower 33 bits of this identifier count the rows of a task
+        counted = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+        ranged = ranged.sortWithinPartitions(*keyed, *order).withColumn(row, counted)
     return cut(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
@@ -79,8 +87,12 @@ def running_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
 ) -> DataFrame:
     """``row_number()`` over (keys, order)."""
-    sliced = slice_by(df, keys, order)
-    local = sliced.withColumn(name, F.row_number().over(_inside(keys, order)).cast("long"))
+    # without keys rows are numbered where the slice is written, so that they need not move once more
+    sliced = slice_by(df, keys, order, row=None if keys else ROW)
+    if keys:
+        local = sliced.withColumn(name, F.row_number().over(_inside(keys, order)).cast("long"))
+    else:
+        local = sliced.withColumn(name, F.col(ROW)).drop(ROW)
     state = _edge_state(sliced, keys, F.count("*").alias("_rows"))
     state = state.withColumn("_carry", F.sum("_rows").over(_earlier(keys)))
     joined = _attach(local, state, keys, "_carry")
