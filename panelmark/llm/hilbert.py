@@ -104,10 +104,12 @@ def order(docs: DataFrame, numbers: Sequence[str], strings: Sequence[str], bits:
         cells.append(F.coalesce(F.col(cell), F.lit(0)))
     keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate([*numbers, *strings])]
     ties = [F.col(f"_k{i}") for i in range(len(keys))]
-    narrow = rows.select(*carry, *keys, hilbert_index(cells, bits).alias("hilbert"))
-    total = ["text_crc32", "doc_id"]
-    placed = slices.running_position(narrow, [], [F.col("hilbert"), *ties, *[F.col(c) for c in total]], "position")
-    return placed.withColumn("position", F.col("position") - 1).select(*carry, "hilbert", "position")
+    # carried columns get plain names on the way, as theirs may clash with those made here
+    plain = {c: f"_d{i}" for i, c in enumerate(carry)}
+    narrow = rows.select(*[F.col(c).alias(n) for c, n in plain.items()], *keys, hilbert_index(cells, bits).alias("hilbert"))
+    total = [F.col(plain[c]) for c in ("text_crc32", "doc_id")]
+    placed = slices.running_position(narrow, [], [F.col("hilbert"), *ties, *total], "position")
+    return placed.select(*[F.col(n).alias(c) for c, n in plain.items()], "hilbert", (F.col("position") - 1).alias("position"))
 
 
 def shard(docs: DataFrame, shards: int = 16, numbers: Sequence[str] = ("size",), strings: Sequence[str] = ("lang", "source"),

@@ -142,12 +142,12 @@ def mix(
     limits = _thresholds(rows, levels, _small(plan.where("rest > 0")), seed)
     plan = _small(cut(plan.join(limits, levels, "left")))
     made = {free_name(docs, f"_mix{i}"): c for i, c in enumerate(levels)}
-    right = plan.select(*[F.col(c).alias(n) for n, c in made.items()], F.col("epochs").alias("_epochs"), F.col("last_key").alias("_last"))
+    epochs, last, copies = (free_name(docs, n) for n in ("_epochs", "_last", "_copies"))
+    right = plan.select(*[F.col(c).alias(n) for n, c in made.items()], F.col("epochs").alias(epochs), F.col("last_key").alias(last))
     match = [p == F.col(n) for p, n in zip([name(domain), name(F.col(lang)), name(F.col(source))], made)]
     joined = docs.join(right, match[0] & match[1] & match[2])
-    extra = (order_key(seed, F.col("_epochs"), F.col("doc_id")) <= F.col("_last")).cast("long")
-    copies = F.col("_epochs") + F.coalesce(extra, F.lit(0))
-    chosen = joined.withColumn("_copies", copies).where("_copies > 0")
+    extra = (order_key(seed, F.col(epochs), F.col("doc_id")) <= F.col(last)).cast("long")
+    chosen = joined.withColumn(copies, F.col(epochs) + F.coalesce(extra, F.lit(0))).where(F.col(copies) > 0)
     return chosen.select(
         *docs.columns, F.col(next(iter(made))).alias("mix_domain"), token_count(F.col("text").cast("string")).alias("mix_tokens"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("mix_epoch"))
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1)).alias("mix_epoch"))

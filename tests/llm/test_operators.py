@@ -293,6 +293,17 @@ def test_shards_on_odd_rows(odd, none):
         assert hilbert.shard(none, whole=whole).count() == 0
 
 
+def test_mixing_and_shards_keep_columns_named_like_those_inside(odd):
+    names = ["_slice", "_in_slice", "_carry", "_rows", "_at", "_k0", "_d0", "_epochs", "_last", "_copies", "_mix0", "_domain"]
+    crowded = odd.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    sharded = hilbert.shard(crowded, shards=4)
+    mixed = mixing.mix(crowded, F.lit("d"), {}, Fraction(1), seed=3)
+    for found in (sharded, mixed):
+        rows = found.collect()
+        assert len(rows) == odd.count()
+        assert {tuple(r[n] for n in names) for r in rows} == {tuple(range(len(names)))}
+
+
 def test_curve_steps_to_neighbours(spark):
     for n, bits in ((2, 4), (3, 3)):
         cells = spark.range(1 << n * bits).select(*[F.shiftright("id", i * bits).bitwiseAND((1 << bits) - 1).alias(f"c{i}") for i in range(n)])
