@@ -4,7 +4,7 @@ Validated values are permuted inside their own format with a keyed Feistel
 network, so a value gives the same pseudonym in every document and the key
 holder can undo it. What is validated:
 
-card     13-19 digits, Luhn; the first digit stays, the check digit is made anew
+card     13-19 digits in whole groups, Luhn; the first digit stays, the check digit is made anew
 iban     country, two check digits, mod 97; digits stay digits, letters letters
 ssn      AAA-GG-SSSS with the ranges in use
 phone    +1 (AAA) EEE-NNNN in the usual spellings, area and exchange from 200 on
@@ -14,16 +14,27 @@ email    letters and digits of the local part
 
 Values that do not validate stay as they are, and so does all other text.
 
+Cards and IBANs are looked for at all borders of groups, so numbers, codes,
+dates or words next to them do no harm. Of spans that overlap a validated IBAN
+wins; then a card written in one group or in the usual ones (4-4-4-4, 4-6-5,
+4-6-4), then in groups of four with a shorter last one or 6 and more; then the
+other kinds as listed; last cards in any other groups. Within these the first
+span that validates wins, so a number that happens to validate together with
+a part of a card (one in ten, if its groups look like a card's) is taken for
+one. A pseudonym that would make an overlapping span of better standing valid
+is permuted again, as otherwise it could not be undone; only there do equal
+values get different pseudonyms.
+
 Defined cases: a null text stays null, with zero counts; an empty one stays
-empty. Rows that repeat get equal results. Texts are read whole. Of values
-that overlap the kind that comes first in the list wins.
+empty. Rows that repeat get equal results. Texts are read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
@@ -33,14 +44,23 @@ from panelmark.llm.common import free_name, text_udf
 
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email")
 PATTERNS = {
-    "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])(?!\.\d)"),
+    "card": re.compile(r"[0-9](?:[ -]?[0-9]){12,}"),  # a run of groups; _cards has the borders
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    "phone": re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"),
+    "phone": re.compile(r"(?<![\w+])(?:\+?\d[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"),
     "ip": re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w)(?!\.\d)"),
     "date": re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-])(?!\.\d)"),
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
 }
+#: total length by country; others are tried at each blank
+_IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21,
+    "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MT": 31, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29,
+}
+_USUAL = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
 SCHEMA = "text string, n_found long, " + ", ".join(f"n_{k} long" for k in KINDS)
 _FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
@@ -147,7 +167,7 @@ def _ssn(move, found: str) -> str | None:
 def _phone(move, found: str) -> str | None:
     digits = re.sub(r"\D", "", found)
     prefix, (area, exchange, line) = digits[:-10], (int(digits[-10:-7]), int(digits[-7:-4]), int(digits[-4:]))
-    if area < 200 or exchange < 200:
+    if prefix not in ("", "1") or area < 200 or exchange < 200:
         return None
     x = move(((area - 200) * 800 + exchange - 200) * 10**4 + line, 800 * 800 * 10**4, "phone")
     return _like(found, f"{prefix}{x // 10**4 // 800 + 200}{x // 10**4 % 800 + 200}{x % 10**4:04d}")
@@ -191,7 +211,82 @@ def _email(move, found: str) -> str | None:
 
 
 _CHANGE = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date, "email": _email}
-_DIGIT = re.compile(r"[0-9]")
+#: the number behind a digit that is no country prefix, or ends a card
+_LOCAL_PHONE = re.compile(PATTERNS["phone"].pattern.replace(r"(?:\+?\d[ .-]?)?", ""))
+_DIGIT, _GROUP = re.compile(r"[0-9]"), re.compile(r"[0-9]+")
+
+
+def _standing(sizes: tuple[int, ...]) -> int:
+    if len(sizes) == 1 or sizes in _USUAL:
+        return 0
+    fours = len(sizes) > 1 and all(n == 4 for n in sizes[:-1]) and sizes[-1] <= 4
+    return 1 if fours or len(sizes) == 2 and sizes[0] == 6 else 2
+
+
+def _cards(text: str) -> list[tuple[int, int, int]]:
+    """(standing, start, end) of all runs of 13 to 19 digits between borders of groups, best first.
+
+    A word of groups with hyphens between them counts if all of it stands free.
+    """
+    out = []
+    for run in PATTERNS["card"].finditer(text):
+        groups = [(m.start(), m.end()) for m in _GROUP.finditer(text, *run.span())]
+        word, words = 0, []
+        for k, (a, _) in enumerate(groups):
+            word += k > 0 and text[a - 1] == " "
+            words.append(word)
+        left = run.start() == 0 or not re.match(r"[\w.+-]", text[run.start() - 1])
+        right = not re.compile(r"[\w-]|\.\d").match(text, run.end())
+        for i, (a, _) in enumerate(groups):
+            if not left and words[i] == 0:
+                continue
+            sizes: tuple[int, ...] = ()
+            for j in range(i, len(groups)):
+                sizes += (groups[j][1] - groups[j][0],)
+                if sum(sizes) > 19 or not right and words[j] == word:
+                    break
+                if sum(sizes) < 13:
+                    continue
+                cut = i and words[i - 1] == words[i] or j + 1 < len(groups) and words[j + 1] == words[j]
+                out.append((2 if cut and words[i] != words[j] else _standing(sizes), a, groups[j][1]))
+    return sorted(out, key=lambda x: (x[0], x[1], -x[2]))
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start: the length of the country first, then all ends at blanks, longest first."""
+    m = PATTERNS["iban"].search(text)
+    while m:
+        ends = [m.end(), *(k for k in range(m.end() - 1, m.start(), -1) if text[k] == " ")]
+        own = _IBAN_LENGTHS.get(m[0][:2])
+        for end in sorted(ends, key=lambda e: len(text[m.start():e].replace(" ", "")) != own):
+            yield m.start(), end
+        m = PATTERNS["iban"].search(text, m.start() + 1)
+
+
+def _spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Where values may be, in the order in which they are taken."""
+    digits = _DIGIT.search(text)
+    if digits:
+        yield from (("iban", *span) for span in _ibans(text))
+        cards = _cards(text)
+        yield from (("card", a, b) for standing, a, b in cards if standing < 2)
+    for kind in KINDS[2:]:
+        if digits if kind != "email" else "@" in text:
+            yield from ((kind, *m.span()) for m in PATTERNS[kind].finditer(text))
+        if kind == "phone" and digits:
+            yield from ((kind, *m.span()) for m in _LOCAL_PHONE.finditer(text))
+    if digits:
+        yield from (("card", a, b) for standing, a, b in cards if standing == 2)
+
+
+def _valid(kind: str, found: str) -> bool:
+    return found.isascii() and _CHANGE[kind](lambda x, *_: x, found) is not None
+
+
+def _meets(spans: list[tuple], a: int, b: int) -> bool:
+    """Whether one of the spans, sorted and apart from each other, overlaps a..b."""
+    k = bisect_left(spans, (b,))
+    return k > 0 and spans[k - 1][1] > a
 
 
 def change(text: str | None, move) -> tuple:
@@ -199,23 +294,38 @@ def change(text: str | None, move) -> tuple:
     counts = dict.fromkeys(KINDS, 0)
     if not text:
         return text, 0, *counts.values()
-    taken: list[tuple[int, int, str]] = []
-    digits = _DIGIT.search(text)
-    for kind in KINDS:
-        if not (digits if kind != "email" else "@" in text):
+    chosen: list[tuple[int, int, str]] = []
+    failed: list[tuple[int, int, str]] = []
+    turns: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int]] = []
+    for kind, a, b in _spans(text):
+        if _meets(taken, a, b):
             continue
-        for m in PATTERNS[kind].finditer(text):
-            if not m[0].isascii() or any(a < m.end() and m.start() < b for a, b, _ in taken):
-                continue
-            new = _CHANGE[kind](move, m[0])
-            if new is not None:
-                taken.append((*m.span(), new))
-                counts[kind] += 1
+        if _valid(kind, text[a:b]):
+            insort(taken, (a, b))
+            turns.append((a, b, kind))
+            counts[kind] += 1
+        else:
+            failed.append((a, b, kind))
+    failed.sort()
+    longest = max((b - a for a, b, _ in failed), default=0)
+    now = list(text) if failed else []
+    undo = getattr(move, "__func__", None) is Feistel.show
+    for a, b, kind in reversed(turns) if undo else turns:
+        new = _CHANGE[kind](move, text[a:b])
+        # spans that were tried before and overlap; an address of another length moves none of them
+        rivals = [x for x in failed[bisect_left(failed, (a - longest,)):bisect_left(failed, (b,))] if x[1] > a] if len(new) == b - a else []
+        if failed and len(new) == b - a:
+            now[a:b] = new
+        while any(_valid(k, "".join(now[x:y])) for x, y, k in rivals):
+            new = _CHANGE[kind](move, new)
+            now[a:b] = new
+        chosen.append((a, b, new))
     out, last = [], 0
-    for a, b, new in sorted(taken):
+    for a, b, new in sorted(chosen):
         out += [text[last:a], new]
         last = b
-    return "".join(out) + text[last:], len(taken), *counts.values()
+    return "".join(out) + text[last:], len(chosen), *counts.values()
 
 
 def pseudonymiser(key: bytes, undo: bool = False):

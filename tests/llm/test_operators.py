@@ -207,6 +207,30 @@ def test_pseudonyms_keep_format_link_and_can_be_undone(odd, none):
     assert pseudonyms.replace_text(odd, b"k").columns == odd.columns
 
 
+@pytest.mark.parametrize("text", [
+    "pay {card} 123", "{card} 12/25", "in 12 {spaced}", "{spaced} 123", "x 123 456 789 012 {spaced} 7", "{card}-123", "12-{card}",
+    "{card} {card} 99", "{card} 123 {spaced} 456 {card}", "{card} 12.50", "{iban} BANK AB", "{iban} INTERNATIONAL X", "AB12 CDEF {iban} BANKING",
+    "{wide} AB", "IBAN {iban} {card} 12/25"])
+def test_pseudonyms_of_values_next_to_numbers_and_words(text):
+    hide, show = pseudonyms.Feistel(b"k").hide, pseudonyms.Feistel(b"k").show
+    values = {"card": "4041894974608795", "spaced": "4041 8949 7460 8795", "iban": "AT611904300234573201", "wide": "DE89 3704 0044 0532 0130 00"}
+    alone = {k: pseudonyms.change(v, hide)[0] for k, v in values.items()}
+    assert alone["card"] == alone["spaced"].replace(" ", "") and all(alone[k] != v for k, v in values.items())
+    out, n, *_ = pseudonyms.change(text.format(**values), hide)
+    assert out == text.format(**alone) and n == text.count("{")
+    assert pseudonyms.change(out, show)[0] == text.format(**values)
+
+
+def test_pseudonyms_can_be_undone_among_numbers():
+    network, draw, met = pseudonyms.Feistel(b"k"), random.Random(3), 0
+    for _ in range(1000):
+        text = " ".join(str(draw.randrange(10 ** draw.randrange(1, 6))) for _ in range(14))
+        out, n, *_ = pseudonyms.change(text, network.hide)
+        assert pseudonyms.change(out, network.show)[0] == text
+        met += n
+    assert met > 500
+
+
 def test_language_on_odd_rows_and_held_out(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs.where("doc_id % 2 = 0"), sample_per_language=60)
