@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from panelmark.llm.common import ascii_words, free_name, hash_words, mix, window_hashes
 from panelmark.session import cut
@@ -252,13 +253,8 @@ def components(edges: DataFrame, a: str = "fp", b: str = "other") -> DataFrame:
         edges = cut(star(star(edges, True), False))
 
 
-def jaccard_links(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARGET) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id, group_id, n_links, n_linked_classes.
-
-    class_id is the least doc_id with the same shingles, group_id the least
-    one that links lead to, n_links the number of other rows with similarity
-    ``similarity`` or more, n_linked_classes the classes among them.
-    """
+def _linked(docs: DataFrame, similarity: float, target: float) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, fp, labels), and per class _fp, its root, class_id, group_id, n_links, n_linked_classes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = cut(_describe(docs))
     classes = cut(described.where("fp IS NOT NULL").groupBy("fp").agg(
@@ -305,26 +301,53 @@ def jaccard_links(docs: DataFrame, similarity: float = SIMILARITY, target: float
         roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     heads = told.where("classes > 0").groupBy("root").agg(F.min("class_id").alias("group_id"))
     told = told.join(heads, "root", "left").select(
-        F.col("fp").alias("_fp"), "class_id", F.coalesce("group_id", "class_id").alias("group_id"),
+        F.col("fp").alias("_fp"), "root", "class_id", F.coalesce("group_id", "class_id").alias("group_id"),
         (F.col("size") - 1 + F.coalesce("members", F.lit(0))).alias("n_links"), F.coalesce("classes", F.lit(0)).alias("n_linked_classes"))
+    return described, told
+
+
+def jaccard_links(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARGET) -> DataFrame:
+    """Per row of ``docs``: doc_id, class_id, group_id, n_links, n_linked_classes.
+
+    class_id is the least doc_id with the same shingles, group_id the least
+    one that links lead to, n_links the number of other rows with similarity
+    ``similarity`` or more, n_linked_classes the classes among them.
+    """
+    described, told = _linked(docs, similarity, target)
     return described.join(told, F.col("fp") == F.col("_fp"), "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_classes", F.lit(0)).alias("n_linked_classes"))
 
 
-def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` of which no group has an earlier one: the least doc_id of each group stays.
+@F.pandas_udf(BinaryType())
+def _fingerprints(texts: pd.Series) -> pd.Series:
+    sets = map(shingles, texts)
+    return pd.Series([fingerprint(s) if len(s) else None for s in sets], dtype=object)
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARGET) -> DataFrame:
+    """The rows of ``docs`` that have no near copy, and one row of each group of near copies.
 
-    Rows that share a doc_id go or stay together; of rows that also share
-    their text one stays.
+    The one with the least doc_id stays, a null coming last; of several with
+    that doc_id one class of texts, and of it the least text. Rows are told
+    apart by doc_id and class, so one of another group, or of none, that
+    shares a doc_id with a copy is not touched.
     """
-    links = cut(jaccard_links(docs, similarity))
-    name = free_name(docs, "_gone")
-    doc_id = F.col("doc_id").cast("long")
-    gone = links.where("n_links > 0 AND NOT doc_id <=> group_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(gone, doc_id.eqNullSafe(F.col(name)), "left_anti")
-    twice = cut(links.where("n_links > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)))
+    described, told = _linked(docs, similarity, target)
+    copies = cut(described.select("doc_id", "fp").join(told.where("n_links > 0").select("_fp", "root"), F.col("fp") == F.col("_fp"))
+                 .groupBy("root", "fp", "doc_id").agg(F.count("*").alias("rows")))
+    first = copies.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("first"))
+    id_name, fp_name, own_name = free_name(docs, "_id"), free_name(docs, "_fp"), free_name(docs, "_own")
+    judged = cut(copies.join(first, "root").select(
+        F.col("doc_id").alias(id_name), F.col("fp").alias(fp_name), "rows",
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp"))).alias("stays")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)) & (F.col(own_name) == F.col(fp_name))
+    marked = docs.withColumn(own_name, _fingerprints(F.col("text").cast("string")))
+    kept = marked.join(judged.where("NOT stays").select(id_name, fp_name), same, "left_anti")
+    twice = judged.where("stays AND rows > 1").select(id_name, fp_name)
     if twice.isEmpty():
-        return kept
-    repeated = kept.join(twice, doc_id.eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, doc_id.eqNullSafe(F.col(name)), "left_anti").unionByName(repeated)
+        return kept.drop(own_name)
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = kept.join(twice, same, "left_semi").groupBy(F.col("doc_id").cast("long"), own_name).agg(
+        F.min_by(whole, F.col("text").cast("string")).alias("one")).select("one.*")
+    return kept.join(twice, same, "left_anti").drop(own_name).unionByName(one)

@@ -92,6 +92,21 @@ def test_keep_first_leaves_one_of_each_group(odd, none):
     assert forest.keep_first(none).count() == 0
 
 
+def test_keep_first_tells_rows_with_one_id_apart(spark):
+    base = [sentence(k, 80) for k in range(4)]
+    near = [t.rsplit(" ", 1)[0] + " other" for t in base]
+    rows = [
+        (1, base[0]), (None, near[0]), (None, "clean text without an id"), (None, None), (1, "clean text under the id of a first one"),
+        (2, base[1]), (2, near[1]), (2, "clean text under the id of two copies"), (9, near[1] + " more"),
+        (None, base[2]), (None, near[2]), (None, base[2]),
+        (3, base[3]), (4, near[3]), (4, "clean text under the id of a copy"), (4, None), (4, "")]
+    kept = [tuple(r) for r in forest.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    copies = [[base[k], near[k], near[k] + " more"] for k in range(4)]
+    lone = [r for r in rows if not any(r[1] in c for c in copies)]
+    assert sorted((r for r in kept if not any(r[1] in c for c in copies)), key=repr) == sorted(lone, key=repr)
+    assert [[i for i, t in kept if t in c] for c in copies] == [[1], [2], [None], [3]]
+
+
 def test_components_on_a_long_chain(spark):
     edges = spark.range(60).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("fp"), F.lpad((F.col("id") + 1).cast("string"), 3, "0").alias("other"))
     assert {r["root"] for r in forest.components(edges).collect()} == {"000"}
