@@ -6,12 +6,13 @@ compared once, by its member with the least doc_id.
 
 The forest has ``TREES`` tries. A class hangs in each of them under a label of
 ``DEPTHS[0]`` MinHash values; the classes under one node share the values down
-to it. The join starts with long prefixes and shortens them: at each depth the
-nodes with two or more classes are verified exactly, pair by pair in blocks,
-leaving out pairs that met at a longer prefix or in an earlier tree. The pairs
-found so far tell how many were missed: one of similarity s is met with chance
-1 - (1 - s**depth)**TREES, so it stands for one over that many pairs. Prefixes
-are shortened until the estimate reaches ``target`` (or depth runs out).
+to it. A pair of similarity s is under one node with chance
+1 - (1 - s**depth)**TREES. Prefixes are as long as they may be for a pair just
+at the threshold to reach ``target`` (or depth runs out), so what is found does
+not depend on other texts. For 0.8 and 0.9999 that is depth 2, where such a
+pair is missed with a chance of 5 in a million. The nodes with two or more
+classes are verified exactly, pair by pair in blocks, leaving out pairs that
+met in an earlier tree.
 
 Nodes of any size are cut into blocks, each pair of blocks is a group of its
 own, and links are counted there, not emitted. Only spanning forests of the
@@ -83,10 +84,15 @@ def nodes(values: np.ndarray, depth: int) -> np.ndarray:
     return at
 
 
-def chance(similarity: np.ndarray, depth: int) -> np.ndarray:
+def chance(similarity: float, depth: int) -> float:
     return 1.0 - (1.0 - similarity**depth) ** TREES
 
 
+def depth_for(similarity: float, target: float) -> int:
+    """The longest prefix at which a pair of this similarity is met with chance ``target``, or else the shortest."""
+    return next((d for d in DEPTHS if chance(similarity, d) >= target), DEPTHS[-1])
+
+
 def _describe(docs: DataFrame) -> DataFrame:
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -183,11 +189,11 @@ def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-_VERIFIED = "fp binary, other binary, classes long, members long, found long, wanted array<double>"
+_VERIFIED = "fp binary, other binary, classes long, members long"
 
 
-def _verifier(depth: int, before: int | None, similarity: float):
-    """Exact links between the classes of a node; ``before`` is the longer prefix of the round before."""
+def _verifier(depth: int, similarity: float):
+    """Exact links between the classes of a node."""
 
     def verify(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         tree, _, low, high = key
@@ -202,13 +208,8 @@ def _verifier(depth: int, before: int | None, similarity: float):
         near = [nodes(v, depth) for v in values]
         for t in range(tree):
             open_ &= near[0][:, t][:, None] != near[1][:, t][None, :]
-        if before:
-            far = [nodes(v, before) for v in values]
-            for t in range(TREES):
-                open_ &= far[0][:, t][:, None] != far[1][:, t][None, :]
         sizes = [np.array([len(s) for s in side]) for side in sets]
         common = overlaps(*sets)
-        ratio = common / np.maximum(sizes[0][:, None] + sizes[1][None, :] - common, 1)
         # exact in integers: common / union >= similarity
         num, den = similarity.as_integer_ratio() if similarity != 0.8 else (4, 5)
         linked = open_ & (den * common >= num * (sizes[0][:, None] + sizes[1][None, :] - common))
@@ -217,14 +218,12 @@ def _verifier(depth: int, before: int | None, similarity: float):
         members = [(linked * weight[1][None, :]).sum(axis=1), (linked * weight[0][:, None]).sum(axis=0)]
         rows = []
         for side, n_classes, n_members in zip((left, right), classes, members):
-            rows += [(fp, None, int(c), int(m), 0, None) for fp, c, m in zip(side["fp"], n_classes, n_members) if c]
-        similar = ratio[linked]
-        if len(similar):
-            rows.append((None, None, 0, 0, len(similar), [float((1.0 / chance(similar, d)).sum()) for d in DEPTHS]))
+            rows += [(fp, None, int(c), int(m)) for fp, c, m in zip(side["fp"], n_classes, n_members) if c]
+        if linked.any():
             shift = 0 if low == high else len(left)
             names = list(left["fp"]) + ([] if low == high else list(right["fp"]))
             links = zip(*(x.tolist() for x in np.nonzero(linked)))
-            rows += [(names[i], names[j], 0, 0, 0, None) for i, j in _forest(len(names), ((i, j + shift) for i, j in links))]
+            rows += [(names[i], names[j], 0, 0) for i, j in _forest(len(names), ((i, j + shift) for i, j in links))]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _VERIFIED.split(", ")])
 
     return verify
@@ -259,42 +258,19 @@ def _linked(docs: DataFrame, similarity: float, target: float) -> tuple[DataFram
     described = cut(_describe(docs))
     classes = cut(described.where("fp IS NOT NULL").groupBy("fp").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("labels").alias("labels")))
-    seen, verified, found, wanted = None, [], 0, [0.0] * len(DEPTHS)
-    levels: dict[int, tuple[DataFrame, DataFrame]] = {}
-    sets = None
-    for at, depth in enumerate(DEPTHS):
-        # the second depth is looked at together with the first, so that texts are read again once for both
-        for d in DEPTHS[:2] if at < 2 else [depth]:
-            if d not in levels:
-                levels[d] = _company(classes, d)
-        hanging, full = levels[depth]
-        # nodes with the same classes in them, in this round or one before, are worked on once: in their first tree
-        full = full.groupBy("n", "h1", "h2").agg(F.min(F.struct("tree", "node")).alias("_first"))
-        if seen is not None:
-            full = full.join(seen, ["n", "h1", "h2"], "left_anti")
-        full = cut(full)
-        seen = full.select("n", "h1", "h2") if seen is None else seen.union(full.select("n", "h1", "h2"))
-        own = full.select(F.col("_first.tree").alias("tree"), F.col("_first.node").alias("node"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").cast("int").alias("blocks"))
-        members = cut(
-            hanging.join(own, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-            .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_to"))
-            .withColumns({"low": F.least("block", "_to"), "high": F.greatest("block", "_to")})
-            .select("fp", "tree", "node", "block", "low", "high"))
-        if at != 1:
-            places, crowded = levels[DEPTHS[max(at, 1)]]
-            together = places.join(crowded.select("tree", "node"), ["tree", "node"], "left_semi").select("fp").distinct()
-            sets = cut(_sets(docs, classes.join(together, "fp", "left_semi").select("fp", "doc_id")))
-        filled = members.join(classes.select("fp", "size", "labels").join(sets, "fp"), "fp")
-        verify = _verifier(depth, DEPTHS[at - 1] if at else None, similarity)
-        verified.append(cut(filled.groupBy("tree", "node", "low", "high").applyInPandas(verify, _VERIFIED)))
-        sums = verified[-1].where("found > 0").agg(F.sum("found"), *[F.sum(F.get("wanted", F.lit(i))) for i in range(len(DEPTHS))]).first()
-        found += sums[0] or 0
-        wanted = [w + (x or 0.0) for w, x in zip(wanted, sums[1:])]
-        if found >= target * wanted[at]:
-            break
-    every = verified[0]
-    for more in verified[1:]:
-        every = every.union(more)
+    depth = depth_for(similarity, target)
+    hanging, full = _company(classes, depth)
+    # nodes with the same classes in them are worked on once: in their first tree
+    own = cut(full.groupBy("n", "h1", "h2").agg(F.min(F.struct("tree", "node")).alias("_first")).select(
+        F.col("_first.tree").alias("tree"), F.col("_first.node").alias("node"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").cast("int").alias("blocks")))
+    members = cut(
+        hanging.join(own, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_to"))
+        .withColumns({"low": F.least("block", "_to"), "high": F.greatest("block", "_to")})
+        .select("fp", "tree", "node", "block", "low", "high"))
+    sets = cut(_sets(docs, classes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "doc_id")))
+    filled = members.join(classes.select("fp", "size", "labels").join(sets, "fp"), "fp")
+    every = cut(filled.groupBy("tree", "node", "low", "high").applyInPandas(_verifier(depth, similarity), _VERIFIED))
     counts = every.where("classes > 0").groupBy("fp").agg(F.sum("classes").alias("classes"), F.sum("members").alias("members"))
     roots = components(every.where("other IS NOT NULL"))
     told = classes.select("fp", F.col("doc_id").alias("class_id"), "size").join(counts, "fp", "left").join(

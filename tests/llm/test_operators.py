@@ -83,6 +83,17 @@ def test_jaccard_finds_near_copies_in_blocks(spark, monkeypatch):
     assert met >= 0.999 * total > 0
 
 
+def test_jaccard_finds_pairs_at_the_threshold_beside_a_large_group(spark):
+    assert forest.chance(0.8, forest.depth_for(0.8, forest.TARGET)) >= forest.TARGET and forest.depth_for(0.95, forest.TARGET) == 4
+    # 22 words, the last two different: 16 of 20 shingles are shared
+    pairs = [(k, sentence(k, 22)) for k in range(3000)]
+    pairs += [(3000 + k, text.rsplit(" ", 2)[0] + f" other end{k}") for k, text in pairs]
+    base = sentence(9999, 400).split()
+    hot = [(6000 + k, " ".join([*base[:200], f"new{k}", *base[201:]])) for k in range(500)]
+    found = forest.jaccard_links(spark.createDataFrame(pairs + hot, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_links"]) for r in found} == {(i, 1 if i < 6000 else 499) for i, _ in pairs + hot}
+
+
 def test_keep_first_leaves_one_of_each_group(odd, none):
     kept = forest.keep_first(odd)
     assert kept.columns == odd.columns
