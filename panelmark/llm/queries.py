@@ -8,7 +8,9 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm import chat, compression, decontaminate, forest, hilbert, langid, mixing, pseudonyms, substrings, toxicity
+from panelmark.llm import (
+    chat, compression, decontaminate, forest, hilbert, langid, mining, mixing, pseudonyms, substrings, toxicity, urlfilter, whitening,
+)
 from panelmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +211,64 @@ SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(m.group_id
   coalesce(c.members - 1 + coalesce(linked, 0), 0)::BIGINT AS n_links, coalesce(classes, 0)::BIGINT AS n_linked_classes
 FROM d LEFT JOIN z USING (doc_id) LEFT JOIN c ON c.h = z.h LEFT JOIN l ON l.a = c.class_id LEFT JOIN m ON m.a = c.class_id
 """
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return mining.mine(table(spark, sf, "embeddings"), F.col("embedding"), F.col("vec_id"), moved, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = r"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"), F.col("embedding"), F.col("vec_id"))
+
+
+RULES = [
+    urlfilter.Rule("allow", "org", "/"), urlfilter.Rule("block", "example.org", "/es/"), urlfilter.Rule("block", "example.org", "/en/1"),
+    urlfilter.Rule("allow", "com", "/fr/"), urlfilter.Rule("block", "com", "/de/"),
+]
+#: names of sites whose pages are on the list of the test tables
+LISTED = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\."
+
+
+@query
+def op13_url_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf, "pages").select("page_id", "url"), RULES, F.col("host").rlike(LISTED))
+    return judged.select("page_id", "host", "path", "rule", "listed", "verdict")
+
+
+ORACLES["op13_url_cascade"] = r"""
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw, coalesce(rest, '') AS rest FROM r),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+u AS (SELECT *, '.' || host AS h FROM p),
+v AS (SELECT *, CASE
+    WHEN ends_with(h, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ends_with(h, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ends_with(h, '.org') AND starts_with(path, '/') THEN 'org/'
+    WHEN ends_with(h, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ends_with(h, '.com') AND starts_with(path, '/de/') THEN 'com/de/' END AS rule,
+  host || path IN (SELECT host || path FROM p
+    WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\.')) AS listed FROM u)
+SELECT page_id, host, path, rule, listed,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict
+FROM v
+"""
