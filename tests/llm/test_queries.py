@@ -14,7 +14,7 @@ def test_matches_oracle(spark, name):
     assert compare.difference(spark, compare.connect(SF), SF, QUERIES[name], ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op2_pseudonyms"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op2_pseudonyms", "op12_whitening"}))
 def test_one_row_per_document(spark, name):
     assert QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
