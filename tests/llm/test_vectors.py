@@ -201,7 +201,7 @@ def test_urls(spark):
 
 @pytest.mark.parametrize("share", [0, 1, 50, 1000])
 def test_cascade_is_exact_and_needs_several_levels(spark, share):
-    keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.pmod(F.xxhash64("id"), F.lit(1000)) < share).alias("listed"))
+    keys = spark.range(60000).select(F.concat(F.lit("k"), "id").alias("key"), (F.pmod(F.xxhash64("id"), F.lit(1000)) < share).alias("listed"))
     twice = keys.union(keys.limit(5)).union(keys.limit(3).withColumn("listed", F.lit(None)))
     cascades = urlfilter.fit(twice, F.col("key"), F.col("listed"))
     marked = cascades.mark(keys.union(spark.createDataFrame([(None, False)], "key string, listed boolean")), F.col("key"), "found")
@@ -209,7 +209,7 @@ def test_cascade_is_exact_and_needs_several_levels(spark, share):
     levels = cascades.shards[0].levels
     assert len(levels) >= {0: 0, 1: 1, 50: 3, 1000: 0}[share] and (levels or share in (0, 1000))
     # about as small as the entropy of the listing allows, up to whole blocks
-    assert cascades.shards[0].size <= 3000 * 2 / 8 + len(levels) * urlfilter.BLOCK_BITS / 8
+    assert cascades.shards[0].size <= 60 * share * 2 + len(levels) * urlfilter.BLOCK_BITS / 8
 
 
 def test_cascade_without_rows(spark):
