@@ -4,15 +4,18 @@ Texts are sets of five-word shingles; two are linked if the Jaccard similarity
 of their sets is 0.8 or more. Texts with equal sets are one class, which is
 compared once, by its member with the least doc_id.
 
-The forest has ``TREES`` tries. A class hangs in each of them under a label of
-``DEPTHS[0]`` MinHash values; the classes under one node share the values down
-to it. A pair of similarity s is under one node with chance
-1 - (1 - s**depth)**TREES. Prefixes are as long as they may be for a pair just
-at the threshold to reach ``target`` (or depth runs out), so what is found does
-not depend on other texts. For 0.8 and 0.9999 that is depth 2, where such a
-pair is missed with a chance of 5 in a million. The nodes with two or more
-classes are verified exactly, pair by pair in blocks, leaving out pairs that
-met in an earlier tree.
+The forest has ``TREES`` prefix tries. A class hangs in each of them under
+``DEPTHS[0]`` MinHash values; the classes below a node share the prefix that
+leads to it. A pair belongs to its deepest common node, of several to that of
+the first tree, and is verified exactly, there alone. Nodes are first taken at
+the full length. Prefixes are then shortened step by step until a pair just
+at the threshold has a common node with chance ``target``,
+1 - (1 - similarity**depth)**TREES, and only where that can bring new pairs: a
+node with the same classes as a deeper one, or as one of an earlier tree, is
+passed over, and of a larger node only those classes go on that have a partner
+not met at a longer prefix or in an earlier tree. So copies are settled at long
+prefixes, where texts that share no more than a notice do not meet, and a
+shorter prefix costs little. What is found does not depend on other texts.
 
 Nodes of any size are cut into blocks, each pair of blocks is a group of its
 own, and links are counted there, not emitted. Only spanning forests of the
@@ -25,7 +28,8 @@ Defined cases: a null, empty or wordless text is linked to nothing: its
 class_id and group_id are its own doc_id, n_links 0. Rows that repeat are
 copies of each other, each counted. A null doc_id is as good as any other; a
 class or group takes the least doc_id that is not null. An empty table gives
-no rows. Texts are read whole, other columns are not looked at.
+no rows. Texts are read whole, other columns are not looked at. Ids never leave
+the JVM, so they may have any size.
 """
 
 from __future__ import annotations
@@ -34,18 +38,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from panelmark.llm.common import ascii_words, free_name, hash_words, mix, window_hashes
+from panelmark.llm.common import ascii_words, free_name, hash_words, mix, text_udf, window_hashes
 from panelmark.session import cut
 
 WORDS, SIMILARITY = 5, 0.8
-TREES, DEPTHS = 12, (4, 3, 2)
+TREES, DEPTHS = 16, (4, 3)
 TARGET = 0.9999
 #: classes in a block; a task holds two
 BLOCK = 1024
+#: nodes of more classes are thinned before their shingles are moved
+SMALL = 8
 _SEEDS = mix(np.arange(1, TREES * DEPTHS[0] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MARK, _CLASS = "fp binary, labels binary", "fp binary"
 
@@ -68,10 +73,13 @@ def labels(marks: np.ndarray) -> np.ndarray:
     """TREES x DEPTHS[0] MinHash values of 32 bits."""
     out = np.empty(len(_SEEDS), np.uint64)
     high = mix(marks)
+    room = np.empty_like(high)
     with np.errstate(over="ignore"):
         for i, seed in enumerate(_SEEDS):
-            # multiply and shift: the odd multiplier makes each seed an order of its own
-            out[i] = ((high ^ seed) * (seed | np.uint64(1)) >> np.uint64(16)).min()
+            # xor and multiply: the odd multiplier makes each seed an order of its own
+            np.bitwise_xor(high, seed, out=room)
+            np.multiply(room, seed | np.uint64(1), out=room)
+            out[i] = room.min()
     return (mix(out) >> np.uint64(32)).astype(np.uint32).reshape(TREES, DEPTHS[0])
 
 
@@ -88,59 +96,125 @@ def chance(similarity: float, depth: int) -> float:
     return 1.0 - (1.0 - similarity**depth) ** TREES
 
 
-def depth_for(similarity: float, target: float) -> int:
-    """The longest prefix at which a pair of this similarity is met with chance ``target``, or else the shortest."""
-    return next((d for d in DEPTHS if chance(similarity, d) >= target), DEPTHS[-1])
+def depths_for(similarity: float, target: float) -> list[int]:
+    """Prefix lengths, longest first, down to the first at which a pair of this similarity is met with chance ``target``."""
+    enough = [chance(similarity, d) >= target for d in DEPTHS]
+    return list(DEPTHS[: enough.index(True) + 1 if True in enough else len(DEPTHS)])
 
 
-def _describe(docs: DataFrame) -> DataFrame:
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                marks = shingles(text)
-                rows.append((fingerprint(marks), labels(marks).tobytes()) if len(marks) else (None, None))
-            out = pd.DataFrame(rows, columns=["fp", "labels"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield out
+def _mark(text: str | None) -> tuple[bytes | None, bytes | None]:
+    marks = shingles(text)
+    return (fingerprint(marks), labels(marks).tobytes()) if len(marks) else (None, None)
 
-    return docs.mapInPandas(describe, f"doc_id long, {_MARK}")
 
+def _text_key(text: Column) -> list[Column]:
+    """128 bits of a text, made by built-in functions."""
+    return [F.xxhash64(text), F.xxhash64(F.lit("text"), text)]
 
-def _at_depth(classes: DataFrame, depth: int) -> DataFrame:
-    """(fp, tree, node), one row per class and tree."""
+
+def _describe(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, fp, labels); t1 and t2 stand for the text."""
+    t1, t2 = _text_key(F.col("text"))
+    return docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), text_udf(_MARK, lambda: _mark)(F.col("text")).alias("_m")).select("doc_id", "t1", "t2", "_m.*")
+
+
+def _hanging(classes: DataFrame, depths: list[int]) -> DataFrame:
+    """(fp, depth, tree, node), one row per class, depth and tree."""
 
     def hang(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                values = np.stack([np.frombuffer(b, np.uint32) for b in batch["labels"]]).reshape(-1, TREES, DEPTHS[0])
+            if not len(batch):
+                continue
+            values, names = _values(batch["labels"]), np.repeat(batch["fp"].to_numpy(), TREES)
+            for depth in depths:
                 yield pd.DataFrame({
-                    "fp": np.repeat(batch["fp"].to_numpy(), TREES), "tree": np.tile(np.arange(TREES, dtype=np.int32), len(batch)),
+                    "fp": names, "depth": np.int32(depth), "tree": np.tile(np.arange(TREES, dtype=np.int32), len(batch)),
                     "node": nodes(values, depth).reshape(-1).view(np.int64)})
 
-    return classes.select("fp", "labels").mapInPandas(hang, f"{_CLASS}, tree int, node long")
+    return classes.select("fp", "labels").mapInPandas(hang, f"{_CLASS}, depth int, tree int, node long")
+
+
+def _values(labels_: pd.Series) -> np.ndarray:
+    return np.stack([np.frombuffer(b, np.uint32) for b in labels_]).reshape(-1, TREES, DEPTHS[0])
+
+
+def _own_nodes(hanging: DataFrame) -> DataFrame:
+    """(depth, tree, node, n) of the nodes with two or more classes, those with the same classes once: the deepest, then the first."""
+    full = hanging.groupBy("depth", "tree", "node").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("h2")).where("n > 1")
+    first = F.max_by(F.struct("depth", "tree", "node"), F.struct("depth", -F.col("tree"), "node")).alias("_first")
+    return full.groupBy("n", "h1", "h2").agg(first).select("_first.*", "n")
+
+
+def open_pairs(left: np.ndarray, right: np.ndarray, depth: int, tree: int, alone: bool) -> np.ndarray:
+    """Which pairs of two sides belong to this depth and tree: no longer common prefix, none as long in an earlier tree."""
+    open_ = np.triu(np.ones((len(left), len(left)), bool), 1) if alone else np.ones((len(left), len(right)), bool)
+    for length, trees in ((depth, range(tree)), (depth + 1, range(TREES) if depth < DEPTHS[0] else ())):
+        near = [nodes(v, length) for v in (left, right)] if len(trees) else []
+        for t in trees:
+            open_ &= near[0][:, t][:, None] != near[1][:, t][None, :]
+    return open_
+
+
+_GROUP = ["depth", "tree", "node", "low", "high"]
+
+
+def _sides(key: tuple, part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    part = part.drop_duplicates("fp")
+    low, high = key[3:]
+    left = part[part["block"] == low]
+    return left, left if low == high else part[part["block"] == high]
 
 
-def _company(classes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """All places at a depth, and the nodes with two or more classes: their number and two checksums of them."""
-    hanging = cut(_at_depth(classes, depth))
-    nodes_ = hanging.groupBy("tree", "node").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("h2"))
-    return hanging, cut(nodes_.where("n > 1"))
+def _with_partner(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    """The classes of two blocks that have an open pair there."""
+    left, right = _sides(key, part)
+    depth, tree, _, low, high = key
+    if not len(left) or not len(right):
+        return part[:0]
+    open_ = open_pairs(_values(left["labels"]), _values(right["labels"]), depth, tree, low == high)
+    if low == high:
+        return left[open_.any(axis=0) | open_.any(axis=1)]
+    return pd.concat([left[open_.any(axis=1)], right[open_.any(axis=0)]])
+
+
+def _members(classes: DataFrame, depths: list[int]) -> DataFrame:
+    """(fp, block, depth, tree, node, low, high): the classes that a pair of blocks has to verify."""
+    hanging = cut(_hanging(classes, depths))
+    own = cut(_own_nodes(hanging))
+    blocks = F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").cast("int")
+    dealt = (
+        hanging.join(own, ["depth", "tree", "node"]).withColumn("_blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("fp"), "_blocks").cast("int"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_to"))
+        .withColumns({"low": F.least("block", "_to"), "high": F.greatest("block", "_to")})
+        .select("fp", "n", "block", *_GROUP))
+    names = "fp binary, block int, depth int, tree int, node long, low int, high int"
+    large = dealt.where(f"n > {SMALL}").drop("n").join(classes.select("fp", "labels"), "fp")
+    thinned = large.groupBy(*_GROUP).applyInPandas(lambda key, part: _with_partner(key, part)[_names(names)], names)
+    return cut(dealt.where(f"n <= {SMALL}").select(*_names(names)).unionByName(thinned))
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, marks) of the wanted classes (fp, doc_id), read again from their texts."""
-    texts = docs.join(wanted.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """(fp, marks) of the wanted classes (fp, one), read again from the text of one of their rows."""
+    t1, t2 = _text_key(F.col("text"))
+    ids = wanted.select(F.col("one.doc_id").alias("_id"), F.col("one.t1").alias("_t1"), F.col("one.t2").alias("_t2"))
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left_semi")
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
         for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
-            yield pd.DataFrame({"fp": [fingerprint(s) for s in sets], "marks": [s.tobytes() for s in sets]})
+            # rows that repeat come one after the other
+            changed = [t for t, before in zip(batch["text"], [last, *batch["text"][:-1]]) if t != before]
+            last = batch["text"].iloc[-1] if len(batch) else last
+            sets = [shingles(t) for t in changed]
+            yield pd.DataFrame({"fp": [fingerprint(s) for s in sets], "marks": [s.tobytes() for s in sets]}, dtype=object)
 
-    found = texts.select("doc_id", "text").mapInPandas(collect, f"{_CLASS}, marks binary")
-    # a doc_id that repeats brings texts of other classes along
-    return found.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+    return texts.select("text").mapInPandas(collect, f"{_CLASS}, marks binary").dropDuplicates(["fp"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -192,22 +266,18 @@ def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
 _VERIFIED = "fp binary, other binary, classes long, members long"
 
 
-def _verifier(depth: int, similarity: float):
-    """Exact links between the classes of a node."""
+def _verifier(similarity: float):
+    """Exact links between the classes of two blocks of a node."""
 
     def verify(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        tree, _, low, high = key
-        part = part.drop_duplicates("fp")
-        sides = [part[part["block"] == b] for b in ([low] if low == high else [low, high])]
-        left, right = sides[0], sides[-1]
+        depth, tree, _, low, high = key
+        left, right = _sides(key, part)
         if low == high and len(left) < 2 or not len(left) or not len(right):
-            return pd.DataFrame(columns=[x.split()[0] for x in _VERIFIED.split(", ")])
+            return pd.DataFrame(columns=_names(_VERIFIED))
+        open_ = open_pairs(_values(left["labels"]), _values(right["labels"]), depth, tree, low == high)
+        if not open_.any():
+            return pd.DataFrame(columns=_names(_VERIFIED))
         sets = [[np.frombuffer(b, np.uint64) for b in s["marks"]] for s in (left, right)]
-        values = [np.stack([np.frombuffer(b, np.uint32) for b in s["labels"]]).reshape(-1, TREES, DEPTHS[0]) for s in (left, right)]
-        open_ = np.triu(np.ones((len(left), len(left)), bool), 1) if low == high else np.ones((len(left), len(right)), bool)
-        near = [nodes(v, depth) for v in values]
-        for t in range(tree):
-            open_ &= near[0][:, t][:, None] != near[1][:, t][None, :]
         sizes = [np.array([len(s) for s in side]) for side in sets]
         common = overlaps(*sets)
         # exact in integers: common / union >= similarity
@@ -224,7 +294,7 @@ def _verifier(depth: int, similarity: float):
             names = list(left["fp"]) + ([] if low == high else list(right["fp"]))
             links = zip(*(x.tolist() for x in np.nonzero(linked)))
             rows += [(names[i], names[j], 0, 0) for i, j in _forest(len(names), ((i, j + shift) for i, j in links))]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in _VERIFIED.split(", ")])
+        return pd.DataFrame(rows, columns=_names(_VERIFIED))
 
     return verify
 
@@ -253,24 +323,16 @@ def components(edges: DataFrame, a: str = "fp", b: str = "other") -> DataFrame:
 
 
 def _linked(docs: DataFrame, similarity: float, target: float) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, fp, labels), and per class _fp, its root, class_id, group_id, n_links, n_linked_classes."""
+    """The rows (doc_id, t1, t2, fp, labels), and per class _fp, its root, class_id, group_id, n_links, n_linked_classes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = cut(_describe(docs))
+    one = F.min_by(F.struct("doc_id", "t1", "t2"), F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2"))
     classes = cut(described.where("fp IS NOT NULL").groupBy("fp").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("size"), F.first("labels").alias("labels")))
-    depth = depth_for(similarity, target)
-    hanging, full = _company(classes, depth)
-    # nodes with the same classes in them are worked on once: in their first tree
-    own = cut(full.groupBy("n", "h1", "h2").agg(F.min(F.struct("tree", "node")).alias("_first")).select(
-        F.col("_first.tree").alias("tree"), F.col("_first.node").alias("node"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").cast("int").alias("blocks")))
-    members = cut(
-        hanging.join(own, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_to"))
-        .withColumns({"low": F.least("block", "_to"), "high": F.greatest("block", "_to")})
-        .select("fp", "tree", "node", "block", "low", "high"))
-    sets = cut(_sets(docs, classes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "doc_id")))
+        F.min("doc_id").alias("doc_id"), one.alias("one"), F.count("*").alias("size"), F.first("labels").alias("labels")))
+    members = _members(classes, depths_for(similarity, target))
+    sets = cut(_sets(docs, classes.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "one")))
     filled = members.join(classes.select("fp", "size", "labels").join(sets, "fp"), "fp")
-    every = cut(filled.groupBy("tree", "node", "low", "high").applyInPandas(_verifier(depth, similarity), _VERIFIED))
+    every = cut(filled.groupBy(*_GROUP).applyInPandas(_verifier(similarity), _VERIFIED))
     counts = every.where("classes > 0").groupBy("fp").agg(F.sum("classes").alias("classes"), F.sum("members").alias("members"))
     roots = components(every.where("other IS NOT NULL"))
     told = classes.select("fp", F.col("doc_id").alias("class_id"), "size").join(counts, "fp", "left").join(
@@ -295,12 +357,6 @@ def jaccard_links(docs: DataFrame, similarity: float = SIMILARITY, target: float
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_classes", F.lit(0)).alias("n_linked_classes"))
 
 
-@F.pandas_udf(BinaryType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    sets = map(shingles, texts)
-    return pd.Series([fingerprint(s) if len(s) else None for s in sets], dtype=object)
-
-
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARGET) -> DataFrame:
     """The rows of ``docs`` that have no near copy, and one row of each group of near copies.
 
@@ -313,17 +369,20 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, target: float =
     copies = cut(described.select("doc_id", "fp").join(told.where("n_links > 0").select("_fp", "root"), F.col("fp") == F.col("_fp"))
                  .groupBy("root", "fp", "doc_id").agg(F.count("*").alias("rows")))
     first = copies.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("first"))
-    id_name, fp_name, own_name = free_name(docs, "_id"), free_name(docs, "_fp"), free_name(docs, "_own")
-    judged = cut(copies.join(first, "root").select(
-        F.col("doc_id").alias(id_name), F.col("fp").alias(fp_name), "rows",
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp"))).alias("stays")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)) & (F.col(own_name) == F.col(fp_name))
-    marked = docs.withColumn(own_name, _fingerprints(F.col("text").cast("string")))
-    kept = marked.join(judged.where("NOT stays").select(id_name, fp_name), same, "left_anti")
-    twice = judged.where("stays AND rows > 1").select(id_name, fp_name)
+    judged = copies.join(first, "root").select(
+        "doc_id", "fp", "rows", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("fp") == F.col("first.fp"))).alias("stays"))
+    names = [free_name(docs, n) for n in ("_id", "_t1", "_t2", "_fp", "_d1", "_d2")]
+    id_name, t1_name, t2_name, fp_name, d1_name, d2_name = names
+    # by text, as the rows of a class may have several
+    texts = described.select(F.col("doc_id").alias(id_name), F.col("t1").alias(t1_name), F.col("t2").alias(t2_name), F.col("fp").alias(fp_name)).distinct()
+    marks = cut(texts.join(judged, F.col(id_name).eqNullSafe(F.col("doc_id")) & (F.col(fp_name) == F.col("fp"))).select(*names[:4], "rows", "stays"))
+    d1, d2 = _text_key(F.col("text").cast("string"))
+    marked = docs.withColumns({d1_name: d1, d2_name: d2})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)) & (F.col(d1_name) == F.col(t1_name)) & (F.col(d2_name) == F.col(t2_name))
+    kept = marked.join(marks.where("NOT stays").select(*names[:3]), same, "left_anti")
+    twice = marks.where("stays AND rows > 1").select(*names[:4])
     if twice.isEmpty():
-        return kept.drop(own_name)
+        return kept.drop(d1_name, d2_name)
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    one = kept.join(twice, same, "left_semi").groupBy(F.col("doc_id").cast("long"), own_name).agg(
-        F.min_by(whole, F.col("text").cast("string")).alias("one")).select("one.*")
-    return kept.join(twice, same, "left_anti").drop(own_name).unionByName(one)
+    one = kept.join(twice, same).groupBy(id_name, fp_name).agg(F.min_by(whole, F.col("text").cast("string")).alias("one")).select("one.*")
+    return kept.join(twice.select(*names[:3]), same, "left_anti").drop(d1_name, d2_name).unionByName(one)

@@ -84,7 +84,7 @@ def test_jaccard_finds_near_copies_in_blocks(spark, monkeypatch):
 
 
 def test_jaccard_finds_pairs_at_the_threshold_beside_a_large_group(spark):
-    assert forest.chance(0.8, forest.depth_for(0.8, forest.TARGET)) >= forest.TARGET and forest.depth_for(0.95, forest.TARGET) == 4
+    assert forest.chance(0.8, forest.depths_for(0.8, forest.TARGET)[-1]) >= forest.TARGET and forest.depths_for(0.95, forest.TARGET) == [4]
     # 22 words, the last two different: 16 of 20 shingles are shared
     pairs = [(k, sentence(k, 22)) for k in range(3000)]
     pairs += [(3000 + k, text.rsplit(" ", 2)[0] + f" other end{k}") for k, text in pairs]
@@ -94,6 +94,31 @@ def test_jaccard_finds_pairs_at_the_threshold_beside_a_large_group(spark):
     assert {(r["doc_id"], r["n_links"]) for r in found} == {(i, 1 if i < 6000 else 499) for i, _ in pairs + hot}
 
 
+def test_jaccard_keeps_ids_beyond_doubles_beside_nulls(spark):
+    base = [sentence(70 + k, 60) for k in range(3)]
+    near = [[t, t.rsplit(" ", 1)[0] + " other", t + " more"] for t in base]
+    rows = [(2**60 + 10 * g + k + 1, t) for g, texts in enumerate(near) for k, t in enumerate(texts)]
+    rows += [(None, sentence(99, 60)), (-(2**62) - 1, None), (2**53 + 1, sentence(98, 60)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    _, linked = links_by_force(rows)
+    found = forest.jaccard_links(df).collect()
+    assert sorted(((r["doc_id"], r["n_links"]) for r in found), key=repr) == sorted(((i, sum(linked[k])) for k, (i, _) in enumerate(rows)), key=repr)
+    assert {r["doc_id"]: r["group_id"] for r in found if r["n_links"]} == {2**60 + 10 * g + k: 2**60 + 10 * g + 1 for g in range(3) for k in (1, 2, 3)}
+    kept = [r["doc_id"] for r in forest.keep_first(df).collect()]
+    assert sorted(kept, key=repr) == sorted([2**60 + 1, 2**60 + 11, 2**60 + 21, None, None, -(2**62) - 1, 2**53 + 1], key=repr)
+
+
+def test_a_shared_notice_brings_few_texts_together(spark):
+    notice = sentence(5, 60)
+    rows = [(k, f"{sentence(2000 + k, 220)} {notice}") for k in range(600)] + [(600 + k, f"{sentence(2000 + k, 219)} end {notice}") for k in range(5)]
+    classes = forest._describe(spark.createDataFrame(rows, "doc_id long, text string")).select("fp", "labels")
+    members = forest._members(classes, forest.depths_for(0.8, forest.TARGET)).groupBy("depth", "tree", "node").count().collect()
+    # 182,710 pairs of texts, of which five are near copies
+    assert sum(r["count"] * (r["count"] - 1) // 2 for r in members) < 1800
+    links = forest.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links > 0")
+    assert sorted(r["doc_id"] for r in links.collect()) == [0, 1, 2, 3, 4, 600, 601, 602, 603, 604]
+
+
 def test_keep_first_leaves_one_of_each_group(odd, none):
     kept = forest.keep_first(odd)
     assert kept.columns == odd.columns
