@@ -18,6 +18,7 @@ Long words and texts are taken whole. Only ``text`` is read for a prediction.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -121,7 +122,8 @@ class Pieces:
                     own.append((end - 1, -1, p))
             edges.append(own)
             alpha[end] = sum(alpha[start] * p for start, _, p in own)
-        if alpha[length] <= 0:
+        if alpha[length] < 1e-290:
+            self._expected_in_logs(word, edges, n, into)
             return
         beta = [0.0] * length + [1.0]
         for end in range(length, 0, -1):
@@ -136,6 +138,29 @@ class Pieces:
                             into[self.bytes[b]] = into.get(self.bytes[b], 0.0) + use
 
 
+    def _expected_in_logs(self, word: str, edges: list[list[tuple[int, int, float]]], n: float, into: dict[int, float]) -> None:
+        """The same for words whose chance is below the smallest number, as sentences without blanks are."""
+        none = float("-inf")
+
+        def add(parts: list[float]) -> float:
+            top = max(parts, default=none)
+            return top + math.log(sum(math.exp(x - top) for x in parts)) if top > none else none
+
+        logs = [[(start, piece, math.log(p)) for start, piece, p in own if p > 0] for own in edges]
+        alpha = [0.0]
+        for own in logs[1:]:
+            alpha.append(add([alpha[start] + p for start, _, p in own]))
+        behind: list[list[float]] = [[] for _ in alpha]
+        behind[-1] = [0.0]
+        for end in range(len(alpha) - 1, 0, -1):
+            beta = add(behind[end])
+            for start, piece, p in logs[end] if beta > none else ():
+                behind[start].append(beta + p)
+                use = n * math.exp(alpha[start] + p + beta - alpha[-1])
+                for i in [piece] if piece >= 0 else [self.bytes[b] for b in word[end - 1].encode("utf-8", "replace")]:
+                    into[i] = into.get(i, 0.0) + use
+
+
 def _word_counts(train: DataFrame) -> DataFrame:
     """(lang, word, n); each task adds up its own rows first."""
 
@@ -149,8 +174,7 @@ def _word_counts(train: DataFrame) -> DataFrame:
                     "lang": lang, "word": [w.decode("utf-8", "replace") for w in words], "n": list(words.values())})
 
     rows = train.select("lang", "text").mapInPandas(count, "lang string, word string, n long")
-    # a training word of any length would do; those of no one word of a language are left to the texts
-    return rows.where(F.length("word") <= REMEMBERED_LENGTH).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def fit(

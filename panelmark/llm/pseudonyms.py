@@ -50,7 +50,7 @@ PATTERNS = {
     "phone": re.compile(r"(?<![\w+])(?:\+?\d[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"),
     "ip": re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w)(?!\.\d)"),
     "date": re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-])(?!\.\d)"),
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    "email": re.compile(r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),  # _emails adds what stands before it
 }
 #: total length by country; others are tried at each blank
 _IBAN_LENGTHS = {
@@ -263,6 +263,23 @@ def _ibans(text: str) -> Iterator[tuple[int, int]]:
         m = PATTERNS["iban"].search(text, m.start() + 1)
 
 
+_BEFORE_AT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """From each @ with a host to the left, so that a long run of letters is read once."""
+    last = 0
+    for m in PATTERNS["email"].finditer(text):
+        a = m.start()
+        while a > last and text[a - 1] in _BEFORE_AT:
+            a -= 1
+        while a < m.start() and not text[a].isalnum():
+            a += 1
+        if a < m.start():
+            yield a, m.end()
+            last = m.end()
+
+
 def _spans(text: str) -> Iterator[tuple[str, int, int]]:
     """Where values may be, in the order in which they are taken."""
     digits = _DIGIT.search(text)
@@ -271,7 +288,9 @@ def _spans(text: str) -> Iterator[tuple[str, int, int]]:
         cards = _cards(text)
         yield from (("card", a, b) for standing, a, b in cards if standing < 2)
     for kind in KINDS[2:]:
-        if digits if kind != "email" else "@" in text:
+        if kind == "email":
+            yield from ((kind, *span) for span in _emails(text))
+        elif digits:
             yield from ((kind, *m.span()) for m in PATTERNS[kind].finditer(text))
         if kind == "phone" and digits:
             yield from ((kind, *m.span()) for m in _LOCAL_PHONE.finditer(text))

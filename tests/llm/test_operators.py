@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -282,6 +283,66 @@ def test_pseudonyms_can_be_undone_among_numbers():
     assert met > 500
 
 
+_WHOLE_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+
+
+def test_emails_match_one_pattern_and_take_linear_time():
+    draw = random.Random(5)
+    for _ in range(3000):
+        text = "".join(draw.choice("ab9.-_+@@ é") for _ in range(draw.randrange(40))) + draw.choice(["", "@b.com", "a.co"])
+        assert list(pseudonyms._emails(text)) == [m.span() for m in _WHOLE_EMAIL.finditer(text)], text
+    start = time.perf_counter()
+    for text in ("a" * 1_000_000 + " b@c.com", "a." * 500_000 + "b@c", "a@b." * 250_000, "@" + "a" * 1_000_000):
+        list(pseudonyms._emails(text))
+    assert time.perf_counter() - start < 10
+
+
+def test_pseudonyms_query_can_be_undone(spark):
+    from panelmark.llm.queries import KEY, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {r["doc_id"]: r for r in QUERIES["op2_pseudonyms"](spark, sf).collect()}
+    show, changed = pseudonyms.Feistel(KEY).show, 0
+    assert found.keys() == texts.keys()
+    for i, text in texts.items():
+        assert pseudonyms.change(found[i]["text"], show)[0] == text
+        # a plain search: whatever is surely a card or an address is replaced by another one of its form
+        for pattern in (r"(?<![\w-])4\d{15}(?![\w-])", r"(?<![\w.%+-])[a-z0-9]+@[a-z0-9]+\.(?:com|org|net)(?![\w.-])"):
+            for value in re.findall(pattern, text or ""):
+                if "@" in value or pseudonyms.luhn_digit(value[:-1]) == value[-1]:
+                    changed += 1
+                    assert value not in found[i]["text"]
+        assert (text != found[i]["text"]) == (found[i][2] > 0)
+    assert changed > 0
+
+
+def test_language_learns_scripts_without_blanks(spark):
+    draw = random.Random(8)
+    stocks = {"ja": "のはをがにでとたしていますこれそれ日本語文字", "zh": "的是在了不有和人这中大为上个国我以要他时来用们"}
+    rows = [(i, "".join(draw.choice(stocks[lang]) for _ in range(300)), lang) for i in range(60) for lang in stocks]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marked = docs.withColumn("told", langid.predictor(docs, langid.fit(docs))(F.col("text")))
+    assert marked.where("told.lang_pred <> lang").count() == 0
+
+
+def test_expected_uses_of_long_words():
+    pieces = ["<unk>", "a", "b", "ab", "ba", "aba"] + [f"<0x{b:02X}>" for b in range(256)]
+    own, chance = langid.Pieces(pieces), np.random.default_rng(1).random(262).tolist()
+    small, large = {}, {}
+    own.expected("abab", [c * 1e-3 for c in chance], 1.0, small)
+    own._expected_in_logs("abab", [[], *_edges(own, "abab", [c * 1e-3 for c in chance])], 1.0, large)
+    assert small.keys() == large.keys() and all(np.isclose(small[k], large[k]) for k in small)
+    # far below the smallest number: the pieces still cover each letter once
+    own.expected("ab" * 5000, [c * 1e-2 for c in chance], 1.0, found := {})
+    assert np.isclose(found[1] + 2 * found[3] + found.get(4, 0) * 2 + found[2] + 3 * found[5], 10_000)
+
+
+def _edges(own, word, chance):
+    return [[(end - n, own.ids[word[end - n:end]], chance[own.ids[word[end - n:end]]]) for n in range(1, min(end, 3) + 1) if word[end - n:end] in own.ids]
+            for end in range(1, len(word) + 1)]
+
+
 def test_language_on_odd_rows_and_held_out(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs.where("doc_id % 2 = 0"), sample_per_language=60)
