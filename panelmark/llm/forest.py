@@ -34,10 +34,11 @@ the JVM, so they may have any size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,23 +120,31 @@ def _describe(docs: DataFrame) -> DataFrame:
 
 
 def _hanging(classes: DataFrame, depths: list[int]) -> DataFrame:
-    """(fp, depth, tree, node), one row per class, depth and tree."""
+    """(fp, tree, nodes): the nodes of a class in each tree, shortest prefix first."""
 
-    def hang(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            values, names = _values(batch["labels"]), np.repeat(batch["fp"].to_numpy(), TREES)
-            for depth in depths:
-                yield pd.DataFrame({
-                    "fp": names, "depth": np.int32(depth), "tree": np.tile(np.arange(TREES, dtype=np.int32), len(batch)),
-                    "node": nodes(values, depth).reshape(-1).view(np.int64)})
+            values, many = _values(batch.column("labels").to_pylist()), len(batch)
+            at = np.stack([nodes(values, depth) for depth in sorted(depths)], axis=-1).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) + 1, len(depths), dtype=np.int32)), pa.array(at))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("fp").take(pa.array(np.repeat(np.arange(many), TREES))),
+                pa.array(np.tile(np.arange(TREES, dtype=np.int32), many)), lists], names=["fp", "tree", "nodes"])
 
-    return classes.select("fp", "labels").mapInPandas(hang, f"{_CLASS}, depth int, tree int, node long")
+    return classes.select("fp", "labels").mapInArrow(hang, f"{_CLASS}, tree int, nodes array<long>")
 
 
-def _values(labels_: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(b, np.uint32) for b in labels_]).reshape(-1, TREES, DEPTHS[0])
+def _values(labels_: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(labels_), np.uint32).reshape(-1, TREES, DEPTHS[0])
+
+
+def _in_company(hanging: DataFrame, depths: list[int]) -> DataFrame:
+    """(fp, depth, tree, node) of all nodes at any depth, where the node of the shortest prefix holds two or more classes."""
+    short = F.col("nodes")[0]
+    full = hanging.groupBy("tree", short.alias("_short")).agg(F.count("*").alias("n")).where("n > 1").select(F.col("tree").alias("_tree"), "_short")
+    left = hanging.join(full, (F.col("tree") == F.col("_tree")) & (short == F.col("_short")), "left_semi")
+    at = F.arrays_zip(F.lit(sorted(depths)).alias("depth"), F.col("nodes").alias("node"))
+    return left.select("fp", "tree", F.explode(at).alias("_at")).select("fp", F.col("_at.depth").alias("depth"), "tree", F.col("_at.node").alias("node"))
 
 
 def _own_nodes(hanging: DataFrame) -> DataFrame:
@@ -160,10 +169,8 @@ _GROUP = ["depth", "tree", "node", "low", "high"]
 
 
 def _sides(key: tuple, part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    part = part.drop_duplicates("fp")
     low, high = key[3:]
-    left = part[part["block"] == low]
-    return left, left if low == high else part[part["block"] == high]
+    return (part, part) if low == high else (part[part["block"] == low], part[part["block"] == high])
 
 
 def _with_partner(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +187,7 @@ def _with_partner(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
 
 def _members(classes: DataFrame, depths: list[int]) -> DataFrame:
     """(fp, block, depth, tree, node, low, high): the classes that a pair of blocks has to verify."""
-    hanging = cut(_hanging(classes, depths))
+    hanging = cut(_in_company(_hanging(classes, depths), depths))
     own = cut(_own_nodes(hanging))
     blocks = F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").cast("int")
     dealt = (
