@@ -109,6 +109,8 @@ def label_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lines_of(part: DataFrame) -> DataFrame:
+    # a file of one row group is read by one task; the patterns need them all
+    part = part.repartition(part.sparkSession.sparkContext.defaultParallelism, "p_partkey")
     lines = part.withColumn("line_no", F.explode(F.sequence(F.lit(1), F.lit(LINES_PER_PACKAGE))))
     lines = lines.where("(p_partkey + line_no) % 11 <> 0")
     return lines.selectExpr(
@@ -124,6 +126,47 @@ def lines_of(part: DataFrame) -> DataFrame:
     )
 
 
+#: zeroes of the nine scripts, in the order in which packages take turns
+_SCRIPTS = [0x0966, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66, 0x0B66, 0x09E6, 0x0A66, 0x0AE6]
+_DIGITS = ", ".join(f"'{''.join(chr(zero + i) for i in range(10))}'" for zero in _SCRIPTS)
+
+_SPLIT_TEXT = """
+CASE line_no
+  WHEN 21 THEN CASE p_partkey % 4 WHEN 0 THEN 'M.R.P.:' WHEN 1 THEN 'MAX RETAIL' WHEN 2 THEN concat('MRP ₹', translate(price, '0123456789', digits))
+    ELSE 'Our price list is MRP' END
+  WHEN 22 THEN CASE p_partkey % 4 WHEN 0 THEN concat('fresh stock of the season', repeat(' for all', cast(p_partkey % 13 AS int)))
+    WHEN 1 THEN 'PRICE (see below)' WHEN 2 THEN concat('Net Quantity: ', translate(cast(p_size AS string), '0123456789', digits), ' g')
+    ELSE CASE WHEN p_partkey % 3 = 0 THEN 'Incl. of all taxes' ELSE 'printed on the cap' END END
+  WHEN 23 THEN CASE p_partkey % 4 WHEN 2 THEN concat('PKD: ', translate(concat(lpad(cast(1 + p_partkey % 28 AS string), 2, '0'), '/',
+      lpad(cast(1 + p_partkey % 12 AS string), 2, '0'), '/2025'), '0123456789', digits))
+    WHEN 1 THEN concat('Rs. ', price, ' (Incl. of all taxes)') ELSE concat(price, ' only') END
+  ELSE CASE WHEN p_partkey % 5 = 0 THEN '₹ 2.50 per g' ELSE 'Keep in a cool place' END END
+"""
+
+
+def split_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels whose price stands lines below its key, or in digits of other scripts."""
+    part = table(spark, sf, "part")
+    part = part.repartition(spark.sparkContext.defaultParallelism, "p_partkey").selectExpr(
+        "*", "cast(cast(p_retailprice AS decimal(12,2)) AS string) AS price",
+        f"element_at(array({_DIGITS}), cast(p_partkey % 9 + 1 AS int)) AS digits")
+    lines = part.withColumn("line_no", F.explode(F.sequence(F.lit(21), F.lit(24))))
+    return lines.selectExpr(
+        "concat('SPL-', cast(p_partkey AS string)) AS inspection_id", "p_partkey AS seq", "line_no", f"{_SPLIT_TEXT} AS text",
+        "cast(60 + (p_partkey * 31 + line_no * 17) % 40 AS double) AS confidence", "cast(40 AS double) AS x1",
+        "cast(200 * (line_no - 20) AS double) AS y1").selectExpr("*", "x1 + 10 * length(text) AS x2", "y1 + 30 AS y2")
+
+
+_SPLIT_LINES_SQL = f"""
+SELECT inspection_id, seq, line_no, text, confidence, x1, y1, x1 + 10 * length(text) AS x2, y1 + 30 AS y2 FROM (
+SELECT concat('SPL-', cast(p_partkey AS varchar)) AS inspection_id, p_partkey AS seq, line_no,
+  {_SPLIT_TEXT.replace(" AS string)", " AS varchar)")} AS text,
+  cast(60 + (p_partkey * 31 + line_no * 17) % 40 AS double) AS confidence, cast(40 AS double) AS x1, cast(200 * (line_no - 20) AS double) AS y1
+FROM (SELECT *, cast(cast(p_retailprice AS decimal(12,2)) AS varchar) AS price,
+    ([{_DIGITS}])[cast(p_partkey % 9 + 1 AS int)] AS digits FROM part) p, (SELECT unnest(range(21, 25)) AS line_no) n) t
+"""
+
+
 def audit(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").selectExpr(
         "event_id",
@@ -357,6 +400,7 @@ SQL = {
     "fx_inspections": _INSPECTIONS_SQL,
     "fx_checks": _CHECKS_SQL,
     "fx_label_lines": _LABEL_LINES_SQL,
+    "fx_split_lines": _SPLIT_LINES_SQL,
     "fx_audit": _AUDIT_SQL,
     "fx_amendments": _AMENDMENTS_SQL,
     "fx_users": _USERS_SQL,

