@@ -167,11 +167,17 @@ SELECT inspection_id, cast(round(cast(cast({_PRICE_NUM} / {_QTY_NUM} AS varchar)
 """)(lambda spark, sf: ru.unit_sale_price(priced(spark, sf)))
 
 _UNIT_RX = r"'(?i)(?:^|\s|[0-9])(g|kg|ml|l|ltr|gm|gms|pcs|units|pieces|n|u)\b'"
+_PER_UNIT = f"cast(round(cast(cast({_PRICE_NUM} / {_QTY_NUM} AS varchar) AS decimal(30, 18)), 2) AS double)"
+_SHOWN_UNIT_PRICE = "CASE WHEN u % 1 = 0 THEN concat(cast(cast(u AS bigint) AS varchar), '.0') ELSE cast(u AS varchar) END"
 query("derived_fields", rf"""
-SELECT inspection_id, 'unit_of_measurement' AS field, regexp_extract(q, {_UNIT_RX}, 1) AS value FROM vx_pq WHERE regexp_extract(q, {_UNIT_RX}, 1) <> ''
-UNION ALL SELECT inspection_id, 'mrp_inclusive_tax', 'Inclusive of all taxes' FROM vx_pq WHERE contains(lower(p), 'tax') OR contains(lower(p), 'incl')
+SELECT inspection_id, unnest([{sql_list(C.UNIT_FIELDS)}]) AS field, regexp_extract(q, {_UNIT_RX}, 1) AS value, qc AS confidence, NULL::DOUBLE AS numeric_value
+FROM vx_pq WHERE regexp_extract(q, {_UNIT_RX}, 1) <> ''
+UNION ALL SELECT inspection_id, unnest([{sql_list(C.TAX_FIELDS)}]), 'Inclusive of all taxes', pc, NULL
+FROM vx_pq WHERE contains(lower(p), 'tax') OR contains(lower(p), 'incl')
+UNION ALL SELECT inspection_id, unnest([{sql_list(C.UNIT_PRICE_FIELDS)}]), concat('Rs. ', {_SHOWN_UNIT_PRICE}, ' / ', per), least(pc, qc), u
+FROM (SELECT *, {_PER_UNIT} AS u, regexp_extract(q, '{_QTY_RX}', 2) AS per FROM vx_pq WHERE {_PRICE_NUM} > 0 AND {_QTY_NUM} > 0) t
 """)(lambda spark, sf: screening.derived_declarations(screening.standard_declarations(priced(spark, sf)))
-     .where("field IN ('unit_of_measurement', 'mrp_inclusive_tax')").select("inspection_id", "field", "entry.value"))
+     .select("inspection_id", "field", "entry.value", "entry.confidence", "entry.numeric_value"))
 
 # ----------------------------------------------------------------- rule loading
 
@@ -356,7 +362,9 @@ SELECT a.inspection_id, a.rule_id, s.value AS v FROM vx_applicable a JOIN vx_rul
 LEFT JOIN vx_given s ON s.inspection_id = a.inspection_id AND s.field = r.field_name
 """
 query("adjudicate_missing", """
-SELECT inspection_id, rule_id, status FROM vx_verdicts JOIN vx_said USING (inspection_id, rule_id) WHERE v IS NULL
+SELECT v.inspection_id, v.rule_id, v.status FROM vx_verdicts v JOIN vx_rules r USING (rule_id)
+LEFT JOIN (SELECT inspection_id, field FROM vx_given WHERE value IS NOT NULL) s ON s.inspection_id = v.inspection_id AND s.field = r.field_name
+WHERE s.inspection_id IS NULL
 """)(lambda spark, sf: screened(spark, sf).where("extracted_value IS NULL").select(
     "inspection_id", "rule_id", "status"))
 
@@ -393,13 +401,14 @@ LEFT JOIN (SELECT inspection_id, max(text) FILTER (line_no = 1) AS name, max(tex
     "inspection_id", "CASE WHEN line_no = 1 THEN 'product_name' WHEN line_no = 7 AND seq % 2 = 0 THEN 'fssai_license' ELSE 'x' END AS field_name",
     "text AS value")).select("inspection_id", "category_inferred", "category"))
 
-query("bbox_fallback", """
+_ASKED = [*C.BOX_FALLBACKS, "barcode"]
+query("bbox_fallback", f"""
 SELECT c.inspection_id, c.field_name, bx IS NOT NULL AS from_fallback, bx AS x1 FROM (
-SELECT i.inspection_id, f.field_name FROM vx_packages i, (VALUES ('mrp_rounding'), ('common_generic_name'), ('barcode')) f(field_name)) c
+SELECT inspection_id, unnest([{sql_list(_ASKED)}]) AS field_name FROM vx_packages) c
 LEFT JOIN (SELECT d.inspection_id, b.field, arg_min(d.x1, b.priority) AS bx FROM vx_decl d JOIN vx_box_fallbacks b ON b.candidate = d.field_name
   GROUP BY d.inspection_id, b.field) t ON t.inspection_id = c.inspection_id AND t.field = c.field_name
 """)(lambda spark, sf: tk.box_fallback(
-    packages(spark, sf).select("inspection_id", F.explode(F.array(F.lit("mrp_rounding"), F.lit("common_generic_name"), F.lit("barcode"))).alias("field_name"))
+    packages(spark, sf).select("inspection_id", F.explode(F.array(*[F.lit(f) for f in _ASKED])).alias("field_name"))
     .withColumn("box", F.lit(None).cast("struct<x1: double, y1: double, x2: double, y2: double>")),
     declarations(spark, sf), catalog.box_fallback_table(spark)).select("inspection_id", "field_name", "from_fallback", "box.x1"))
 

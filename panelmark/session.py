@@ -22,6 +22,8 @@ def build_session(cores: str | int = "*", app: str = "panelmark") -> SparkSessio
         # wide projections of patterns outgrow what the JIT compiles as one method
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
+        # files of checkpoints that nothing refers to any more are removed
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("PANELMARK_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -31,22 +33,25 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local session, where
-    every task sees the same disk, may fall back to a temporary folder.
+    every task sees the same disk, may fall back to a temporary folder, one for
+    the session.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="panelmark-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # the setting itself cannot be changed in a running session, the folder of its context can
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="panelmark-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(spark))
+        folder = checkpoint_folder(df.sparkSession)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
