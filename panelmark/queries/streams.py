@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmark import fixtures as fx
@@ -115,11 +115,24 @@ def _stream_dedup(spark, sf):
     return stored_scans(scans, folder).select("scan_id")
 
 
+def _keep_state_on_disk(spark: SparkSession) -> None:
+    """State that grows with the stream belongs into RocksDB, not onto the heap."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def stored_scans(scans: DataFrame, folder: str) -> DataFrame:
     """Runs the de-duplication to the end of its input and reads what it stored."""
-    running = jobs.dedup_scans(scans, f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return scans.sparkSession.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    _keep_state_on_disk(scans.sparkSession)
+    return _drain(jobs.dedup_scans(scans), folder)
+
+
+def captured_frames(frames: DataFrame, folder: str) -> DataFrame:
+    """Runs the capture of steady frames to the end of its input and reads the captures."""
+    running = jobs.stable_frames_stream(frames, folder).option("checkpointLocation", f"{folder}/state")
+    running.trigger(availableNow=True).start().awaitTermination()
+    return frames.sparkSession.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
 
 
 _MOTION = """
@@ -135,12 +148,8 @@ SELECT *, CASE WHEN steady THEN sum(CASE WHEN steady THEN 1 ELSE 0 END) OVER (PA
     SELECT *, metric >= 55.0 AND delta < 8.5 AS steady FROM ({_MOTION}) m) a) b) c WHERE streak >= 2
 """)
 def _stream_frames(spark, sf):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     frames = _audit(_stream(spark, sf, "events")).select("user_id", "event_id", "event_time", "metric")
-    return _drain(jobs.stable_frames_stream(frames), _scratch(spark, "stream-frames")).select("user_id", "event_id", "streak")
+    return captured_frames(frames, _scratch(spark, "stream-frames")).select("user_id", "event_id", "streak")
 
 
 @query("stream_screening", "SELECT inspection_id, rule_id, status FROM vx_verdicts")

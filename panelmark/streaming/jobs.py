@@ -8,11 +8,11 @@ from datetime import date
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from panelmark import constants as C
-from panelmark.operators import changes
+from panelmark.operators import changes, slices
 from panelmark.plans import screening
+from panelmark.session import cut
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -48,23 +48,19 @@ def override_feed(amend: DataFrame) -> DataFrame:
         "amended_at")
 
 
-def dedup_scans(scans: DataFrame, path: str):
-    """Stores each scan id once, however late a repeat comes.
+def dedup_scans(scans: DataFrame) -> DataFrame:
+    """Lets each scan id through once, however late a repeat comes.
 
-    What is stored is the state: a batch drops its own repeats and the ids that
-    earlier batches have written. The batch number is part of the path, so a
-    retried batch replaces its own output and never sees it.
+    The ids seen are the keys of a state store without a watermark, dealt by
+    hash, so a batch costs what it brings, not what was stored before. Repeats
+    within an Arrow batch go before the shuffle, as one id may fill a batch.
     """
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["scan_id"])
-        if number > 0:
-            stored = spark.read.option("basePath", path).schema("scan_id string, batch long").parquet(path).where(F.col("batch") < number)
-            fresh = fresh.join(stored.select("scan_id"), "scan_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.drop_duplicates("scan_id")
 
-    return scans.writeStream.foreachBatch(step)
+    return scans.mapInPandas(thin, scans.schema).dropDuplicates(["scan_id"])
 
 
 def kpi_stream(insp: DataFrame, span: str = "1 day") -> DataFrame:
@@ -95,40 +91,55 @@ def audit_stream(audit: DataFrame, span: str = "1 day") -> DataFrame:
     )
 
 
-class StableFrames(StatefulProcessor):
-    """Counts consecutive steady frames of a device; a capture leaves from the second on."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("run", "metric double, streak long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last, streak = None, 0
-        if self._state.exists():
-            last, streak = self._state.get()
-        frames = pd.concat(list(rows)).sort_values(["event_time", "event_id"])
-        before = frames["metric"].shift(1)
-        if last is not None:
-            before.iloc[0] = last
-        motion = (frames["metric"] - before).abs().fillna(0.0)
-        steady = (frames["metric"] >= C.MIN_SHARPNESS) & (motion < C.MAX_MOTION)
-        run = steady.groupby((~steady).cumsum()).cumsum()
-        opening = steady.cumprod().astype(bool)
-        run = run + opening * streak
-        self._state.update((float(frames["metric"].iloc[-1]), int(run.iloc[-1])))
-        taken = frames.assign(streak=run)[run >= 2]
-        if len(taken):
-            yield pd.DataFrame({"user_id": key[0], "event_id": taken["event_id"].values, "streak": taken["streak"].values})
-
-    def close(self) -> None:
-        pass
+_RUN = "user_id string, metric double, streak long"
+_FRAME_ORDER = ["_turn", "event_time", "event_id"]
 
 
-def stable_frames_stream(frames: DataFrame) -> DataFrame:
-    """Captures per device from a frame stream.
+def frame_streaks(frames: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``frames`` with ``streak``, the number of steady frames of the device that end here.
 
-    State per device is two numbers. Needs the RocksDB state store
-    (``spark.sql.streaming.stateStore.providerClass``).
+    ``known`` (user_id, metric, streak) is how each device stood before. It
+    goes in front of the device's frames as one row that weighs its streak.
+    Frames are sorted by (device, time) in slices and only sums are carried
+    over their borders, so one device may fill a batch.
     """
-    return frames.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=StableFrames(), outputStructType="user_id string, event_id long, streak long",
-        outputMode="append", timeMode="None")
+    columns = ["user_id", "event_id", "event_time", "metric"]
+    rows = frames.select(*columns, F.lit(1).alias("_turn"), F.lit(1).cast("long").alias("_weight"), F.lit(None).cast("boolean").alias("_stood"))
+    if known is not None:
+        met = known.join(frames.select("user_id").distinct(), "user_id", "left_semi")
+        rows = rows.unionByName(met.select(
+            "user_id", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("timestamp").alias("event_time"), "metric",
+            F.lit(0).alias("_turn"), F.col("streak").alias("_weight"), (F.col("streak") > 0).alias("_stood")))
+    order = [F.col(c) for c in _FRAME_ORDER]
+    after = slices.previous_value(rows, ["user_id"], order, {"metric": "_before"})
+    motion = F.abs(F.col("metric") - F.coalesce("_before", "metric"))
+    still = (F.col("metric") >= C.MIN_SHARPNESS) & (motion < C.MAX_MOTION)
+    judged = after.withColumn("_steady", F.coalesce("_stood", still, F.lit(False)))
+    counted = slices.running_sum(judged, ["user_id"], order, "_weight", "_so_far")
+    broken = counted.withColumn("_broken", F.when(~F.col("_steady"), F.col("_so_far")))
+    last = slices.running_max_before(broken, ["user_id"], order, "_broken", "_last_broken")
+    streak = F.when(F.col("_steady"), F.col("_so_far") - F.coalesce("_last_broken", F.lit(0))).otherwise(F.lit(0))
+    return last.withColumn("streak", streak.cast("long")).select(*columns, "_turn", "streak")
+
+
+def stable_frames_stream(frames: DataFrame, path: str):
+    """Captures per device: frames that are at least the second steady one in a row.
+
+    Captures go to ``path``/out by batch, so a retry replaces its own. How each
+    device stands (two numbers) goes to one of two folders in turn: a batch
+    reads what the one before it left, and a retry finds that unchanged.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema(_RUN).parquet(f"{path}/devices-{(number - 1) % 2}") if number > 0 else None
+        done = cut(frame_streaks(batch, known))
+        captures = done.where("_turn = 1 AND streak >= 2").select("user_id", "event_id", "streak")
+        captures.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        last = F.max_by(F.struct("metric", "streak"), F.struct(*_FRAME_ORDER))
+        stands = done.groupBy("user_id").agg(last.alias("_l")).select("user_id", "_l.*")
+        if known is not None:
+            stands = stands.unionByName(known.join(stands.select("user_id"), "user_id", "left_anti"))
+        stands.write.mode("overwrite").parquet(f"{path}/devices-{number % 2}")
+
+    return frames.writeStream.foreachBatch(step)

@@ -1,10 +1,12 @@
 """Streams over several files give what the batch twin gives."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from panelmark import fixtures as fx
 from panelmark.operators import ledger
-from panelmark.queries.streams import _audit, _drain, _last, _ledger, stored_scans
+from panelmark.queries.streams import _audit, _drain, _last, _ledger, captured_frames, stored_scans
 from panelmark.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -23,14 +25,36 @@ def cut_into_files(spark, folder, pieces=4):
 def test_stable_frames_match_the_batch(spark, tmp_path):
     source = str(tmp_path / "frames")
     schema = cut_into_files(spark, source)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = jobs.file_stream(spark, source, schema)
-    got = {(r.user_id, r.event_id, r.streak) for r in _drain(jobs.stable_frames_stream(stream), str(tmp_path / "out")).collect()}
+    got = {(r.user_id, r.event_id, r.streak) for r in captured_frames(jobs.file_stream(spark, source, schema), str(tmp_path / "out")).collect()}
     batch = ledger.stable_frames(fx.audit(spark, SF)).where("capture")
     assert got == {(r.user_id, r.event_id, r.streak) for r in batch.collect()}
 
 
+def test_one_device_fills_the_batches(spark, tmp_path):
+    """Runs go on over batches, a null metric breaks them, and devices that pause keep their standing."""
+    source, metrics = str(tmp_path / "frames"), {}
+    draw = random.Random(4)
+    for i in range(3):
+        rows = [("hot", i * 1000 + k, draw.choice([60.0, 61.0, 62.0, 63.0, 40.0, 90.0, None])) for k in range(900)]
+        rows += [("rare", i * 1000 + 950 + k, 60.0) for k in range(2) if i != 1]
+        for device, event, metric in rows:
+            metrics.setdefault(device, []).append((event, metric))
+        frame = spark.createDataFrame(rows, "user_id string, event_id long, metric double").withColumn("event_time", F.timestamp_seconds("event_id"))
+        frame.coalesce(1).write.mode("append").parquet(source)
+    expected = set()
+    for device, frames in metrics.items():
+        before, streak = None, 0
+        for event, metric in frames:
+            motion = 0.0 if before is None or metric is None else abs(metric - before)
+            streak = streak + 1 if metric is not None and metric >= 55.0 and motion < 8.5 else 0
+            before = metric
+            if streak >= 2:
+                expected.add((device, event, streak))
+    stream = jobs.file_stream(spark, source, "user_id string, event_id long, metric double, event_time timestamp")
+    got = {(r.user_id, r.event_id, r.streak) for r in captured_frames(stream, str(tmp_path / "out")).collect()}
+    assert got == expected and ("rare", 2951, 4) in got
+
+
 def shuffled_files(spark, rows, folder, pieces=4):
     """The rows in any order over several files, which a stream reads one per batch."""
     for i in range(pieces):
