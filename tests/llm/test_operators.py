@@ -208,9 +208,40 @@ def test_decontamination_odd_rows(spark, odd, none):
     assert decontaminate.find_contamination(odd, items.where("false")).where("contaminated").count() == 0
 
 
+def contaminated_by_force(rows, items, width=13):
+    """rows and items: (id, text); per row its n_words, n_hit, digest of items and verdict."""
+    windows = {}
+    for item, text in items:
+        w = decontaminate.normal_words(text or "")
+        for i in range(max(1, len(w) - width + 1)) if w else ():
+            windows.setdefault(tuple(w[i:i + width]), set()).add(str(item))
+    out = []
+    for i, text in rows:
+        w, hit, names = decontaminate.normal_words(text or ""), set(), set()
+        for n in {len(k) for k in windows}:
+            for a in range(len(w) - n + 1):
+                if tuple(w[a:a + n]) in windows:
+                    hit |= set(range(a, a + n))
+                    names |= windows[tuple(w[a:a + n])]
+        digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        out.append((i, len(w), len(hit), len(names), digest, bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+@pytest.mark.parametrize("max_windows", [1 << 17, 40, 7])
+def test_decontamination_in_any_number_of_sets(spark, max_windows):
+    items = [(k, sentence(500 + k, 8 + 3 * k)) for k in range(12)] + [(3, sentence(503, 17)), (99, None), (98, "?!"), (97, sentence(500, 8).upper())]
+    rows = [(None if k == 4 else k, " ".join([sentence(k, 30), items[k % 12][1], sentence(k + 50, 5), items[(k + 5) % 12][1][: 40 + k]])) for k in range(40)]
+    rows += [(40, None), (41, ""), (42, items[11][1]), (42, items[11][1])]
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_contamination(docs, tests, max_windows=max_windows).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(contaminated_by_force(rows, items), key=repr)
+
+
 def test_decontamination_spans_name_the_original_words():
     text = "Well... THE Ébène-cat, sat"
-    row = decontaminate._judge(text, decontaminate._automaton({b"the": ["7"], "Ébène cat".encode(): ["8"]}), 20)
+    words = decontaminate.normal_words(text)
+    row = decontaminate._verdict(text, len(words), *decontaminate.Automaton({b"the": ["7"], "Ébène cat".encode(): ["8"]}).find(words), 20)
     assert [text[a:b] for a, b in zip(row[5], row[6])] == ["THE Ébène-cat"] and row[1] == 3 and row[2] == 2
 
 
