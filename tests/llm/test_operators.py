@@ -271,6 +271,23 @@ def test_compression_bands_tell_noise_and_repeats():
     assert b"".join(compression.chunks_of(b"x" * 10_000, 4096)) == b"x" * 10_000
 
 
+def test_compression_limits_reject_what_the_base_rules_let_pass(spark):
+    stock = [sentence(k, 1, WORDS) for k in range(4000)]
+    plain = [(k, " ".join(random.Random(k).choices(stock, k=150 + k % 60))) for k in range(900)]
+    parts = [" ".join(random.Random(9000 + k).choices(stock, k=4)) for k in range(12)]
+    # each four-word part comes up again and again, but in any order, so few windows of three words repeat in a row of other parts
+    packed = [(1000 + k, " ".join(random.Random(k).choice(stock).upper() + " " + p[: 10 + 3 * k] for p in random.Random(k).choices(parts, k=40))) for k in range(5)]
+    noise = [(2000 + k, " ".join("".join(chr(random.Random(k * 999 + i).randrange(0x4E00, 0x9FA5)) for i in range(j, j + 5)) for j in range(0, 500, 5))) for k in range(5)]
+    docs = spark.createDataFrame(plain + packed + noise, "doc_id long, text string")
+    limits = compression.fit(docs)
+    assert limits and all(a < b and c < d for a, b, c, d in limits.values())
+    found = {r["doc_id"]: r for r in compression.measure(docs).collect()}
+    assert all(found[i]["kept"] for i, _ in plain)
+    alone = [i for i, r in found.items() if not r["base_failed"] and not r["kept"]]
+    assert set(alone) >= {i for i, _ in noise} and not [i for i, _ in noise if found[i]["base_failed"]]
+    assert compression.fit(docs.where("false")) == {}
+
+
 def test_pseudonyms_keep_format_link_and_can_be_undone(odd, none):
     card, iban = "4041894974608795", "DE89 3704 0044 0532 0130 00"
     text = (f"pay {card} or {card}, call +1 (988) 555-2485, from 70.123.182.155. IBAN {iban} born 1984-02-29, 13/12/1999, 12/25/1999, "
