@@ -6,12 +6,16 @@ the box x1, y1, x2, y2 in page pixels.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelmark import constants as C
 from panelmark.functions.text import has_any, is_barcode, text
 from panelmark.operators import slices
+from panelmark.session import cut
 
 ROW_GAP = 45.0
 BOX = ["x1", "y1", "x2", "y2"]
@@ -20,15 +24,27 @@ BOX = ["x1", "y1", "x2", "y2"]
 # -------------------------------------------------------------- reading rows
 
 
+def _row_cell() -> Column:
+    # lower than the gap, so that a cell holds one start at most
+    return F.floor(F.col("y1") / (ROW_GAP - 5))
+
+
 def row_starts(tokens: DataFrame) -> DataFrame:
-    """Upper edges that open a reading row, per package, in order.
+    """Upper edges that open a reading row: (inspection_id, _cell, _start, _before), the last counting the rows above the cell.
 
     Taken from top to bottom, a token opens a row when it lies more than the
-    gap below the token that opened the row before. Only the distinct edges
-    matter, and those are pixels: a page has a few thousand of them however
-    many tokens it holds.
+    gap below the token that opened the row before. A step of more than the gap
+    between two edges opens one whatever came before, so the page is cut there
+    into islands and only the distinct edges of an island are folded. Edges are
+    first reduced to cells lower than the gap, so ordering a page orders its
+    cells, not its tokens.
     """
-    edges = tokens.groupBy("inspection_id").agg(F.array_sort(F.collect_set("y1")).alias("_ys"))
+    page = Window.partitionBy("inspection_id").orderBy("_cell")
+    cells = tokens.where("y1 IS NOT NULL").groupBy("inspection_id", _row_cell().alias("_cell")).agg(
+        F.min("y1").alias("_top"), F.max("y1").alias("_low"), F.collect_set("y1").alias("_ys"))
+    opens = F.coalesce(F.col("_top") - F.lag("_low").over(page) > ROW_GAP, F.lit(True)).cast("int")
+    islands = cells.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(page))
+    edges = islands.groupBy("inspection_id", "_island").agg(F.array_sort(F.flatten(F.collect_list("_ys"))).alias("_ys"))
     starts = F.aggregate(
         "_ys",
         F.array().cast("array<double>"),
@@ -37,14 +53,22 @@ def row_starts(tokens: DataFrame) -> DataFrame:
             F.concat(kept, F.array(y)),
         ).otherwise(kept),
     )
-    return edges.select("inspection_id", starts.alias("_starts"))
+    opened = edges.select("inspection_id", F.explode(starts).alias("y1")).select("inspection_id", _row_cell().alias("_cell"), F.col("y1").alias("_start"))
+    # a grouping, not a join: both sides are already dealt by package, and a null package stays one
+    filled = cells.select("inspection_id", "_cell", F.lit(None).cast("double").alias("_start")).unionByName(opened)
+    above = page.rowsBetween(Window.unboundedPreceding, -1)
+    return filled.groupBy("inspection_id", "_cell").agg(F.max("_start").alias("_start")).withColumn(
+        "_before", F.count("_start").over(above))
 
 
 def reading_rows(tokens: DataFrame) -> DataFrame:
-    """Adds ``row_no``, counted from 1 at the top of the page."""
-    joined = tokens.join(row_starts(tokens), "inspection_id")
-    row = F.size(F.filter("_starts", lambda s: s <= F.col("y1")))
-    return joined.withColumn("row_no", row).drop("_starts")
+    """Adds ``row_no``, counted from 1 at the top of the page; 0 without an upper edge."""
+    starts = row_starts(tokens).withColumnsRenamed({"inspection_id": "_id", "_cell": "_at"})
+    placed = tokens.withColumn("_cell", _row_cell())
+    joined = placed.join(starts, F.col("inspection_id").eqNullSafe(F.col("_id")) & (F.col("_cell") == F.col("_at")), "left")
+    opened = F.coalesce(F.col("y1") >= F.col("_start"), F.lit(False)).cast("int")
+    row = F.coalesce(F.col("_before") + opened, F.lit(0)).cast("int")
+    return joined.withColumn("row_no", row).drop("_cell", "_id", "_at", "_start", "_before")
 
 
 def row_texts(rows: DataFrame) -> DataFrame:
@@ -145,12 +169,81 @@ def _suppresses(a: Column, b: Column) -> Column:
     return (shared > 0) & ((shared / union >= 0.45) | (of_smaller > 0.65) | (same & (of_smaller > 0.25)))
 
 
+#: reads of a page that are folded at once; more are settled in rounds
+PAGE = 128
+#: best reads of a cell that a round looks at
+LEADERS = 32
+
+
+def _matched(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
+    """Join on equal ``names``, null being a value like any other; of the right only its other columns stay."""
+    right = right.withColumnsRenamed({n: f"_right_{n}" for n in names})
+    same = [F.col(n).eqNullSafe(F.col(f"_right_{n}")) for n in names]
+    joined = left.join(right, reduce(lambda a, b: a & b, same), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{n}" for n in names])
+
+
+def _folded(reads: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _item) that stay on small pages: the list of a page is folded, best first."""
+    lists = reads.groupBy(*keys).agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+    kept = F.aggregate(
+        "_items",
+        F.slice("_items", 1, 0),
+        lambda done, t: F.when(F.exists(done, lambda k: _suppresses(t, k)), done).otherwise(F.concat(done, F.array(t))),
+    )
+    return lists.select(*keys, F.explode(kept).alias("_item"))
+
+
+def _settled(reads: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _item) that stay on pages of any size, settled in rounds.
+
+    Reads are placed in the cells of a grid as wide and high as the page's
+    average box; two that overlap share a cell. A read that is among the
+    ``LEADERS`` best undecided ones of all its cells meets there whatever better
+    read could remove it. If none does it stays, and what it suppresses goes.
+    The best undecided read of a page is always settled, so rounds end; there
+    are about as many as the longest chain of reads of which each suppresses
+    the next. Work of a round is linear in the undecided reads, and no cell
+    gathers more than its leaders.
+    """
+    box = {b: F.col(f"_item.{b}") for b in BOX}
+    solid = F.coalesce((box["x2"] > box["x1"]) & (box["y2"] > box["y1"]), F.lit(False))
+    sizes = reads.where(solid).groupBy(*keys).agg(
+        F.greatest(F.lit(1.0), F.avg(box["x2"] - box["x1"])).alias("_w"), F.greatest(F.lit(1.0), F.avg(box["y2"] - box["y1"])).alias("_h"))
+
+    def span(low: str, high: str, step: str) -> Column:
+        return F.sequence(F.floor(box[low] / F.col(step)), F.floor(box[high] / F.col(step)))
+
+    across, down = span("x1", "x2", "_w"), span("y1", "y2", "_h")
+    placed = _matched(reads.where(solid), sizes, keys, "inner").select(
+        *keys, "_item", (F.size(across) * F.size(down)).alias("_cells"), across.alias("_xs"), down.alias("_ys"))
+    placed = cut(placed.select(*keys, "_item", "_cells", F.explode("_xs").alias("_cx"), "_ys").select(
+        *keys, "_item", "_cells", "_cx", F.explode("_ys").alias("_cy")))
+    stay, cell = reads.where(~solid).select(*keys, "_item"), [*keys, "_cx", "_cy"]
+    while not placed.isEmpty():
+        place = F.row_number().over(Window.partitionBy(*cell).orderBy("_item"))
+        leaders = placed.withColumn("_place", place).where(F.col("_place") <= LEADERS).groupBy(*cell).agg(
+            F.collect_list(F.struct("_item", "_cells")).alias("_all"))
+        beaten = F.exists("_all._item", lambda a: (a < F.col("_one._item")) & _suppresses(a, F.col("_one._item")))
+        kept = cut(leaders.select(*cell, "_all", F.explode("_all").alias("_one"))
+                   .select(*cell, F.col("_one._item").alias("_item"), F.col("_one._cells").alias("_cells"), beaten.alias("_beaten"))
+                   .groupBy(*keys, "_item").agg(F.count("*").alias("_seen"), F.first("_cells").alias("_cells"), F.max("_beaten").alias("_beaten"),
+                                                F.collect_list(F.struct("_cx", "_cy")).alias("_at"))
+                   .where("_seen = _cells AND NOT _beaten"))
+        winners = kept.select(*keys, "_item", F.explode("_at").alias("_at")).groupBy(*keys, F.col("_at._cx").alias("_cx"), F.col("_at._cy").alias("_cy")).agg(
+            F.collect_list("_item").alias("_winners"))
+        out = F.exists("_winners", lambda k: (k == F.col("_item")) | _suppresses(k, F.col("_item")))
+        decided = _matched(placed, winners, cell, "inner").where(out).select(*keys, "_item").distinct()
+        placed, stay = cut(_matched(placed, decided, [*keys, "_item"], "left_anti")), stay.unionByName(kept.select(*keys, "_item"))
+    return stay
+
+
 def nms_dedup(tokens: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Greedy removal of overlapping reads, the most confident first.
 
-    Exact reductions come first: repeats of one text in one box leave only the
-    best, and boxes that no chain of overlaps connects vertically cannot touch,
-    so the page falls apart into bands. Only a band is folded in order.
+    Repeats of one text in one box first leave only the best. Small pages are
+    then folded in order, larger ones settled in rounds; both give the greedy
+    result.
     """
     keys = keys or ["inspection_id"]
     tokens = tokens.where(F.trim(text("text")) != "")
@@ -159,28 +252,23 @@ def nms_dedup(tokens: DataFrame, keys: list[str] | None = None) -> DataFrame:
     flat = (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))
     # degenerate boxes never overlap, so they are kept apart by their own id
     apart = F.when(flat, F.struct("line_no", "pass_no"))
-    best = (
+    item = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.col("line_no"), F.col("pass_no"), *[F.col(b) for b in BOX],
+                    F.trim("text").alias("text"))
+    best = cut(
         tokens.withColumn("_rank", rank)
         .groupBy(*keys, *BOX, F.upper(F.trim("text")).alias("_t"), apart.alias("_apart"))
         .agg(F.min_by(row, "_rank").alias("_row"))
-        .select("_row.*")
+        .select("_row.*").withColumn("_item", item)
     )
-    order = [F.col("y1"), F.col("y2"), F.col("line_no"), F.col("pass_no")]
-    reached = slices.running_max_before(best, keys, order, "y2", "_reach")
-    opens = F.when(F.col("_reach").isNull() | (F.col("y1") >= F.col("_reach")), 1).otherwise(0)
-    banded = slices.running_sum(reached.withColumn("_opens", opens), keys, order, "_opens", "_band")
-    item = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.col("line_no"), F.col("pass_no"), *[F.col(b) for b in BOX],
-                    F.trim("text").alias("text"), F.struct(*[F.col(c) for c in tokens.columns]).alias("row"))
-    folded = banded.groupBy(*keys, "_band").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    empty = F.slice("_items", 1, 0)
-    kept = F.aggregate(
-        "_items",
-        empty,
-        lambda done, t: F.when(F.exists(done, lambda k: _suppresses(t, k)), done).otherwise(
-            F.concat(done, F.array(t))
-        ),
-    )
-    return folded.select(F.explode(kept).alias("_kept")).select("_kept.row.*")
+    reads = best.select(*keys, "_item")
+    large = reads.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > PAGE).drop("_n")
+    if large.isEmpty():
+        stay = _folded(reads, keys)
+    else:
+        large = cut(large)
+        stay = _folded(_matched(reads, large, keys, "left_anti"), keys).unionByName(
+            _settled(_matched(reads, large, keys, "left_semi"), keys))
+    return _matched(best, stay, [*keys, "_item"], "left_semi").drop("_item")
 
 
 # -------------------------------------------------------- coordinate changes
@@ -228,19 +316,39 @@ def rotate_back(tokens: DataFrame, rotation: str, scale: Column, height: Column,
 # --------------------------------------------------------------- box matching
 
 
+BOX_CELL = 256
+
+
 def unmapped_tokens(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
     """Tokens that no declared box covers by more than half.
 
-    A package declares a bounded set of fields, so the anti join compares each
-    token with a few boxes only.
+    A box that covers more than half of a token holds its centre. So boxes are
+    laid out over the cells of a grid, as far as the package has tokens, and a
+    token meets only those in the cell of its centre.
     """
-    b = boxes.select("inspection_id", *[F.col(c).alias(f"_{c}") for c in BOX]).where("_x1 IS NOT NULL").distinct()
+    def cell(at: Column) -> Column:
+        return F.floor(at / BOX_CELL)
+
+    cx, cy = cell((F.col("x1") + F.col("x2")) / 2), cell((F.col("y1") + F.col("y2")) / 2)
+    page = tokens.groupBy(F.col("inspection_id").alias("_page")).agg(
+        F.min(cx).alias("_left"), F.max(cx).alias("_right"), F.min(cy).alias("_top"), F.max(cy).alias("_low"))
+    b = boxes.select(F.col("inspection_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in BOX]).where(
+        "_x1 IS NOT NULL AND _y1 IS NOT NULL AND _x2 > _x1 AND _y2 > _y1").distinct()
+
+    def span(low: str, high: str, first: str, last: str) -> Column:
+        # a pixel more on both sides, for centres that rounding moved
+        start, end = F.greatest(cell(F.col(low) - 1), F.col(first)), F.least(cell(F.col(high) + 1), F.col(last))
+        return F.when(start <= end, F.sequence(start, end))
+
+    laid = b.join(page, F.col("_id") == F.col("_page")).select(
+        "_id", *[f"_{c}" for c in BOX], F.explode(span("_x1", "_x2", "_left", "_right")).alias("_cx"), span("_y1", "_y2", "_top", "_low").alias("_ys"))
+    laid = laid.select("_id", *[f"_{c}" for c in BOX], "_cx", F.explode("_ys").alias("_cy"))
     width = F.least(F.col("x2"), F.col("_x2")) - F.greatest(F.col("x1"), F.col("_x1"))
     height = F.least(F.col("y2"), F.col("_y2")) - F.greatest(F.col("y1"), F.col("_y1"))
     own = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     covered = (width > 0) & (height > 0) & (own > 0) & (width * height > 0.5 * own)
-    same = tokens["inspection_id"] == b["inspection_id"]
-    return tokens.join(b, same & covered, "left_anti")
+    met = (F.col("inspection_id") == F.col("_id")) & (cx == F.col("_cx")) & (cy == F.col("_cy"))
+    return tokens.join(laid, met & covered, "left_anti")
 
 
 def _packed(column: Column) -> Column:

@@ -151,6 +151,67 @@ def test_reading_rows_are_the_greedy_rows(spark, scattered):
             assert got[(t[0], t[1])] == number + 1
 
 
+def test_nms_of_a_large_page_in_one_band(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(1500):
+        # a third is one stack, the rest one long band; few confidences, so many ties
+        x, y = (rng.random() * 8, rng.random() * 4) if i % 3 == 0 else (rng.random() * 6000, rng.random() * 60)
+        rows.append(("hot" if i % 10 else None, i, rng.choice(["tea", "salt", "oil"]), float(rng.choice([60, 70])), x, y, x + 60 + rng.random(), y + 25))
+    rows += [("hot", 2000, "flat", 50.0, 5.0, 5.0, 5.0, 9.0), ("hot", 2001, "no box", 50.0, None, None, None, None)]
+    rows += [("small", r[1], *r[2:]) for r in rows[:60]]
+    got = {(r.inspection_id, r.line_no) for r in tk.nms_dedup(spark.createDataFrame(rows, SCHEMA).withColumn("pass_no", F.lit(0))).collect()}
+    want = set()
+    for page in ("hot", "small", None):
+        kept = []
+        for t in sorted((r for r in rows if r[0] == page), key=lambda r: (-r[3], r[1])):
+            if t[4] is None or not any(k[4] is not None and iou_kills(t, k) for k in kept):
+                kept.append(t)
+        want |= {(k[0], k[1]) for k in kept}
+    assert got == want
+
+
+def test_rows_of_a_page_with_fractional_edges(spark):
+    rng = random.Random(7)
+    rows, y = [], -300.0
+    for i in range(3000):
+        y += rng.choice([0.0, rng.random() * 20, 44.9, 45.0, 45.1, 200.0 if i % 50 == 0 else 1.5])
+        rows.append(("hot" if i % 3 else None, i, "t", 90.0, 0.0, y, 10.0, y + 5))
+    rows.append(("hot", 5000, "t", 90.0, 0.0, None, 10.0, 5.0))
+    got = {(r.inspection_id, r.line_no): r.row_no for r in tk.reading_rows(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == len(rows) and got[("hot", 5000)] == 0
+    for page in ("hot", None):
+        start, number = None, 0
+        for t in sorted((r for r in rows if r[0] == page and r[5] is not None), key=lambda r: r[5]):
+            if start is None or t[5] - start > 45:
+                start, number = t[5], number + 1
+            assert got[(page, t[1])] == number
+
+
+def test_unmapped_tokens_of_a_hot_package(spark):
+    rng = random.Random(9)
+    tokens, boxes = [], []
+    for i in range(1200):
+        x, y, w = rng.random() * 3000 - 500, rng.random() * 3000 - 500, rng.choice([0.0, 30.0, 700.0])
+        tokens.append(("hot" if i % 3 else f"P{i % 7}", i, "t", 90.0, x, y, x + w, y + 20))
+    for i in range(150):
+        x, y = rng.random() * 3000 - 500, rng.random() * 3000 - 500
+        boxes.append(("hot" if i % 3 else f"P{i % 7}", i, "b", 90.0, x, y, x + rng.choice([-5.0, 40.0, 900.0]), y + rng.choice([12.0, 300.0])))
+    boxes += [("hot", 900, "b", 90.0, -1e9, -1e9, -1e8, 1e9), ("hot", 901, "b", 90.0, None, None, None, None), (None, 902, "b", 90.0, 0.0, 0.0, 9e3, 9e3)]
+    boxes.append(("P3", 903, "b", 90.0, -1e12, -1e12, 1e12, 1e12))
+    tokens.append((None, 5000, "t", 90.0, 1.0, 1.0, 9.0, 9.0))
+
+    def covers(b, t):
+        if b[0] != t[0] or b[0] is None or b[4] is None:
+            return False
+        w, h = min(t[6], b[6]) - max(t[4], b[4]), min(t[7], b[7]) - max(t[5], b[5])
+        own = (t[6] - t[4]) * (t[7] - t[5])
+        return w > 0 and h > 0 and own > 0 and w * h > 0.5 * own
+
+    got = sorted(r.line_no for r in tk.unmapped_tokens(spark.createDataFrame(tokens, SCHEMA), spark.createDataFrame(boxes, SCHEMA)).collect())
+    assert got == sorted(t[1] for t in tokens if not any(covers(b, t) for b in boxes))
+
+
 def test_spatial_pair_picks_the_cheapest(spark, scattered):
     got = {r.inspection_id: (r.key_line, r.value_line) for r in tk.spatial_pair(
         spark.createDataFrame(scattered, SCHEMA), "MRP", r"Rs\.?\s*[0-9]+(?:\.[0-9]+)?").collect()}
