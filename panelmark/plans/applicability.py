@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, VariantType
 
 from panelmark import constants as C
 from panelmark.functions.text import lookup, text
@@ -129,23 +130,61 @@ def applicability_category(applicability: Column) -> Column:
     return chosen.otherwise(F.array_join(applicability, ", "))
 
 
-def canonicalise_rules(raw: DataFrame) -> DataFrame:
-    """Raw catalogue rows to executable rules.
+def _is_string(raw: DataFrame, name: str) -> bool:
+    return isinstance(raw.schema[name].dataType, StringType)
+
+
+def _json_text(raw: DataFrame, name: str) -> Column:
+    """A column of a feed as text: texts as they are, lists and objects as JSON; null where the feed has no such column."""
+    if name not in raw.columns:
+        return F.lit(None).cast("string")
+    if _is_string(raw, name):
+        return F.col(name)
+    if isinstance(raw.schema[name].dataType, VariantType):
+        plain = F.try_variant_get(name, "$", "string")
+        return F.when(F.schema_of_variant(name) == "STRING", plain).otherwise(F.nullif(F.to_json(name), F.lit("null")))
+    return F.to_json(name)
+
+
+def _shape(json: Column) -> Column:
+    """ARRAY, OBJECT or another kind of JSON, null for text that is none."""
+    return F.regexp_extract(F.schema_of_variant(F.try_parse_json(F.when(json.rlike(r"^\s*[\[{]"), json))), "^[A-Z]+", 0)
+
 
-    ``applicability`` is one text here and stays one tag, comma or not, as the
-    catalogue feed delivers it.
+def _given(json: Column) -> Column:
+    """Null instead of an empty text, list or object."""
+    return F.when(~F.regexp_replace(json, r"\s", "").isin("", "[]", "{}"), json)
+
+
+def canonicalise_rules(raw: DataFrame) -> DataFrame:
+    """Raw catalogue rows to executable rules, whatever shape the feed gives them.
+
+    ``applicability`` is one tag (comma or not), a list of tags, or a list
+    written as JSON text; ``parameters`` an object or its JSON text, anything
+    else counting as no parameters. Both columns, and ``condition`` and
+    ``provision``, may be texts, lists, objects or variants that hold now one,
+    now the other. The type stands in ``validation_type``, else in
+    ``rule_type``; a rule of an unknown type keeps its own ``rule_type`` and its
+    own ``condition``, if it has them. The chapter stands in ``chapter`` or in
+    the provision, and a given ``required`` overrules what follows from it.
     """
-    kind = F.upper(F.coalesce(F.nullif("validation_type", F.lit("")), F.lit("PRESENCE")))
-    tags = F.when(text("applicability") == "", F.array().cast("array<string>")).otherwise(
-        F.array("applicability")
-    )
+    def column(name: str, kind: str = "string") -> Column:
+        return F.col(name) if name in raw.columns else F.lit(None).cast(kind)
+
+    def filled(name: str) -> Column:
+        return F.nullif(column(name), F.lit(""))
+
+    kind = F.upper(F.coalesce(filled("validation_type"), filled("rule_type"), F.lit("PRESENCE")))
+    applicability, parameters = _json_text(raw, "applicability"), _json_text(raw, "parameters")
+    listed = F.from_json(F.when(_shape(applicability) == "ARRAY", applicability), "array<string>")
+    single = F.when(F.coalesce(applicability, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(applicability))
+    tags = F.coalesce(listed, single)
+    plain = F.when(_shape(parameters) == "OBJECT", parameters).otherwise("{}")
     params = F.from_json(
-        "parameters",
+        plain,
         "allowed_units array<string>, allowed_terms array<string>, format string, "
         "required_phrases_any_of array<string>, required_phrase_all string, mandatory boolean",
     )
-    is_object = F.coalesce(F.trim("parameters").rlike(r"^\{.*\}$"), F.lit(False))
-    plain = F.when(is_object, F.col("parameters")).otherwise("{}")
 
     def condition(operator: str, values: Column) -> Column:
         return F.to_json(F.struct(F.lit(operator).alias("operator"), values.alias("values")))
@@ -157,6 +196,7 @@ def canonicalise_rules(raw: DataFrame) -> DataFrame:
     has_phrases = F.col("_params.required_phrases_any_of").isNotNull() | F.col(
         "_params.required_phrase_all"
     ).isNotNull()
+    known = dict(C.RULE_TYPE_ALIASES)
     built = (
         F.when(kind == "PRESENCE", F.lit('{"operator":"present"}'))
         .when(kind == "UNIT", condition("one_of", units))
@@ -174,10 +214,10 @@ def canonicalise_rules(raw: DataFrame) -> DataFrame:
                 )
             ),
         )
+        .when(~kind.isin(list(known)), F.coalesce(_given(_json_text(raw, "condition")), plain))
         .otherwise(plain)
     )
-    known = dict(C.RULE_TYPE_ALIASES)
-    chapter = text("chapter") if "chapter" in raw.columns else F.lit("")
+    chapter = F.coalesce(column("chapter"), F.get_json_object(_json_text(raw, "provision"), "$.chapter"), F.lit(""))
     second_chapter = chapter.contains("II") | chapter.contains("Retail sale")
     not_required = (
         F.col("rule_id").isin(C.NOT_REQUIRED_RULE_IDS)
@@ -185,22 +225,23 @@ def canonicalise_rules(raw: DataFrame) -> DataFrame:
         | ~second_chapter
         | kind.isin("APPLICABILITY_EXCLUSION", "DIMENSION")
     )
-    own = F.col("required") if "required" in raw.columns else F.lit(None).cast("boolean")
+    field = F.coalesce(filled("field"), column("field_name"), F.lit(""))
     return raw.withColumn("_params", params).select(
         "rule_id",
         "source_rank",
         applicability_category(tags).alias("product_category"),
-        F.coalesce("field", F.lit("")).alias("field_name"),
-        lookup(known, kind, F.lit("MANDATORY_FIELD")).alias("rule_type"),
+        field.alias("field_name"),
+        F.coalesce(lookup(known, kind, F.lit(None)), filled("rule_type"), F.lit("MANDATORY_FIELD")).alias("rule_type"),
         built.alias("condition"),
-        F.coalesce(own, ~not_required).alias("required"),
+        F.coalesce(column("required", "boolean"), ~not_required).alias("required"),
         F.coalesce("severity", F.lit("HIGH")).alias("severity"),
         F.coalesce(
-            F.nullif("description", F.lit("")),
-            F.concat(F.lit("Declaration '"), F.col("field"), F.lit("' is not in order.")),
+            filled("error_message"),
+            filled("description"),
+            F.concat(F.lit("Declaration '"), field, F.lit("' is not in order.")),
         ).alias("error_message"),
-        F.coalesce("version", F.lit("2026.1.0")).alias("version"),
-        (F.coalesce("verification_status", F.lit("")) != "DEPRECATED").alias("is_active"),
+        F.coalesce(column("version"), F.lit("2026.1.0")).alias("version"),
+        (F.coalesce(column("verification_status"), F.lit("")) != "DEPRECATED").alias("is_active"),
     )
 
 

@@ -196,14 +196,52 @@ query("applicability_category", f"SELECT rule_id, source_rank, {_APPL} AS catego
 _TYPE = sql_map(C.RULE_TYPE_ALIASES, "validation_type", "'MANDATORY_FIELD'")
 _UNITS_JSON = '{"operator":"one_of","values":["g","kg"]}'
 _UNITS_DEFAULT = '{"operator":"one_of","values":[' + ",".join(f'"{u}"' for u in C.DEFAULT_ALLOWED_UNITS) + "]}"
+# the feed in mixed shapes: a tag, a list of tags or of unknown ones; parameters as text, object or list; types of its own
+EXTRA_VIEWS["vx_feed"] = """
+SELECT * REPLACE (CASE WHEN source_rank % 23 = 0 THEN 'SPECIAL' WHEN source_rank % 23 = 1 THEN NULL ELSE validation_type END AS validation_type,
+    CASE WHEN source_rank % 10 = 2 THEN '{"mandatory":false}' WHEN source_rank % 10 = 5 THEN '{"allowed_units":["g","kg"]}' ELSE parameters END AS parameters),
+  CASE source_rank % 4 WHEN 0 THEN 'Chapter II' WHEN 1 THEN 'Retail sale of packages' WHEN 2 THEN 'Chapter V' END AS chapter,
+  CASE WHEN source_rank % 46 = 0 THEN 'OWN_CHECK' WHEN source_rank % 46 = 1 THEN 'date' END AS rule_type,
+  CASE WHEN source_rank % 69 = 0 THEN '{"operator":"present"}' WHEN source_rank % 2 = 0 THEN '{}' END AS own,
+  CASE source_rank % 31 WHEN 0 THEN true WHEN 1 THEN false END AS own_required
+FROM fx_rules_raw
+"""
+
+
+def mixed_feed(spark, sf):
+    """The rule list as lines of JSON whose fields change their shape from rule to rule, read as variants."""
+    raw = fx.rules_raw(spark, sf)
+    rank = F.col("source_rank")
+    tags = F.when(rank % 12 == 6, F.lit('["x-ray", "pre_packaged_general"]')).when(rank % 12 == 7, '["frozen", "chilled"]').when(rank % 12 == 8, "[]")
+    # a text in JSON is quoted, an object or list is not
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[(.*)\]$", "$1")
+    odd = F.when(rank % 10 == 2, F.lit('{"mandatory":false}')).when(rank % 10 == 5, '{"allowed_units":["g","kg"]}').when(
+        F.col("parameters") == "not json", F.when(rank % 2 == 0, F.lit("[1]")).otherwise(quoted(F.col("parameters"))))
+    return raw.withColumns({
+        "applicability": F.parse_json(F.coalesce(tags, quoted(F.col("applicability")))),
+        "parameters": F.parse_json(F.coalesce(odd, quoted(F.col("parameters")))),
+        "provision": F.parse_json(F.expr("CASE source_rank % 4 WHEN 0 THEN '{\"chapter\": \"Chapter II\"}' WHEN 1 THEN '{\"chapter\": \"Retail sale of packages\"}' WHEN 2 THEN '{\"chapter\": \"Chapter V\"}' ELSE '{}' END")),
+        "validation_type": F.when(rank % 23 == 0, "SPECIAL").when(rank % 23 != 1, F.col("validation_type")),
+        "rule_type": F.when(rank % 46 == 0, "OWN_CHECK").when(rank % 46 == 1, "date"),
+        "condition": F.parse_json(F.when(rank % 69 == 0, '{"operator":"present"}').when(rank % 2 == 0, "{}")),
+        "required": F.when(rank % 31 == 0, True).when(rank % 31 == 1, False),
+    })
+
+
+_KIND = "upper(coalesce(validation_type, rule_type, 'PRESENCE'))"
+_PLAIN = "CASE WHEN parameters = 'not json' THEN '{}' ELSE parameters END"
 query("canonicalise_rules", f"""
-SELECT rule_id, source_rank, {_APPL} AS product_category, field AS field_name, {_TYPE} AS rule_type,
-  CASE validation_type WHEN 'PRESENCE' THEN '{{"operator":"present"}}'
+SELECT rule_id, source_rank,
+  CASE source_rank % 12 WHEN 6 THEN 'ALL' WHEN 7 THEN 'frozen, chilled' WHEN 8 THEN 'ALL' ELSE {_APPL} END AS product_category, field AS field_name,
+  CASE WHEN {_KIND} IN ({sql_list(C.RULE_TYPE_ALIASES)}) THEN {sql_map(C.RULE_TYPE_ALIASES, _KIND, "''")} ELSE coalesce(rule_type, 'MANDATORY_FIELD') END AS rule_type,
+  CASE {_KIND} WHEN 'PRESENCE' THEN '{{"operator":"present"}}'
     WHEN 'UNIT' THEN CASE WHEN source_rank % 5 = 0 THEN '{_UNITS_JSON}' ELSE '{_UNITS_DEFAULT}' END
     WHEN 'DATE' THEN '{{"operator":"is_valid_date","format":"DD/MM/YYYY or MM/YYYY"}}'
-    ELSE CASE WHEN parameters = 'not json' THEN '{{}}' ELSE parameters END END AS condition,
-  false AS required, severity, verification_status <> 'DEPRECATED' AS is_active FROM fx_rules_raw
-""")(lambda spark, sf: ap.canonicalise_rules(fx.rules_raw(spark, sf)).select(
+    ELSE CASE WHEN {_KIND} NOT IN ({sql_list(C.RULE_TYPE_ALIASES)}) AND own <> '{{}}' THEN own ELSE {_PLAIN} END END AS condition,
+  coalesce(own_required, rule_id NOT IN ({sql_list(C.NOT_REQUIRED_RULE_IDS)}) AND NOT contains(parameters, 'mandatory')
+    AND coalesce(contains(chapter, 'II') OR contains(chapter, 'Retail sale'), false) AND {_KIND} NOT IN ('APPLICABILITY_EXCLUSION', 'DIMENSION')) AS required,
+  severity, verification_status <> 'DEPRECATED' AS is_active FROM vx_feed
+""")(lambda spark, sf: ap.canonicalise_rules(mixed_feed(spark, sf)).select(
     "rule_id", "source_rank", "product_category", "field_name", "rule_type", "condition", "required", "severity", "is_active"))
 
 query("rule_type_alias", f"SELECT rule_id, source_rank, {sql_map(C.RULE_TYPE_ALIASES, 'validation_type', 'validation_type')} AS rule_type FROM fx_rules_raw")(

@@ -169,3 +169,33 @@ def test_two_changes_for_one_row_do_not_multiply_it(spark):
                                  "inspection_id string, user_id string, assignment_type string, change_no int")
     done = ch.assign_work(insp, users, work, "change_no")[0].collect()
     assert [(r["officer_id"], r["officer_name"], r["inspector_id"], r["inspector_name"]) for r in done] == [("U1", "N1", "U2", "N2")]
+
+
+def test_rule_feeds_of_mixed_shape(spark):
+    lines = [
+        '{"rule_id": "A", "applicability": ["x", "cosmetics"], "validation_type": "UNIT", "parameters": {"allowed_units": ["g"]}, "provision": {"chapter": "Chapter II"}}',
+        '{"rule_id": "B", "applicability": "frozen, cosmetics", "rule_type": "my_check", "condition": {"operator": "present"}, "parameters": "{\\"min\\": 1}"}',
+        '{"rule_id": "C", "applicability": [], "rule_type": "numeric", "parameters": "{\\"min\\": 1}", "provision": {"chapter": "Retail sale"}}',
+        '{"rule_id": "D", "rule_type": "my_check", "condition": "", "parameters": [1, 2], "required": true}',
+        '{"rule_id": "E", "applicability": null, "parameters": "{broken", "provision": null}',
+        '{"rule_id": "LM-CR-008", "applicability": "ALL", "parameters": {}, "provision": {"chapter": "II"}}',
+        '{"rule_id": "F", "parameters": {"mandatory": false}, "provision": {"chapter": "II"}}',
+    ]
+    fields = ["rule_id", "validation_type", "rule_type", "field", "description", "severity", "required"]
+    read = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "source_rank int, line string").withColumn("v", F.parse_json("line"))
+    feed = read.select("source_rank", *[F.try_variant_get("v", f"$.{f}", "boolean" if f == "required" else "string").alias(f) for f in fields],
+                       *[F.try_variant_get("v", f"$.{f}", "variant").alias(f) for f in ("applicability", "parameters", "condition", "provision")])
+    want = {
+        "A": ("Cosmetics", "VALUE_CHECK", '{"operator":"one_of","values":["g"]}', True),
+        "B": ("frozen, cosmetics", "my_check", '{"operator":"present"}', False),
+        "C": ("ALL", "RANGE_CHECK", '{"min": 1}', True),
+        "D": ("ALL", "my_check", "{}", True),
+        "E": ("ALL", "MANDATORY_FIELD", '{"operator":"present"}', False),
+        "LM-CR-008": ("ALL", "MANDATORY_FIELD", '{"operator":"present"}', False),
+        "F": ("ALL", "MANDATORY_FIELD", '{"operator":"present"}', False),
+    }
+    texts = [F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string")).otherwise(F.nullif(F.to_json(c), F.lit("null"))).alias(c)
+             for c in ("applicability", "parameters", "condition", "provision")]
+    for shaped in (feed, feed.select("source_rank", *fields, *texts)):
+        got = {r.rule_id: (r.product_category, r.rule_type, r.condition, r.required) for r in ap.canonicalise_rules(shaped).collect()}
+        assert got == want
