@@ -26,43 +26,41 @@ def candidate_texts(category: Column) -> Column:
     return F.array_distinct(F.concat(generic, own))
 
 
+GRAM = 3
+
+
+def _grams(column: Column, length: int) -> Column:
+    """Distinct pieces of ``length`` characters."""
+    starts = F.sequence(F.lit(1), F.length(column) - (length - 1))
+    return F.when(F.length(column) >= length, F.array_distinct(F.transform(starts, lambda at: F.substring(column, at, F.lit(length))))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def category_matches(categories: DataFrame, rule_categories: DataFrame) -> DataFrame:
     """(category, product_category) pairs where the rule text contains a candidate.
 
     Both inputs are vocabularies of distinct texts. The test is a case-blind
-    LIKE with the candidate's own wildcards, so it is run as an equi join: the
-    longest plain run of the candidate must be one of the substrings of the
-    rule text; LIKE then decides on the few pairs that are left.
+    LIKE with the candidate's own wildcards, so it is run as an equi join: rule
+    texts are indexed by their pieces of up to three characters, a candidate is
+    looked up by the piece of its plain runs that the fewest texts have; LIKE
+    then decides on the pairs that are left. A candidate without a run of three
+    characters is looked up by its longest run.
     """
-    candidates = (
-        categories.select("category", F.explode(candidate_texts(F.col("category"))).alias("candidate"))
-        .withColumn("_runs", F.split(F.lower("candidate"), "[_%]"))
-        .withColumn(
-            "_key",
-            F.aggregate(
-                "_runs",
-                F.lit(""),
-                lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best),
-            ),
-        )
-    )
     lowered = F.lower("product_category")
-    size = F.length(lowered)
-    pieces = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-            lambda start: F.transform(
-                F.sequence(F.lit(0), F.greatest(size - start + 1, F.lit(0))),
-                lambda length: F.substring(lowered, start, length),
-            ),
-        )
-    )
-    indexed = rule_categories.where(F.col("product_category").isNotNull()).select(
-        "product_category", F.explode(F.array_distinct(pieces)).alias("_key")
-    )
+    pieces = F.concat(F.array(F.lit("")), *[_grams(lowered, n) for n in range(1, GRAM + 1)])
+    indexed = rule_categories.where(F.col("product_category").isNotNull()).select("product_category", F.explode(pieces).alias("_key"))
+    named = categories.select("category", F.explode(candidate_texts(F.col("category"))).alias("candidate"))
+    runs = F.split(F.lower("candidate"), "[_%]")
+    longest = F.aggregate(runs, F.lit(""), lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best))
+    keys = F.when(F.length(longest) >= GRAM, F.flatten(F.transform(runs, lambda run: _grams(run, GRAM)))).otherwise(F.array(longest))
+    offered = named.select("candidate").distinct().select("candidate", F.explode(keys).alias("_key"))
+    frequency = indexed.groupBy("_key").agg(F.count("*").alias("_texts"))
+    # a piece that no text has is the rarest, and then finds none
+    looked_up = offered.join(frequency, "_key", "left").groupBy("candidate").agg(
+        F.min_by("_key", F.struct(F.coalesce("_texts", F.lit(0)), "_key")).alias("_key"))
     fits = F.expr("product_category ILIKE concat('%', candidate, '%')")
-    joined = candidates.join(indexed, "_key").where(fits)
-    return joined.select("category", "product_category").distinct()
+    matched = looked_up.join(indexed, "_key").where(fits).select("candidate", "product_category")
+    return named.join(matched, "candidate").select("category", "product_category").distinct()
 
 
 def applicable_rules(

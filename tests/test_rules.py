@@ -1,5 +1,6 @@
 """Named expectations of rule evaluation."""
 
+import random
 from datetime import date
 
 import pytest
@@ -102,6 +103,19 @@ def test_category_wildcards_and_parts(spark):
     assert not any(t == "nothing" for _, t in got)
 
 
+def test_category_matches_are_those_of_like(spark):
+    rng = random.Random(11)
+    words = ["food", "Tea", "im", "ported", "a", "B_v", "100%", "&", "all", "%", "é", "İz"]
+    text = lambda n: "".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randrange(n)))
+    names, rules = sorted({text(4) for _ in range(80)}), sorted({text(7) for _ in range(120)} | {"long " * 2000 + "tea shop"})
+    categories = spark.createDataFrame([(n,) for n in names], "category string")
+    texts = spark.createDataFrame([(r,) for r in rules] + [(None,)], "product_category string")
+    got = sorted(map(tuple, ap.category_matches(categories, texts).collect()))
+    every = categories.select("category", F.explode(ap.candidate_texts(F.col("category"))).alias("c")).crossJoin(texts)
+    want = every.where("product_category ILIKE concat('%', c, '%')").select("category", "product_category").distinct()
+    assert got == sorted(map(tuple, want.collect())) and any(len(r) > 9000 for _, r in got)
+
+
 def test_price_gate_and_verdicts(spark):
     r = [rule(), rule(rule_id="T-2", field_name="mrp_inclusive_tax", rule_type="TEXT_CHECK")]
     assert verdict(spark, r, {"mrp": "₹5 incl of all taxes"}) == {"T-1": "PASS", "T-2": "PASS"}
