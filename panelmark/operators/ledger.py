@@ -465,25 +465,24 @@ def verdict_history(amend: DataFrame) -> DataFrame:
     )
 
 
+_FRAME_ORDER = ["event_time", "event_id"]
+
+
+def _motion() -> Column:
+    return F.coalesce(F.abs(F.col("metric") - F.col("_before")), F.lit(0.0))
+
+
 def frame_motion(frames: DataFrame) -> DataFrame:
-    moved = slices.previous_value(
-        frames, ["user_id"], [F.col("event_time"), F.col("event_id")], {"metric": "_before"}
-    )
-    delta = F.coalesce(F.abs(F.col("metric") - F.col("_before")), F.lit(0.0))
-    return moved.withColumn("delta", delta).drop("_before")
+    moved = slices.previous_value(frames, ["user_id"], [F.col(c) for c in _FRAME_ORDER], {"metric": "_before"})
+    return moved.withColumn("delta", _motion()).drop("_before")
 
 
 def stable_frames(frames: DataFrame) -> DataFrame:
-    """Length of each device's run of sharp, still frames, and its progress."""
-    moved = frame_motion(frames)
+    """Length of each device's run of sharp, still frames, and its progress; frames are sorted once."""
     steady = (F.col("metric") >= C.MIN_SHARPNESS) & (F.col("delta") < C.MAX_MOTION)
-    streaks = slices.running_streak(
-        moved.withColumn("steady", steady),
-        ["user_id"],
-        [F.col("event_time"), F.col("event_id")],
-        "steady",
-        "streak",
-    )
+    streaks = slices.streak_beside_previous(
+        frames, ["user_id"], [F.col(c) for c in _FRAME_ORDER], {"metric": "_before"}, {"delta": _motion(), "steady": steady}, "steady", "streak"
+    ).drop("_before")
     percent = F.when(F.col("streak") >= 2, 100).when(F.col("streak") == 1, 50).otherwise(25)
     return streaks.withColumn("percent", percent).withColumn("capture", F.col("streak") >= 2)
 

@@ -129,11 +129,7 @@ def running_max_before(
     return joined.withColumn(name, F.greatest(F.col(name), F.col("_carry"))).drop(SLICE, "_carry")
 
 
-def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: dict[str, str]
-) -> DataFrame:
-    """``lag`` of the named columns (source -> new name) over (keys, order)."""
-    sliced = slice_by(df, keys, order)
+def _with_previous(sliced: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: dict[str, str]) -> DataFrame:
     window = _inside(keys, order)
     local = sliced.withColumn("_row", F.row_number().over(window))
     for source, target in columns.items():
@@ -147,14 +143,10 @@ def previous_value(
         joined = joined.withColumn(
             target, F.when(F.col("_row") == 1, F.col("_carry")[source]).otherwise(F.col(target))
         )
-    return joined.drop(SLICE, "_carry", "_row")
+    return joined.drop("_carry", "_row")
 
 
-def running_streak(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], flag: str, name: str
-) -> DataFrame:
-    """Length of the current run of true ``flag`` rows, 0 on a false row."""
-    sliced = slice_by(df, keys, order)
+def _with_streak(sliced: DataFrame, keys: Sequence[str], order: Sequence[Column], flag: str, name: str) -> DataFrame:
     window = _inside(keys, order)
     sofar = window.rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.withColumn("_row", F.row_number().over(window))
@@ -171,4 +163,28 @@ def running_streak(
     joined = _attach(local, state, keys, "_carry")
     run_on = F.col("_row") + F.coalesce("_carry", F.lit(0))
     streak = F.when(F.col("_broken").isNull(), run_on).otherwise(F.col("_row") - F.col("_broken"))
-    return joined.withColumn(name, streak.cast("long")).drop(SLICE, "_carry", "_row", "_broken")
+    return joined.withColumn(name, streak.cast("long")).drop("_carry", "_row", "_broken")
+
+
+def previous_value(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: dict[str, str]
+) -> DataFrame:
+    """``lag`` of the named columns (source -> new name) over (keys, order)."""
+    return _with_previous(slice_by(df, keys, order), keys, order, columns).drop(SLICE)
+
+
+def running_streak(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], flag: str, name: str
+) -> DataFrame:
+    """Length of the current run of true ``flag`` rows, 0 on a false row."""
+    return _with_streak(slice_by(df, keys, order), keys, order, flag, name).drop(SLICE)
+
+
+def streak_beside_previous(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: dict[str, str], derived: dict[str, Column], flag: str, name: str
+) -> DataFrame:
+    """``previous_value``, then the ``derived`` columns of it, then ``running_streak`` of one of them, over the same slices."""
+    moved = _with_previous(slice_by(df, keys, order), keys, order, columns)
+    for target, value in derived.items():
+        moved = moved.withColumn(target, value)
+    return _with_streak(moved, keys, order, flag, name).drop(SLICE)

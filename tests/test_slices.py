@@ -84,3 +84,15 @@ def test_streak(spark, rows, share):
         for r in g:
             run = run + 1 if r[3] else 0
             assert got[r[2]] == run
+
+
+def test_streak_of_a_flag_made_from_the_previous_row(table, rows):
+    out = slices.streak_beside_previous(table, ["k"], [F.col("v"), F.col("id")], {"flag": "before"},
+                                        {"same": F.col("flag").eqNullSafe(F.col("before"))}, "same", "streak")
+    got = {r.id: (r.before, r.streak) for r in out.collect()}
+    last, run = {}, {}
+    for k, _, i, flag in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        run[k] = run.get(k, 0) + 1 if last.get(k) == flag else 0
+        assert got[i] == (last.get(k), run[k])
+        last[k] = flag
+    assert len(got) == len(rows)
