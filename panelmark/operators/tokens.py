@@ -372,33 +372,98 @@ def token_intersection(decl: DataFrame, tokens: DataFrame) -> DataFrame:
     return shared.select("inspection_id", "field_name", "line_no", "common", (F.col("common") / F.col("_n")).alias("ratio"))
 
 
+VALUES = 64
+
+
+def _pieces(column: Column) -> Column:
+    """Distinct pieces of up to three characters of a text, the empty one included."""
+    def of(length: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(column) - (length - 1))
+        return F.when(F.length(column) >= length, F.transform(starts, lambda at: F.substring(column, at, F.lit(length)))).otherwise(
+            F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
+
+
+def _inside(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """Ids (_n, _h) of texts of a package where a needle may lie in a hay; none that does is missing.
+
+    Hays are indexed by their pieces, a needle is looked up by that piece of
+    three characters (a shorter needle: by itself) that the fewest hays of the
+    package have.
+    """
+    indexed = hays.select("inspection_id", "_h", F.explode(_pieces(F.col("_text"))).alias("_key"))
+    asked = F.when(F.length("_text") < 3, F.array("_text")).otherwise(F.filter(_pieces(F.col("_text")), lambda k: F.length(k) == 3))
+    offered = needles.where(F.col("_text").isNotNull()).select("inspection_id", "_n", F.explode(asked).alias("_key"))
+    held = indexed.groupBy("inspection_id", "_key").agg(F.count("*").alias("_hays"))
+    # a piece that no hay has finds none
+    rarest = offered.join(held, ["inspection_id", "_key"], "left").groupBy("inspection_id", "_n").agg(
+        F.min_by("_key", F.struct(F.coalesce("_hays", F.lit(0)), "_key")).alias("_key"))
+    return rarest.join(indexed, ["inspection_id", "_key"]).select("_n", "_h")
+
+
+def _text_pairs(values: DataFrame, reads: DataFrame, into_line: list[tuple[str, str]], into_value: list[tuple[str, str]],
+                words: tuple[Column, Column]) -> DataFrame:
+    """Pairs of a value and a line of one package that a scorer has to see.
+
+    In a package of up to ``VALUES`` values a line meets all of them, which is
+    linear in the lines. In a larger one rows of equal texts are put together first (``_said`` and
+    ``_seen`` count them, the first line stands for its copies), and a pair must
+    have something to score: a text of ``into_line`` (value, line) in the line,
+    one of ``into_value`` (line, value) in the value, or a word in common. Texts
+    are found through an index of their pieces and words by equi joins, so the
+    rows of such a package are spread by piece. Columns that hold null are not
+    looked up.
+    """
+    values, reads = values.withColumn("_said", F.lit(1)), reads.withColumn("_seen", F.lit(1))
+    large = values.groupBy("inspection_id").agg(F.count("*").alias("_n")).where(F.col("_n") > VALUES).select("inspection_id")
+    if large.isEmpty():
+        return values.join(reads, "inspection_id")
+    large = cut(large)
+    small = values.join(large, "inspection_id", "left_anti").join(reads, "inspection_id")
+    # the ids are fixed once they are written
+    said = values.join(large, "inspection_id", "left_semi").groupBy(*[c for c in values.columns if c != "_said"]).agg(F.count("*").alias("_said"))
+    said = cut(said.withColumn("_a", F.monotonically_increasing_id()))
+    boxes = {"x1": F.min("x1"), "y1": F.min("y1"), "x2": F.max("x2"), "y2": F.max("y2")}
+    kept = ["line_no", "confidence", "_box", "_seen", *BOX]
+    read = reads.join(large, "inspection_id", "left_semi").groupBy(*[c for c in reads.columns if c not in kept]).agg(
+        F.min("line_no").alias("line_no"), F.min_by("confidence", "line_no").alias("confidence"), F.min_by("_box", "line_no").alias("_box"),
+        F.count("*").alias("_seen"), *[edge.alias(name) for name, edge in boxes.items()])
+    read = cut(read.withColumn("_b", F.monotonically_increasing_id()))
+
+    def texts(table: DataFrame, row: str, column: str, name: str) -> DataFrame:
+        return table.select("inspection_id", F.col(row).alias(name), F.col(column).alias("_text"))
+
+    found = [_inside(texts(said, "_a", a, "_n"), texts(read, "_b", b, "_h")).toDF("_a", "_b") for a, b in into_line]
+    found += [_inside(texts(read, "_b", b, "_n"), texts(said, "_a", a, "_h")).toDF("_b", "_a").select("_a", "_b") for b, a in into_value]
+    said_words = said.select("inspection_id", "_a", F.explode(words[0]).alias("_word"))
+    read_words = read.select("inspection_id", "_b", F.explode(words[1]).alias("_word"))
+    found.append(said_words.join(read_words, ["inspection_id", "_word"]).select("_a", "_b"))
+    met = reduce(DataFrame.unionByName, found).distinct()
+    pairs = met.join(said, "_a").join(read.drop("inspection_id"), "_b").select(small.columns)
+    return small.unionByName(pairs)
+
+
 def evidence_match(decl: DataFrame, tokens: DataFrame) -> DataFrame:
     """Best token for each declared value, with the merged box of all matches."""
-    values = decl.where(_packed(text("value")) != "").select(
-        "inspection_id",
-        "field_name",
-        "value",
-        _packed(F.trim("value")).alias("_v"),
-        _long_words(F.trim("value")).alias("_vw"),
-        F.coalesce(
-            F.regexp_extract(F.regexp_extract(F.trim("value"), r"[0-9]+(?:[.,][0-9]+)?", 0), r"^[^.]*", 0), F.lit("")
-        ).alias("_num"),
-    )
-    reads = tokens.where((F.trim(text("text")) != "") & F.col("x1").isNotNull())
+    number = F.coalesce(F.regexp_extract(F.regexp_extract(F.trim("value"), r"[0-9]+(?:[.,][0-9]+)?", 0), r"^[^.]*", 0), F.lit(""))
+    values = decl.where(F.col("value").rlike("[A-Za-z0-9]")).select(
+        "inspection_id", "field_name", _packed(F.trim("value")).alias("_v"), _long_words(F.trim("value")).alias("_vw"),
+        F.when(F.length(number) >= 2, number).alias("_num"),
+    )
     margin = (F.col("y1") < 25) & (((F.col("y2") - F.col("y1")) < 40) | ((F.col("x2") - F.col("x1")) > 400))
-    reads = reads.where(~margin).select(
-        "inspection_id", "line_no", "confidence", *BOX,
-        F.upper(F.regexp_replace(F.trim("text"), r"[^\p{L}\p{N}_]", "")).alias("_d"),
-        F.upper(F.trim("text")).alias("_up"),
-        _long_words(F.trim("text")).alias("_dw"),
-    ).where("_d <> ''")
-    pairs = values.join(reads, "inspection_id")
+    squeezed = F.upper(F.regexp_replace(F.trim("text"), r"[^\p{L}\p{N}_]", ""))
+    reads = tokens.where(F.col("text").rlike(r"[\p{L}\p{N}_]") & F.col("x1").isNotNull()).where(~margin).select(
+        "inspection_id", "line_no", "confidence", *BOX, F.struct(*BOX).alias("_box"), squeezed.alias("_d"),
+        F.upper(F.trim("text")).alias("_up"), _long_words(F.trim("text")).alias("_dw"), F.when(F.length(squeezed) >= 3, squeezed).alias("_long"),
+    )
+    pairs = _text_pairs(values, reads, [("_v", "_d"), ("_num", "_d"), ("_num", "_up")], [("_long", "_v")], (F.col("_vw"), F.col("_dw")))
     shared = F.size(F.array_intersect("_vw", "_dw"))
     score = (
         F.when(F.col("_v") == F.col("_d"), 3.0)
         .when(F.expr("contains(_d, _v)"), 2.0)
-        .when((F.length("_d") >= 3) & F.expr("contains(_v, _d)"), 1.5)
-        .when((F.length("_num") >= 2) & (F.expr("contains(_d, _num)") | F.expr("contains(_up, _num)")), 1.8)
+        .when(F.expr("contains(_v, _long)"), 1.5)
+        .when(F.expr("contains(_d, _num) OR contains(_up, _num)"), 1.8)
         .when(shared > 0, 1.0 + shared / F.size("_vw"))
     )
     scored = pairs.withColumn("score", score).where("score IS NOT NULL")
@@ -411,7 +476,7 @@ def evidence_match(decl: DataFrame, tokens: DataFrame) -> DataFrame:
         F.min("y1").alias("y1"),
         F.max("x2").alias("x2"),
         F.max("y2").alias("y2"),
-        F.count("*").alias("matches"),
+        F.sum(F.col("_said") * F.col("_seen")).alias("matches"),
     )
 
 
@@ -420,19 +485,20 @@ def evidence_fallback(checks: DataFrame, tokens: DataFrame) -> DataFrame:
     def squeezed(column: Column) -> Column:
         return F.upper(F.regexp_replace(column, r"[^\p{L}\p{N}_]", ""))
 
+    def words(name: str) -> Column:
+        return F.array_distinct(F.regexp_extract_all(F.col(name), F.lit("[A-Z0-9]{3,}"), F.lit(0)))
+
     values = checks.where(text("observed") != "").select(
         "inspection_id", "rule_id", squeezed(F.trim("observed")).alias("_v"),
-        F.regexp_extract(F.trim("observed"), r"[0-9]+(?:\.[0-9]+)?", 0).alias("_num"),
+        F.nullif(F.regexp_extract(F.trim("observed"), r"[0-9]+(?:\.[0-9]+)?", 0), F.lit("")).alias("_num"),
     )
-    reads = tokens.where(F.col("x1").isNotNull()).select(
-        "inspection_id", "line_no", *BOX, squeezed(F.trim("text")).alias("_d"), F.trim("text").alias("_text")
-    ).where("_d <> ''")
-    pairs = values.join(reads, "inspection_id")
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("[A-Z0-9]{3,}"), F.lit(0)))
+    reads = tokens.where(F.col("text").rlike(r"[\p{L}\p{N}_]") & F.col("x1").isNotNull()).select(
+        "inspection_id", "line_no", "confidence", *BOX, F.struct(*BOX).alias("_box"), squeezed(F.trim("text")).alias("_d"), F.trim("text").alias("_text"))
+    pairs = _text_pairs(values, reads, [("_v", "_d"), ("_num", "_d"), ("_num", "_text")], [("_d", "_v")], (words("_v"), words("_d")))
     ratio = F.try_divide(F.size(F.array_intersect(words("_v"), words("_d"))), F.size(words("_v")))
     score = (
         F.when(F.expr("contains(_d, _v) OR contains(_v, _d)"), 2.0)
-        .when((F.col("_num") != "") & (F.expr("contains(_d, _num) OR contains(_text, _num)")), 1.5)
+        .when(F.expr("contains(_d, _num) OR contains(_text, _num)"), 1.5)
         .otherwise(ratio)
     )
     scored = pairs.withColumn("score", score).where("score > 0")
@@ -440,7 +506,7 @@ def evidence_fallback(checks: DataFrame, tokens: DataFrame) -> DataFrame:
     return scored.groupBy("inspection_id", "rule_id").agg(
         F.max("score").alias("score"),
         F.min_by("line_no", best).alias("line_no"),
-        F.min_by(F.struct(*BOX), best).alias("box"),
+        F.min_by("_box", best).alias("box"),
     )
 
 

@@ -1,6 +1,7 @@
 """Extraction on small labels, and layout operators against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,3 +248,84 @@ def test_spatial_pair_picks_the_cheapest(spark, scattered):
 def test_text_of_a_page_longer_than_a_block(spark):
     tokens = spark.range(2000).selectExpr("'P' AS inspection_id", "cast(id AS int) AS line_no", "concat('t', id) AS text")
     assert tk.full_text(tokens).first().full_text == "\n".join(f"t{i}" for i in range(2000))
+
+
+def _plain_match(values, reads):
+    """Best score, first line, number of matches by field, all pairs."""
+    found = {}
+    for field, value in values:
+        value = (value or "").strip(" ")
+        v = re.sub("[^A-Za-z0-9]", "", value).upper()
+        if not v:
+            continue
+        number = re.search(r"[0-9]+(?:[.,][0-9]+)?", value)
+        number = number.group().split(".")[0] if number else ""
+        words = set(re.findall("[A-Z0-9]{3,}", value.upper()))
+        for line, text in reads:
+            up = (text or "").strip(" ").upper()
+            d = re.sub(r"[\W]", "", up)
+            if not d:
+                continue
+            shared = words & set(re.findall("[A-Z0-9]{3,}", up))
+            if v == d:
+                score = 3.0
+            elif v in d:
+                score = 2.0
+            elif len(d) >= 3 and d in v:
+                score = 1.5
+            elif len(number) >= 2 and (number in d or number in up):
+                score = 1.8
+            elif shared:
+                score = 1.0 + len(shared) / len(words)
+            else:
+                continue
+            best, count = found.get(field, ((0.0, 0), 0))
+            found[field] = (min(best, (-score, line)), count + 1)
+    return {f: (-best[0], best[1], n) for f, (best, n) in found.items()}
+
+
+def _plain_fallback(values, reads):
+    found = {}
+    for rule, value in values:
+        value = (value or "").strip(" ")
+        if not value:
+            continue
+        v = re.sub(r"[\W]", "", value).upper()
+        number = re.search(r"[0-9]+(?:\.[0-9]+)?", value)
+        words = set(re.findall("[A-Z0-9]{3,}", v))
+        for line, text in reads:
+            d = re.sub(r"[\W]", "", text or "").upper()
+            if not d:
+                continue
+            if v in d or d in v:
+                score = 2.0
+            elif number and (number.group() in d or number.group() in text):
+                score = 1.5
+            else:
+                score = len(words & set(re.findall("[A-Z0-9]{3,}", d))) / len(words) if words else 0.0
+            if score > 0:
+                found[rule] = min(found.get(rule, (0.0, 0)), (-score, line))
+    return {r: (-score, line) for r, (score, line) in found.items()}
+
+
+@pytest.mark.parametrize("one_field", [False, True])
+def test_evidence_of_a_package_with_many_values(spark, one_field):
+    """Packages on both sides of the limit give what all pairs give."""
+    rng = random.Random(5)
+    bits = ["MRP", "Rs", "245.00", "12", "7", "Net", "500 g", "Batch", "B-12", "Oil", "x", "—", "", "care@x.in", "1,250.50", "तेल", "Pure Oil"]
+    values, reads = {}, {}
+    for page, n in (("hot", 300), ("edge", 64), ("over", 65), ("small", 5)):
+        values[page] = [(f"f{i % 9 if one_field else i}", " ".join(rng.choices(bits, k=rng.randrange(1, 4)))) for i in range(n)]
+        reads[page] = [(i, " ".join(rng.choices(bits, k=rng.randrange(1, 5)))) for i in range(60 if n < 300 else 400)]
+        values[page] += [("none", None), ("mark", "—")]
+        reads[page] += [(900, None), (901, ""), (902, "—"), (903, reads[page][0][1])]
+    decl = spark.createDataFrame([(p, *v) for p, vs in values.items() for v in vs], "inspection_id string, field_name string, value string")
+    tokens = spark.createDataFrame([(p, i, t, float(i), 1.0 + i, 50.0, 9.0 + i, 60.0) for p, rs in reads.items() for i, t in rs],
+                                   "inspection_id string, line_no int, text string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.inspection_id, r.field_name): (r.score, r.line_no, r.matches) for r in tk.evidence_match(decl, tokens).collect()}
+    assert got == {(p, f): want for p in values for f, want in _plain_match(values[p], reads[p]).items()}
+    asked = decl.withColumnsRenamed({"field_name": "rule_id", "value": "observed"})
+    got = {(r.inspection_id, r.rule_id): (r.score, r.line_no) for r in tk.evidence_fallback(asked, tokens).collect()}
+    assert got == {(p, f): want for p in values for f, want in _plain_fallback(values[p], reads[p]).items()}
+    empty = tk.evidence_match(decl.limit(0), tokens)
+    assert empty.isEmpty()
