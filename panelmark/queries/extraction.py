@@ -544,14 +544,14 @@ SELECT inspection_id, field_name, line_no, {_COMMON} AS common,
 WHERE {_COMMON} > 0
 """)(lambda spark, sf: tk.token_intersection(values(spark, sf), lines(spark, sf)).withColumn("ratio", F.round("ratio", 6)))
 
-_SQ = r"upper(regexp_replace({}, '[^\p{{L}}\p{{N}}_]', '', 'g'))"
-_FW = "list_distinct(regexp_extract_all({}, '[A-Z0-9]{{3,}}'))"
+SQUEEZED = r"upper(regexp_replace({}, '[^\p{{L}}\p{{N}}_]', '', 'g'))"
+FALLBACK_WORDS = "list_distinct(regexp_extract_all({}, '[A-Z0-9]{{3,}}'))"
 query("evidence_fallback", rf"""
 SELECT inspection_id, rule_id, max(score) AS score, arg_min(line_no, (-score, line_no)) AS line_no FROM (
 SELECT inspection_id, field_name AS rule_id, line_no, CASE WHEN contains(d, v) OR contains(v, d) THEN 2.0
   WHEN num <> '' AND (contains(d, num) OR contains(text, num)) THEN 1.5
-  ELSE len(list_intersect({_FW.format('v')}, {_FW.format('d')})) / nullif(len({_FW.format('v')}), 0) END AS score FROM (
-  SELECT a.field_name, t.*, {_SQ.format('a.value')} AS v, {_SQ.format('t.text')} AS d, regexp_extract(a.value, '[0-9]+(?:\.[0-9]+)?') AS num
+  ELSE len(list_intersect({FALLBACK_WORDS.format('v')}, {FALLBACK_WORDS.format('d')})) / nullif(len({FALLBACK_WORDS.format('v')}), 0) END AS score FROM (
+  SELECT a.field_name, t.*, {SQUEEZED.format('a.value')} AS v, {SQUEEZED.format('t.text')} AS d, regexp_extract(a.value, '[0-9]+(?:\.[0-9]+)?') AS num
   FROM vx_values a JOIN fx_label_lines t USING (inspection_id)) u) w WHERE score > 0 GROUP BY inspection_id, rule_id
 """)(lambda spark, sf: tk.evidence_fallback(
     values(spark, sf).select("inspection_id", F.col("field_name").alias("rule_id"), F.col("value").alias("observed")),

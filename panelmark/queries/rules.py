@@ -18,6 +18,7 @@ from panelmark.operators import rollup as ru
 from panelmark.operators import tokens as tk
 from panelmark.plans import applicability as ap
 from panelmark.plans import catalog, screening
+from panelmark.queries.extraction import FALLBACK_WORDS, SQUEEZED
 from panelmark.queries.registry import EXTRA_VIEWS, query
 from panelmark.queries.scalars import SQL_SUSPICIOUS, sql_any, sql_label_date, sql_list, sql_map
 
@@ -732,6 +733,72 @@ SELECT inspection_id, total, failed, {_OVERALL} AS overall_status FROM (SELECT i
 query("explain_checks")(lambda spark, sf: ms.explain_checks(screened(spark, sf), declarations(spark, sf), catalog.explain_alias_table(spark),
                                                             catalog.box_fallback_table(spark), fx.label_lines(spark, sf)))
 
+# the report's rows over stated checks: every field the report knows by another name, and each way to a value and a box
+_TOLD = [*C.BOX_FALLBACKS, *[f for f in C.EXPLAIN_ALIASES if f not in C.BOX_FALLBACKS], "MRP", "barcode"]
+_TOLD_NAME = ("CASE field_name WHEN 'quantity' THEN 'net_quantity' WHEN 'pkd' THEN 'manufacturing_date' WHEN 'use_by' THEN 'expiry_date'"
+              " WHEN 'customer_care' THEN 'consumer_care' WHEN 'packer' THEN 'manufacturer' ELSE field_name END")
+_TOLD_BOX = ("CASE WHEN line_no <> 11 AND line_no <> seq % 13 THEN {} END", ["x1", "y1", "x2", "y2"])
+_TOLD_COLUMNS = {
+    "rule_id": "concat('E-', cast(line_no AS {s}))",
+    "status": "CASE (seq + line_no) % 7 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN 'N/A' WHEN 3 THEN 'BYPASSED' WHEN 4 THEN 'NOT_APPLICABLE' WHEN 5 THEN 'REVIEW' END",
+    "extracted_value": "CASE seq % 4 WHEN 0 THEN '' WHEN 1 THEN CASE WHEN line_no % 2 = 0 THEN substr(text, 5) END END",
+    "observed": "CASE seq % 5 WHEN 0 THEN 'Price: Cannot Verify' WHEN 1 THEN substr(text, 9) WHEN 2 THEN '' WHEN 3 THEN concat('No ', text) END",
+    "expected_requirement": "concat('line ', cast(line_no AS {s}))",
+    "reason": "CASE WHEN line_no % 3 = 0 THEN 'as read' END",
+    "severity": "CASE WHEN line_no % 4 = 0 THEN 'HIGH' ELSE 'LOW' END",
+}
+_TOLD_GIVEN = "line_no = 9 AND seq % 2 = 0"
+
+
+def _told(kind: str) -> str:
+    return ", ".join(f"{sql} AS {name}" for name, sql in _TOLD_COLUMNS.items()).replace("{s}", kind)
+
+
+EXTRA_VIEWS["vx_told_decl"] = f"""
+SELECT inspection_id, {_TOLD_NAME} AS field_name, value, {", ".join(f"{_TOLD_BOX[0].format(c)} AS {c}" for c in _TOLD_BOX[1])} FROM vx_decl
+"""
+EXTRA_VIEWS["vx_explain_aliases"] = "SELECT * FROM (VALUES {}) AS t(field, candidate)".format(
+    ", ".join(f"('{f}', '{c}')" for f, c in C.EXPLAIN_ALIASES.items()))
+EXTRA_VIEWS["vx_told_checks"] = f"""
+SELECT inspection_id, [{sql_list(_TOLD)}][1 + (seq * 5 + line_no) % {len(_TOLD)}] AS field_name, {_told("varchar")},
+  CASE WHEN {_TOLD_GIVEN} THEN {{'x1': 1.0, 'y1': 2.0, 'x2': 3.0, 'y2': 4.0}} END AS box FROM fx_label_lines
+"""
+EXTRA_VIEWS["vx_told_boxed"] = """
+SELECT c.inspection_id, rule_id, field_name, CASE WHEN status IN ('NOT_APPLICABLE', 'BYPASSED', 'N/A') THEN 'NOT_APPLICABLE' WHEN status IN ('PASS', 'FAIL') THEN status
+    ELSE 'CANNOT_VERIFY' END AS status, coalesce(nullif(extracted_value, ''), nullif(observed, ''), e.value) AS observed, expected_requirement, reason, severity,
+  coalesce(e.place, c.box, f.place) AS box, e.place IS NULL AND c.box IS NULL AND f.place IS NOT NULL AS from_fallback
+FROM vx_told_checks c
+LEFT JOIN (SELECT inspection_id, key, arg_min({'value': value, 'place': place}, (rank, value)) AS e FROM (
+  SELECT inspection_id, field_name AS key, 0 AS rank, value, CASE WHEN x1 IS NOT NULL THEN {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} END AS place FROM vx_told_decl WHERE value <> ''
+  UNION ALL SELECT inspection_id, field, 1, value, CASE WHEN x1 IS NOT NULL THEN {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} END
+    FROM vx_told_decl JOIN vx_explain_aliases ON candidate = field_name WHERE value <> '') u GROUP BY inspection_id, key) t
+  ON t.inspection_id = c.inspection_id AND t.key = lower(c.field_name)
+LEFT JOIN (SELECT inspection_id, field, arg_min({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}, priority) AS place FROM vx_told_decl JOIN vx_box_fallbacks ON candidate = field_name
+  WHERE x1 IS NOT NULL GROUP BY inspection_id, field) f ON f.inspection_id = c.inspection_id AND f.field = lower(c.field_name)
+"""
+
+
+@query("explain_stated_checks", rf"""
+SELECT b.inspection_id, b.rule_id, field_name, status, observed, expected_requirement, reason, severity, coalesce(box, place).x1 AS x1, coalesce(box, place).y1 AS y1,
+  coalesce(box, place).x2 AS x2, coalesce(box, place).y2 AS y2, 0 AS image_index, from_fallback FROM vx_told_boxed b
+LEFT JOIN (SELECT inspection_id, rule_id, arg_min({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}, (-score, line_no)) AS place FROM (
+  SELECT *, CASE WHEN contains(d, v) OR contains(v, d) THEN 2.0 WHEN num <> '' AND (contains(d, num) OR contains(text, num)) THEN 1.5
+    ELSE len(list_intersect({FALLBACK_WORDS.format('v')}, {FALLBACK_WORDS.format('d')})) / nullif(len({FALLBACK_WORDS.format('v')}), 0) END AS score FROM (
+    SELECT rule_id, t.*, {SQUEEZED.format('observed')} AS v, {SQUEEZED.format('t.text')} AS d, regexp_extract(observed, '[0-9]+(?:\.[0-9]+)?') AS num
+    FROM vx_told_boxed JOIN fx_label_lines t USING (inspection_id)
+    WHERE box IS NULL AND observed NOT LIKE '%Cannot Verify%' AND observed NOT LIKE '%Not Detected%' AND trim(observed) <> '') u) w
+  WHERE score > 0 GROUP BY inspection_id, rule_id) r ON r.inspection_id = b.inspection_id AND r.rule_id = b.rule_id
+""")
+def explain_stated_checks(spark, sf):
+    lines = fx.label_lines(spark, sf)
+    place = F.struct(F.lit(1.0).alias("x1"), F.lit(2.0).alias("y1"), F.lit(3.0).alias("x2"), F.lit(4.0).alias("y2"))
+    name = F.element_at(F.array(*[F.lit(f) for f in _TOLD]), F.expr(f"cast(1 + (seq * 5 + line_no) % {len(_TOLD)} AS int)"))
+    told = lines.select("inspection_id", name.alias("field_name"), F.when(F.expr(_TOLD_GIVEN), place).alias("box"),
+                        *[F.expr(sql.replace("{s}", "string")).alias(column) for column, sql in _TOLD_COLUMNS.items()])
+    decl = declarations(spark, sf).withColumn("field_name", F.expr(_TOLD_NAME)).withColumns(
+        {c: F.expr(_TOLD_BOX[0].format(c)) for c in _TOLD_BOX[1]})
+    return ms.explain_checks(told, decl, catalog.explain_alias_table(spark), catalog.box_fallback_table(spark), lines)
+
 
 @query("unrelated_label", """
 SELECT inspection_id, contains(upper(t), 'REGRET THE INCONVENIENCE') OR contains(upper(t), 'PAGE COULD NOT BE FOUND')
