@@ -139,15 +139,22 @@ def bad_ingredient(column: str | Column) -> Column:
     )
 
 
+# A word without vowels or with more than 85 % of other letters has three of them in a row, and seven letters if it has a vowel
+_ODD_WORD = (
+    f"(?<![{WORD_CHARS}])(?:(?=[A-Za-z]*(?i:[bcdfghjklmnpqrstvwxyz]{{5}}))[A-Za-z]{{5,}}+"
+    f"|(?=[A-Za-z]*(?i:[bcdfghjklmnpqrstvwxz]{{3}}))[A-Za-z]{{7,}}+)(?![{WORD_CHARS}])"
+)
+
+
 def suspicious_text(column: str | Column) -> Column:
-    """First reason why the text looks made up, null when it looks fine."""
+    """First reason why the text looks made up, null when it looks fine.
+
+    One pattern finds the words that may be gibberish; only these are counted out.
+    """
     value = F.trim(text(column))
     lowered = F.lower(value)
-    phrases = F.array(*[F.lit(p) for p in C.PLACEHOLDER_PHRASES])
-    placeholder = F.get(F.filter(phrases, lambda p: lowered.contains(p)), F.lit(0))
-    words = F.filter(
-        F.split(value, f"[^{WORD_CHARS}]+"), lambda w: w.rlike("^[A-Za-z]{5,}$")
-    )
+    placeholder = F.coalesce(*[F.when(lowered.contains(p), F.lit(p)) for p in C.PLACEHOLDER_PHRASES])
+    words = F.regexp_extract_all(value, F.lit(_ODD_WORD), F.lit(0))
 
     def reason(word: Column) -> Column:
         size = F.length(word)
@@ -197,7 +204,8 @@ PROTECTED_PATTERNS = [
     r"\b1800[-\s]?\d{3}[-\s]?\d{4}\b|\b1800\d{6,8}\b",
     r"\b\d+(?:\.\d+)?\b",
 ]
-_CASED = {1, 3, 4, 5}
+# The ones that tell capitals from small letters
+CASED_PATTERNS = {1, 3, 4, 5}
 
 
 def mask_numbers(df: DataFrame, column: str) -> DataFrame:
@@ -206,7 +214,7 @@ def mask_numbers(df: DataFrame, column: str) -> DataFrame:
         "registry", F.array().cast("array<string>")
     )
     for index, pattern in enumerate(PROTECTED_PATTERNS):
-        regex = ("(?U)" if index in _CASED else "(?iU)") + pattern
+        regex = ("(?U)" if index in CASED_PATTERNS else "(?iU)") + pattern
         masked = (
             masked.withColumn("_hits", F.regexp_extract_all("masked", F.lit(regex), F.lit(0)))
             .withColumn("_parts", F.split("masked", regex, -1))

@@ -286,12 +286,25 @@ SELECT inspection_id, line_no, translate(translate(text, '0123456789', '{_DEVA}'
     tx.indic_digits(F.translate("text", "0123456789", _DEVA)).alias("text_ascii")))
 
 
-@query("mask_numbers", "SELECT inspection_id, line_no, text AS restored, 0 AS digits_left FROM fx_label_lines")
+def _mask_sql() -> str:
+    """One pattern after the other: what it hits joins the registry, the text between stays."""
+    sql = "SELECT inspection_id, line_no, text, text AS masked, CAST([] AS varchar[]) AS hits FROM fx_label_lines"
+    for number, pattern in enumerate(tx.PROTECTED_PATTERNS):
+        regex = pattern if number in tx.CASED_PATTERNS else "(?i)" + pattern
+        sql = f"""SELECT inspection_id, line_no, text, array_to_string(list_transform(string_split(regexp_replace(masked, '{regex}', chr(1), 'g'), chr(1)),
+  lambda part, i: CASE WHEN i <= len(new) THEN concat(part, '__NUM_', len(hits) + i - 1, '__') ELSE part END), '') AS masked, list_concat(hits, new) AS hits
+FROM (SELECT *, regexp_extract_all(masked, '{regex}') AS new FROM ({sql}) a{number}) b{number}"""
+    return f"SELECT inspection_id, line_no, masked, array_to_string(hits, '|') AS numbers, text AS restored, 0 AS digits_left FROM ({sql}) t"
+
+
+@query("mask_numbers", _mask_sql())
 def _mask(spark, sf):
     masked = tx.mask_numbers(fx.label_lines(spark, sf), "text")
     return masked.select(
         "inspection_id",
         "line_no",
+        "masked",
+        F.array_join("registry", "|").alias("numbers"),
         tx.unmask_numbers("masked", "registry").alias("restored"),
         F.regexp_count(F.regexp_replace("masked", "__NUM_[0-9]+__", ""),
                        F.lit(r"(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])")).alias("digits_left"),

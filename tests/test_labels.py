@@ -6,6 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from panelmark import constants as C
+from panelmark.functions import text as tx
 from panelmark.operators import extract as ex
 from panelmark.operators import tokens as tk
 from panelmark.plans import catalog
@@ -329,3 +331,47 @@ def test_evidence_of_a_package_with_many_values(spark, one_field):
     assert got == {(p, f): want for p in values for f, want in _plain_fallback(values[p], reads[p]).items()}
     empty = tk.evidence_match(decl.limit(0), tokens)
     assert empty.isEmpty()
+
+
+def _odd(line):
+    for p in C.PLACEHOLDER_PHRASES:
+        if p in line.strip(" ").lower():
+            return f"placeholder: {p}"
+    for word in re.split(r"[\W]+", line.strip(" ")):
+        if re.fullmatch("[A-Za-z]{5,}", word):
+            low = word.lower()
+            vowels = sum(c in "aeiouy" for c in low)
+            if vowels == 0 or (len(word) - vowels) / len(word) > 0.85:
+                return f"consonant density: {word}"
+            if re.search("[bcdfghjklmnpqrstvwxyz]{5}", low):
+                return f"consonant run: {word}"
+    return None
+
+
+def test_words_that_look_made_up(spark):
+    rng = random.Random(11)
+    letters = ["b", "c", "D", "f", "g", "H", "k", "l", "M", "n", "s", "t", "a", "E", "i", "y", "Y", "o", "_", "7", "é", "-", " "]
+    lines = ["".join(rng.choices(letters, weights=[3] * 12 + [1] * 11, k=rng.randrange(0, 40))) for _ in range(3000)]
+    lines += ["", " ", "bcdfghja", "bcdafgh", "bcdfgéhjk", "strengths", "rhythms bcdfg", "LOREM IPSUM bcdfg", "x" * 50000]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, text string")
+    got = {r.i: r.reason for r in table.select("i", tx.suspicious_text("text").alias("reason")).collect()}
+    assert got == {i: _odd(t) for i, t in enumerate(lines)}
+    assert sum(v is not None for v in got.values()) > 500
+
+
+def test_numbers_are_masked_pattern_by_pattern(spark):
+    rng = random.Random(12)
+    bits = ["Rs", "Rs.", "INR", "₹", "12", "1,250.50", "5", " ", "kg", "g", "N", "/", "-", ".", "2025", "1800", "123", "4567", "04012345678901", "__NUM_3__", "x", "rs"]
+    lines = ["".join(rng.choices(bits, k=rng.randrange(0, 12))) for _ in range(2000)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, text string")
+    got = {r.i: (r.masked, list(r.registry)) for r in tx.mask_numbers(table, "text").collect()}
+    for i, line in enumerate(lines):
+        held = []
+
+        def keep(hit):
+            held.append(hit.group())
+            return f"__NUM_{len(held) - 1}__"
+
+        for k, pattern in enumerate(tx.PROTECTED_PATTERNS):
+            line = re.sub(pattern, keep, line, flags=0 if k in tx.CASED_PATTERNS else re.IGNORECASE)
+        assert got[i] == (line, held)
