@@ -248,15 +248,25 @@ def with_units(df: DataFrame, value: str, unit: str, units: DataFrame) -> DataFr
     ).drop("spelling", "multiplier")
 
 
+# an amount of months on a line about dates is a duration
+_MONTHS, _DATED = ("m", "month", "months"), "best|before|pkd"
+
+
+def _bare_quantity() -> Column:
+    unit = F.lower(_hit(QUANTITY_BARE, 2))
+    duration = F.coalesce(unit.isin(*_MONTHS), F.lit(False)) & F.lower(text("text")).rlike(_DATED)
+    return _hit(QUANTITY_BARE, 1).isNotNull() & ~duration
+
+
 def extract_net_quantity(tokens: DataFrame, units: DataFrame) -> DataFrame:
     lines = tokens.select(
         "inspection_id", "line_no",
         _hit(QUANTITY_ANCHORED, 1).alias("_amount"), F.lower(_hit(QUANTITY_ANCHORED, 2)).alias("_unit"),
         _hit(QUANTITY_BARE, 1).alias("_loose"), F.lower(_hit(QUANTITY_BARE, 2)).alias("_loose_unit"),
-        F.lower(text("text")).rlike("best|before|pkd").alias("_dated"),
+        F.lower(text("text")).rlike(_DATED).alias("_dated"),
     )
     amount, unit, loose, loose_unit = (F.col(c) for c in ("_amount", "_unit", "_loose", "_loose_unit"))
-    duration = loose_unit.isin("m", "month", "months") & F.col("_dated")
+    duration = loose_unit.isin(*_MONTHS) & F.col("_dated")
     picked = lines.groupBy("inspection_id").agg(
         _first(amount.isNotNull(), vx.number(amount).alias("quantity"), unit.alias("unit"), F.col("line_no")).alias("a"),
         _first(
@@ -493,20 +503,44 @@ def extract_batch(tokens: DataFrame) -> DataFrame:
     return _simple(tokens, code.isNotNull() & ~is_barcode(code), code.alias("batch"), F.col("confidence"))
 
 
-def extraction_summary(tokens: DataFrame, units: DataFrame) -> DataFrame:
-    """Which of the five core fields were found, and whether that is enough."""
-    price = extract_mrp(tokens).select("inspection_id", F.lit(True).alias("mrp"))
-    amount = extract_net_quantity(tokens, units).select("inspection_id", F.lit(True).alias("net_quantity"))
-    dates = extract_dates(tokens).select(
-        "inspection_id",
-        F.col("manufacturing_date").isNotNull().alias("manufacturing_date"),
-        (F.col("expiry_date").isNotNull() | F.col("shelf_life").isNotNull()).alias("expiry_date"),
+def extraction_summary(tokens: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """Which of the five core fields were found, and whether that is enough (``units`` has no part in that).
+
+    One pass: whether a reader finds its field follows from flags of the lines
+    and, for dates, from the first and last lines of their kinds. A line with
+    both prefixes gives an expiry date only below the manufacturing date.
+    """
+    value, no = text("text"), F.col("line_no")
+    phone = F.exists(
+        F.regexp_extract_all(value, F.lit(PHONE), F.lit(1)),
+        lambda v: F.length(F.regexp_replace(v, "[^0-9]", "")).between(8, 12))
+    marks = tokens.select(
+        "inspection_id", "line_no",
+        (vx.thousands_comma(_hit(PRICE_ANCHORED)).isNotNull() | vx.thousands_comma(_hit(PRICE_CURRENCY)).isNotNull()).alias("price"),
+        (_hit(QUANTITY_ANCHORED, 1).isNotNull() | _bare_quantity()).alias("amount"),
+        (value.rlike(TOLL_FREE) | value.rlike(EMAIL) | value.rlike(SITE) | phone).alias("care"),
+        line_date(value).isNotNull().alias("dated"), value.rlike(MADE_PREFIX).alias("made"), value.rlike(EXPIRY_PREFIX).alias("expires"),
+        _hit(SHELF_LIFE, 0).isNotNull().alias("life"),
+    )
+    ends = F.col("expires") & (F.col("life") | (F.col("dated") & ~F.col("made")))
+
+    def any_line(name: str) -> Column:
+        return F.coalesce(F.max(name), F.lit(False))
+
+    seen = marks.groupBy("inspection_id").agg(
+        any_line("price").alias("mrp"), any_line("amount").alias("net_quantity"), any_line("care").alias("customer_care"),
+        F.min(F.when(F.expr("made AND dated"), no)).alias("_made"),
+        F.min(F.when(F.expr("NOT made AND NOT expires AND dated"), no)).alias("_plain"),
+        F.min(F.when(ends, no)).alias("_ends"),
+        F.max(F.when(F.expr("made AND expires AND dated"), no)).alias("_both"),
     )
-    care = contact_hits(tokens).select("inspection_id").distinct().withColumn("customer_care", F.lit(True))
-    result = tokens.select("inspection_id").distinct()
-    for piece in (price, amount, dates, care):
-        result = result.join(piece, "inspection_id", "left")
-    result = result.fillna(False, C.CHECKLIST_FIELDS)
+    big = F.lit(2**31 - 1)
+    plain_first = (F.col("_plain") < F.coalesce("_made", big)) & (F.col("_plain") < F.coalesce("_ends", big))
+    made_at = F.when(plain_first, F.col("_plain")).otherwise(F.col("_made"))
+    result = seen.withColumns({
+        "manufacturing_date": made_at.isNotNull(),
+        "expiry_date": F.col("_ends").isNotNull() | F.coalesce(F.col("_both") > made_at, F.lit(False)),
+    })
     missing = F.array_compact(F.array(*[F.when(~F.col(f), F.lit(f)) for f in C.CHECKLIST_FIELDS]))
     return result.select(
         "inspection_id",

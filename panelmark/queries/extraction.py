@@ -201,7 +201,7 @@ SELECT inspection_id, cast(p::int + q::int + m::int + e::int + c::int AS integer
     CASE WHEN NOT m THEN 'manufacturing_date' END, CASE WHEN NOT e THEN 'expiry_date' END,
     CASE WHEN NOT c THEN 'customer_care' END], lambda x: x IS NOT NULL), ',') AS missing,
   p::int + q::int + m::int + e::int + c::int >= 4 AS ok FROM ({_FLAGS}) t
-""")(lambda spark, sf: ex.extraction_summary(lines(spark, sf), catalog.unit_table(spark)))
+""")(lambda spark, sf: ex.extraction_summary(lines(spark, sf)))
 
 # ------------------------------------------------------------- one-line readers
 

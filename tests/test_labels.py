@@ -375,3 +375,25 @@ def test_numbers_are_masked_pattern_by_pattern(spark):
         for k, pattern in enumerate(tx.PROTECTED_PATTERNS):
             line = re.sub(pattern, keep, line, flags=0 if k in tx.CASED_PATTERNS else re.IGNORECASE)
         assert got[i] == (line, held)
+
+
+def test_summary_says_what_the_readers_find(spark):
+    """One pass over the lines against the five readers, with lines of both date prefixes among them."""
+    rng = random.Random(13)
+    bits = ["MFG: 01/02/2025", "EXP 03/04/2026", "MFD 05/2025 EXP 06/2026", "PKD use by 07/08/2026", "09/10/2025", "Best before 6 months", "500 g", "Net Wt: 1 kg",
+            "6 m", "MRP Rs. 45.00", "Rs 12", "1800-123-4567", "call 022 12345678", "care@x.in", "www.x.in", "tea", "", None]
+    rows = [(f"p{page}", line, rng.choice(bits), 90.0, 0.0, 40.0 * line, 90.0, 40.0 * line + 30) for page in range(1500) for line in range(rng.randrange(1, 5))]
+    tokens = spark.createDataFrame(rows, SCHEMA).cache()
+    found = {}
+    for field, ids in {
+        "mrp": ex.extract_mrp(tokens), "net_quantity": ex.extract_net_quantity(tokens, catalog.unit_table(spark)), "customer_care": ex.contact_hits(tokens),
+        "manufacturing_date": ex.extract_dates(tokens).where("manufacturing_date IS NOT NULL"),
+        "expiry_date": ex.extract_dates(tokens).where("expiry_date IS NOT NULL OR shelf_life IS NOT NULL"),
+    }.items():
+        for r in ids.select("inspection_id").distinct().collect():
+            found.setdefault(r.inspection_id, set()).add(field)
+    got = {r.inspection_id: (r.found, r.missing, r.ok) for r in ex.extraction_summary(tokens).collect()}
+    for page in {r[0] for r in rows}:
+        missing = [f for f in C.CHECKLIST_FIELDS if f not in found.get(page, set())]
+        assert got[page] == (5 - len(missing), ",".join(missing), len(missing) <= 1)
+    tokens.unpersist()
