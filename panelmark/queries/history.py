@@ -12,7 +12,7 @@ from panelmark.operators import changes as ch
 from panelmark.operators import lineage as ln
 from panelmark.queries.ledger import EXPORT_SQL
 from panelmark.queries.registry import EXTRA_VIEWS, query
-from panelmark.queries.rules import declarations
+from panelmark.queries.rules import declarations, packages
 from panelmark.sources import readers, sinks
 
 NOW = datetime(2026, 1, 15, 9, 30, 0)
@@ -439,6 +439,55 @@ LEFT JOIN (SELECT inspection_id, string_agg(t, ',' ORDER BY t) AS fields FROM (
     F.array_join(F.array_sort(F.transform(F.map_entries(F.from_json("technical_matrix_json", "map<string, string>")), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
      .alias("fields")))
 
+_PROFILE = {
+    "field_name": "CASE line_no WHEN 2 THEN 'net_quantity' WHEN 7 THEN 'fssai_license' WHEN 8 THEN 'consumer_care' WHEN 10 THEN 'manufacturer' ELSE 'note' END",
+    "value": "CASE WHEN (seq + line_no) % 6 = 0 THEN '' WHEN (seq + line_no) % 11 = 0 THEN NULL ELSE substr(text, 15) END",
+    "numeric_value": "CASE WHEN line_no = 2 AND seq % 9 <> 0 THEN CASE WHEN seq % 5 IN (1, 3) THEN seq % 17 / 8.0 ELSE seq * 7 % 1300 * 1.0 END END",
+    "unit": "CASE WHEN line_no = 2 THEN CASE seq % 5 WHEN 0 THEN 'g' WHEN 1 THEN 'kg' WHEN 2 THEN 'ML' WHEN 3 THEN 'l' END END",
+}
+_PROFILE_NAME = "CASE WHEN seq % 3 = 0 THEN 'Packaged Commodity Item' ELSE concat('Tea ', cast(seq AS {s})) END"
+EXTRA_VIEWS["vx_profile"] = "SELECT inspection_id, {} FROM fx_label_lines".format(", ".join(f"{sql} AS {name}" for name, sql in _PROFILE.items()))
+
+
+def _of(field: str, column: str) -> str:
+    return f"nullif(max({column}) FILTER (field_name = '{field}'), '')"
+
+
+query("sink_inspection_evidence", f"""
+SELECT inspection_id, image_quality_passed, coalesce(maker, CASE WHEN named THEN product_name ELSE 'Not Detected' END) AS company, CASE WHEN named THEN product_name
+    ELSE 'Unidentified Product Label' END AS product, category, coalesce(licence, 'Not Detected') AS licence, coalesce(quantity, 'Not Detected') AS quantity,
+  CASE WHEN quantity IS NULL THEN 'N/A' WHEN n IS NULL THEN '1.5%'
+    WHEN u IN ('kg', 'l') THEN CASE WHEN n <= 1 THEN concat('15.0 ', CASE u WHEN 'kg' THEN 'g' ELSE 'ml' END) ELSE '1.5%' END
+    WHEN n <= 50 THEN '9.0%' WHEN n <= 100 THEN concat('4.5 ', u) WHEN n <= 200 THEN '4.5%' WHEN n <= 300 THEN concat('9.0 ', u) WHEN n <= 500 THEN '3.0%'
+    WHEN n <= 1000 THEN concat('15.0 ', u) ELSE '1.5%' END AS shown, care, page, boxes FROM (
+SELECT p.inspection_id, quality_score >= 70 AS image_quality_passed, {_PROFILE_NAME.format(s="varchar")} AS product_name, seq % 3 <> 0 AS named, category, d.*, t.* FROM vx_packages p
+JOIN (SELECT inspection_id AS a, {_of("manufacturer", "value")} AS maker, {_of("fssai_license", "value")} AS licence, {_of("net_quantity", "value")} AS quantity,
+    max(value) FILTER (field_name = 'consumer_care') AS care, max(numeric_value) AS n, lower(coalesce(max(unit), 'g')) AS u FROM vx_profile GROUP BY 1) d ON d.a = p.inspection_id
+JOIN (SELECT inspection_id AS b, string_agg(text, chr(10) ORDER BY line_no) AS page,
+    string_agg(concat_ws(':', line_no, text, cast(x1 AS bigint), cast(y2 AS bigint)), '|' ORDER BY line_no) AS boxes FROM fx_label_lines GROUP BY 1) t ON t.b = p.inspection_id) w
+""")(lambda spark, sf: _evidence(spark, sf))
+
+
+def _evidence(spark, sf):
+    lines = fx.label_lines(spark, sf)
+    decl = lines.select("inspection_id", "confidence", *[F.expr(sql).alias(name) for name, sql in _PROFILE.items()])
+    named = packages(spark, sf).withColumn("product_name", F.expr(_PROFILE_NAME.format(s="string")))
+    rows = sinks.ledger_evidence(named.select("inspection_id", "product_name", "category", "quality_score"), decl, lines)
+
+    def told(column: str, key: str):
+        return F.get_json_object(column, f"$.{key}")
+
+    boxes = F.transform(
+        F.from_json("bounding_boxes_json_immutable", "array<struct<line_no: int, text: string, bbox: array<double>>>"),
+        lambda b: F.concat_ws(":", b["line_no"], b["text"], b["bbox"][0].cast("long"), b["bbox"][3].cast("long")))
+    return rows.select(
+        "inspection_id", "image_quality_passed", told("company_profile_json", "company_name").alias("company"),
+        told("company_profile_json", "product_name").alias("product"), told("company_profile_json", "category").alias("category"),
+        told("company_profile_json", "fssai_license").alias("licence"), told("quantity_mpe_json", "declared_quantity").alias("quantity"),
+        told("quantity_mpe_json", "mpe_display").alias("shown"), told("customer_care_json", "value").alias("care"),
+        F.col("ocr_raw_text_immutable").alias("page"), F.array_join(boxes, "|").alias("boxes"))
+
+
 _CHECK_JSON = "array<struct<rule_id: string, field_name: string, status: string, severity: string, observed: string>>"
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from panelmark import constants as C
 from panelmark.operators import ledger, rollup
+from panelmark.operators.measures import tolerance
+from panelmark.operators.tokens import joined_text
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -57,6 +59,55 @@ def ledger_rows(packages: DataFrame, checks: DataFrame, decl: DataFrame) -> Data
     )
 
 
+PROFILE_FIELDS = ["manufacturer", "fssai_license", "net_quantity", "consumer_care"]
+
+
+def ledger_evidence(packages: DataFrame, decl: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Ledger rows with their evidence: profile, care, tolerance as shown, text, boxes and the quality flag.
+
+    ``packages`` has inspection_id, product_name, category and quality_score;
+    ``decl`` has numeric_value and unit beside value and confidence. Of several
+    declarations of a field the surest counts. Text and boxes hold the whole
+    page, put together in two levels; a package without lines has an empty text
+    and an empty list.
+    """
+    entry = F.struct("value", "confidence", "numeric_value", "unit")
+    surest = F.struct(-F.coalesce("confidence", F.lit(0.0)), "value")
+    said = decl.where(F.col("field_name").isin(PROFILE_FIELDS)).groupBy("inspection_id").agg(
+        *[F.min_by(entry, F.when(F.col("field_name") == f, surest)).alias(f"_{f}") for f in PROFILE_FIELDS])
+    lines = joined_text(tokens, "inspection_id", "line_no", "text", "_text")
+    box = F.to_json(F.struct("line_no", "text", "confidence", F.array(*BOX).alias("bbox")), {"ignoreNullFields": "false"})
+    # JSON holds no raw line break, so the breaks between the entries are the only ones
+    boxes = joined_text(tokens.withColumn("_box", box), "inspection_id", "line_no", "_box", "_boxes")
+    joined = packages.join(said, "inspection_id", "left").join(lines, "inspection_id", "left").join(boxes, "inspection_id", "left")
+
+    def value(field: str) -> Column:
+        return F.nullif(F.col(f"_{field}.value"), F.lit(""))
+
+    sized = tolerance(joined.withColumns({
+        "quantity": F.col("_net_quantity.numeric_value"), "unit": F.nullif(F.col("_net_quantity.unit"), F.lit("")),
+        "base_quantity": F.lit(None).cast("double")}))
+    missing, unnamed = F.lit("Not Detected"), F.coalesce(F.col("product_name"), F.lit("")).contains("Packaged Commodity")
+    profile = F.struct(
+        F.coalesce(value("manufacturer"), F.when(unnamed, missing).otherwise(F.col("product_name"))).alias("company_name"),
+        F.when(unnamed, "Unidentified Product Label").otherwise(F.col("product_name")).alias("product_name"),
+        "category", F.coalesce(value("fssai_license"), missing).alias("fssai_license"),
+    )
+    shown = F.struct(
+        F.coalesce(value("net_quantity"), missing).alias("declared_quantity"),
+        F.when(value("net_quantity").isNull(), "N/A").otherwise(F.col("shown")).alias("mpe_display"),
+    )
+    return sized.select(
+        *packages.columns,
+        F.col("quality_score").alias("image_blur_variance"),
+        F.coalesce(F.col("quality_score") >= 70.0, F.lit(False)).alias("image_quality_passed"),
+        F.coalesce("_text", F.lit("")).alias("ocr_raw_text_immutable"),
+        F.concat(F.lit("["), F.coalesce(F.replace("_boxes", F.lit("\n"), F.lit(",")), F.lit("")), F.lit("]")).alias("bounding_boxes_json_immutable"),
+        F.to_json(profile).alias("company_profile_json"), F.to_json(shown).alias("quantity_mpe_json"),
+        F.coalesce(F.to_json("_consumer_care"), F.lit("{}")).alias("customer_care_json"),
+    )
+
+
 def audit_rows(changes: DataFrame, user: Column, action: Column, resource: Column, details: Column, now: datetime) -> DataFrame:
     return changes.select(
         user.alias("user_id"), action.alias("action"), resource.alias("resource_id"), details.alias("details"),

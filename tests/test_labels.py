@@ -1,5 +1,6 @@
 """Extraction on small labels, and layout operators against brute force."""
 
+import json
 import random
 import re
 
@@ -11,6 +12,7 @@ from panelmark.functions import text as tx
 from panelmark.operators import extract as ex
 from panelmark.operators import tokens as tk
 from panelmark.plans import catalog
+from panelmark.sources import sinks
 
 SCHEMA = "inspection_id string, line_no int, text string, confidence double, x1 double, y1 double, x2 double, y2 double"
 
@@ -397,3 +399,27 @@ def test_summary_says_what_the_readers_find(spark):
         missing = [f for f in C.CHECKLIST_FIELDS if f not in found.get(page, set())]
         assert got[page] == (5 - len(missing), ",".join(missing), len(missing) <= 1)
     tokens.unpersist()
+
+
+def test_ledger_evidence_of_odd_packages(spark):
+    """No lines or declarations, repeated ones, nulls, and texts that JSON has to escape."""
+    packages = spark.createDataFrame(
+        [("a", "Tea", "Food", 70.0), ("b", "Packaged Commodity Item", None, None), ("c", None, "Food", 69.9)],
+        "inspection_id string, product_name string, category string, quality_score double")
+    decl = spark.createDataFrame(
+        [("a", "manufacturer", "Old Ltd", 50.0, None, None), ("a", "manufacturer", "New Ltd", 90.0, None, None), ("a", "net_quantity", "75 ml", 90.0, 75.0, "ML"),
+         ("a", "mrp", "5", 90.0, 5.0, None), ("c", "net_quantity", "some", None, None, None), ("c", "consumer_care", None, None, None, None)],
+        "inspection_id string, field_name string, value string, confidence double, numeric_value double, unit string")
+    tokens = spark.createDataFrame(
+        [("a", 2, 'say "hi",\n[5]', 90.0, 1.0, 2.0, 3.0, 4.0), ("a", 1, "first", None, None, 2.0, 3.0, 4.0), ("c", 700, "late", 90.0, 1.0, 2.0, 3.0, 4.0)], SCHEMA)
+    rows = {r.inspection_id: r for r in sinks.ledger_evidence(packages, decl, tokens).collect()}
+    a, b, c = (rows[k] for k in "abc")
+    assert json.loads(a.company_profile_json) == {"company_name": "New Ltd", "product_name": "Tea", "category": "Food", "fssai_license": "Not Detected"}
+    assert json.loads(a.quantity_mpe_json) == {"declared_quantity": "75 ml", "mpe_display": "4.5 ml"}
+    assert a.ocr_raw_text_immutable == 'first\nsay "hi",\n[5]' and a.image_quality_passed
+    assert [(x["line_no"], x["text"], x["bbox"]) for x in json.loads(a.bounding_boxes_json_immutable)] == [
+        (1, "first", [None, 2.0, 3.0, 4.0]), (2, 'say "hi",\n[5]', [1.0, 2.0, 3.0, 4.0])]
+    assert json.loads(b.company_profile_json) == {"company_name": "Not Detected", "product_name": "Unidentified Product Label", "fssai_license": "Not Detected"}
+    assert json.loads(b.quantity_mpe_json) == {"declared_quantity": "Not Detected", "mpe_display": "N/A"}
+    assert (b.ocr_raw_text_immutable, b.bounding_boxes_json_immutable, b.customer_care_json, b.image_quality_passed) == ("", "[]", "{}", False)
+    assert json.loads(c.quantity_mpe_json) == {"declared_quantity": "some", "mpe_display": "1.5%"} and not c.image_quality_passed
