@@ -748,8 +748,9 @@ def _expiry_of() -> Column:
 def promo_quantity(tokens: DataFrame) -> DataFrame:
     """Total of a promotional pack, such as ``54g + 9g EXTRA = 63g``.
 
-    The phrase may run over line ends; the text is put together only for
-    packages that have both an anchor and a sign of a total.
+    The phrase may run over line ends; only packages that have both an anchor
+    and a sign of a total are read in rows, and only rows near an anchor are
+    put together.
     """
     tokens = readable(tokens).drop("raw_line")
     value = text("text")
@@ -759,46 +760,47 @@ def promo_quantity(tokens: DataFrame) -> DataFrame:
     return _promo_of(tokens.join(flags.select("inspection_id"), "inspection_id", "left_semi"))
 
 
-def _promo_of(lines: DataFrame) -> DataFrame:
-    page = page_text(lines)
-    amount, unit = vx.found(F.col("page"), PROMO_QUANTITY, 1), vx.found(F.col("page"), PROMO_QUANTITY, 2)
-    return page.where(amount.isNotNull()).select(
-        "inspection_id", vx.decimal_comma(amount).alias("quantity"), F.lower(unit).alias("unit")
-    )
+_TOTAL_KEY = rf"(?i){_NET}|(?:NET|SHUDDHA)\s*$"
 
 
-def page_text(tokens: DataFrame) -> DataFrame:
-    """Text of a page in reading rows, rows joined by newline."""
-    rows = tk.row_texts(tk.reading_rows(tokens))
-    return tk.joined_text(rows, "inspection_id", "row_no", "row_text", "page")
+def _promo_of(lines: DataFrame) -> DataFrame:
+    near = behind_keys(lines, _TOTAL_KEY, PROMO_REACH)
+    amount, unit = vx.found(F.col("_said"), PROMO_QUANTITY, 1), vx.found(F.col("_said"), PROMO_QUANTITY, 2)
+    return near.where(amount.isNotNull()).groupBy("inspection_id").agg(
+        F.min_by(F.struct(vx.decimal_comma(amount).alias("quantity"), F.lower(unit).alias("unit")), "_key_row").alias("m")
+    ).select("inspection_id", "m.*")
 
 
-#: rows put together behind a key row, and the characters they may hold: the reach, a broken key, a currency and some blanks
-_ACROSS_ROWS, _ACROSS_ROOM = 72, PRICE_REACH + 64
+#: characters behind a key beyond the reach: a broken key, a currency and some blanks
+_ROOM = 64
 PRICE_ACROSS_CONFIDENCE = 92.0
 
 
-def price_across_lines(tokens: DataFrame) -> DataFrame:
-    """First price whose amount stands within ``PRICE_REACH`` characters of its key in the reading text.
+def behind_keys(tokens: DataFrame, key: str, reach: int) -> DataFrame:
+    """Reading text from each row where a key starts, or may start, as far as ``reach`` characters behind the key can lie.
 
-    The text of a page is never put together. Each reading row where a key
-    starts, or may start, takes the rows behind it that the key can reach, and
-    the pattern is applied to these. Runs of more than some thirty blanks are
-    not bridged.
+    (inspection_id, _key_row, _said). The text of a page is never put together.
+    A row and its break hold two characters or more, which bounds the rows; runs
+    of more than some thirty blanks are not bridged.
     """
     rows = tk.row_texts(tk.reading_rows(tokens)).select("inspection_id", "row_no", F.col("row_text"))
-    keyed = rows.where(F.col("row_text").rlike(f"(?i){_PRICE_KEY}|{_PRICE_KEY_OPEN}")).select(
-        "inspection_id", F.col("row_no").alias("_key_row"), F.explode(F.sequence(F.lit(0), F.lit(_ACROSS_ROWS))).alias("_k"))
+    keyed = rows.where(F.col("row_text").rlike(key)).select(
+        "inspection_id", F.col("row_no").alias("_key_row"), F.explode(F.sequence(F.lit(0), F.lit((reach + _ROOM) // 2))).alias("_k"))
     reached = keyed.withColumn("row_no", F.col("_key_row") + F.col("_k")).join(rows, ["inspection_id", "row_no"])
     parts = F.array_sort(F.collect_list(F.struct("_k", "row_text")))
     strung = F.aggregate(
         "_parts",
-        F.struct(F.lit("").alias("said"), F.lit(_ACROSS_ROOM + 1).alias("room")),
+        F.struct(F.lit("").alias("said"), F.lit(reach + _ROOM + 1).alias("room")),
         lambda done, p: F.when(done["room"] <= 0, done).otherwise(F.struct(
             F.concat(done["said"], F.when(p["_k"] > 0, F.lit("\n")).otherwise(F.lit("")), p["row_text"]).alias("said"),
             # the key's own row is free
             (done["room"] - F.when(p["_k"] > 0, F.length(p["row_text"]) + 1).otherwise(0)).alias("room"))))
-    near = reached.groupBy("inspection_id", "_key_row").agg(parts.alias("_parts")).select("inspection_id", "_key_row", strung["said"].alias("_said"))
+    return reached.groupBy("inspection_id", "_key_row").agg(parts.alias("_parts")).select("inspection_id", "_key_row", strung["said"].alias("_said"))
+
+
+def price_across_lines(tokens: DataFrame) -> DataFrame:
+    """First price whose amount stands within ``PRICE_REACH`` characters of its key in the reading text."""
+    near = behind_keys(tokens, f"(?i){_PRICE_KEY}|{_PRICE_KEY_OPEN}", PRICE_REACH)
     amount = vx.found(F.col("_said"), PRICE_ACROSS)
     return near.where(amount.isNotNull()).groupBy("inspection_id").agg(
         F.min_by(F.struct(amount.alias("amount"), vx.found(F.col("_said"), PRICE_ACROSS, 0).alias("raw_line")), "_key_row").alias("m")

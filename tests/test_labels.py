@@ -423,3 +423,21 @@ def test_ledger_evidence_of_odd_packages(spark):
     assert json.loads(b.quantity_mpe_json) == {"declared_quantity": "Not Detected", "mpe_display": "N/A"}
     assert (b.ocr_raw_text_immutable, b.bounding_boxes_json_immutable, b.customer_care_json, b.image_quality_passed) == ("", "[]", "{}", False)
     assert json.loads(c.quantity_mpe_json) == {"declared_quantity": "some", "mpe_display": "1.5%"} and not c.image_quality_passed
+
+
+def test_promotional_totals_across_lines(spark):
+    """Rows near the anchors say what the whole page says, at both sides of the reach."""
+    rng = random.Random(14)
+    bits = ["NET WEIGHT: 54g", "NET", "WEIGHT", "net qty", "+ 9g EXTRA", "= 63g", "=", "63 g", "TOTAL: 70 ml", "TOTAL", "tea", "x" * 20, "y" * 57, "z" * 119, "quantity"]
+    pages = {f"p{i}": [rng.choice(bits) for _ in range(rng.randrange(1, 12))] for i in range(400)}
+    pages |= {f"far{n}": ["NET WEIGHT", "x" * n, "= 63g"] for n in (116, 117, 118, 119, 120)}
+    pages["rows"] = ["NET WEIGHT", *["x"] * 58, "= 63g"]
+    rows = [(page, i, t, 90.0, 40.0, 60.0 * i, 90.0, 60.0 * i + 30) for page, lines in pages.items() for i, t in enumerate(lines)]
+    got = {r.inspection_id: (r.quantity, r.unit) for r in ex.promo_quantity(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {}
+    for page, lines in pages.items():
+        anchored = any(re.search(f"(?i){ex._NET}", t) for t in lines) and any(re.search("(?i)=|TOTAL", t) for t in lines)
+        hit = re.search(ex.PROMO_QUANTITY, "\n".join(lines))
+        if anchored and hit:
+            want[page] = (float(hit[1].replace(",", ".")), hit[2].lower())
+    assert got == want and {"far118", "rows"} <= set(got) and "far120" not in got
