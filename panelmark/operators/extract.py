@@ -17,7 +17,7 @@ from panelmark.functions.text import (
     bad_generic_name, bad_ingredient, fix_glyphs, has_any, indic_digits, is_barcode, text,
 )
 from panelmark.operators import tokens as tk
-from panelmark.session import cut
+from panelmark.session import cut, spread
 
 # --------------------------------------------------------------------------
 # Patterns of printed declarations
@@ -346,7 +346,7 @@ def extract_dates(tokens: DataFrame) -> DataFrame:
         "inspection_id",
         F.when(plain_first, F.col("plain_line")).otherwise(F.col("made_line")).alias("made_at"),
     )
-    joined = lines.join(facts, "inspection_id")
+    joined = lines.join(spread(facts), "inspection_id")
     expiry = relative | (
         F.col("expires") & dated & (~F.col("made") | (F.col("line_no") > F.coalesce("made_at", big)))
     )
@@ -612,7 +612,7 @@ def route_by_region(tokens: DataFrame) -> DataFrame:
     price = priced.groupBy("inspection_id").agg(
         F.min_by(F.struct("price", "verdict", "confidence"), "line_no").alias("p")
     )
-    return picked.join(price, "inspection_id", "left").select(
+    return picked.join(spread(price), "inspection_id", "left").select(
         "inspection_id", "licence", "mfg", "exp", "p.price", "p.verdict", "any_tax"
     )
 
@@ -620,7 +620,7 @@ def route_by_region(tokens: DataFrame) -> DataFrame:
 def global_tax_override(prices: DataFrame, tokens: DataFrame) -> DataFrame:
     """Any tax phrase in the package makes its price verdict conforming."""
     taxed = tokens.groupBy("inspection_id").agg(F.max(text("text").rlike(LINE_TAX)).alias("_any"))
-    joined = prices.join(taxed, "inspection_id", "left")
+    joined = prices.join(spread(taxed), "inspection_id", "left")
     return joined.withColumn(
         "verdict",
         F.when(F.coalesce("_any", F.lit(False)) & F.col("price").isNotNull(), "CONFORMING").otherwise(F.col("verdict")),
@@ -757,7 +757,7 @@ def promo_quantity(tokens: DataFrame) -> DataFrame:
     flags = tokens.groupBy("inspection_id").agg(
         F.max(value.rlike(f"(?i){_NET}")).alias("_net"), F.max(value.rlike("(?i)=|TOTAL")).alias("_sum")
     ).where("_net AND _sum")
-    return _promo_of(tokens.join(flags.select("inspection_id"), "inspection_id", "left_semi"))
+    return _promo_of(tokens.join(spread(flags.select("inspection_id")), "inspection_id", "left_semi"))
 
 
 _TOTAL_KEY = rf"(?i){_NET}|(?:NET|SHUDDHA)\s*$"
@@ -786,7 +786,7 @@ def behind_keys(tokens: DataFrame, key: str, reach: int) -> DataFrame:
     rows = tk.row_texts(tk.reading_rows(tokens)).select("inspection_id", "row_no", F.col("row_text"))
     keyed = rows.where(F.col("row_text").rlike(key)).select(
         "inspection_id", F.col("row_no").alias("_key_row"), F.explode(F.sequence(F.lit(0), F.lit((reach + _ROOM) // 2))).alias("_k"))
-    reached = keyed.withColumn("row_no", F.col("_key_row") + F.col("_k")).join(rows, ["inspection_id", "row_no"])
+    reached = keyed.withColumn("row_no", F.col("_key_row") + F.col("_k")).join(spread(rows), ["inspection_id", "row_no"])
     parts = F.array_sort(F.collect_list(F.struct("_k", "row_text")))
     strung = F.aggregate(
         "_parts",
@@ -817,10 +817,10 @@ def price_beyond_line(tokens: DataFrame) -> DataFrame:
     beside = tk.spatial_pair(tokens, _PRICE_KEY, money).select(
         "inspection_id", F.lit(0).alias("_stage"), vx.decimal_comma(vx.found(F.col("value"), f"({_MONEY})")).alias("price"),
         F.col("value").alias("raw_line"), "confidence", "box.*")
-    across = price_across_lines(tokens.join(beside.select("inspection_id"), "inspection_id", "left_anti"))
-    shown = tokens.join(across.select("inspection_id", "amount"), "inspection_id").where(F.col("text").contains(F.col("amount")))
+    across = price_across_lines(tokens.join(spread(beside.select("inspection_id")), "inspection_id", "left_anti"))
+    shown = tokens.join(spread(across.select("inspection_id", "amount")), "inspection_id").where(F.col("text").contains(F.col("amount")))
     boxes = shown.groupBy("inspection_id").agg(F.min_by(F.struct(*_BOX), "line_no").alias("box"))
-    across = across.join(boxes, "inspection_id", "left").select(
+    across = across.join(spread(boxes), "inspection_id", "left").select(
         "inspection_id", F.lit(1).alias("_stage"), vx.decimal_comma(F.col("amount")).alias("price"), "raw_line",
         F.lit(PRICE_ACROSS_CONFIDENCE).alias("confidence"), *[F.col("box")[c].alias(c) for c in _BOX])
     return beside.unionByName(across)
@@ -851,9 +851,9 @@ def price_with_verdict(tokens: DataFrame) -> DataFrame:
     on_line = picked.where("m IS NOT NULL").select("inspection_id", "m.*", "_anywhere")
     open_ = picked.where("m IS NULL AND _key")
     columns = ["inspection_id", "line_no", "text", "confidence", *_BOX]
-    laid_out = cut(lines.select(*columns).join(open_.select("inspection_id"), "inspection_id", "left_semi"))
+    laid_out = cut(lines.select(*columns).join(spread(open_.select("inspection_id")), "inspection_id", "left_semi"))
     beyond = price_beyond_line(laid_out).join(
-        open_.select("inspection_id", "_anywhere", "_inline"), "inspection_id")
+        spread(open_.select("inspection_id", "_anywhere", "_inline")), "inspection_id")
     # a pair of lines tells no unit price, the reading text may
     told = F.when(F.col("_stage") == 1, F.col("_inline"))
     return cut(on_line.unionByName(beyond.select(
@@ -864,18 +864,18 @@ def price_with_verdict(tokens: DataFrame) -> DataFrame:
 def near_rows_tax(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     """Packages whose tax clause is split over tokens of a row near the price."""
     open_ = prices.where("NOT _same AND NOT _anywhere AND line_no IS NOT NULL").select("inspection_id", "line_no")
-    lines = tokens.join(open_.select("inspection_id"), "inspection_id", "left_semi")
+    lines = tokens.join(spread(open_.select("inspection_id")), "inspection_id", "left_semi")
     placed = tk.reading_rows(lines)
     rows = tk.row_texts(placed)
-    anchors = placed.join(open_, ["inspection_id", "line_no"]).groupBy("inspection_id").agg(F.min("row_no").alias("_anchor"))
-    near = rows.join(anchors, "inspection_id").where(
+    anchors = placed.join(spread(open_), ["inspection_id", "line_no"]).groupBy("inspection_id").agg(F.min("row_no").alias("_anchor"))
+    near = rows.join(spread(anchors), "inspection_id").where(
         (F.abs(F.col("row_no") - F.col("_anchor")) <= 5) & F.col("row_text").rlike(TAX_NEAR)
     )
     return near.select("inspection_id").distinct()
 
 
 def with_price_verdict(prices: DataFrame, near: DataFrame) -> DataFrame:
-    joined = prices.join(near.withColumn("_near", F.lit(True)), "inspection_id", "left")
+    joined = prices.join(spread(near.withColumn("_near", F.lit(True))), "inspection_id", "left")
     taxed = F.col("_same") | F.col("_anywhere") | F.coalesce("_near", F.lit(False))
     unclear = F.col("confidence") < C.EXTRACTION_MIN_CONFIDENCE
     return joined.withColumn("tax_stated", taxed).withColumn(
@@ -918,7 +918,7 @@ def _ingredients_of(line: DataFrame, tokens: DataFrame) -> DataFrame:
     early = line.where(
         "i_weak_line IS NOT NULL AND (i_direct IS NULL OR i_weak_line < i_direct.anchor_line)"
     ).select("inspection_id")
-    placed = tk.reading_rows(tokens.join(early, "inspection_id", "left_semi"))
+    placed = tk.reading_rows(tokens.join(spread(early), "inspection_id", "left_semi"))
     weak = placed.withColumns(_ingredient_hits()).where("_i_weak").select(
         "inspection_id", F.col("line_no").alias("anchor_line"), F.col("row_no").alias("anchor_row"), "_i_said",
         "confidence", *_BOX)
@@ -927,16 +927,16 @@ def _ingredients_of(line: DataFrame, tokens: DataFrame) -> DataFrame:
     whole = F.trim(F.regexp_replace(
         F.trim(F.concat_ws(" ", F.nullif("_i_said", F.lit("")), F.col("continuation"))), r"[.:;\-]+$", ""))
     continued = (
-        weak.join(more, ["inspection_id", "anchor_line"], "left").withColumn("ingredients", whole)
+        weak.join(spread(more), ["inspection_id", "anchor_line"], "left").withColumn("ingredients", whole)
         .where((F.length("ingredients") >= 2) & ~bad_ingredient("ingredients"))
         .select("inspection_id", "ingredients", "confidence", *_BOX, "anchor_line")
     )
     found = cut(direct.unionByName(continued).groupBy("inspection_id").agg(
         F.min_by(F.struct("ingredients", "confidence", *_BOX), "anchor_line").alias("m")
     ).select("inspection_id", "m.*"))
-    keyed = line.where("i_key").select("inspection_id").join(found, "inspection_id", "left_anti")
+    keyed = line.where("i_key").select("inspection_id").join(spread(found), "inspection_id", "left_anti")
     near = tk.spatial_pair(
-        tokens.join(keyed, "inspection_id", "left_semi"), _ING_KEY, r"[A-Za-z]{3,}(?:[\s,]+[A-Za-z]{3,})*")
+        tokens.join(spread(keyed), "inspection_id", "left_semi"), _ING_KEY, r"[A-Za-z]{3,}(?:[\s,]+[A-Za-z]{3,})*")
     cleaned = F.trim(F.regexp_replace(F.trim("value"), r"[.:;\-]+$", ""))
     near = near.where(~bad_ingredient("value") & ~bad_ingredient(cleaned) & (F.length(F.trim("value")) >= 2))
     return found.unionByName(near.select("inspection_id", cleaned.alias("ingredients"), "confidence", "box.*"))
@@ -975,13 +975,13 @@ def _names_of(line: DataFrame, tokens: DataFrame, ingredients: DataFrame) -> Dat
         ~bad_generic_name("ingredients") & ~bad_ingredient("ingredients") & ~F.col("ingredients").rlike("[,;]")
         & (F.size(F.split(F.trim("ingredients"), r"\s+")) <= 4)
     ).select("inspection_id", F.struct(F.col("ingredients").alias("name"), "confidence", *_BOX).alias("s"))
-    step = cut(line.select("inspection_id", "n_anchored", "n_plain", "n_word").join(single, "inspection_id", "left"))
+    step = cut(line.select("inspection_id", "n_anchored", "n_plain", "n_word").join(spread(single), "inspection_id", "left"))
     done = step.where("n_anchored IS NOT NULL OR s IS NOT NULL").select(
         "inspection_id", F.coalesce("n_anchored", "s").alias("m"), F.col("n_anchored").isNotNull().alias("anchored"), "n_word")
     open_ = step.where("n_anchored IS NULL AND s IS NULL")
-    titles = tk.title_fallback(tokens.join(open_.select("inspection_id"), "inspection_id", "left_semi"))
+    titles = tk.title_fallback(tokens.join(spread(open_.select("inspection_id")), "inspection_id", "left_semi"))
     titled = open_.join(
-        titles.select("inspection_id", F.struct(F.col("title").alias("name"), "confidence", *_BOX).alias("t")),
+        spread(titles.select("inspection_id", F.struct(F.col("title").alias("name"), "confidence", *_BOX).alias("t"))),
         "inspection_id", "left",
     ).select("inspection_id", F.coalesce("t", "n_plain").alias("m"), F.lit(False).alias("anchored"), "n_word")
     return done.unionByName(titled)
@@ -1124,7 +1124,7 @@ def declaration_table(tokens: DataFrame) -> DataFrame:
         " OR n_anchored IS NULL"
     )
     columns = ["inspection_id", "line_no", "text", "confidence", *_BOX]
-    laid_out = cut(readable(tokens).select(*columns).join(facts.where(needs).select("inspection_id"), "inspection_id", "left_semi"))
+    laid_out = cut(readable(tokens).select(*columns).join(spread(facts.where(needs).select("inspection_id")), "inspection_id", "left_semi"))
     parts = [
         _price_rows(laid_out, facts),
         _quantity_rows(laid_out, facts),
@@ -1143,7 +1143,7 @@ def declaration_table(tokens: DataFrame) -> DataFrame:
 
 
 def _of(tokens: DataFrame, facts: DataFrame, condition: str) -> DataFrame:
-    return tokens.join(facts.where(condition).select("inspection_id"), "inspection_id", "left_semi")
+    return tokens.join(spread(facts.where(condition).select("inspection_id")), "inspection_id", "left_semi")
 
 
 def _price_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
@@ -1152,7 +1152,7 @@ def _price_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
     anchored = with_price_verdict(found, near).drop("line_no")
     beyond = price_beyond_line(_of(tokens, facts, "price IS NULL AND p_key")).select(
         "inspection_id", "_stage", F.struct("price", "raw_line", "confidence", *_BOX).alias("beyond"))
-    rest = facts.where("price IS NULL").select("inspection_id", "taxed", "loose", "inline").join(beyond, "inspection_id", "left")
+    rest = facts.where("price IS NULL").select("inspection_id", "taxed", "loose", "inline").join(spread(beyond), "inspection_id", "left")
     chosen = rest.withColumn("use", F.coalesce("beyond", "loose")).where("use IS NOT NULL")
     # a price without any key has no verdict, only what the text states
     unclear = F.col("use.confidence") < C.EXTRACTION_MIN_CONFIDENCE
@@ -1170,7 +1170,7 @@ def _price_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
         _said("mrp_inclusive_tax", F.lit("Inclusive of all taxes"), F.col("tax_stated")),
         _said("unit_sale_price", F.concat(F.format_string("₹%.2f/", per_price), per), per_price > 0, numeric_value=per_price, unit=per))
     alone = rest.where("beyond IS NULL AND loose IS NULL AND taxed").select("inspection_id").join(
-        facts.select("inspection_id", "tax_line.*"), "inspection_id")
+        spread(facts.select("inspection_id", "tax_line.*")), "inspection_id")
     return said.unionByName(_decl(alone, "mrp_inclusive_tax", F.lit("Inclusive of all taxes")))
 
 
@@ -1185,8 +1185,8 @@ def _quantity_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
         vx.decimal_comma(vx.found(F.col("value"), r"([0-9]+(?:[.,][0-9]+)?)\s*[a-zA-Z]+")).alias("amount"),
         F.lower(vx.found(F.col("value"), r"[0-9]+(?:[.,][0-9]+)?\s*([a-zA-Z]+)")).alias("unit"),
         "confidence", "box.*").alias("near"))
-    joined = facts.select("inspection_id", "quantity", "bare").join(promo, "inspection_id", "left").join(
-        near, "inspection_id", "left")
+    joined = facts.select("inspection_id", "quantity", "bare").join(spread(promo), "inspection_id", "left").join(
+        spread(near), "inspection_id", "left")
     rows = joined.select("inspection_id", F.coalesce("promo", "quantity", "near", "bare").alias("m")).where(
         "m IS NOT NULL").select("inspection_id", "m.*")
     shown = F.concat(vx.plain_number(F.col("amount")), F.lit(" "), F.col("unit"))
@@ -1248,7 +1248,7 @@ def _name_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
     titles = titles.where("m IS NOT NULL").select("inspection_id", "anchored", "m.*")
     # a single commodity that names itself is its own ingredient
     own = titles.where(F.col("anchored") & has_any(F.upper("name"), C.SINGLE_COMMODITIES)).join(
-        ingredients.select("inspection_id"), "inspection_id", "left_anti")
+        spread(ingredients.select("inspection_id")), "inspection_id", "left_anti")
     eaten = ingredients.unionByName(own.select("inspection_id", F.col("name").alias("ingredients"), "confidence", *_BOX))
     eaten = eaten.where(~bad_ingredient("ingredients"))
     named = [_said(f, F.col("name")) for f in ("generic_name", "common_generic_name", "product_name")]

@@ -9,6 +9,7 @@ from panelmark import constants as C
 from panelmark.functions import values as vx
 from panelmark.functions.text import has_any, lookup, suspicious_text, text
 from panelmark.operators import tokens as tk
+from panelmark.session import cut, spread
 
 
 def _bracket(value: Column, brackets: list[tuple], column: int) -> Column:
@@ -142,7 +143,7 @@ def explain_checks(checks: DataFrame, decl: DataFrame, aliases: DataFrame, fallb
         "inspection_id", F.col("field").alias("_key"), F.lit(1).alias("_rank"), F.struct("_value", "_box", "_image").alias("_e"))
     best = direct.unionByName(by_alias).groupBy("inspection_id", "_key").agg(
         F.min_by("_e", F.struct("_rank", "_e._value")).alias("_e"))
-    joined = checks.withColumn("_key", F.lower("field_name")).join(best, ["inspection_id", "_key"], "left")
+    joined = checks.withColumn("_key", F.lower("field_name")).join(spread(best), ["inspection_id", "_key"], "left")
     status = (
         F.when(F.col("status").isin("NOT_APPLICABLE", "BYPASSED", "N/A"), "NOT_APPLICABLE")
         .when(F.col("status").isin("PASS", "FAIL"), F.col("status"))
@@ -153,11 +154,12 @@ def explain_checks(checks: DataFrame, decl: DataFrame, aliases: DataFrame, fallb
         "inspection_id", "rule_id", "field_name", status.alias("status"), shown.alias("observed"), "expected_requirement",
         "reason", "severity", F.coalesce("_e._box", "box").alias("box"), F.coalesce("_e._image", F.lit(0)).alias("image_index"),
     )
-    boxed = tk.box_fallback(rows, decl, fallbacks)
+    # read three times: to find large packages, their open checks, and for the result
+    boxed = cut(tk.box_fallback(rows, decl, fallbacks))
     open_ = boxed.where("box IS NULL AND observed NOT LIKE '%Cannot Verify%' AND observed NOT LIKE '%Not Detected%'")
     read = tk.evidence_fallback(open_.select("inspection_id", "rule_id", "observed"), tokens)
     read = read.select("inspection_id", "rule_id", F.col("box").alias("_read"))
-    return boxed.join(read, ["inspection_id", "rule_id"], "left").withColumn("box", F.coalesce("box", "_read")).select(
+    return boxed.join(spread(read), ["inspection_id", "rule_id"], "left").withColumn("box", F.coalesce("box", "_read")).select(
         "inspection_id", "rule_id", "field_name", "status", "observed", "expected_requirement", "reason", "severity",
         "box.x1", "box.y1", "box.x2", "box.y2", "image_index", "from_fallback")
 

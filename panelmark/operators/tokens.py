@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from panelmark import constants as C
 from panelmark.functions.text import has_any, is_barcode, text
 from panelmark.operators import slices
-from panelmark.session import cut
+from panelmark.session import cut, spread
 
 ROW_GAP = 45.0
 BOX = ["x1", "y1", "x2", "y2"]
@@ -65,7 +65,7 @@ def reading_rows(tokens: DataFrame) -> DataFrame:
     """Adds ``row_no``, counted from 1 at the top of the page; 0 without an upper edge."""
     starts = row_starts(tokens).withColumnsRenamed({"inspection_id": "_id", "_cell": "_at"})
     placed = tokens.withColumn("_cell", _row_cell())
-    joined = placed.join(starts, F.col("inspection_id").eqNullSafe(F.col("_id")) & (F.col("_cell") == F.col("_at")), "left")
+    joined = placed.join(spread(starts), F.col("inspection_id").eqNullSafe(F.col("_id")) & (F.col("_cell") == F.col("_at")), "left")
     opened = F.coalesce(F.col("y1") >= F.col("_start"), F.lit(False)).cast("int")
     row = F.coalesce(F.col("_before") + opened, F.lit(0)).cast("int")
     return joined.withColumn("row_no", row).drop("_cell", "_id", "_at", "_start", "_before")
@@ -127,8 +127,8 @@ def tax_neighbourhood(rows: DataFrame, is_price: Column, is_tax: Column, reach:
         F.explode(F.sequence(F.col("_tax_row") - reach, F.col("_tax_row") + reach)).alias("row_no"),
     ).distinct().withColumn("near", F.lit(True))
     anywhere = taxes.select("inspection_id").distinct().withColumn("anywhere", F.lit(True))
-    joined = prices.join(covered, ["inspection_id", "row_no"], "left").join(
-        anywhere, "inspection_id", "left"
+    joined = prices.join(spread(covered), ["inspection_id", "row_no"], "left").join(
+        spread(anywhere), "inspection_id", "left"
     )
     return joined.withColumn("near", F.coalesce("near", F.lit(False))).withColumn(
         "tax_found", F.col("near") | F.coalesce("anywhere", F.lit(False))
@@ -179,7 +179,7 @@ def _matched(left: DataFrame, right: DataFrame, names: list[str], how: str) -> D
     """Join on equal ``names``, null being a value like any other; of the right only its other columns stay."""
     right = right.withColumnsRenamed({n: f"_right_{n}" for n in names})
     same = [F.col(n).eqNullSafe(F.col(f"_right_{n}")) for n in names]
-    joined = left.join(right, reduce(lambda a, b: a & b, same), how)
+    joined = left.join(spread(right), reduce(lambda a, b: a & b, same), how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{n}" for n in names])
 
 
@@ -340,7 +340,7 @@ def unmapped_tokens(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
         start, end = F.greatest(cell(F.col(low) - 1), F.col(first)), F.least(cell(F.col(high) + 1), F.col(last))
         return F.when(start <= end, F.sequence(start, end))
 
-    laid = b.join(page, F.col("_id") == F.col("_page")).select(
+    laid = b.join(spread(page), F.col("_id") == F.col("_page")).select(
         "_id", *[f"_{c}" for c in BOX], F.explode(span("_x1", "_x2", "_left", "_right")).alias("_cx"), span("_y1", "_y2", "_top", "_low").alias("_ys"))
     laid = laid.select("_id", *[f"_{c}" for c in BOX], "_cx", F.explode("_ys").alias("_cy"))
     width = F.least(F.col("x2"), F.col("_x2")) - F.greatest(F.col("x1"), F.col("_x1"))
@@ -348,7 +348,7 @@ def unmapped_tokens(tokens: DataFrame, boxes: DataFrame) -> DataFrame:
     own = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     covered = (width > 0) & (height > 0) & (own > 0) & (width * height > 0.5 * own)
     met = (F.col("inspection_id") == F.col("_id")) & (cx == F.col("_cx")) & (cy == F.col("_cy"))
-    return tokens.join(laid, met & covered, "left_anti")
+    return tokens.join(spread(laid), met & covered, "left_anti")
 
 
 def _packed(column: Column) -> Column:
@@ -367,7 +367,7 @@ def token_intersection(decl: DataFrame, tokens: DataFrame) -> DataFrame:
     said = decl.select("inspection_id", "field_name", _long_words(text("value")).alias("_words"))
     said = said.select("inspection_id", "field_name", F.size("_words").alias("_n"), F.explode("_words").alias("_word"))
     read = tokens.select("inspection_id", "line_no", F.explode(_long_words(text("text"))).alias("_word"))
-    shared = said.join(read, ["inspection_id", "_word"]).groupBy("inspection_id", "field_name", "line_no").agg(
+    shared = said.join(spread(read), ["inspection_id", "_word"]).groupBy("inspection_id", "field_name", "line_no").agg(
         F.count("*").alias("common"), F.first("_n").alias("_n"))
     return shared.select("inspection_id", "field_name", "line_no", "common", (F.col("common") / F.col("_n")).alias("ratio"))
 
@@ -397,9 +397,9 @@ def _inside(needles: DataFrame, hays: DataFrame) -> DataFrame:
     offered = needles.where(F.col("_text").isNotNull()).select("inspection_id", "_n", F.explode(asked).alias("_key"))
     held = indexed.groupBy("inspection_id", "_key").agg(F.count("*").alias("_hays"))
     # a piece that no hay has finds none
-    rarest = offered.join(held, ["inspection_id", "_key"], "left").groupBy("inspection_id", "_n").agg(
+    rarest = offered.join(spread(held), ["inspection_id", "_key"], "left").groupBy("inspection_id", "_n").agg(
         F.min_by("_key", F.struct(F.coalesce("_hays", F.lit(0)), "_key")).alias("_key"))
-    return rarest.join(indexed, ["inspection_id", "_key"]).select("_n", "_h")
+    return rarest.join(spread(indexed), ["inspection_id", "_key"]).select("_n", "_h")
 
 
 def _text_pairs(values: DataFrame, reads: DataFrame, into_line: list[tuple[str, str]], into_value: list[tuple[str, str]],
@@ -418,9 +418,9 @@ def _text_pairs(values: DataFrame, reads: DataFrame, into_line: list[tuple[str,
     values, reads = values.withColumn("_said", F.lit(1)), reads.withColumn("_seen", F.lit(1))
     large = values.groupBy("inspection_id").agg(F.count("*").alias("_n")).where(F.col("_n") > VALUES).select("inspection_id")
     if large.isEmpty():
-        return values.join(reads, "inspection_id")
-    large = cut(large)
-    small = values.join(large, "inspection_id", "left_anti").join(reads, "inspection_id")
+        return values.join(spread(reads), "inspection_id")
+    large = spread(cut(large))
+    small = values.join(large, "inspection_id", "left_anti").join(spread(reads), "inspection_id")
     # the ids are fixed once they are written
     said = values.join(large, "inspection_id", "left_semi").groupBy(*[c for c in values.columns if c != "_said"]).agg(F.count("*").alias("_said"))
     said = cut(said.withColumn("_a", F.monotonically_increasing_id()))
@@ -438,9 +438,9 @@ def _text_pairs(values: DataFrame, reads: DataFrame, into_line: list[tuple[str,
     found += [_inside(texts(read, "_b", b, "_n"), texts(said, "_a", a, "_h")).toDF("_b", "_a").select("_a", "_b") for b, a in into_value]
     said_words = said.select("inspection_id", "_a", F.explode(words[0]).alias("_word"))
     read_words = read.select("inspection_id", "_b", F.explode(words[1]).alias("_word"))
-    found.append(said_words.join(read_words, ["inspection_id", "_word"]).select("_a", "_b"))
+    found.append(said_words.join(spread(read_words), ["inspection_id", "_word"]).select("_a", "_b"))
     met = reduce(DataFrame.unionByName, found).distinct()
-    pairs = met.join(said, "_a").join(read.drop("inspection_id"), "_b").select(small.columns)
+    pairs = met.join(spread(said), "_a").join(spread(read.drop("inspection_id")), "_b").select(small.columns)
     return small.unionByName(pairs)
 
 
@@ -520,7 +520,7 @@ def box_fallback(checks: DataFrame, decl: DataFrame, fallbacks: DataFrame) -> Da
         F.min_by(F.struct("_box", "image_index"), "priority").alias("_best")
     )
     joined = checks.join(
-        best.withColumnRenamed("field", "_field").withColumnRenamed("inspection_id", "_id"),
+        spread(best.withColumnRenamed("field", "_field").withColumnRenamed("inspection_id", "_id")),
         (F.col("inspection_id") == F.col("_id")) & (F.lower("field_name") == F.col("_field")),
         "left",
     )
@@ -546,7 +546,7 @@ def _near(tokens: DataFrame, keys: DataFrame) -> DataFrame:
     placed = tokens.withColumn("_gx", F.floor(F.col("x1") / CELL_X)).withColumn(
         "_gy", F.floor(F.col("y1") / CELL_Y)
     )
-    return placed.join(cells, ["inspection_id", "_gx", "_gy"]).drop("_gx", "_gy")
+    return placed.join(spread(cells), ["inspection_id", "_gx", "_gy"]).drop("_gx", "_gy")
 
 
 _PACKING = r"(?i)PACKAGING|PACKING|MFG|MFD"
@@ -650,7 +650,7 @@ def below_anchor(tokens: DataFrame, anchor: str) -> DataFrame:
         ).alias("_f")
     ).select("inspection_id", "_f.*")
     skip = "^(" + "|".join(C.MAKER_ROW_SKIP) + ")"
-    row = pairs.join(first, ["inspection_id", "key_line"]).where(
+    row = pairs.join(spread(first), ["inspection_id", "key_line"]).where(
         (F.abs(F.col("y1") - F.col("first_y")) <= 12) & ~F.upper("text").rlike(skip)
     )
     pieces = row.groupBy("inspection_id").agg(
@@ -659,7 +659,7 @@ def below_anchor(tokens: DataFrame, anchor: str) -> DataFrame:
         ).alias("_maker"),
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
     )
-    joined = first.join(pieces, "inspection_id", "left")
+    joined = first.join(spread(pieces), "inspection_id", "left")
     return joined.select(
         "inspection_id",
         F.coalesce("_maker", "first_text").alias("maker"),
@@ -674,14 +674,14 @@ def continuation_lines(rows: DataFrame, anchors: DataFrame, stop: str) -> DataFr
     ``rows``: inspection_id, row_no, row_text. ``anchors``: inspection_id,
     anchor_line, anchor_row. The end is found with an aggregate, not a window.
     """
-    after = anchors.join(rows, "inspection_id").where(
+    after = anchors.join(spread(rows), "inspection_id").where(
         (F.col("row_no") > F.col("anchor_row")) & (F.trim("row_text") != "")
     )
     halted = after.withColumn("_stop", F.col("row_text").rlike(stop))
     ends = halted.groupBy("inspection_id", "anchor_line").agg(
         F.min(F.when(F.col("_stop"), F.col("row_no"))).alias("_end")
     )
-    kept = halted.join(ends, ["inspection_id", "anchor_line"]).where(
+    kept = halted.join(spread(ends), ["inspection_id", "anchor_line"]).where(
         F.col("_end").isNull() | (F.col("row_no") < F.col("_end"))
     )
     pieces = F.array_sort(F.collect_list(F.struct("row_no", F.trim("row_text").alias("t"))))
@@ -703,7 +703,7 @@ def title_fallback(tokens: DataFrame) -> DataFrame:
     )
     ranked = slices.running_position(
         tokens, ["inspection_id"], [F.col("y1"), F.col("line_no")], "_rank"
-    ).join(extent, "inspection_id")
+    ).join(spread(extent), "inspection_id")
     limit = F.col("_top") + 0.20 * F.greatest(F.lit(1.0), F.col("_bottom") - F.col("_top"))
     top_count = F.greatest(F.lit(1), F.rint(F.col("_n") * 0.20 + 0.5).cast("long"))
     shown = F.trim("text")
@@ -724,7 +724,7 @@ def title_fallback(tokens: DataFrame) -> DataFrame:
             F.struct((-F.col("_size")).alias("s"), F.col("line_no")),
         ).alias("_best")
     ).select("inspection_id", "_best.*")
-    line = candidates.join(best, "inspection_id").where(
+    line = candidates.join(spread(best), "inspection_id").where(
         (F.abs(F.col("y1") - F.col("by")) <= F.greatest(F.lit(15.0), F.col("bs") * 0.45))
         & (F.col("_size") >= F.col("bs") * 0.55)
     )
@@ -746,7 +746,7 @@ def translation_memory(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     from panelmark.functions.text import indic_digits
 
     known = dictionary.groupBy("source").agg(F.min("target").alias("_target"))
-    joined = tokens.join(known, tokens["text"] == known["source"], "left").drop("source")
+    joined = tokens.join(spread(known), tokens["text"] == known["source"], "left").drop("source")
     return (
         joined.withColumn("cached", F.col("_target").isNotNull())
         .withColumn("translated", F.coalesce("_target", indic_digits("text")))
