@@ -783,19 +783,29 @@ def behind_keys(tokens: DataFrame, key: str, reach: int) -> DataFrame:
     A row and its break hold two characters or more, which bounds the rows; runs
     of more than some thirty blanks are not bridged.
     """
-    rows = tk.row_texts(tk.reading_rows(tokens)).select("inspection_id", "row_no", F.col("row_text"))
-    keyed = rows.where(F.col("row_text").rlike(key)).select(
-        "inspection_id", F.col("row_no").alias("_key_row"), F.explode(F.sequence(F.lit(0), F.lit((reach + _ROOM) // 2))).alias("_k"))
-    reached = keyed.withColumn("row_no", F.col("_key_row") + F.col("_k")).join(spread(rows), ["inspection_id", "row_no"])
-    parts = F.array_sort(F.collect_list(F.struct("_k", "row_text")))
-    strung = F.aggregate(
-        "_parts",
-        F.struct(F.lit("").alias("said"), F.lit(reach + _ROOM + 1).alias("room")),
-        lambda done, p: F.when(done["room"] <= 0, done).otherwise(F.struct(
-            F.concat(done["said"], F.when(p["_k"] > 0, F.lit("\n")).otherwise(F.lit("")), p["row_text"]).alias("said"),
-            # the key's own row is free
-            (done["room"] - F.when(p["_k"] > 0, F.length(p["row_text"]) + 1).otherwise(0)).alias("room"))))
-    return reached.groupBy("inspection_id", "_key_row").agg(parts.alias("_parts")).select("inspection_id", "_key_row", strung["said"].alias("_said"))
+    span = (reach + _ROOM) // 2 + 1
+    rows = tk.row_texts(tk.reading_rows(tokens)).select("inspection_id", "row_no", "row_text").where("inspection_id IS NOT NULL")
+    # a page is laid out in blocks of rows: a key reaches its own block and the next, so a row goes there and to the one before
+    block = F.floor(F.col("row_no") / span)
+    laid = rows.withColumn("_own", block).withColumn("_block", F.explode(
+        F.when(F.col("_own") > 0, F.array("_own", F.col("_own") - 1)).otherwise(F.array("_own"))))
+    keyed = (F.col("_own") == F.col("_block")) & F.col("row_text").rlike(key)
+    blocks = laid.groupBy("inspection_id", "_block").agg(
+        F.array_sort(F.collect_list(F.struct("row_no", "row_text"))).alias("_rows"),
+        F.array_sort(F.collect_list(F.when(keyed, F.col("row_no")))).alias("_keys")).where(F.size("_keys") > 0)
+
+    def strung(start: Column) -> Column:
+        reached = F.filter("_rows", lambda r: (r["row_no"] >= start) & (r["row_no"] < start + span))
+        return F.aggregate(
+            reached,
+            F.struct(F.lit("").alias("said"), F.lit(reach + _ROOM + 1).alias("room")),
+            lambda done, r: F.when(done["room"] <= 0, done).otherwise(F.struct(
+                F.concat(done["said"], F.when(r["row_no"] > start, F.lit("\n")).otherwise(F.lit("")), r["row_text"]).alias("said"),
+                # the key's own row is free
+                (done["room"] - F.when(r["row_no"] > start, F.length(r["row_text"]) + 1).otherwise(0)).alias("room"))))["said"]
+
+    found = F.transform("_keys", lambda start: F.struct(start.alias("_key_row"), strung(start).alias("_said")))
+    return blocks.select("inspection_id", F.explode(found).alias("_f")).select("inspection_id", "_f._key_row", "_f._said")
 
 
 def price_across_lines(tokens: DataFrame) -> DataFrame:

@@ -74,3 +74,25 @@ def test_explained_rows_broadcast_constant_tables_only(spark):
         F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>").alias("box"))
     rows = ms.explain_checks(checks, decl(tokens), catalog.explain_alias_table(spark), catalog.box_fallback_table(spark), tokens)
     assert "BroadcastExchange" not in plan(rows) and rows.count() == checks.count()
+
+
+def test_keys_meet_rows_of_their_block_and_the_next(spark):
+    # 70 rows above each key put keys and amounts on both sides of a block's end
+    lines = []
+    for p, gap in enumerate([1, 3, 40]):
+        for n in range(200):
+            said = {70: "MRP", 70 + gap: "Rs. 9", 144: "MRP", 144 + gap: "Rs. 7"}.get(n, ".")
+            lines.append((f"P{p}", n, said, 90.0, 40.0, 60.0 * n, 80.0, 60.0 * n + 30))
+    lines.append((None, 0, "MRP Rs. 5", 90.0, 40.0, 60.0, 80.0, 90.0))
+    tokens = spark.createDataFrame(lines, TOKENS)
+    near = ex.behind_keys(tokens, "MRP", 80)
+    found = {(r["inspection_id"], r["_key_row"]): r["_said"] for r in near.collect()}
+    rows = {(r["inspection_id"], r["row_no"]): r["row_text"] for r in tk.row_texts(tk.reading_rows(tokens)).collect()}
+    assert sorted(found) == sorted(k for k, text in rows.items() if "MRP" in text and k[0])
+    for (package, key), said in found.items():
+        whole = "\n".join(rows[package, n] for n in range(key, 201) if (package, n) in rows)
+        assert whole.startswith(said) and (len(said) >= 80 + len("MRP") or said == whole)
+    prices = {r["inspection_id"]: r["amount"] for r in ex.price_across_lines(tokens).collect()}
+    assert prices == {"P0": "9", "P1": "9", "P2": "9"}
+    # the one join is that of the reading rows: no row meets a copy of a key for each of the rows below it
+    assert plan(ex.behind_keys(tokens, "MRP", 80)).count("Join") == 1
