@@ -7,10 +7,11 @@ length, so the limits are learned for each band of lengths (a band reaches from
 one power of two bytes to the next): from the quartiles of the logarithm of the
 ratio they lie ``REACH`` times the distance of the quartiles away. For chunks
 the least and the greatest ratio of a document are judged alike. They are
-learned from at most about ``SAMPLE`` documents, picked by a hash of the text, that
-pass the base rules; as much as a quarter of a band may be odd on either side
-without moving them far. A band with fewer than ``ENOUGH`` of them, and any
-text if nothing is learned, has the wide limits of ``BANDS``.
+learned from every document that passes the base rules, the quartiles being
+those of the logarithms rounded to ``STEP``; as much as a quarter of a band may
+be odd on either side without moving them far. A band with fewer than
+``ENOUGH`` of them, and any text if nothing is learned, has the wide limits of
+``BANDS``.
 
 A text is kept if it passes the base rules and all limits of its bands. The
 base rules count words ``[^\\x20\\x09-\\x0D]+``, symbols, repeated lines and
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmark.llm.common import ascii_words, free_name, text_udf
+from panelmark.session import cut
 
 Limits = dict[int, tuple[float, float, float, float]]
 #: where nothing is learned: bytes below -> least and greatest ratio; the last band has no upper end
@@ -42,8 +44,8 @@ BANDS: tuple[tuple[float, float, float], ...] = (
     (float("inf"), 1.40, 7.0),
 )
 CHUNK = 4096
-#: documents that limits are learned from, fewest in a band, and how far from the quartiles the limits lie
-SAMPLE, ENOUGH, REACH = 20_000, 100, 3.0
+#: fewest documents in a band, how far from the quartiles the limits lie, and what logarithms are rounded to
+ENOUGH, REACH, STEP = 100, 3.0, 1e-5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -135,29 +137,55 @@ def quality(limits: Limits | None = None, chunk: int = CHUNK, level: int = 3):
     return text_udf(SCHEMA, start)
 
 
-def fit(docs: DataFrame, chunk: int = CHUNK, sample: int = SAMPLE) -> Limits:
-    """The limits of each band: least and greatest ratio, least and greatest ratio of a chunk."""
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    many = texts.count()
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(1 << 30)
-    picked = texts.where(draw < F.lit(sample / max(many, 1)))
-    size = F.octet_length("text")
+def _measured(docs: DataFrame, *columns: str, chunk: int = CHUNK) -> DataFrame:
+    """``columns``, the band and the judgement by the wide limits."""
+    size = F.octet_length(F.col("text").cast("string"))
     band = F.greatest(F.lit(8), F.floor(F.log2(size.cast("double")))).cast("int")
-    judged = picked.select(band.alias("band"), quality(None, chunk)(F.col("text")).alias("q")).where("NOT q.base_failed")
-    sides = [F.percentile(F.ln(F.col(f"q.{name}")), [0.25, 0.75]).alias(name) for name in ("ratio", "chunk_min", "chunk_max")]
+    return docs.select(*columns, band.alias("band"), quality(None, chunk)(F.col("text").cast("string")).alias("found"))
+
+
+def _limits(measured: DataFrame) -> Limits:
+    """Limits from all measured documents that pass the base rules.
+
+    Rounded logarithms are counted first, so a quartile takes a count per
+    distinct value, not the values.
+    """
+    names = ("ratio", "chunk_min", "chunk_max")
+    logs = F.array(*[F.struct(F.lit(n).alias("side"), F.round(F.ln(F.col(f"found.{n}")) / STEP).cast("long").alias("at")) for n in names])
+    sides = measured.where("NOT found.base_failed").select("band", F.explode(logs).alias("l"))
+    counted = sides.groupBy("band", "l.side", "l.at").agg(F.count("*").alias("n"))
+    quartiles = counted.groupBy("band", "side").agg(F.sum("n").alias("n"), F.percentile("at", [0.25, 0.75], F.col("n")).alias("q"))
+    found: dict[int, dict[str, list[float]]] = {}
+    for row in quartiles.where(F.col("n") >= ENOUGH).collect():
+        found.setdefault(row["band"], {})[row["side"]] = [q * STEP for q in row["q"]]
     limits = {}
-    for row in judged.groupBy("band").agg(F.count("*").alias("n"), *sides).where(F.col("n") >= ENOUGH).collect():
-        (a, b), (c, d), (e, f) = row["ratio"], row["chunk_min"], row["chunk_max"]
+    for band, side in found.items():
+        (a, b), (c, d), (e, f) = (side[n] for n in names)
         logs = (a - REACH * (b - a), b + REACH * (b - a), c - REACH * (d - c), f + REACH * (f - e))
-        limits[row["band"]] = tuple(math.exp(x) for x in logs)
+        limits[band] = tuple(math.exp(x) for x in logs)
     return limits
 
 
+def fit(docs: DataFrame, chunk: int = CHUNK) -> Limits:
+    """The limits of each band: least and greatest ratio, least and greatest ratio of a chunk."""
+    return _limits(_measured(docs.where("text IS NOT NULL"), chunk=chunk))
+
+
 def measure(docs: DataFrame, limits: Limits | None = None, chunk: int = CHUNK) -> DataFrame:
-    """Per row of ``docs``: doc_id and the judgement (SCHEMA); without ``limits`` these are learned from ``docs``."""
-    limits = fit(docs, chunk) if limits is None else limits
-    judged = docs.select("doc_id", quality(limits, chunk)(F.col("text").cast("string")).alias("found"))
-    return judged.select("doc_id", "found.*")
+    """Per row of ``docs``: doc_id and the judgement (SCHEMA); without ``limits`` these are learned from ``docs``.
+
+    Then the figures of each text are written once; the limits are learned from
+    them and judge them, and no text is packed twice.
+    """
+    if limits is not None:
+        judged = docs.select("doc_id", quality(limits, chunk)(F.col("text").cast("string")).alias("found"))
+        return judged.select("doc_id", "found.*")
+    measured = cut(_measured(docs, "doc_id", chunk=chunk))
+    kept = F.col("found.kept")
+    for band, (low, high, chunk_low, chunk_high) in sorted(_limits(measured).items()):
+        usual = F.col("found.ratio").between(low, high) & (F.col("found.chunk_min") >= chunk_low) & (F.col("found.chunk_max") <= chunk_high)
+        kept = F.when((F.col("band") == band) & ~F.col("found.base_failed"), usual).otherwise(kept)
+    return measured.select("doc_id", "found.*", kept.alias("_kept")).withColumn("kept", F.col("_kept")).drop("_kept")
 
 
 def keep_good(docs: DataFrame, limits: Limits | None = None, chunk: int = CHUNK) -> DataFrame:

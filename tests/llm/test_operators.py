@@ -510,3 +510,12 @@ def test_chat_round_trip_on_odd_rows(spark):
     assert [tuple(t) for t in found[None]["back"]] == [("we<ird>\n", "t")] and tuple(found[2]["back"][0]) == ("", "x")
     assert found[4]["error_turn"] == 1 and found[5]["error_turn"] == 1 and len(found[4]["back"]) == 2
     assert chat.format_chats(df.where("false")).count() == 0
+
+
+def test_compression_limits_come_from_every_document(spark):
+    # a hundred texts of one length among many short ones: a draw of two thirds would leave too few of them
+    usual = [(k, " ".join(random.Random(k).choices([sentence(j, 1, WORDS) for j in range(300)], k=70))[:900].ljust(900, "x")) for k in range(compression.ENOUGH)]
+    docs = spark.createDataFrame(usual, "doc_id long, text string").unionByName(spark.range(1000, 31_000).selectExpr("id AS doc_id", "cast(id AS string) AS text"))
+    assert list(compression.fit(docs)) == [9]
+    by_limits = {r["doc_id"]: r["kept"] for r in compression.measure(docs, compression.fit(docs)).where("doc_id < 1000").collect()}
+    assert by_limits == {r["doc_id"]: r["kept"] for r in compression.measure(docs).where("doc_id < 1000").collect()}
