@@ -8,6 +8,8 @@ packages that the line patterns left without a value.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -435,16 +437,21 @@ def customer_care(tokens: DataFrame) -> DataFrame:
     )
 
 
+#: fourteen digits, whatever blanks, dots and hyphens stand between them
+_FOURTEEN = r"(?:[0-9][\s.\-]*+){14}"
+
+
 def _licence_hits() -> dict[str, Column]:
     value = text("text")
+    may = value.rlike(_FOURTEEN)
     squeezed = F.regexp_replace(value, r"[\s.\-]", "")
     spaced = F.regexp_replace(text(_hit(LICENCE_SPACED)), "[^0-9]", "")
     return {
-        "_l_anchored": _hit(LICENCE),
-        "_l_bare": F.coalesce(
+        "_l_anchored": F.when(may, _hit(LICENCE)),
+        "_l_bare": F.when(may, F.coalesce(
             vx.found(squeezed, r"\b([12][0-9]{13})\b"), vx.found(value, r"\b([12][0-9]{13})\b")
-        ),
-        "_l_spaced": F.when(F.length(spaced) == 14, spaced),
+        )),
+        "_l_spaced": F.when(may & (F.length(spaced) == 14), spaced),
         "_l_logo": value.rlike(LICENCE_LOGO),
     }
 
@@ -630,8 +637,12 @@ def global_tax_override(prices: DataFrame, tokens: DataFrame) -> DataFrame:
 # -------------------------------------------------------------- typed dates
 
 
+#: every typed date holds one of these
+_DATE_WORD = r"(?i)MONTH|DAY|WEEK|YEAR|PACKAGING|PACKING|MFD|MFG|PACKED|PKD|EXP|USE\s*BY|BEST\s*BEFORE"
+
+
 def line_typed_dates() -> Column:
-    """Typed dates of one line as an array of (stage, place, type, date_text).
+    """Typed dates of one line as an array of (stage, place, type, date_text), null on a line without any of their words.
 
     Relative statements have stage 0, anchored dates stage 1. A making date
     is dropped when it is a duration or follows a best-before phrase.
@@ -677,7 +688,7 @@ def line_typed_dates() -> Column:
         ),
         lambda d: d.isNotNull(),
     )
-    return F.concat(relative, anchored)
+    return F.when(value.rlike(_DATE_WORD), F.concat(relative, anchored))
 
 
 def typed_dates(tokens: DataFrame) -> DataFrame:
@@ -897,9 +908,13 @@ def with_price_verdict(prices: DataFrame, near: DataFrame) -> DataFrame:
 _ING_KEY = r"(?:INGREDIENTS?|CONTAINS?|SAMAGRI|GHATAK)"
 
 
+_ING_WORD = r"(?i)INGREDIENT|CONTAIN|SAMAGRI|GHATAK|COMPOSITION"
+
+
 def _ingredient_hits() -> dict[str, Column]:
-    said = F.trim(text(_hit(INGREDIENTS)))
-    anchor = _hit(INGREDIENTS).isNotNull()
+    hit = F.when(text("text").rlike(_ING_WORD), _hit(INGREDIENTS))
+    said = F.trim(text(hit))
+    anchor = hit.isNotNull()
     good = anchor & (F.length(said) >= 2) & ~bad_ingredient(said)
     return {
         "_i_said": said,
@@ -958,17 +973,19 @@ def extract_ingredients(tokens: DataFrame) -> DataFrame:
     return _ingredients_of(cut(line), tokens)
 
 
-def _name_hits() -> dict[str, Column]:
-    said = F.trim(text(_hit(GENERIC_NAME)))
-    value = F.trim(text("text"))
-    fine = F.col("_fine")
-    return {
-        "_n_said": said,
+def _name_hits(lines: DataFrame) -> DataFrame:
+    """What a line tells about the name; whether it is boilerplate is only asked of lines that could be one."""
+    value, said = F.trim(text("text")), F.col("_n_said")
+    long_ = F.length(value) >= 3
+    may = lines.withColumns({
+        "_n_said": F.trim(text(F.when(text("text").rlike("(?i)NAME|COMMODITY"), _hit(GENERIC_NAME)))),
+        "_n_plain": long_ & ~has_any(F.upper(value), C.PLAIN_LINE_SKIP) & ~value.rlike(r"^[0-9\s.,:;\-/]+$"),
+        "_n_word": long_ & value.rlike(COMMODITY_WORDS),
+    }).withColumns({
         "_n_good": (F.length(said) > 2) & ~bad_generic_name(said),
-        "_n_plain": (F.length(value) >= 3) & fine & ~has_any(F.upper(value), C.PLAIN_LINE_SKIP)
-        & ~value.rlike(r"^[0-9\s.,:;\-/]+$"),
-        "_n_word": (F.length(value) >= 3) & fine & value.rlike(COMMODITY_WORDS),
-    }
+        "_fine": (F.col("_n_plain") | F.col("_n_word")) & ~bad_generic_name(text("text")),
+    })
+    return may.withColumns({name: F.col(name) & F.col("_fine") for name in ("_n_plain", "_n_word")})
 
 
 def _name_picks() -> list[Column]:
@@ -999,7 +1016,7 @@ def _names_of(line: DataFrame, tokens: DataFrame, ingredients: DataFrame) -> Dat
 
 def extract_generic_name(tokens: DataFrame) -> DataFrame:
     """Anchored name, single ingredient, title lettering, first plain line."""
-    hits = tokens.withColumns(_ingredient_hits() | {"_fine": ~bad_generic_name(text("text"))}).withColumns(_name_hits())
+    hits = _name_hits(tokens.withColumns(_ingredient_hits()))
     line = cut(hits.groupBy("inspection_id").agg(*_ingredient_picks(), *_name_picks()))
     names = _names_of(line, tokens, _ingredients_of(line, tokens))
     return names.where("m IS NOT NULL").select("inspection_id", "m.*", "anchored")
@@ -1050,41 +1067,51 @@ _QUANTITY_KEY = r"NET\s*\.?\s*(?:WT|WEIGHT|QTY|QUANTITY|CONTENTS?|VOL(?:UME)?)"
 def label_facts(tokens: DataFrame) -> DataFrame:
     """Everything single lines can tell, one row per package, from one scan.
 
-    Each pattern runs once per line; the partial aggregate keeps one candidate
-    per field and task, so the shuffle moves packages, not lines.
+    A long pattern is only tried on lines that hold a word it cannot do
+    without; the partial aggregate keeps one candidate per field and task, so
+    the shuffle moves packages, not lines.
     """
     value = text("text")
-    hits = readable(tokens).withColumns(
+    keyed = readable(tokens).withColumns({
+        "_p_key": value.rlike(f"(?i){_PRICE_KEY}|{_PRICE_KEY_OPEN}"),
+        "_tax": value.rlike("(?i)TA|MRP") & value.rlike(TAX_NEAR),
+        "_u_may": value.rlike(r"(?i)[0-9]\s*(?:/|per)"),
+        "_q_may": value.rlike("(?i)NET|QUANTITY|SHUDDHA"),
+        "_q_bare_may": value.rlike(r"(?i)[0-9]\s*[kgmlcnup]"),
+        "_q_key": value.rlike(f"(?i){_NET}"),
+        "_q_sum": value.rlike("(?i)=|TOTAL"),
+        "_b_key": value.rlike(f"(?i){BATCH_KEY}"),
+        "_o_may": value.rlike("(?i)ORIGIN|MADE|PRODUCT"),
+        "_m_key": value.rlike("(?i)BY") & value.rlike(MAKER_ANCHOR),
+        "_d_key": value.rlike(f"(?i){MADE_KEY}"),
+        "_e_key": value.rlike(f"(?i){EXPIRY_KEY}"),
+    })
+
+    def where(may: str, column: Column) -> Column:
+        return F.when(F.col(may), column)
+
+    hits = _name_hits(keyed.withColumns(
         {
-            "_p": vx.decimal_comma(_hit(LABEL_PRICE, 2)),
-            "_p_clause": _hit(LABEL_PRICE, 1).isNotNull() | _hit(LABEL_PRICE, 3).isNotNull(),
-            "_p_unit": vx.decimal_comma(_hit(LABEL_PRICE, 4)),
-            "_p_per": _hit(LABEL_PRICE, 5),
+            "_p": where("_p_key", vx.decimal_comma(_hit(LABEL_PRICE, 2))),
+            "_p_clause": where("_p_key", _hit(LABEL_PRICE, 1).isNotNull() | _hit(LABEL_PRICE, 3).isNotNull()),
+            "_p_unit": where("_p_key", vx.decimal_comma(_hit(LABEL_PRICE, 4))),
+            "_p_per": where("_p_key", _hit(LABEL_PRICE, 5)),
             "_p_loose": vx.decimal_comma(_hit(PRICE_CURRENCY)),
-            "_p_key": value.rlike(f"(?i){_PRICE_KEY}|{_PRICE_KEY_OPEN}"),
-            "_tax": value.rlike(TAX_NEAR),
-            "_u": vx.decimal_comma(_hit(INLINE_UNIT_PRICE)),
-            "_u_per": F.lower(_hit(INLINE_UNIT_PRICE, 2)),
-            "_q": vx.decimal_comma(_hit(LABEL_QUANTITY, 1)),
-            "_q_unit": F.lower(_hit(LABEL_QUANTITY, 2)),
-            "_q_bare": vx.decimal_comma(_hit(BARE_QUANTITY, 1)),
-            "_q_bare_unit": F.lower(_hit(BARE_QUANTITY, 2)),
-            "_q_key": value.rlike(f"(?i){_NET}"),
-            "_q_sum": value.rlike("(?i)=|TOTAL"),
-            "_b": F.trim(_hit(LABEL_BATCH)),
-            "_b_key": value.rlike(f"(?i){BATCH_KEY}"),
-            "_o": F.trim(_hit(LABEL_ORIGIN)),
-            "_m": F.trim(text(vx.found(value, MAKER_ANCHOR + r"[:\s.\-]*([^\n]+)"))),
-            "_m_key": value.rlike(MAKER_ANCHOR),
+            "_u": where("_u_may", vx.decimal_comma(_hit(INLINE_UNIT_PRICE))),
+            "_u_per": where("_u_may", F.lower(_hit(INLINE_UNIT_PRICE, 2))),
+            "_q": where("_q_may", vx.decimal_comma(_hit(LABEL_QUANTITY, 1))),
+            "_q_unit": where("_q_may", F.lower(_hit(LABEL_QUANTITY, 2))),
+            "_q_bare": where("_q_bare_may", vx.decimal_comma(_hit(BARE_QUANTITY, 1))),
+            "_q_bare_unit": where("_q_bare_may", F.lower(_hit(BARE_QUANTITY, 2))),
+            "_b": where("_b_key", F.trim(_hit(LABEL_BATCH))),
+            "_o": where("_o_may", F.trim(_hit(LABEL_ORIGIN))),
+            "_m": where("_m_key", F.trim(text(vx.found(value, MAKER_ANCHOR + r"[:\s.\-]*([^\n]+)")))),
             "_c": _care_parts(),
-            "_d_key": value.rlike(f"(?i){MADE_KEY}"),
-            "_e_key": value.rlike(f"(?i){EXPIRY_KEY}"),
             "_dates": line_typed_dates(),
-            "_fine": ~bad_generic_name(value),
             **_licence_hits(),
             **_ingredient_hits(),
         }
-    ).withColumns(_name_hits())
+    ))
     rest = [F.col("confidence"), *[F.col(c) for c in _BOX]]
 
     def found(name: str) -> Column:
@@ -1126,15 +1153,11 @@ def declaration_table(tokens: DataFrame) -> DataFrame:
     title) are written aside once, and only they are looked at again.
     """
     facts = cut(label_facts(tokens))
-    needs = (
-        "(price IS NULL AND p_key) OR (q_key AND q_sum) OR (quantity IS NULL AND q_key)"
-        " OR (price IS NOT NULL AND NOT price._same AND NOT taxed)"
-        " OR (d_m IS NULL AND d_key) OR (d_e IS NULL AND d_r IS NULL AND e_key) OR (batch IS NULL AND b_key)"
-        " OR (maker IS NULL AND m_key) OR i_weak_line IS NOT NULL OR (i_direct IS NULL AND i_key)"
-        " OR n_anchored IS NULL"
-    )
-    columns = ["inspection_id", "line_no", "text", "confidence", *_BOX]
-    laid_out = cut(readable(tokens).select(*columns).join(spread(facts.where(needs).select("inspection_id")), "inspection_id", "left_semi"))
+    # each line is told what its package still needs, so that no branch has to look its packages up again
+    wanted = facts.select("inspection_id", *[F.coalesce(F.expr(c), F.lit(False)).alias(n) for n, c in _NEEDS.items()],
+                          F.coalesce(_expiry_of().isNull() & F.col("e_key"), F.lit(False)).alias("_w_expiry"))
+    some = reduce(lambda a, b: a | b, [F.col(n) for n in (*_NEEDS, "_w_expiry")])
+    laid_out = cut(readable(tokens).select(*_LINE).join(spread(wanted.where(some)), "inspection_id"))
     parts = [
         _price_rows(laid_out, facts),
         _quantity_rows(laid_out, facts),
@@ -1152,15 +1175,30 @@ def declaration_table(tokens: DataFrame) -> DataFrame:
     return result
 
 
-def _of(tokens: DataFrame, facts: DataFrame, condition: str) -> DataFrame:
-    return tokens.join(spread(facts.where(condition).select("inspection_id")), "inspection_id", "left_semi")
+_LINE = ["inspection_id", "line_no", "text", "confidence", *_BOX]
+#: what a package may need its layout for
+_NEEDS = {
+    "_w_price": "price IS NULL AND p_key",
+    "_w_tax": "price IS NOT NULL AND NOT price._same AND NOT taxed",
+    "_w_promo": "q_key AND q_sum",
+    "_w_quantity": "quantity IS NULL AND q_key",
+    "_w_made": "d_m IS NULL AND d_key",
+    "_w_batch": "batch IS NULL AND b_key",
+    "_w_maker": "maker IS NULL AND m_key",
+    "_w_made_of": "i_weak_line IS NOT NULL OR (i_direct IS NULL AND i_key)",
+    "_w_title": "n_anchored IS NULL",
+}
+
+
+def _of(tokens: DataFrame, need: str) -> DataFrame:
+    return tokens.where(need).select(*_LINE)
 
 
 def _price_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
     found = facts.where("price IS NOT NULL").select("inspection_id", "price.*", F.col("taxed").alias("_anywhere"), "inline")
-    near = near_rows_tax(tokens, found)
+    near = near_rows_tax(_of(tokens, "_w_tax"), found)
     anchored = with_price_verdict(found, near).drop("line_no")
-    beyond = price_beyond_line(_of(tokens, facts, "price IS NULL AND p_key")).select(
+    beyond = price_beyond_line(_of(tokens, "_w_price")).select(
         "inspection_id", "_stage", F.struct("price", "raw_line", "confidence", *_BOX).alias("beyond"))
     rest = facts.where("price IS NULL").select("inspection_id", "taxed", "loose", "inline").join(spread(beyond), "inspection_id", "left")
     chosen = rest.withColumn("use", F.coalesce("beyond", "loose")).where("use IS NOT NULL")
@@ -1185,11 +1223,11 @@ def _price_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _quantity_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
-    promo = _promo_of(_of(tokens, facts, "q_key AND q_sum")).select("inspection_id", F.struct(
+    promo = _promo_of(_of(tokens, "_w_promo")).select("inspection_id", F.struct(
         F.col("quantity").alias("amount"), "unit", F.lit(95.0).alias("confidence"),
         *[F.lit(None).cast("double").alias(c) for c in _BOX]).alias("promo"))
     near = tk.spatial_pair(
-        _of(tokens, facts, "quantity IS NULL AND q_key"), _QUANTITY_KEY,
+        _of(tokens, "_w_quantity"), _QUANTITY_KEY,
         r"\b[0-9]+(?:[.,][0-9]+)?\s*(?:" + _UNITS_SHORT + r")\b",
     ).select("inspection_id", F.struct(
         vx.decimal_comma(vx.found(F.col("value"), r"([0-9]+(?:[.,][0-9]+)?)\s*[a-zA-Z]+")).alias("amount"),
@@ -1205,12 +1243,12 @@ def _quantity_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _date_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
-    known = facts.select("inspection_id", F.col("d_m").alias("m"), _expiry_of().alias("e"), "d_key", "e_key")
+    known = facts.select("inspection_id", F.col("d_m").alias("m"), _expiry_of().alias("e"))
     made = tk.spatial_pair(
-        _of(tokens, known, "m IS NULL AND d_key"), MADE_KEY, CALENDAR,
+        _of(tokens, "_w_made"), MADE_KEY, CALENDAR,
         r"\b(?:USE\s*BY|EXP(?:IRY)?|BEST\s*BEFORE|MONTHS?\s*FROM)\b")
     lasting = r"(?:\b" + _COUNT_WORD + r"\s+)?(?:MONTHS?|DAYS?|YEARS?)(?:\s*(?:FROM|OF)\s*(?:PACKAGING|PACKING|MFG|MANUFACTURE))?"
-    ends = tk.spatial_pair(_of(tokens, known, "e IS NULL AND e_key"), EXPIRY_KEY, f"(?:{CALENDAR}|{lasting})", "PKD|MFD")
+    ends = tk.spatial_pair(_of(tokens, "_w_expiry"), EXPIRY_KEY, f"(?:{CALENDAR}|{lasting})", "PKD|MFD")
 
     def rows(df: DataFrame) -> DataFrame:
         return df.select("inspection_id", vx.repair_date_text("value").alias("date_text"), "confidence", "box.*")
@@ -1223,7 +1261,7 @@ def _date_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _batch_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
     near = tk.spatial_pair(
-        _of(tokens, facts, "batch IS NULL AND b_key"), BATCH_KEY, BATCH_VALUE, r"USE\s*BY|EXP|PKD|MFD", own_line=r"(?i)^B\.?\s*NO"
+        _of(tokens, "_w_batch"), BATCH_KEY, BATCH_VALUE, r"USE\s*BY|EXP|PKD|MFD", own_line=r"(?i)^B\.?\s*NO"
     ).select("inspection_id", F.col("value").alias("batch"), "confidence", "box.*")
     rows = facts.where("batch IS NOT NULL").select("inspection_id", "batch.*").unionByName(near)
     good = rows.where(~is_barcode("batch") & (F.col("confidence") >= 85.0) & ~F.col("batch").rlike(BATCH_NOISE))
@@ -1244,15 +1282,15 @@ def _licence_rows(facts: DataFrame) -> DataFrame:
 
 
 def _maker_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
-    below = tk.below_anchor(_of(tokens, facts, "maker IS NULL AND m_key"), MAKER_ANCHOR)
+    below = tk.below_anchor(_of(tokens, "_w_maker"), MAKER_ANCHOR)
     rows = facts.where("maker IS NOT NULL").select("inspection_id", "maker.*").unionByName(
         below.select("inspection_id", "maker", "confidence", *_BOX))
     return _decl(rows, "manufacturer", F.col("maker"))
 
 
 def _name_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
-    ingredients = _ingredients_of(facts, tokens)
-    names = _names_of(facts, tokens, ingredients)
+    ingredients = _ingredients_of(facts, _of(tokens, "_w_made_of"))
+    names = _names_of(facts, _of(tokens, "_w_title"), ingredients)
     good = F.col("m").isNotNull() & ~bad_generic_name("m.name")
     titles = names.select("inspection_id", "anchored", F.when(good, F.col("m")).otherwise(F.col("n_word")).alias("m"))
     titles = titles.where("m IS NOT NULL").select("inspection_id", "anchored", "m.*")

@@ -717,7 +717,8 @@ def title_fallback(tokens: DataFrame) -> DataFrame:
         & ~is_barcode(shown)
         & (F.regexp_count(shown, F.lit("[A-Za-z]")) >= 3)
     )
-    candidates = ranked.where(good).select("inspection_id", "line_no", shown.alias("text"), "confidence", *BOX, size.alias("_size"))
+    # read twice below, judged once
+    candidates = cut(ranked.where(good).select("inspection_id", "line_no", shown.alias("text"), "confidence", *BOX, size.alias("_size")))
     best = candidates.groupBy("inspection_id").agg(
         F.min_by(
             F.struct(F.col("y1").alias("by"), F.col("_size").alias("bs")),

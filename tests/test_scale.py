@@ -96,3 +96,20 @@ def test_keys_meet_rows_of_their_block_and_the_next(spark):
     assert prices == {"P0": "9", "P1": "9", "P2": "9"}
     # the one join is that of the reading rows: no row meets a copy of a key for each of the rows below it
     assert plan(ex.behind_keys(tokens, "MRP", 80)).count("Join") == 1
+
+
+def test_a_line_is_told_once_what_its_package_needs(spark):
+    # every branch used to look its packages up again in a join with all lines
+    assert plan(ex.declaration_table(page(spark))).count("SortMergeJoin") <= 100
+
+
+@pytest.mark.parametrize("said, field, value", [
+    ("M . R . P : 45.50 only", "mrp", "₹45.50"), ("maximum   retail price 7,25", "mrp", "₹7.25"), ("net . wt 5 KG", "net_quantity", "5.0 kg"),
+    ("12 Nos", "net_quantity", "12.0 nos"), ("LOT a-77", "batch_number", "a-77"), ("made  in Nepal", "country_of_origin", "Nepal"),
+    ("mkTd. bY: Acme Foods", "manufacturer", "Acme Foods"), ("1.0 0-1 2 0 1 3 0 0 0 1 2 3", "fssai_license", "10012013000123"),
+    ("use  by 01/02/2027", "expiry_date", "01/02/2027"), ("pkd 03.04.2026", "manufacturing_date", "03/04/2026"),
+    ("Composition: wheat and rye", "ingredients", "wheat and rye"), ("commodity: Rye Bread", "generic_name", "Rye Bread"),
+    ("tea of the hills", "generic_name", "tea of the hills"), ("MRP 9 mrp  incl", "mrp_inclusive_tax", "Inclusive of all taxes")])
+def test_no_pattern_is_kept_from_a_line_it_reads(spark, said, field, value):
+    lines = spark.createDataFrame([("P", 1, said, 90.0, 40.0, 60.0, 300.0, 90.0)], TOKENS)
+    assert [r.value for r in ex.declaration_table(lines).where(F.col("field_name") == field).collect()] == [value]
