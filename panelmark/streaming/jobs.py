@@ -28,6 +28,8 @@ def screen_batches(arriving: DataFrame, packages_of, decl_of, rules: DataFrame,
     """
 
     def step(batch: DataFrame, number: int) -> None:
+        # wide projections outgrow what the JIT compiles as one method; this session is the stream's own copy
+        batch.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
         checks = screening.screen(packages_of(batch), decl_of(batch), rules, evaluation_date)
         checks.write.mode("overwrite").parquet(f"{path}/batch={number}")
 

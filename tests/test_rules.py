@@ -213,3 +213,18 @@ def test_rule_feeds_of_mixed_shape(spark):
     for shaped in (feed, feed.select("source_rank", *fields, *texts)):
         got = {r.rule_id: (r.product_category, r.rule_type, r.condition, r.required) for r in ap.canonicalise_rules(shaped).collect()}
         assert got == want
+
+
+def test_dates_and_blanks_are_read_as_before_they_were_screened(spark):
+    draw = random.Random(7)
+    parts = ["05", "1", "12", "2025", "25", "/", "-", ".", " ", "  ", "\t", "'", "JAN", "March", "may", "\n", "x", "é", "EXP"]
+    rows = [("".join(draw.choice(parts) for _ in range(draw.randint(1, 7))),) for _ in range(6000)]
+    rows += [(f"{d}{s}{m}{s}{y}",) for s in ["/", "-", ".", " "] for d in ("5", "05") for m in ("3", "Mar", "MAR") for y in ("25", "2025")]
+    edges = r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$"
+    bare = F.regexp_replace(F.trim("t"), edges, "")
+    table = spark.createDataFrame(rows, "t string").withColumns({
+        "plain": vx.let(bare, vx._date_of), "screened": vx.label_date("t"),
+        "even": F.trim(F.regexp_replace("t", r"\s+", " ")), "blanks": tx.norm_whitespace("t")})
+    got = table.collect()
+    assert [r.plain for r in got] == [r.screened for r in got] and sum(r.plain is not None for r in got) > 50
+    assert [r.even for r in got] == [r.blanks for r in got]

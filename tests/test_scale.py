@@ -9,7 +9,7 @@ from panelmark.operators import extract as ex
 from panelmark.operators import measures as ms
 from panelmark.operators import tokens as tk
 from panelmark.plans import applicability as ap
-from panelmark.plans import catalog
+from panelmark.plans import catalog, screening
 from panelmark.sources import sinks
 
 TOKENS = ("inspection_id string, line_no int, text string, confidence double, x1 double, y1 double, x2 double, y2 double")
@@ -113,3 +113,32 @@ def test_a_line_is_told_once_what_its_package_needs(spark):
 def test_no_pattern_is_kept_from_a_line_it_reads(spark, said, field, value):
     lines = spark.createDataFrame([("P", 1, said, 90.0, 40.0, 60.0, 300.0, 90.0)], TOKENS)
     assert [r.value for r in ex.declaration_table(lines).where(F.col("field_name") == field).collect()] == [value]
+
+
+def said(spark, rows):
+    return spark.createDataFrame(rows, "inspection_id string, field_name string, value string, confidence double, raw_line string")
+
+
+def test_declarations_are_read_once(spark):
+    # synonyms and what is derived used to read, and work out, all lines again for themselves
+    rows = said(spark, [("P", "mrp", "Rs. 10", 90.0, "MRP Rs. 10 incl. of all taxes")])
+    assert plan(rows).count("ExistingRDD") == 1
+    for fields in (None, spark.createDataFrame([("mrp",), ("uom",)], "field string")):
+        assert plan(screening.resolve_aliases(rows, fields)).count("Scan ExistingRDD[inspection_id") == 1
+
+
+def test_resolution_picks_synonyms_before_what_is_derived(spark):
+    rows = said(spark, [
+        ("P", "mrp", "Rs. 10", 0.9, "MRP Rs. 10 incl. of all taxes"), ("P", "net_quantity", "5 kg", 80.0, None), ("P", "net_quantity", "null", 70.0, None),
+        ("P", "batch_no", "B2", 70.0, None), ("P", "batch_no", "B1", 60.0, None), ("P", "batch_number", " ", 99.0, None),
+        ("Q", "unit", "ml", 50.0, None), ("Q", "net_quantity", "7 g", 0.0, None), ("R", "mrp", "unknown", 90.0, "tax"), (None, "uom", "g", 90.0, None)])
+    got = {(r.inspection_id, r.field): (r.entry.value, r.entry.confidence, r.priority) for r in screening.resolve_aliases(rows).collect()}
+    assert got["P", "mrp"] == ("Rs. 10", 90.0, 0) and got["P", "net_quantity"] == ("5 kg", 80.0, 0)
+    # the largest text of a field stands for it in what is derived
+    assert ("P", "uom") not in got and got["P", "tax_clause"] == ("Inclusive of all taxes", 0.9, 1000)
+    assert got["P", "batch_no"] == ("B1", 60.0, 0) and got["P", "batch_number"][:2] == ("B1", 60.0) and 0 < got["P", "batch_number"][2] < 1000
+    assert got["Q", "unit"] == ("ml", 50.0, 0) and got["Q", "uom"] == ("g", 90.0, 1000) and got["Q", "net_quantity"] == ("7 g", 90.0, 0)
+    assert ("R", "mrp") not in got and got["R", "tax_clause"][2] == 1000 and got[None, "uom"] == ("g", 90.0, 0)
+    fields = spark.createDataFrame([("uom",), ("batch_number",)], "field string")
+    few = {(r.inspection_id, r.field): (r.entry.value, r.entry.confidence, r.priority) for r in screening.resolve_aliases(rows, fields).collect()}
+    assert few == {k: v for k, v in got.items() if k[1] in ("uom", "batch_number")}
