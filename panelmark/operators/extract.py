@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from panelmark import constants as C
 from panelmark.functions import values as vx
 from panelmark.functions.text import (
-    bad_generic_name, bad_ingredient, fix_glyphs, has_any, indic_digits, is_barcode, text,
+    bad_generic_name, bad_ingredient, fix_glyphs, has_any, indic_digits, is_barcode, may_have, text,
 )
 from panelmark.operators import tokens as tk
 from panelmark.session import cut, spread
@@ -203,10 +203,25 @@ def _first(condition: Column, *columns: Column) -> Column:
     return F.min_by(F.struct(*columns), F.when(condition, F.col("line_no")))
 
 
+def _told(condition: Column, *columns: Column) -> Column:
+    """Struct of the columns where the line meets the condition, else null."""
+    return F.when(condition, F.struct(*columns))
+
+
+def _picks(told: dict[str, Column], last: tuple[str, ...] = ()) -> list[Column]:
+    """What the first line tells, for each name; the last line for those in ``last``."""
+    return [(F.max_by if n in last else F.min_by)(c, F.when(c.isNotNull(), F.col("line_no"))).alias(n) for n, c in told.items()]
+
+
 def _hit(pattern: str, group: int = 1) -> Column:
     return vx.found(text("text"), pattern, group)
 
 
+def _may(*words: str) -> Column:
+    """True where the line holds any of the words, in capitals or not (a few letters more count as equal)."""
+    return may_have(F.upper(text("text")), list(words))
+
+
 def confident_lines(tokens: DataFrame, least: float = C.LINE_MIN_CONFIDENCE) -> DataFrame:
     """Drops unreliable lines; scores may be 0-1 or 0-100, missing counts as 1."""
     score = F.coalesce("confidence", F.lit(1.0))
@@ -451,21 +466,24 @@ def _licence_hits() -> dict[str, Column]:
         "_l_bare": F.when(may, F.coalesce(
             vx.found(squeezed, r"\b([12][0-9]{13})\b"), vx.found(value, r"\b([12][0-9]{13})\b")
         )),
-        "_l_spaced": F.when(may & (F.length(spaced) == 14), spaced),
-        "_l_logo": value.rlike(LICENCE_LOGO),
+        "_l_spaced": F.when(may, F.when(F.length(spaced) == 14, spaced)),
+        "_l_logo": _may("SSA") & value.rlike(LICENCE_LOGO),
     }
 
 
-def _licence_picks() -> list[Column]:
-    """Anchored licence (the last one), else a bare one, else a spaced one."""
+def _licence_told() -> dict[str, Column]:
+    """Anchored licence (the last one counts), bare one, spaced one, logo."""
     rest = [F.col("confidence"), F.col("line_no"), *[F.col(c) for c in _BOX]]
     anchored, bare, spaced = (F.col(c) for c in ("_l_anchored", "_l_bare", "_l_spaced"))
-    return [
-        F.max_by(F.struct(anchored.alias("licence"), *rest), F.when(anchored.isNotNull(), F.col("line_no"))).alias("l_a"),
-        _first(bare.isNotNull(), bare.alias("licence"), *rest).alias("l_b"),
-        _first(spaced.isNotNull(), spaced.alias("licence"), *rest).alias("l_c"),
-        _first(F.col("_l_logo"), F.lit(None).cast("string").alias("licence"), *rest).alias("l_d"),
-    ]
+    return {
+        "l_a": _told(anchored.isNotNull(), anchored.alias("licence"), *rest),
+        "l_b": _told(bare.isNotNull(), bare.alias("licence"), *rest),
+        "l_c": _told(spaced.isNotNull(), spaced.alias("licence"), *rest),
+        "l_d": _told(F.col("_l_logo"), F.lit(None).cast("string").alias("licence"), *rest),
+    }
+
+
+_LAST = ("l_a",)
 
 
 def _licence_rows_of(picked: DataFrame) -> DataFrame:
@@ -477,7 +495,7 @@ def _licence_rows_of(picked: DataFrame) -> DataFrame:
 
 def extract_licence(tokens: DataFrame) -> DataFrame:
     hits = tokens.withColumns(_licence_hits())
-    return _licence_rows_of(hits.groupBy("inspection_id").agg(*_licence_picks()))
+    return _licence_rows_of(hits.groupBy("inspection_id").agg(*_picks(_licence_told(), _LAST)))
 
 
 def extract_origin(tokens: DataFrame) -> DataFrame:
@@ -637,7 +655,9 @@ def global_tax_override(prices: DataFrame, tokens: DataFrame) -> DataFrame:
 # -------------------------------------------------------------- typed dates
 
 
-#: every typed date holds one of these
+#: every typed date holds one of these, and one that is no calendar date one of the spans
+_SPANS = ["MONTH", "DAY", "WEEK", "YEAR"]
+_DATE_KEYS = ["PACK", "MFD", "MFG", "PKD", "EXP", "USE", "BEST"]
 _DATE_WORD = r"(?i)MONTH|DAY|WEEK|YEAR|PACKAGING|PACKING|MFD|MFG|PACKED|PKD|EXP|USE\s*BY|BEST\s*BEFORE"
 
 
@@ -656,6 +676,8 @@ def line_typed_dates() -> Column:
             vx.let(raw, vx.repair_date_text).alias("date_text"),
         )
 
+    none = F.array().cast("array<struct<stage: int, place: int, type: string, date_text: string>>")
+    span = _may(*_SPANS)
     relative = F.transform(
         F.filter(
             F.transform(F.regexp_extract_all(value, F.lit(RELATIVE_DATE), F.lit(1)), lambda v: F.trim(v)),
@@ -688,7 +710,10 @@ def line_typed_dates() -> Column:
         ),
         lambda d: d.isNotNull(),
     )
-    return F.when(value.rlike(_DATE_WORD), F.concat(relative, anchored))
+    # what neither has a span nor a digit is no date, whatever its key
+    keyed = _may(*_DATE_KEYS) & (span | value.rlike("[0-9]"))
+    found = F.concat(F.when(span, relative).otherwise(none), F.when(keyed, anchored).otherwise(none))
+    return F.when((span | _may(*_DATE_KEYS)) & value.rlike(_DATE_WORD), found)
 
 
 def typed_dates(tokens: DataFrame) -> DataFrame:
@@ -720,18 +745,8 @@ def typed_dates(tokens: DataFrame) -> DataFrame:
 _RELATIVE_TEXT = r"(?i)(?:MONTHS?|DAYS?|WEEKS?|YEARS?|BEST\s*BEFORE|FROM\s*(?:PACKAGING|MFG|MANUFACTURE))"
 
 
-def _date_picks() -> list[Column]:
-    """Earliest making, expiry and making-with-duration date of a package.
-
-    Works on ``_dates``, the array of each line: the first fitting item of a
-    line stands for it, and a partial aggregate picks among the lines.
-    """
-
-    def pick(name: str, fits) -> list[Column]:
-        best = F.get(F.filter("_dates", fits), F.lit(0))
-        at = F.when(best.isNotNull(), F.struct(best["stage"].alias("stage"), F.col("line_no"), best["place"].alias("place")))
-        info = F.struct(best["date_text"].alias("date_text"), F.col("confidence"), *[F.col(c) for c in _BOX])
-        return [F.min(at).alias(f"{name}_at"), F.min_by(info, at).alias(name)]
+def _date_hits() -> dict[str, Column]:
+    """Making, expiry and making-with-duration date of a line: the first fitting item of its ``_dates`` stands for it."""
 
     def making(d: Column) -> Column:
         return d["type"].isin(MADE_TYPES)
@@ -739,11 +754,24 @@ def _date_picks() -> list[Column]:
     def lasting(d: Column) -> Column:
         return d["date_text"].rlike(_RELATIVE_TEXT)
 
-    return [
-        *pick("d_m", lambda d: making(d) & ~lasting(d)),
-        *pick("d_e", lambda d: d["type"].isin(EXPIRY_TYPES)),
-        *pick("d_r", lambda d: making(d) & lasting(d)),
-    ]
+    fits = {
+        "d_m": lambda d: making(d) & ~lasting(d), "d_e": lambda d: d["type"].isin(EXPIRY_TYPES), "d_r": lambda d: making(d) & lasting(d)}
+    return {n: F.when(F.size("_dates") > 0, F.get(F.filter("_dates", fit), F.lit(0))) for n, fit in fits.items()}
+
+
+def _date_told() -> dict[str, Column]:
+    """Where the dates of ``_date_hits`` stand, and what they say."""
+    told = {}
+    for n in ("d_m", "d_e", "d_r"):
+        best = F.col(n)
+        told[f"{n}_at"] = _told(best.isNotNull(), best["stage"].alias("stage"), F.col("line_no"), best["place"].alias("place"))
+        told[n] = _told(best.isNotNull(), best["date_text"].alias("date_text"), F.col("confidence"), *[F.col(c) for c in _BOX])
+    return told
+
+
+def _date_picks() -> list[Column]:
+    """Earliest making, expiry and making-with-duration date of a package."""
+    return [c for n in ("d_m", "d_e", "d_r") for c in (F.min(f"{n}_at").alias(f"{n}_at"), F.min_by(n, f"{n}_at").alias(n))]
 
 
 def _expiry_of() -> Column:
@@ -908,11 +936,11 @@ def with_price_verdict(prices: DataFrame, near: DataFrame) -> DataFrame:
 _ING_KEY = r"(?:INGREDIENTS?|CONTAINS?|SAMAGRI|GHATAK)"
 
 
-_ING_WORD = r"(?i)INGREDIENT|CONTAIN|SAMAGRI|GHATAK|COMPOSITION"
+_ING_WORDS = ["INGREDIENT", "CONTAIN", "SAMAGRI", "GHATAK", "COMPOSITION"]
 
 
 def _ingredient_hits() -> dict[str, Column]:
-    hit = F.when(text("text").rlike(_ING_WORD), _hit(INGREDIENTS))
+    hit = F.when(_may(*_ING_WORDS), _hit(INGREDIENTS))
     said = F.trim(text(hit))
     anchor = hit.isNotNull()
     good = anchor & (F.length(said) >= 2) & ~bad_ingredient(said)
@@ -920,14 +948,17 @@ def _ingredient_hits() -> dict[str, Column]:
         "_i_said": said,
         "_i_good": good,
         "_i_weak": anchor & ~good,
-        "_i_key": text("text").rlike(f"(?i){_ING_KEY}"),
+        "_i_key": _may(*_ING_WORDS) & text("text").rlike(f"(?i){_ING_KEY}"),
     }
 
 
-def _ingredient_picks() -> list[Column]:
+def _ingredient_told() -> dict[str, Column]:
+    return {"i_direct": _told(F.col("_i_good"), F.col("_i_said").alias("ingredients"), F.col("confidence"), *[F.col(c) for c in _BOX],
+                              F.col("line_no").alias("anchor_line"))}
+
+
+def _ingredient_marks() -> list[Column]:
     return [
-        _first(F.col("_i_good"), F.col("_i_said").alias("ingredients"), F.col("confidence"), *[F.col(c) for c in _BOX],
-               F.col("line_no").alias("anchor_line")).alias("i_direct"),
         F.min(F.when(F.col("_i_weak"), F.col("line_no"))).alias("i_weak_line"),
         F.max("_i_key").alias("i_key"),
     ]
@@ -969,7 +1000,7 @@ def _ingredients_of(line: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def extract_ingredients(tokens: DataFrame) -> DataFrame:
     """Ingredients after their anchor, else the lines below it, else nearby."""
-    line = tokens.withColumns(_ingredient_hits()).groupBy("inspection_id").agg(*_ingredient_picks())
+    line = tokens.withColumns(_ingredient_hits()).groupBy("inspection_id").agg(*_picks(_ingredient_told()), *_ingredient_marks())
     return _ingredients_of(cut(line), tokens)
 
 
@@ -978,23 +1009,24 @@ def _name_hits(lines: DataFrame) -> DataFrame:
     value, said = F.trim(text("text")), F.col("_n_said")
     long_ = F.length(value) >= 3
     may = lines.withColumns({
-        "_n_said": F.trim(text(F.when(text("text").rlike("(?i)NAME|COMMODITY"), _hit(GENERIC_NAME)))),
+        "_n_said": F.trim(text(F.when(_may("NAME", "COMMODITY"), _hit(GENERIC_NAME)))),
         "_n_plain": long_ & ~has_any(F.upper(value), C.PLAIN_LINE_SKIP) & ~value.rlike(r"^[0-9\s.,:;\-/]+$"),
         "_n_word": long_ & value.rlike(COMMODITY_WORDS),
     }).withColumns({
-        "_n_good": (F.length(said) > 2) & ~bad_generic_name(said),
-        "_fine": (F.col("_n_plain") | F.col("_n_word")) & ~bad_generic_name(text("text")),
+        # branches, as what an "and" holds twice would be worked out ahead of it, on every line; written out twice it is too long to be compiled
+        "_n_good": F.when(F.length(said) > 2, vx.let(said, lambda v: ~bad_generic_name(v))),
+        "_fine": F.when(F.col("_n_plain") | F.col("_n_word"), ~bad_generic_name(text("text"))),
     })
     return may.withColumns({name: F.col(name) & F.col("_fine") for name in ("_n_plain", "_n_word")})
 
 
-def _name_picks() -> list[Column]:
+def _name_told() -> dict[str, Column]:
     value, rest = F.trim(text("text")), [F.col("confidence"), *[F.col(c) for c in _BOX]]
-    return [
-        _first(F.col("_n_good"), F.col("_n_said").alias("name"), *rest).alias("n_anchored"),
-        _first(F.col("_n_plain"), value.alias("name"), *rest).alias("n_plain"),
-        _first(F.col("_n_word"), value.alias("name"), *rest).alias("n_word"),
-    ]
+    return {
+        "n_anchored": _told(F.col("_n_good"), F.col("_n_said").alias("name"), *rest),
+        "n_plain": _told(F.col("_n_plain"), value.alias("name"), *rest),
+        "n_word": _told(F.col("_n_word"), value.alias("name"), *rest),
+    }
 
 
 def _names_of(line: DataFrame, tokens: DataFrame, ingredients: DataFrame) -> DataFrame:
@@ -1017,7 +1049,7 @@ def _names_of(line: DataFrame, tokens: DataFrame, ingredients: DataFrame) -> Dat
 def extract_generic_name(tokens: DataFrame) -> DataFrame:
     """Anchored name, single ingredient, title lettering, first plain line."""
     hits = _name_hits(tokens.withColumns(_ingredient_hits()))
-    line = cut(hits.groupBy("inspection_id").agg(*_ingredient_picks(), *_name_picks()))
+    line = cut(hits.groupBy("inspection_id").agg(*_picks(_ingredient_told() | _name_told()), *_ingredient_marks()))
     names = _names_of(line, tokens, _ingredients_of(line, tokens))
     return names.where("m IS NOT NULL").select("inspection_id", "m.*", "anchored")
 
@@ -1028,15 +1060,17 @@ def extract_generic_name(tokens: DataFrame) -> DataFrame:
 def _care_parts() -> Column:
     """Contacts of a line as an array of (kind, line, place, value)."""
 
-    def hits(kind: int) -> Column:
+    def hits(kind: int, mark: str = "") -> Column:
+        # a line without the mark has none of the kind
+        value = F.when(_may(mark), text("text")).otherwise("") if mark else text("text")
         return F.transform(
-            F.regexp_extract_all(text("text"), F.lit(CARE), F.lit(kind + 1)),
+            F.regexp_extract_all(value, F.lit(CARE), F.lit(kind + 1)),
             lambda v, i: F.struct(F.lit(kind).alias("kind"), F.col("line_no").alias("line_no"), i.alias("place"), v.alias("value")),
         )
 
-    every = F.filter(F.concat(hits(0), hits(1), hits(2)), lambda c: c["value"] != "")
+    every = F.filter(F.concat(hits(0), hits(1, "@"), hits(2, "WWW.")), lambda c: c["value"] != "")
     # cheap test first: a contact has 1800, six digits in a row, an @ or www
-    return F.when(text("text").rlike(r"1800|[0-9]{6}|@|(?i:www\.)"), every)
+    return F.when(_may("1800", "@", "WWW.") | text("text").rlike("[0-9]{6}"), every)
 
 
 _DECLARED = {"confidence": "double", "numeric_value": "double", "unit": "string", "verdict": "string", "tax_in_block": "boolean", "raw_line": "string"}
@@ -1073,18 +1107,18 @@ def label_facts(tokens: DataFrame) -> DataFrame:
     """
     value = text("text")
     keyed = readable(tokens).withColumns({
-        "_p_key": value.rlike(f"(?i){_PRICE_KEY}|{_PRICE_KEY_OPEN}"),
-        "_tax": value.rlike("(?i)TA|MRP") & value.rlike(TAX_NEAR),
-        "_u_may": value.rlike(r"(?i)[0-9]\s*(?:/|per)"),
-        "_q_may": value.rlike("(?i)NET|QUANTITY|SHUDDHA"),
+        "_p_key": _may("M") & value.rlike(f"(?i){_PRICE_KEY}|{_PRICE_KEY_OPEN}"),
+        "_tax": _may("TA", "MRP") & value.rlike(TAX_NEAR),
+        "_u_may": _may("/", "PER") & value.rlike(r"(?i)[0-9]\s*(?:/|per)"),
+        "_q_may": _may("NET", "QUANTITY", "SHUDDHA"),
         "_q_bare_may": value.rlike(r"(?i)[0-9]\s*[kgmlcnup]"),
-        "_q_key": value.rlike(f"(?i){_NET}"),
-        "_q_sum": value.rlike("(?i)=|TOTAL"),
-        "_b_key": value.rlike(f"(?i){BATCH_KEY}"),
-        "_o_may": value.rlike("(?i)ORIGIN|MADE|PRODUCT"),
-        "_m_key": value.rlike("(?i)BY") & value.rlike(MAKER_ANCHOR),
-        "_d_key": value.rlike(f"(?i){MADE_KEY}"),
-        "_e_key": value.rlike(f"(?i){EXPIRY_KEY}"),
+        "_q_key": _may("NET", "QUANTITY", "SHUDDHA") & value.rlike(f"(?i){_NET}"),
+        "_q_sum": _may("=", "TOTAL") & value.rlike("(?i)=|TOTAL"),
+        "_b_key": (_may("BATCH", "LOT") | (_may("B") & _may("NO"))) & value.rlike(f"(?i){BATCH_KEY}"),
+        "_o_may": _may("ORIGIN", "MADE", "PRODUCT"),
+        "_m_key": _may("BY") & value.rlike(MAKER_ANCHOR),
+        "_d_key": _may("PACK", "PKD", "MFD", "MFG") & value.rlike(f"(?i){MADE_KEY}"),
+        "_e_key": _may("USE", "EXP", "BEST") & value.rlike(f"(?i){EXPIRY_KEY}"),
     })
 
     def where(may: str, column: Column) -> Column:
@@ -1096,7 +1130,7 @@ def label_facts(tokens: DataFrame) -> DataFrame:
             "_p_clause": where("_p_key", _hit(LABEL_PRICE, 1).isNotNull() | _hit(LABEL_PRICE, 3).isNotNull()),
             "_p_unit": where("_p_key", vx.decimal_comma(_hit(LABEL_PRICE, 4))),
             "_p_per": where("_p_key", _hit(LABEL_PRICE, 5)),
-            "_p_loose": vx.decimal_comma(_hit(PRICE_CURRENCY)),
+            "_p_loose": F.when(_may("₹", "RS", "INR"), vx.decimal_comma(_hit(PRICE_CURRENCY))),
             "_u": where("_u_may", vx.decimal_comma(_hit(INLINE_UNIT_PRICE))),
             "_u_per": where("_u_may", F.lower(_hit(INLINE_UNIT_PRICE, 2))),
             "_q": where("_q_may", vx.decimal_comma(_hit(LABEL_QUANTITY, 1))),
@@ -1117,31 +1151,34 @@ def label_facts(tokens: DataFrame) -> DataFrame:
     def found(name: str) -> Column:
         return F.col(name).isNotNull()
 
-    return hits.groupBy("inspection_id").agg(
-        _first(found("_p"), F.col("_p").alias("price"), F.col("_p_clause").alias("_same"), F.col("_p_unit").alias("unit_price"),
-               F.col("_p_per").alias("per"), F.col("raw_line"), F.col("line_no"), *rest).alias("price"),
-        _first(found("_p_loose"), F.col("_p_loose").alias("price"), F.col("raw_line"), *rest).alias("loose"),
-        F.max("_p_key").alias("p_key"),
+    told = {
+        "price": _told(found("_p"), F.col("_p").alias("price"), F.col("_p_clause").alias("_same"), F.col("_p_unit").alias("unit_price"),
+                       F.col("_p_per").alias("per"), F.col("raw_line"), F.col("line_no"), *rest),
+        "loose": _told(found("_p_loose"), F.col("_p_loose").alias("price"), F.col("raw_line"), *rest),
+        "tax_line": _told(F.col("_tax"), *rest),
+        "inline": _told(found("_u"), F.col("_u").alias("unit_price"), F.col("_u_per").alias("per")),
+        "quantity": _told(found("_q"), F.col("_q").alias("amount"), F.col("_q_unit").alias("unit"), *rest),
+        "bare": _told(found("_q_bare"), F.col("_q_bare").alias("amount"), F.col("_q_bare_unit").alias("unit"), *rest),
+        "batch": _told(found("_b") & ~is_barcode("_b"), F.col("_b").alias("batch"), *rest),
+        "origin": _told(F.col("_o") != "", F.col("_o").alias("origin"), *rest),
+        "maker": _told(F.length("_m") > 2, F.col("_m").alias("maker"), *rest),
+        "care_box": _told(F.size("_c") > 0, *[F.col(c) for c in _BOX]),
+        **_licence_told(),
+        **_ingredient_told(),
+        **_name_told(),
+    }
+    marks = ["p_key", "q_key", "q_sum", "b_key", "m_key", "d_key", "e_key"]
+    # put together before the aggregate, which sorts what does not fit its table: most lines tell little
+    narrow = hits.withColumns(_date_hits()).select(
+        "inspection_id", "line_no", *[F.col(f"_{m}") for m in marks], "_tax", "_i_weak", "_i_key",
+        F.when(F.size("_c") > 0, F.col("_c")).alias("_c"), *[c.alias(n) for n, c in (told | _date_told()).items()])
+    return narrow.groupBy("inspection_id").agg(
+        *_picks({n: F.col(n) for n in told}, _LAST),
+        *[F.max(f"_{m}").alias(m) for m in marks],
         F.max("_tax").alias("taxed"),
-        _first(F.col("_tax"), *rest).alias("tax_line"),
-        _first(found("_u"), F.col("_u").alias("unit_price"), F.col("_u_per").alias("per")).alias("inline"),
-        _first(found("_q"), F.col("_q").alias("amount"), F.col("_q_unit").alias("unit"), *rest).alias("quantity"),
-        _first(found("_q_bare"), F.col("_q_bare").alias("amount"), F.col("_q_bare_unit").alias("unit"), *rest).alias("bare"),
-        F.max("_q_key").alias("q_key"),
-        F.max("_q_sum").alias("q_sum"),
-        _first(found("_b") & ~is_barcode("_b"), F.col("_b").alias("batch"), *rest).alias("batch"),
-        F.max("_b_key").alias("b_key"),
-        _first(F.col("_o") != "", F.col("_o").alias("origin"), *rest).alias("origin"),
-        _first(F.length("_m") > 2, F.col("_m").alias("maker"), *rest).alias("maker"),
-        F.max("_m_key").alias("m_key"),
-        F.flatten(F.collect_list(F.when(F.size("_c") > 0, F.col("_c")))).alias("care"),
-        _first(F.size("_c") > 0, *[F.col(c) for c in _BOX]).alias("care_box"),
-        F.max("_d_key").alias("d_key"),
-        F.max("_e_key").alias("e_key"),
+        F.flatten(F.collect_list("_c")).alias("care"),
         *_date_picks(),
-        *_licence_picks(),
-        *_ingredient_picks(),
-        *_name_picks(),
+        *_ingredient_marks(),
     )
 
 
@@ -1158,16 +1195,18 @@ def declaration_table(tokens: DataFrame) -> DataFrame:
                           F.coalesce(_expiry_of().isNull() & F.col("e_key"), F.lit(False)).alias("_w_expiry"))
     some = reduce(lambda a, b: a | b, [F.col(n) for n in (*_NEEDS, "_w_expiry")])
     laid_out = cut(readable(tokens).select(*_LINE).join(spread(wanted.where(some)), "inspection_id"))
+    # most packages need a title only, and a need has many readers: what the others are for is written by itself
+    few = cut(laid_out.where(" OR ".join(n for n in wanted.columns if n not in ("inspection_id", "_w_title"))))
     parts = [
-        _price_rows(laid_out, facts),
-        _quantity_rows(laid_out, facts),
-        _date_rows(laid_out, facts),
-        _batch_rows(laid_out, facts),
+        _price_rows(few, facts),
+        _quantity_rows(few, facts),
+        _date_rows(few, facts),
+        _batch_rows(few, facts),
         _care_rows(facts),
         _licence_rows(facts),
         _decl(facts.where("origin IS NOT NULL").select("inspection_id", "origin.*"), "country_of_origin", F.col("origin")),
-        _maker_rows(laid_out, facts),
-        _name_rows(laid_out, facts),
+        _maker_rows(few, facts),
+        _name_rows(laid_out, few, facts),
     ]
     result = parts[0]
     for part in parts[1:]:
@@ -1191,7 +1230,7 @@ _NEEDS = {
 
 
 def _of(tokens: DataFrame, need: str) -> DataFrame:
-    return tokens.where(need).select(*_LINE)
+    return cut(tokens.where(need).select(*_LINE))
 
 
 def _price_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
@@ -1288,9 +1327,9 @@ def _maker_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
     return _decl(rows, "manufacturer", F.col("maker"))
 
 
-def _name_rows(tokens: DataFrame, facts: DataFrame) -> DataFrame:
-    ingredients = _ingredients_of(facts, _of(tokens, "_w_made_of"))
-    names = _names_of(facts, _of(tokens, "_w_title"), ingredients)
+def _name_rows(tokens: DataFrame, few: DataFrame, facts: DataFrame) -> DataFrame:
+    ingredients = _ingredients_of(facts, _of(few, "_w_made_of"))
+    names = _names_of(facts, tokens.where("_w_title").select(*_LINE), ingredients)
     good = F.col("m").isNotNull() & ~bad_generic_name("m.name")
     titles = names.select("inspection_id", "anchored", F.when(good, F.col("m")).otherwise(F.col("n_word")).alias("m"))
     titles = titles.where("m IS NOT NULL").select("inspection_id", "anchored", "m.*")

@@ -710,12 +710,14 @@ def title_fallback(tokens: DataFrame) -> DataFrame:
     width = F.greatest(F.lit(1.0), F.col("x2") - F.col("x1"))
     upright = (F.col("y2") - F.col("y1")) > 1.8 * width
     size = F.when(upright, F.col("x2") - F.col("x1")).otherwise(F.col("y2") - F.col("y1"))
+    # judged where it lies near the top: of the lettering alone the optimizer would judge every line before the join
+    shown = F.when((F.col("y1") <= limit) | (F.col("_rank") <= top_count), shown)
     good = (
-        ((F.col("y1") <= limit) | (F.col("_rank") <= top_count))
+        shown.isNotNull()
         & ~bad_generic_name(shown)
         & ~has_any(F.upper(shown), C.TITLE_SKIP)
         & ~is_barcode(shown)
-        & (F.regexp_count(shown, F.lit("[A-Za-z]")) >= 3)
+        & (F.length(F.regexp_replace(shown, "[^A-Za-z]+", "")) >= 3)
     )
     # read twice below, judged once
     candidates = cut(ranked.where(good).select("inspection_id", "line_no", shown.alias("text"), "confidence", *BOX, size.alias("_size")))

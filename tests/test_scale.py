@@ -1,10 +1,15 @@
 """Plans that must hold at size: nothing that grows with the input is collected or judged in one place."""
 
+import random
+import re
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from panelmark import constants as C
+from panelmark.functions import text as tx
+from panelmark.functions import values as vx
 from panelmark.operators import extract as ex
 from panelmark.operators import measures as ms
 from panelmark.operators import tokens as tk
@@ -142,3 +147,70 @@ def test_resolution_picks_synonyms_before_what_is_derived(spark):
     fields = spark.createDataFrame([("uom",), ("batch_number",)], "field string")
     few = {(r.inspection_id, r.field): (r.entry.value, r.entry.confidence, r.priority) for r in screening.resolve_aliases(rows, fields).collect()}
     assert few == {k: v for k, v in got.items() if k[1] in ("uom", "batch_number")}
+
+
+def longest_method(spark, df):
+    """Bytes of the longest method generated for a plan; the JIT leaves those of more than 8000 to the interpreter."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:([0-9]+)", code))
+
+
+def test_generated_methods_are_short_enough_to_be_compiled(spark):
+    # what is derived of price and quantity used to make one method of 63972 bytes, and was worked out once more by a filter
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    try:
+        rows = said(spark, [("P", "mrp", "Rs. 10", 90.0, "MRP Rs. 10 incl. of all taxes"), ("P", "net_quantity", "5 kg", 80.0, None)])
+        maps = screening.field_maps(screening.normalise_entries(screening.resolve_aliases(rows)))
+        packages = spark.createDataFrame([("P", "ALL", 90.0, True)], "inspection_id string, category string, overall_confidence double, quality_ok boolean")
+        for df in (maps, screening.screen(packages, rows, catalog.rules(spark), date(2026, 1, 15)), ex.label_facts(page(spark))):
+            assert 0 < longest_method(spark, df) < 8000
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", limit)
+
+
+def test_lines_reach_the_aggregate_narrow(spark):
+    # the aggregate sorts its input: a struct per field that is null on most lines instead of 45 columns, many of them parts of one field
+    optimized = ex.label_facts(page(spark))._jdf.queryExecution().optimizedPlan()
+    assert optimized.toString().startswith("Aggregate") and optimized.children().head().output().size() <= 40
+
+
+def test_what_the_rule_alone_tells_is_worked_out_once(spark):
+    packages, rules = told(spark)
+    rows = said(spark, [("P1", "mrp", "Rs. 10", 90.0, None)])
+    found = screening.screen(packages.withColumn("overall_confidence", F.lit(90.0)), rows, rules, date(2026, 1, 15))
+    # whether a rule is marked as voluntary used to be looked up for every pair of a package and a rule
+    assert "ALLERGEN" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_are_found_as_they_are(spark):
+    pick = random.Random(7)
+    lists = [C.GENERIC_NAME_PHRASES, C.INGREDIENT_PHRASES, C.PLAIN_LINE_SKIP, C.TITLE_SKIP, C.TAX_WORDS, C.SINGLE_COMMODITIES, ["a-b", "^x", "]y", "a-", "a&b"]]
+    for phrases in lists:
+        lines = [pick.choice(phrases)[: pick.randint(1, 9)] + pick.choice(["", " ", "-", "x"]) + pick.choice(phrases)[pick.randint(0, 2):] for _ in range(200)]
+        df = spark.createDataFrame([(t,) for t in [*lines, *phrases, "", "^", None]], "t string")
+        for r in df.select("t", tx.has_any(F.col("t"), phrases).alias("got")).collect():
+            assert r.got == (None if r.t is None else any(p in r.t for p in phrases))
+
+
+def test_cheap_tests_judge_as_the_long_ones(spark):
+    pick = random.Random(8)
+    texts = ["".join(pick.choice("aEyb1Z -.:_\n") for _ in range(pick.randint(0, 24))) for _ in range(600)]
+    texts += ["1234 5678-9012", " 12345678901234 ", "123456789012345", "12-34\t567890\n12", "-123456789012", "1234567890x2", "ab1-", "ab1_ ", "BCDFG", "BCDFGa", "bcdfgh ae"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", tx.is_barcode("t").alias("barcode"), tx._vowel_share_low(F.col("t"), 5).alias("low"), tx.bad_generic_name("t").alias("bad")).collect()
+    for r in got:
+        value = r.t.strip(" ")
+        letters, vowels = len(re.findall("[A-Za-z]", r.t)), len(re.findall("[aeiouyAEIOUY]", r.t))
+        assert r.barcode == bool(re.fullmatch("[0-9]{12,14}", re.sub(r"[\s\-]+", "", value))), r.t
+        assert r.low == (letters >= 5 and (vowels == 0 or vowels / letters < 0.18)), r.t
+        if re.fullmatch(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9\-_]{4,}", value):
+            assert r.bad, r.t
+    fields = spark.createDataFrame([("MRP",), ("pack_qty",), ("units",), ("use_by",), ("License",), ("note",), (None,)], "f string")
+    kinds = [r[0] for r in fields.select(vx.value_kind(F.col("f"))).collect()]
+    assert kinds == ["MONEY", "QUANTITY", "UNIT", "DATE", "LICENCE", None, None]
